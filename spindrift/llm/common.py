@@ -40,3 +40,11 @@ def short_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Computes df once into a Parquet table in the shared folder and reads it back; unlike cut() the table has no partitioning left, so Spark may split a hot key in a later join."""
+    spark = df.sparkSession
+    path = new_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
