@@ -1,6 +1,6 @@
 """Encoding with the tokenizers library, a chunk between spaces at a time.
 
-Most chunks of a corpus repeat, so a worker keeps the ids of those it has met. Cutting at spaces gives the ids of the whole text because no token of the two supported families spans such a cut:
+Most chunks of a corpus repeat, so a worker keeps the ids of those it has met. A new chunk of common characters is split by the family's pattern and its words go to the library's model; any other chunk goes to the library as it is. Cutting at spaces gives the ids of the whole text because no token of the two supported families spans such a cut:
 
 * byte-level BPE whose split pattern lets a word take one space before it: a cut before a space (or line feed) is safe where neither neighbour is white space; any other text goes to the library whole;
 * BPE with word ends whose split pattern drops white space: every space is a safe cut.
@@ -13,44 +13,72 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
+import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
 
-class _Unsafe(Exception):
+class Unsafe(Exception):
     """A chunk that must be seen with its neighbours."""
 
 
-class _Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit integers, of chunks that a worker has met."""
+class Known(dict):
+    """Values that make(key) returns, of about the last `most` keys met: when one generation is full it becomes the old one."""
 
-    def __init__(self, encode, spaced: bool, most: int):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.encode, self.spaced, self.most = encode, spaced, most
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
+        self.make, self.half, self.old = make, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        if not self.spaced:
-            ids = self.encode(chunk)
-        elif chunk[:1] == "\n":
-            if len(chunk) < 2 or chunk[1].isspace() or chunk[-1].isspace():
-                raise _Unsafe
-            ids = self.encode(chunk)
-        else:
-            bare = chunk[1:] if chunk[:1] == "\0" else chunk
-            if not bare or bare[0] == "\0" or bare[0].isspace() or bare[-1].isspace():
-                raise _Unsafe
-            ids = self.encode(bare if chunk[:1] == "\0" else " " + bare)
-        self[chunk] = ids
-        return ids
+        self[key] = value
+        return value
+
+
+#: Letters and numbers among the first 0x250 code points, where all Unicode versions in use agree. U+0130 is left out: its lower case is two characters.
+_LOW = [chr(c) for c in range(0x21, 0x250) if c != 0x130 and not chr(c).isspace() and unicodedata.category(chr(c))[0] != "C"]
+LETTERS = "".join(c for c in _LOW if unicodedata.category(c)[0] == "L")
+NUMBERS = "".join(c for c in _LOW if unicodedata.category(c)[0] == "N")
+OTHERS = "".join(c for c in _LOW if unicodedata.category(c)[0] not in "LN")
+#: Chunks without white space that can be split here instead of by the library.
+SAFE = re.compile(f"[{re.escape(LETTERS + NUMBERS + OTHERS)}]+")
+#: The split patterns of the two families over such chunks.
+WORDS = {
+    "spaced": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[{re.escape(OTHERS)}]+"),
+    "dropped": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[{re.escape(OTHERS)}]+"),
+}
+
+
+def byte_letters() -> str:
+    """The 256 characters that stand for bytes in byte-level vocabularies: printable bytes for themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in shown else chr(next(spare)) for b in range(256))
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def lettered(word: str) -> str:
+    """A word's UTF-8 bytes as characters of the vocabulary."""
+    return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_LETTERS)
+
+
+_TO_LETTERS = dict(enumerate(BYTE_LETTERS))
 
 
 class Encoder:
     """encode(text): the ids of the library's encode(text, add_special_tokens=False), as uint32 bytes."""
 
-    def __init__(self, path: str, most_chunks: int = 300_000):
+    def __init__(self, path: str, most_chunks: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,27 +86,50 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        kind = family(made)
-        self.chunks = _Chunks(self._whole, kind == "spaced", most_chunks) if kind else None
+            self.kind = family(json.load(f))
+        self.model = self.library.model
+        self.chunks = Known(self._spaced if self.kind == "spaced" else self._dropped, most_chunks)
+        self.words = Known(self._word, most_chunks // 5)
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalnum() else lettered(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _split(self, chunk: str, bare: str) -> bytes:
+        """Ids of a chunk; bare is the chunk without its white space."""
+        if not SAFE.fullmatch(bare) or "<|" in bare:
+            return self._whole(chunk)
+        words = WORDS[self.kind].findall(chunk)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+
+    def _dropped(self, chunk: str) -> bytes:
+        return self._split(chunk.lower() if SAFE.fullmatch(chunk) and "<|" not in chunk else chunk, chunk) if chunk else b""
+
+    def _spaced(self, chunk: str) -> bytes:
+        if chunk[:1] == "\n":
+            if len(chunk) < 2 or chunk[1].isspace() or chunk[-1].isspace():
+                raise Unsafe
+            return self.words["\n"] + self._split(chunk[1:], chunk[1:])
+        bare = chunk[1:] if chunk[:1] == "\0" else chunk
+        if not bare or bare[0] == "\0" or bare[0].isspace() or bare[-1].isspace():
+            raise Unsafe
+        return self._split(bare if chunk[:1] == "\0" else " " + bare, bare)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.chunks is None:
-            return self._whole(text)
-        if not self.chunks.spaced:
+        if self.kind == "dropped":
             return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
-        if "\0" in text:
+        if self.kind is None or "\0" in text:
             return self._whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             return self.chunks["\0" + first] + b"".join(map(self.chunks.__getitem__, rest))
-        except _Unsafe:
+        except Unsafe:
             return self._whole(text)
 
 
