@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, maxscore, packing, planes, secrets, simhash, vptree, warc
+from . import bpe, langid, licenses, maxscore, packing, planes, secrets, simhash, vptree, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of the operators' numbers.
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes)}
 
 #: Base-32 SHA-1 has no function in DuckDB: five bits at a time from the hex digest.
 WARC_SQL = """
