@@ -5,6 +5,7 @@ Every quirk of the numeral system that results depend on is kept: a trailing dig
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -144,7 +145,7 @@ _LONG = re.compile(r"(?<![\d.])(\d{5,})(?![\d.])")
 
 
 def humanised(text: str) -> str:
-    """1e+07 and long integers as 萬 and 億; below a hundred thousand they stay."""
+    """1e+07 and long integers as 萬 and 億; below a hundred thousand, and beyond what a double holds, they stay."""
 
     def long(m: re.Match) -> str:
         n = int(m[1])
@@ -153,7 +154,13 @@ def humanised(text: str) -> str:
         size, name = (10**8, "億") if n >= 10**8 else (10**4, "萬")
         return (str(n // size) if n % size == 0 else f"{n / size:g}") + name
 
-    return _LONG.sub(long, _POWER_OF_TEN.sub(lambda m: str(int(float(m[1]) * 10 ** int(m[2]))), text))
+    def power(m: re.Match) -> str:
+        if len(m[2]) > 3:  # as in a hex string; no double is that large
+            return m[0]
+        value = float(m[1]) * float(f"1e{m[2]}")
+        return str(int(float(m[1]) * 10 ** int(m[2]))) if math.isfinite(value) else m[0]
+
+    return _LONG.sub(long, _POWER_OF_TEN.sub(power, text))
 
 
 @F.pandas_udf(T.StringType())

@@ -13,6 +13,8 @@ LLM_MILLION = {"openai/gpt-5-nano": (0.05, 0.40), "openai/gpt-4o-mini": (0.15, 0
 TTS_MILLION = {"edge/edge-tts": 0.0, "openai/gpt-4o-mini-tts": 0.60, "openai/tts-1": 15.00}
 TTS_AUDIO_CHARACTER = {"openai/gpt-4o-mini-tts": 12.0 / 1_000_000 * 4}
 VIDEO_SECOND = 0.25
+#: US dollars a video, by model, resolution or mode, and seconds.
+VIDEO = {("MiniMax-Hailuo-02", "512P", 6): 0.08, ("MiniMax-Hailuo-02", "768P", 6): 0.27, ("MiniMax-Hailuo-02", "1080P", 6): 0.54, ("kling-v1", "std", 5): 0.18, ("kling-v1", "std", 10): 0.36, ("kling-v2-5-turbo", "std", 5): 0.31, ("kling-v2-5-turbo", "std", 10): 0.62}
 #: Assumed tokens (in on top of the text, out) of the cheap pass and (in, out) of the strong pass for one clip.
 CHEAP_PASS, STRONG_PASS = (600, 3300), (1200, 1600)
 
@@ -167,3 +169,13 @@ def frames(seconds: Column, rate: int = 24) -> Column:
 def snapped(seconds: Column, short: int, long: int) -> Column:
     """The duration on offer that covers the seconds, else the longer one."""
     return F.when(seconds <= short, short).otherwise(long)
+
+
+def video_prices(spark: SparkSession) -> DataFrame:
+    """(model, mode, seconds, price): the static table with a key of three columns, for strictly_priced."""
+    return spark.createDataFrame([(*k, v) for k, v in VIDEO.items()], "model string, mode string, seconds int, price double")
+
+
+def footage_rows(requests: DataFrame) -> DataFrame:
+    """Ledger rows of requests(provider, n, estimated): searches cost nothing."""
+    return requests.select(F.lit("s4_render").alias("stage"), "provider", F.lit("search").alias("model"), F.lit("request").alias("unit"), F.col("n").cast("double").alias("quantity"), F.lit(0.0).alias("unit_price_usd"), F.lit(0.0).alias("usd"), "estimated", F.concat(F.col("n").cast("string"), F.lit(" search(es)")).alias("note"))

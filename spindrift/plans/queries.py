@@ -745,3 +745,45 @@ def k4_invalidate_later(spark: SparkSession, sf: str) -> DataFrame:
 def k7_cost_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = costs(spark, sf)
     return ledger.rollup(rows, ["video", "stage"]).join(rows.groupBy("video", "stage").agg(F.count("*").alias("n")), ["video", "stage"]).orderBy("video", "stage")
+
+
+# Sources, sinks, prices
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    import os
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}"
+    return f"{root}/{kind}-{uuid.uuid4().hex}"
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s1_s3_k1_document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources import documents
+
+    path = _folder(spark, "documents")
+    documents.write_documents(table(spark, sf, "nation"), path, "n_regionkey")
+    return documents.strict(spark, path, "n_nationkey int, n_name string, n_regionkey int", by_line=True).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
+def s4_k3_k6_appended_state(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources import documents
+
+    path, rows = _folder(spark, "state"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    for odd in (0, 1):
+        documents.append(rows.where(F.col("s_suppkey") % 2 == odd), path)
+    return documents.state(spark, path, "s_suppkey long, s_name string")
+
+
+@query("SELECT p_partkey, model, seconds, price FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'kling-v1' ELSE 'kling-v2-5-turbo' END AS model, CASE WHEN p_size <= 5 THEN 5 ELSE 10 END AS seconds FROM part) JOIN (VALUES ('kling-v1', 5, 0.18e0), ('kling-v1', 10, 0.36e0), ('kling-v2-5-turbo', 5, 0.31e0), ('kling-v2-5-turbo', 10, 0.62e0)) t(model, seconds, price) USING (model, seconds)")
+def s6_j3_composite_prices(spark: SparkSession, sf: str) -> DataFrame:
+    shots = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "kling-v1").otherwise("kling-v2-5-turbo").alias("model"), F.lit("std").alias("mode"), ledger.snapped(F.col("p_size"), 5, 10).alias("seconds"))
+    return ledger.strictly_priced(shots, ledger.video_prices(spark), ["model", "mode", "seconds"], "price").select("p_partkey", "model", "seconds", "price")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 4 < 2 THEN l_linenumber * l_quantity WHEN l_partkey % 4 = 2 THEN CAST(l_linenumber AS DOUBLE) ELSE 0e0 END AS quantity FROM lineitem")
+def r16_billed_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    unit = F.when(F.col("l_partkey") % 4 == 0, "gpu_second").when(F.col("l_partkey") % 4 == 1, "second").when(F.col("l_partkey") % 4 == 2, "video").otherwise("request")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ledger.billed_quantity(unit, F.col("l_linenumber"), F.col("l_quantity")).alias("quantity"))

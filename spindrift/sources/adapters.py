@@ -165,3 +165,8 @@ class _Reader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         for x in self.items:
             yield x.get("video_id"), x.get("title"), x.get("channel"), x.get("duration")
+
+
+def converted(text: Column, table: dict[str, str]) -> Column:
+    """Characters replaced one for one by a conversion table, trimmed; the stand-in for dictionary conversion between scripts."""
+    return F.trim(F.translate(text, "".join(table), "".join(table.values())))

@@ -15,9 +15,9 @@ def folder_name(path: Column, levels: int = 2) -> Column:
     return F.element_at(F.split(path, "/"), -levels)
 
 
-def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents that must be of the schema; one that isn't stops the query."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def strict(spark: SparkSession, path: str, schema: str, by_line: bool = False) -> DataFrame:
+    """Documents, one to a file or one to a line, that must be of the schema; one that isn't stops the query."""
+    return spark.read.schema(schema).option("multiLine", not by_line).option("mode", "FAILFAST").json(path)
 
 
 def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,6 +68,25 @@ def runs(manifests: DataFrame) -> DataFrame:
     return manifests.select("video_id", F.posexplode("runs").alias("run", "r")).select("video_id", "run", "r.*")
 
 
+def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted(name) with folder: the name itself where known(name) has it, else the id in it as a link; neither stops the query."""
+    from ..functions.text import video_id
+
+    found = wanted.join(known.select("name").distinct().withColumn("_known", F.lit(True)), "name", "left")
+    folder = F.coalesce(F.when(F.col("_known") & ~F.col("name").contains("/"), F.col("name")), video_id(F.col("name")))
+    return found.select("name", F.when(folder.isNull(), F.raise_error(F.concat(F.lit("neither a folder nor a link: "), "name"))).otherwise(folder).alias("folder"))
+
+
+def now() -> Column:
+    """Local time as text without a zone."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def write_documents(df: DataFrame, path: str, by: str) -> None:
+    """Rows as JSON documents below a folder for each value of `by`, replacing those folders only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy(by).json(path)
+
+
 def overwrite(df: DataFrame, path: str, by: str) -> None:
     """Replaces the partitions of `by` that df has, and only those."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -85,7 +85,7 @@ def test_tokens():
     assert numerals.stated("") == [] and numerals.stated("萬億") == [] and numerals.stated("四成本") == [("四", [4.0])]
 
 
-@pytest.mark.parametrize(("raw", "said"), [("1e+07元", "1000萬元"), ("23800000", "2380萬"), ("400000", "40萬"), ("580000000000", "5800億"), ("15000", "15000"), ("123456789", "1.23457億"), ("99999", "99999"), ("123456", "12.3456萬")])
+@pytest.mark.parametrize(("raw", "said"), [("1e+07元", "1000萬元"), ("23800000", "2380萬"), ("400000", "40萬"), ("580000000000", "5800億"), ("15000", "15000"), ("123456789", "1.23457億"), ("99999", "99999"), ("123456", "12.3456萬"), ("3e9999", "3e9999"), ("1e400", "1e400")])
 def test_humanised(raw, said):
     assert numerals.humanised(raw) == said
 
@@ -288,3 +288,18 @@ def test_state(spark):
     for out in (cache.upserted(old, new, ["k"]), cache.merged(old, new, "k", "x")):
         assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert one(spark, cache.reached(F.col("s"), "s2"), s=("s3_script", "string")) is False
+
+
+def test_settings_and_names(spark):
+    from spindrift.settings import Settings
+    from spindrift.sources import adapters, documents
+
+    made = Settings.read({"SPINDRIFT_MAX_CLIPS": "5", "SPINDRIFT_REMOVE_SILENCE": "no"}, speedup=1.5)
+    assert (made.max_clips, made.remove_silence, made.speedup, made.speech_model()) == (5, False, 1.5, ("edge", "edge-tts"))
+    known, wanted = spark.createDataFrame([("demo",)], "name string"), spark.createDataFrame([("demo",), ("https://youtu.be/dQw4w9WgXcQ",)], "name string")
+    assert sorted(r.folder for r in documents.resolved(wanted, known).collect()) == ["dQw4w9WgXcQ", "demo"]
+    with pytest.raises(Exception, match="neither"):
+        documents.resolved(spark.createDataFrame([("what",)], "name string"), known).collect()
+    assert one(spark, adapters.converted(F.col("t"), {"国": "國"}), t=(" 中国 ", "string")) == "中國"
+    assert one(spark, F.length(documents.now())) == 19
+    assert ledger.footage_rows(spark.createDataFrame([("p", 3, False)], "provider string, n int, estimated boolean")).first().usd == 0.0
