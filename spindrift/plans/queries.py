@@ -92,10 +92,10 @@ def p1_video_id(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", text.video_id(link).alias("video_id"))
 
 
-@query("SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9_\\-]{1,64}') AS safe, regexp_full_match(left(text, 20), '[A-Za-z0-9_\\-]{1,64}') AS safe_text FROM documents")
+@query("SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9_\\-]{1,64}') AS safe, regexp_full_match(text, '[A-Za-z0-9_\\-]{1,64}') AS safe_text FROM documents")
 def p2_safe_id(spark: SparkSession, sf: str) -> DataFrame:
     safe = r"\A[A-Za-z0-9_\-]{1,64}\z"
-    return table(spark, sf, "documents").select("doc_id", F.col("source").rlike(safe).alias("safe"), F.left("text", F.lit(20)).rlike(safe).alias("safe_text"))
+    return table(spark, sf, "documents").select("doc_id", F.col("source").rlike(safe).alias("safe"), F.col("text").rlike(safe).alias("safe_text"))
 
 
 @query("SELECT c_custkey, source_name, '資料來源：' || source_name AS attribution FROM (SELECT c_custkey, CASE WHEN contains(upper(c_mktsegment), 'BUILD') THEN 'BUILDERS (TV)' WHEN c_custkey % 10 = 0 THEN 'unknown' ELSE c_mktsegment END AS source_name FROM customer)")
@@ -235,9 +235,9 @@ def p23_p24_prompts_and_footage(spark: SparkSession, sf: str) -> DataFrame:
     return visuals(spark, sf).select("video", choose.shot_prompts(F.col("v"), F.lit(""), F.lit("own"), 4).alias("prompts"), choose.footage_queries(F.col("v"), F.lit("own")).alias("queries"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')), ''), 'city') AS q, left(sha1(coalesce(nullif(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')), ''), 'city')), 12) AS name FROM documents")
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'city') AS q, left(sha1(coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'city')), 12) AS name FROM documents")
 def p26_h3_query_and_name(spark: SparkSession, sf: str) -> DataFrame:
-    q = text.collapse(F.left("text", F.lit(200)), "city")
+    q = text.collapse(F.col("text"), "city")
     return table(spark, sf, "documents").select("doc_id", q.alias("q"), cache.search_name(q).alias("name"))
 
 
