@@ -96,7 +96,8 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
             for other, own, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 for at in range(0, len(x), 512):
-                    i, j = np.nonzero(np.bitwise_count(x[at : at + 512, None] ^ y[None, :]) <= radius)
+                    apart = (x[at : at + 512, None] ^ y[None, :]).view(np.uint64)  # of signed integers numpy counts the absolute value's bits
+                    i, j = np.nonzero(np.bitwise_count(apart) <= radius)
                     if other == own:
                         i, j = i[i + at < j], j[i + at < j]
                     for a, c in zip(x[at + i].tolist(), y[j].tolist(), strict=True):
@@ -120,8 +121,13 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, tile: int
 
 
 def keep_first(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 4096) -> DataFrame:
-    """docs, all columns, with one row of each component: that of the least doc_id. Rows without a doc_id stay; of rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs, radius, words, tile)
+    """docs, all columns, with one row of each component: that of the least doc_id."""
+    return without_copies(docs, near_duplicates(docs, radius, words, tile))
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows whose component_id in found(doc_id, component_id) is another doc_id. Rows without a doc_id stay; of rows that repeat a doc_id one stays."""
+    found = common.stored(found.select("doc_id", "component_id"))
     gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = common.stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -227,6 +227,16 @@ def test_links_of_close_prints(spark):
         assert sorted(groups.values()) == sorted(want.values())
 
 
+def test_links_over_every_bit(spark):
+    """Each bit, the sign too, alone joins two prints."""
+    rng = random.Random(9)
+    pairs = [(p, p ^ (1 << k)) for k in range(64) for p in [rng.getrandbits(64)]]
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for pair in pairs for p in pair], "fp long")
+    root = {r.a: r.b for r in components.label(simhash.links(df, 2)).collect()}
+    assert all(root.get(signed(a), signed(a)) == root.get(signed(b), signed(b)) for a, b in pairs) and len(root) == 64
+
+
 def test_components_of_paths(spark):
     rng = random.Random(4)
     names = rng.sample(range(-500, 500), 400)
