@@ -32,8 +32,9 @@ def brute(rows, least=0.8):
     return {i: forest.root(i) for i, _ in sets}
 
 
-@pytest.mark.parametrize("tile", [4096, 7])
-def test_groups(spark, tile):
+@pytest.mark.parametrize(("tile", "few"), [(4096, 10**6), (7, -1)])
+def test_groups(spark, monkeypatch, tile, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     rows = copies()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
     found = neardup.groups(docs, tile=tile).collect()
