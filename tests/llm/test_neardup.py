@@ -68,3 +68,33 @@ def test_spanning_forest_is_minimal():
             for k in kept[far[kept] <= limit]:
                 b.link(*map(int, ends[k]))
             assert all(a.root(i) == b.root(i) for i in range(n))
+
+
+def variants(n=150, words=304, edits=(3, 5), seed=4):
+    """Variants of one text, each with a few words changed far from one another."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        changed = list(base)
+        for k in rng.sample(range(words // 10), rng.randint(*edits)):
+            changed[k * 10 + 4] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize(("tile", "most"), [(4096, 2_000_000), (20, 10_000)])
+def test_every_close_pair_is_verified(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(neardup, "MOST", most)
+    rows = variants()
+    sets = {i: set(neardup.shingle_set(t, 5).tolist()) for i, t in rows}
+    lanes = {i: neardup.sketch(t) for i, t in rows}
+    want = components.Forest()
+    for i, _ in rows:
+        for j in range(i):
+            d = np.bitwise_count(lanes[i] ^ lanes[j])
+            if d[0] <= 16 and d.sum() <= 56 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.link(i, j)
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+    assert got == {i: want.root(i) for i, _ in rows}
+    assert 1 < sum(i != c for i, c in got.items())
