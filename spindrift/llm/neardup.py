@@ -1,6 +1,6 @@
 """Near-duplicate documents at a stated similarity: SimHash candidates by tiled exact comparison, then the exact similarity.
 
-A document's sketch is four SimHash fingerprints of its word shingles, 256 bits. Documents of equal sketches form a class, found by a pre-aggregated minimum. Classes are dealt into tiles by the population count of the first fingerprint; tiles whose counts differ by more than `radius` are never compared. A pair of tiles is compared with numpy's exclusive-or and bit counts: the first fingerprints must be within `radius` bits, the whole sketches within `wide` bits. Of what is close, a pair of tiles returns a spanning forest, so a group of any size returns fewer links than members, and the forests together join whatever is close.
+A document's sketch is four SimHash fingerprints of its distinct word shingles, 256 bits. Documents of equal sketches and equal hashes of the shingle set form a class, found by a pre-aggregated minimum; equal sketches alone are a distance of 0 between classes, to be verified as any other. Classes are dealt into tiles by the population count of the first fingerprint; tiles whose counts differ by more than `radius` are never compared. A pair of tiles is compared with numpy's exclusive-or and bit counts: the first fingerprints must be within `radius` bits, the whole sketches within `wide` bits. Of what is close, a pair of tiles returns a spanning forest, so a group of any size returns fewer links than members, and the forests together join whatever is close.
 
 The forest's links only say which classes can be similar: each of its components is then compared within, on the shingle sets themselves. Two close members not yet joined are joined if the Jaccard similarity of their sets is at least `least`, so every close pair is either verified or joined by verified links. Those links' components are the groups. A component of more than `MOST` shingles is split into parts, and each pair of parts compared.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, components
 
 LANES = ("s0", "s1", "s2", "s3")
+#: What the members of a class share: the sketch, and the hash of the shingle set.
+CLASS = (*LANES, "h")
 #: Classes in a tile; each tile is sent to all it is compared with, so larger tiles move less.
 TILE = 16_384
 #: Ids with sketches that may be broadcast (56 MB); more are joined by a shuffle.
@@ -40,19 +42,26 @@ def shingles(text: str | None, words: int) -> Iterator[bytes]:
 
 
 def sketch(text: str | None, words: int = 5) -> np.ndarray:
-    """Four fingerprints, as unsigned 64-bit integers; a bit is one if it is one in over half the hashes of the shingles."""
-    all_shingles = list(shingles(text, words))
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(all_shingles), 2048):
-        part = all_shingles[at : at + 2048]
+    """Four fingerprints, as unsigned 64-bit integers; a bit is one if it is one in over half the hashes of the distinct shingles."""
+    return described(text, words)[:4]
+
+
+def described(text: str | None, words: int = 5) -> np.ndarray:
+    """The sketch, the hash of the shingle set (the sum of the hashes that shingle_set returns) and the number of distinct shingles."""
+    distinct = list(set(shingles(text, words)))
+    ones, total = np.zeros(256, np.int64), np.uint64(0)
+    for at in range(0, len(distinct), 2048):
+        part = distinct[at : at + 2048]
         halves = [np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, itertools.repeat(seed))), np.uint8).reshape(-1, 16) for seed in (1, 2)]
         ones += np.unpackbits(np.hstack(halves), axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > len(all_shingles)).view("<u8")
+        total += halves[0].view("<u8")[:, 0].sum(dtype=np.uint64)
+    return np.append(np.packbits(ones * 2 > len(distinct)).view("<u8"), [total, np.uint64(len(distinct))])
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Hashes of the distinct shingles, sorted."""
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), np.uint64)).view(np.int64)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, set(shingles(text, words)), itertools.repeat(1))), "<u8")
+    return np.unique(digests[::2]).view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -60,12 +69,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            s = np.array([sketch(t, words) for t in texts], np.uint64).reshape(-1, 4).view(np.int64)
-            n = pa.array([len((t or "").split()) for t in texts], pa.int64())  # about the shingles, to split by
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, k].copy()) for k in range(4)), n], ["doc_id", *LANES, "n"])
+            s = np.array([described(t, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 6).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, k].copy()) for k in range(6))], ["doc_id", *CLASS, "n"])
 
-    return common.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, s0 long, s1 long, s2 long, s3 long, n long"))
+    return common.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, s0 long, s1 long, s2 long, s3 long, h long, n long"))
 
 
 def spanning(ends: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -186,15 +193,17 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
     members = roots.unionAll(roots.select(F.col("b").alias("a"), "b").distinct())
     members = common.stored(members.select(F.col("a").alias("doc"), F.col("b").alias("root")).join(classes, "doc"))
     parts = common.stored(members.groupBy("root").agg(F.ceil(F.sum("n") / MOST).cast("long").alias("parts")))
-    ends = common.stored(members.join(parts, "root").select("doc", "root", F.greatest("parts", F.lit(1)).alias("parts"), *LANES))
+    ends = common.stored(members.join(parts, "root").select("doc", "root", F.greatest("parts", F.lit(1)).alias("parts"), *CLASS))
     if ends.count() <= FEW:
         ends = F.broadcast(ends)
-    needed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(ends, "doc").select("root", "parts", "doc", *LANES, "text")
+    needed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(ends, "doc").select("root", "parts", "doc", *LANES, "h", "text")
     row = "root long, parts long, doc long, s0 long, s1 long, s2 long, s3 long, set array<long>"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shingle_set(t, words) for t in b.column(7).to_pylist()], pa.list_(pa.int64()))], ["root", "parts", "doc", *LANES, "set"])
+            made = [shingle_set(t, words) for t in b.column(8).to_pylist()]
+            own = pa.array([int(x.sum()) == h for x, h in zip(made, b.column(7).to_pylist(), strict=True)], pa.bool_())  # of rows that repeat a doc_id those of the class
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(made, pa.list_(pa.int64()))], ["root", "parts", "doc", *LANES, "set"]).filter(own)
 
     made = needed.mapInArrow(sets, row).withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
     sent = made.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -204,7 +213,7 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links_of(held: dict) -> pa.RecordBatch:
             at = list(held)
-            found = similar(np.array(at), np.array([held[d][0] for d in at]), np.array([held[d][1:5] for d in at], np.int64), [held[d][5] for d in at], radius, wide, least) if len(at) > 1 else []
+            found = similar(np.array([c[0] for c in at]), np.array([held[c][0] for c in at]), np.array([c[1:] for c in at], np.int64), [held[c][1] for c in at], radius, wide, least) if len(at) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         key, held = None, {}
@@ -214,8 +223,8 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
                 if own != key:
                     yield links_of(held)
                     key, held = own, {}
-                if doc not in held:  # of rows that repeat a doc_id one counts
-                    held[doc] = (part, s0, s1, s2, s3, values.values.to_numpy().copy())
+                if (own_class := (doc, s0, s1, s2, s3)) not in held:  # repeated rows count once
+                    held[own_class] = (part, values.values.to_numpy().copy())
         yield links_of(held)
 
     return sent.mapInArrow(compare, components.LINKS)
@@ -224,11 +233,11 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
 def groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 16, wide: int = 56, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) of every row of docs(doc_id, text); component_id is the least doc_id of its group, null where all ids are."""
     rows = sketches(docs, words)
-    classes = common.stored(rows.groupBy(*LANES).agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")))
+    classes = common.stored(rows.groupBy(*CLASS).agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")))
     links = common.stored(candidates(classes.where("doc is not null"), radius, wide, tile))
     roots = components.label(verified(docs, classes, links, words, least, radius, wide))
-    named = common.stored(classes.join(roots.select(F.col("a").alias("doc"), F.col("b").alias("root")), "doc", "left").select(*LANES, F.coalesce("root", "doc").alias("component_id")))
-    return rows.join(named, list(LANES)).select("doc_id", "component_id")
+    named = common.stored(classes.join(roots.select(F.col("a").alias("doc"), F.col("b").alias("root")), "doc", "left").select(*CLASS, F.coalesce("root", "doc").alias("component_id")))
+    return rows.join(named, list(CLASS)).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 16, wide: int = 56, tile: int = TILE) -> DataFrame:

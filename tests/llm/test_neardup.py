@@ -98,3 +98,21 @@ def test_every_close_pair_is_verified(spark, monkeypatch, tile, most):
     got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
     assert got == {i: want.root(i) for i, _ in rows}
     assert 1 < sum(i != c for i, c in got.items())
+
+
+def test_repeated_lines_decide_nothing(spark):
+    rng = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(11))
+    own = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(104)) for c in "abc"]
+    rows = [(i, "\n".join([text] + [line] * 50)) for i, text in enumerate(own[:2])]  # alike in the repeated line alone
+    rows += [(2, own[2] + " q r s t u v w x y z q r s t u"), (3, own[2] + " q r s t u v w x y z" * 200 + " q r s t u")]  # equal shingle sets
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_equal_sketches_are_verified(spark, monkeypatch):
+    real = neardup.described
+    monkeypatch.setattr(neardup, "described", lambda t, w=5: np.append(np.zeros(4, np.uint64), real(t, w)[4:]))
+    rows = [(0, "a b c d e f g"), (1, "h i j k l m n"), (2, "A b c d e f g"), (3, None)]
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
