@@ -1,16 +1,20 @@
 """Licence notices found by conditional compression.
 
-A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. The best few are then confirmed by their exact wording: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. A confirmed block names its licence and lists its wording differences.
+A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, the best few: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; a block has one notice.
+
+Notices wrapped over lines are found in windows: the words around a word of licensing, across lines, as far as the longest template reaches with a fifth more. Overlapping windows are one block. What the lines left of it is matched the same way, in close order only. A confirmed notice names its licence and lists its wording differences.
 
 Defined results: null text has no blocks; ties of savings go to the template listed first; repeated rows each get their row; a null doc_id keeps its row; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import difflib
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,6 +49,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 CUE = re.compile(r"licen[cs]|copyright|permission is|redistribut|public domain|creative commons|\bCC[ -]BY|\bCC0", re.IGNORECASE)
+#: The same across lines, where a wrapped notice may have the marks of a comment.
+WRAPPED = re.compile(CUE.pattern.replace("[ -]", r"\W+").replace(" ", r"\W+"), re.IGNORECASE)
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -55,25 +61,29 @@ class Match:
     differences: str
 
 
-def blocks(text: str, longest: int = 600) -> Iterator[str]:
-    """Candidate blocks of a whole text, in order."""
+def blocks(text: str, longest: int = 600) -> Iterator[tuple[int, int]]:
+    """Start and end of the candidate blocks within the lines of a whole text, in order."""
     if not CUE.search(text):
         return
+    at = 0
     for line in text.split("\n"):
+        start, at = at, at + len(line) + 1
         if not CUE.search(line):
             continue
         if len(line) <= longest:
-            yield line.strip()
+            yield start, start + len(line)
             continue
-        kept: list[str] = []
-        for sentence in re.split(r"(?<=[.!?])\s+", line):
-            if CUE.search(sentence):
-                kept.append(sentence)
+        ends = [*(m.span() for m in re.finditer(r"(?<=[.!?])\s+", line)), (len(line), len(line))]
+        begin, kept = 0, None
+        for end, after in ends:
+            if CUE.search(line, begin, end):
+                kept = (kept[0] if kept else begin, end)
             elif kept:
-                yield " ".join(kept)
-                kept = []
+                yield start + kept[0], start + kept[1]
+                kept = None
+            begin = after
         if kept:
-            yield " ".join(kept)
+            yield start + kept[0], start + kept[1]
 
 
 class Templates:
@@ -82,6 +92,8 @@ class Templates:
         plain = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
         self.known = [(name, WORD.findall(t.lower()), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=plain)) for name, t in templates]
+        self.spelled = [(wanted, [x for w in wanted for x in w.split("-")]) if any("-" in w for w in wanted) else (wanted,) for _, wanted, _ in self.known]  # a line may end at a hyphen
+        self.reach = max(self.room(len(wanted)) for _, wanted, _ in self.known)
         self.match = functools.lru_cache(maxsize=10_000)(self._match)
 
     def gains(self, block: str) -> list[float]:
@@ -90,17 +102,122 @@ class Templates:
         size = len(self.alone.compress(data))
         return [1 - len(press.compress(data)) / size for _, _, press in self.known]
 
-    def _match(self, block: str) -> Match | None:
-        """The licence whose template saves most among the confirmed ones."""
-        gains, words = self.gains(block), WORD.findall(block.lower())
-        for i in sorted(range(len(gains)), key=lambda i: -gains[i])[: self.tries]:
+    def room(self, n: int) -> int:
+        """Words that a notice of n words may take in close order."""
+        return n + int(self.most_lost * n)
+
+    def confirmed(self, wanted: list[str], words: list[str | None]) -> tuple[list[int], list[str], str, int] | None:
+        """Places of the template's words, lost words, differences and further words between, if the words hold the notice."""
+        edits = difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_opcodes()
+        lost = [w for kind, a, b, _, _ in edits if kind != "equal" for w in wanted[a:b]]
+        if len(lost) > self.most_lost * len(wanted) or any(c.isdigit() for w in lost for c in w):
+            return None
+        inner = [e for e in edits if e[0] != "equal" and not (e[0] == "insert" and e[1] in (0, len(wanted)))]  # words before and after the notice are no difference of it
+        differences = "; ".join(f"{' '.join(wanted[a:b])} -> {' '.join(w for w in words[c:d] if w)}" for _, a, b, c, d in inner)
+        places = [k for kind, _, _, c, d in edits if kind == "equal" for k in range(c, d)]
+        return places, lost, differences, places[-1] + 1 - places[0] - len(places)
+
+    def in_order(self, wanted: list[str], words: list[str | None], since: int = 0) -> tuple[int, range, str] | None:
+        """Of the first notice in close order that starts at `since` or later: words held less words lost or between, place, differences."""
+        room, least = self.room(len(wanted)), len(wanted) - int(self.most_lost * len(wanted))
+        need, have, shared, best, last = collections.Counter(wanted), collections.Counter(), 0, None, len(words)
+        for end in range(since + 1, len(words) + room - least + 1):
+            start = end - room
+            if end <= len(words):
+                w = words[end - 1]
+                have[w] += 1
+                shared += have[w] <= need[w]
+            if start > since:
+                w = words[start - 1]
+                shared -= have[w] <= need[w]
+                have[w] -= 1
+            if start > last:
+                break
+            if shared < least or (end < min(since + room, len(words)) and words[end - 1] not in need):
+                continue
+            at = max(start, since)
+            if (got := self.confirmed(wanted, words[at:end])) and got[3] <= self.most_lost * len(wanted):
+                rank = (len(got[1]), got[3])
+                if best is None:
+                    last = at + len(wanted)
+                if best is None or rank < best[0]:
+                    best = rank, len(got[0]) - sum(rank), range(at + got[0][0], at + got[0][-1] + 1), got[2]
+                if rank == (0, 0):
+                    break
+        return best and best[1:]
+
+    def _match(self, block: str) -> list[tuple[Match, list[int]]]:
+        """The notice of a block, and the places of its words."""
+        return self.matches(block, WORD.findall(block.lower()), True)[:1]
+
+    def matches(self, block: str, words: list[str | None], scattered: bool) -> list[tuple[Match, list[int]]]:
+        """Notices among the block's words, None for words taken out; of templates that fit one place the closest, by ties that which saves most."""
+        words, have, out = list(words), collections.Counter(words), []
+        possible = [i for i, ways in enumerate(self.spelled) if any(sum(min(n, have[w]) for w, n in collections.Counter(x).items()) >= len(x) - self.most_lost * len(x) for x in ways)]
+        if not possible:
+            return out
+        gains = self.gains(block)
+        best = sorted(range(len(gains)), key=lambda i: -gains[i])[: self.tries]
+        possible = [i for i in best if i in possible]
+
+        def first(i: int, since: int) -> tuple[int, range, str] | None:
+            return max((x for way in self.spelled[i] if (x := self.in_order(way, words, since))), key=lambda x: x[0], default=None)
+
+        held = {i: got for i in possible if (got := first(i, 0))}
+        while held:
+            i = max(held, key=lambda i: (held[i][0], gains[i]))
+            _, place, differences = held[i]
+            out.append((Match(self.known[i][0], gains[i], differences), list(place)))
+            for k in place:
+                words[k] = None
+            for j in [j for j in held if held[j][1].start < place.stop and place.start < held[j][1].stop]:
+                got = first(j, max(0, min(place.start, held[j][1].start) - self.reach))  # none before
+                held.pop(j)
+                if got:
+                    held[j] = got
+        for i in possible if scattered else ():
             name, wanted, _ = self.known[i]
-            edits = [e for e in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_opcodes() if e[0] != "equal"]
-            lost = [w for _, a, b, _, _ in edits for w in wanted[a:b]]
-            if len(lost) <= self.most_lost * len(wanted) and not any(c.isdigit() for w in lost for c in w):
-                inner = [e for e in edits if not (e[0] == "insert" and e[1] in (0, len(wanted)))]  # words before and after the notice are no difference of it
-                return Match(name, gains[i], "; ".join(f"{' '.join(wanted[a:b])} -> {' '.join(words[c:d])}" for _, a, b, c, d in inner))
-        return None
+            while True:
+                at = [k for k, w in enumerate(words) if w is not None]
+                got = self.confirmed(wanted, [words[k] for k in at])
+                if not got:
+                    break
+                out.append((Match(name, gains[i], got[2]), [at[k] for k in got[0]]))
+                for k in got[0]:
+                    words[at[k]] = None
+        return out
+
+    def notices(self, text: str) -> tuple[int, list[Match]]:
+        """Number of blocks tried, and the notices of a whole text."""
+        if not WRAPPED.search(text):
+            return 0, []
+        tokens = list(WORD.finditer(text))
+        starts, words = [m.start() for m in tokens], [m[0].lower() for m in tokens]
+        tried, found = 0, []
+        lines = []
+        for start, end in blocks(text):
+            tried += 1
+            first = bisect.bisect_left(starts, start)
+            lines.append((first, bisect.bisect_left(starts, end)))
+            for match, places in self.match(text[start:end].strip()):
+                found.append((first + places[0], match))
+                for k in places:
+                    words[first + k] = None
+        windows: list[list[int]] = []
+        for m in WRAPPED.finditer(text):
+            k = bisect.bisect_right(starts, m.start()) - 1
+            lo, hi = max(0, k - self.reach), min(len(words), k + self.reach + 1)
+            if windows and lo <= windows[-1][1]:
+                windows[-1][1] = hi
+            else:
+                windows.append([lo, hi])
+        inside = set(lines)
+        for lo, hi in windows:
+            if (lo, hi) in inside:  # nothing but a line
+                continue
+            tried += 1
+            found += [(lo + places[0], match) for match, places in self.matches(text[starts[lo] : tokens[hi - 1].end()], words[lo:hi], False)[:1]]
+        return tried, [m for _, m in sorted(found, key=lambda x: x[0])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -117,9 +234,8 @@ def scan(docs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for text in b.column(1).to_pylist():
-                tried = [templates.match(x) for x in blocks(text or "")]
-                found = [m for m in tried if m]
-                for column, x in zip(out, (len(tried), len(found), ",".join(sorted({m.license for m in found})), max((m.gain for m in found), default=None), " | ".join(m.differences for m in found if m.differences)), strict=True):
+                tried, found = templates.notices(text or "")
+                for column, x in zip(out, (tried, len(found), ",".join(sorted({m.license for m in found})), max((m.gain for m in found), default=None), " | ".join(m.differences for m in found if m.differences)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()), strict=True))], ["doc_id", "n_blocks", "n_notices", "licenses", "gain", "differences"])
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -123,6 +124,18 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def notices(text):
+    return [m.license for m in licenses.known().notices(text)[1]]
+
+
+def test_wrapped_licenses():
+    for name, template in licenses.TEMPLATES:
+        for width in (20, 72, 80):
+            for mark in ("", " * ", "# "):
+                lines = ["int f(void);", "", *textwrap.wrap(template, width), "", "int g(void);"]
+                assert notices("\n".join(mark + x for x in lines)) == [name], (template, width)
+
+
 # WARC
 
 
