@@ -1,6 +1,6 @@
 """Licence notices found by conditional compression.
 
-A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, the best few: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; a block has one notice.
+A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, the best few: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; the words of a confirmed notice are taken out and the rest is matched again, until nothing is confirmed.
 
 Notices wrapped over lines are found in windows: the words around a word of licensing, across lines, as far as the longest template reaches with a fifth more. Overlapping windows are one block. What the lines left of it is matched the same way, in close order only. A confirmed notice names its licence and lists its wording differences.
 
@@ -147,8 +147,8 @@ class Templates:
         return best and best[1:]
 
     def _match(self, block: str) -> list[tuple[Match, list[int]]]:
-        """The notice of a block, and the places of its words."""
-        return self.matches(block, WORD.findall(block.lower()), True)[:1]
+        """Every notice of a block, and the places of its words."""
+        return self.matches(block, WORD.findall(block.lower()), True)
 
     def matches(self, block: str, words: list[str | None], scattered: bool) -> list[tuple[Match, list[int]]]:
         """Notices among the block's words, None for words taken out; of templates that fit one place the closest, by ties that which saves most."""
@@ -216,7 +216,7 @@ class Templates:
             if (lo, hi) in inside:  # nothing but a line
                 continue
             tried += 1
-            found += [(lo + places[0], match) for match, places in self.matches(text[starts[lo] : tokens[hi - 1].end()], words[lo:hi], False)[:1]]
+            found += [(lo + places[0], match) for match, places in self.matches(text[starts[lo] : tokens[hi - 1].end()], words[lo:hi], False)]
         return tried, [m for _, m in sorted(found, key=lambda x: x[0])]
 
 

@@ -136,6 +136,11 @@ def test_wrapped_licenses():
                 assert notices("\n".join(mark + x for x in lines)) == [name], (template, width)
 
 
+def test_several_licenses_of_a_block():
+    assert notices("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert notices("Released, as said, under the MIT License. Licensed under CC BY 4.0. Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0", "CC-BY-4.0"]
+
+
 # WARC
 
 
