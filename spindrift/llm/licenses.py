@@ -1,6 +1,6 @@
 """Licence notices found by conditional compression.
 
-A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, the best few: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; the words of a confirmed notice are taken out and the rest is matched again, until nothing is confirmed.
+A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, all in turn: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; the words of a confirmed notice are taken out and the rest is matched again, until nothing is confirmed.
 
 Notices wrapped over lines are found in windows: the words around a word of licensing, across lines, as far as the longest template reaches with a fifth more. Overlapping windows are one block. What the lines left of it is matched the same way, in close order only. A confirmed notice names its licence and lists its wording differences.
 
@@ -87,8 +87,8 @@ def blocks(text: str, longest: int = 600) -> Iterator[tuple[int, int]]:
 
 
 class Templates:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, level: int = 19, tries: int = 4, most_lost: float = 0.2):
-        self.tries, self.most_lost = tries, most_lost
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, level: int = 19, most_lost: float = 0.2):
+        self.most_lost = most_lost
         plain = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
         self.known = [(name, WORD.findall(t.lower()), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=plain)) for name, t in templates]
@@ -157,8 +157,7 @@ class Templates:
         if not possible:
             return out
         gains = self.gains(block)
-        best = sorted(range(len(gains)), key=lambda i: -gains[i])[: self.tries]
-        possible = [i for i in best if i in possible]
+        possible.sort(key=lambda i: -gains[i])
 
         def first(i: int, since: int) -> tuple[int, range, str] | None:
             return max((x for way in self.spelled[i] if (x := self.in_order(way, words, since))), key=lambda x: x[0], default=None)

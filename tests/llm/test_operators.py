@@ -138,9 +138,16 @@ def test_wrapped_licenses():
 
 def test_several_licenses_of_a_block():
     assert notices("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert notices(" ".join(t for _, t in licenses.TEMPLATES)) == [n for n, _ in licenses.TEMPLATES]
     assert notices("Released, as said, under the MIT License. Licensed under CC BY 4.0. Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0", "CC-BY-4.0"]
 
 
+def test_every_template_is_tried(monkeypatch):
+    known = licenses.Templates()
+    monkeypatch.setattr(known, "gains", lambda block: [-float(name == "MIT") for name, _, _ in known.known])
+    assert [m.license for m in known.notices("Released under the MIT License.")[1]] == ["MIT"]
+
+
 # WARC
 
 
