@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch carries to Python; texts may be long, so batches stay short.
 BATCH_ROWS = 500
@@ -38,6 +39,11 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def hash_share(rows: int, n: int, *of: Column) -> Column:
+    """Whether a row belongs to the about `rows` of n that a hash of its columns chooses; the share is one of 2**62, so it never rounds to nothing."""
+    return F.pmod(F.xxhash64(*of), F.lit(2**62)) < min(rows * 2**62 // max(n, 1), 2**62)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -112,7 +112,7 @@ def fit(docs: DataFrame, sample_rows: int = 20_000) -> Model:
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.select("doc_id").count()
     if n > sample_rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < int(1e6 * sample_rows / n))
+        usable = usable.where(common.hash_share(sample_rows, n, F.col("doc_id"), F.lit("langid")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

@@ -80,7 +80,7 @@ def fit(docs: DataFrame, sample_rows: int = 5_000, strings: int = 4_000, seed: i
     """Trains on about sample_rows of docs(doc_id, text), chosen by a hash, and on `strings` drawn strings."""
     common.short_batches(docs.sparkSession)
     n = docs.select("doc_id").count()
-    sample = docs if n <= sample_rows else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1_000_000)) < int(1e6 * sample_rows / n))
+    sample = docs if n <= sample_rows else docs.where(common.hash_share(sample_rows, n, F.col("doc_id"), F.lit("secrets")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE * SIZE), np.int64)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm import components, langid, licenses, maxscore, queries, secrets, simhash, vectors, vptree, warc
+from spindrift.llm import common, components, langid, licenses, maxscore, queries, secrets, simhash, vectors, vptree, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,14 @@ def test_expectation_maximisation_is_the_mixture():
     assert abs(mixture["x"] - share[0]) < 0.01 and score == mixture["x"]
 
 
+def test_sample_share_never_rounds_to_nothing(spark):
+    ids = spark.range(2_000)
+    assert 400 < ids.where(common.hash_share(500, 2_000, F.col("id"), F.lit("langid"))).count() < 600
+    share = common.hash_share(20_000, 10**12, F.col("id"), F.lit("langid"))
+    assert str(20_000 * 2**62 // 10**12) in str(share)  # of 2**62; of a million it was 0
+    assert ids.where(common.hash_share(20_000, 2_000, F.col("id"))).count() == 2_000
+
+
 # secrets
 
 
