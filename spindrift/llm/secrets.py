@@ -1,6 +1,6 @@
 """Secrets in texts: three base patterns, and long strings that look random to character Markov models.
 
-Two first-order Markov models over characters are trained from labelled samples: random strings (what the base patterns find in a bounded sample of the texts, and strings drawn from the alphabets of keys) and ordinary identifiers (words of that sample, joined as identifiers are). A run of 20 or more key characters outside the base spans is a secret if its mean log-likelihood ratio a character, random over ordinary, exceeds `margin`. The models only add spans.
+Two first-order Markov models over characters are trained from labelled samples: random strings (what the base patterns find in a bounded sample of the texts, and strings drawn from the alphabets of keys) and ordinary identifiers (words of that sample, joined as identifiers are). A run of key characters, what base spans hold of it cut out, leaves parts; a part of 20 or more is a secret if its mean log-likelihood ratio a character, random over ordinary, exceeds `margin`. The models only add spans.
 
 Spans are of whole matches, in code points, end exclusive. Defined results: null text counts as empty; repeated rows each get their row; a null doc_id keeps its row; an empty table gives no rows, and a sample without words leaves the ordinary model uniform; other columns are ignored (redact keeps them).
 """
@@ -27,6 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_VALUE = 6
+LEAST_RUN = 20
 
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789")
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -115,8 +116,11 @@ def all_spans(text: str, model: Ratio, margin: float) -> tuple[list[Span], list[
     added: list[Span] = []
     if max(map(len, text.split()), default=0) >= 20:
         for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and model.mean(m[0]) > margin:
-                added.append((m.start(), 3, m.end()))
+            at = m.start()
+            for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+                if s - at >= LEAST_RUN and model.mean(text[at:s]) > margin:
+                    added.append((at, 3, s))
+                at = max(at, e)
     return base, sorted(base + added)
 
 
