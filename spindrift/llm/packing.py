@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import bpe, common, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -83,11 +83,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     common.short_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen, end = tokens.encoder(tokenizer_path), TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
+        codec, part, seen, end = bpe.codec(tokenizer_path), TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), codec.encode_column(batch.column(1)), strict=True):
+                ids += end
                 for i, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     local = seen.get(length, 0)
                     seen[length] = local + 1

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import bpe, common, tokens
 
 BLOCK = 65536
 
@@ -115,8 +115,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
     common.short_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(path), end_id.to_bytes(4, "little")
-        encoded = ((doc_id, encoder.encode(text or "") + end) for b in batches for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        codec, end = bpe.codec(path), end_id.to_bytes(4, "little")
+        encoded = ((doc_id, ids + end) for b in batches for doc_id, ids in zip(b.column(0).to_pylist(), codec.encode_column(b.column(1)), strict=True))
         for row in write_rows(encoded, block):
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["value"])
 

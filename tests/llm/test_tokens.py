@@ -1,5 +1,6 @@
 """Packing and bit-plane files against the tokenizers library on whole texts."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spindrift.llm import packing, planes, tokens
+from spindrift.llm import bpe, packing, planes, tokens
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 ODD = ["", " ", "  two  spaces ", "a\nb", "a \nb", "\n\nx\n", "tab\tin", "end<|endoftext|>here", "<|startoftext|> A", "İstanbul ſ K", "é café", "x y", "日本語 テキスト", "a\x00b c", "it's we'll I'D", "a\x1cb \x1c c", "é è", "1234 5 6", "😀 ok", "x" * 5000, "\0lead next", "a \0b"]
@@ -26,16 +27,38 @@ def packed(ids):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
-    ours, theirs = tokens.Encoder(tokens.public_path(name), most_chunks=50), library(name)
+    ours, theirs = bpe.Codec(tokens.public_path(name), most=50), library(name)
     for text in ODD:
-        assert ours.encode(text) == packed(theirs.encode(text, add_special_tokens=False).ids), text
+        assert ours.encode_all([text]) == [packed(theirs.encode(text, add_special_tokens=False).ids)], text
+    assert ours.encode_all(ODD) == [packed(theirs.encode(text, add_special_tokens=False).ids) for text in ODD]
+    assert ours.encode_all([]) == [] and ours.encode_all(["", ""]) == [b"", b""]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_are_divided(name, monkeypatch):
+    monkeypatch.setattr(tokens.divided, "__defaults__", (100,))
+    monkeypatch.setattr(bpe, "TOGETHER", 300)
+    theirs, rng = library(name), random.Random(3)
+    texts = [" ".join(rng.choice(["word", "two  spaces", "it's", "x\ny", "é", "日本", "," * 150, "a" * 400, "end."]) for _ in range(60)) for _ in range(20)]
+    assert bpe.Codec(tokens.public_path(name)).encode_all(texts) == [packed(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(tokens.divided(np.frombuffer(("ab " * 1000).encode(), np.uint8), np.array([0, 3000]))[1]) > 10
+
+
+def test_other_families_use_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    codec = bpe.Codec(str(tmp_path / "t.json"))
+    assert codec.kind is None and codec.encode_all(["ab b", ""]) == [packed([2, 1]), b""]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab é\n\t'sÉ1.,<|> ́\x1c Aﬁ"), max_size=30))
-def test_encoder_on_random_texts(text):
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é\n\t'sÉ1.,<|>\u0301\u00a0\x1c Aﬁtrevml¼ßȺ²\u2028"), max_size=30), max_size=4))
+def test_encoder_on_random_texts(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        assert tokens.encoder(tokens.public_path(name)).encode(text) == packed(library_cached(name).encode(text, add_special_tokens=False).ids)
+        assert bpe.codec(tokens.public_path(name)).encode_all(texts) == [packed(library_cached(name).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 _kept = {}
