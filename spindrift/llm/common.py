@@ -44,6 +44,11 @@ def hash_share(rows: int, n: int, *of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(2**62)) < min(rows * 2**62 // max(n, 1), 2**62)
 
 
+def text_hash() -> Column:
+    """Tells rows that repeat a doc_id apart by their text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

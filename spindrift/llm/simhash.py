@@ -2,7 +2,7 @@
 
 Equal fingerprints are first merged, by an aggregation that Spark pre-aggregates, so a group of copies counts once. The distinct fingerprints are dealt into tiles by the population counts of their four 16-bit parts; two fingerprints within `radius` bits have counts that differ by no more than `radius` in sum, so only tiles of such cells are compared, with numpy's exclusive-or and bit counts. A cell of more than `tile` fingerprints is split in as many tiles as it takes, and each pair of tiles is compared, whatever their number. A pair of tiles returns no more links than join the fingerprints it joins.
 
-Defined results: null text has no words, hence fingerprint zero; a null doc_id keeps its row, and is the component's id only where all its members are null; repeated rows each get their row; an empty table gives no rows; columns other than doc_id and text are ignored.
+Defined results: null text has no words, hence fingerprint zero; a null doc_id keeps its row, and is the component's id only where all its members are null; repeated rows each get their row (keep_first keeps one of them, and rows of one doc_id and unlike texts by their texts); an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -40,15 +40,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row, stored; fp as a signed 64-bit integer."""
+    """(doc_id, text_hash, fp) of every row, stored; fp as a signed 64-bit integer."""
     common.short_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], ["doc_id", "fp"])
+            made = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["doc_id", "text_hash", "fp"])
 
-    return common.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long"))
+    return common.stored(docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, text_hash long, fp long"))
 
 
 def _cell() -> F.Column:
@@ -108,30 +108,39 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     return pairs.mapInArrow(compare, components.LINKS)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 4096) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row; component_id is the least doc_id that links reach."""
+def classed(docs: DataFrame, radius: int, words: int, tile: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) of every row; root numbers the components, component_id is the least doc_id that links reach."""
     prints = fingerprints(docs, words)
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
     roots = components.label(links(distinct.select("fp"), radius, tile))
     rooted = distinct.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     rooted = common.stored(rooted)
     least = common.stored(rooted.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("root", "component_id"))
-    merged = common.stored(rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")))
-    return prints.join(merged, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    merged = common.stored(rooted.join(least, "root", "left").select("fp", "root", F.coalesce("component_id", "doc").alias("component_id")))
+    return prints.join(merged, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 4096) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) of every row; component_id is the least doc_id that links reach."""
+    return classed(docs, radius, words, tile).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 4096) -> DataFrame:
     """docs, all columns, with one row of each component: that of the least doc_id."""
-    return without_copies(docs, near_duplicates(docs, radius, words, tile))
+    return without_copies(docs, classed(docs, radius, words, tile))
 
 
 def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the rows whose component_id in found(doc_id, component_id) is another doc_id. Rows without a doc_id stay; of rows that repeat a doc_id one stays."""
-    found = common.stored(found.select("doc_id", "component_id"))
-    gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = common.stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """docs with one row of each root in found(doc_id, text_hash, root): that of the least doc_id, among unlike texts of that id the one of the least hash. Rows without a doc_id all stay; of rows that repeat both doc_id and text one stays."""
+    found = common.stored(found.where("doc_id is not null").select("doc_id", "text_hash", "root"))
+    key = ["doc_id", "text_hash"]
+    first = common.stored(found.groupBy("root").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first.*", "n"))
+    in_group = found.join(first.select("root"), "root", "left_semi").select(*key)
+    gone = common.stored(in_group.join(first.select(*key), key, "left_anti").distinct())
+    mine = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__text_hash": common.text_hash()})
+    kept = mine.join(gone.toDF("__doc_id", "__text_hash"), ["__doc_id", "__text_hash"], "left_anti")
+    twice = common.stored(in_group.join(first.select(*key), key, "left_semi").groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")))
     if not twice.limit(1).count():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+        return kept.select(docs.columns)
+    again = kept.join(twice, ["__doc_id", "__text_hash"], "left_semi").dropDuplicates(["__doc_id", "__text_hash"]).select(docs.columns)
+    return kept.join(twice, ["__doc_id", "__text_hash"], "left_anti").select(docs.columns).unionByName(again)

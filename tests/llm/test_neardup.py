@@ -1,11 +1,12 @@
 """Near-duplicate groups against exact similarities of all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from spindrift.llm import components, neardup
+from spindrift.llm import components, neardup, simhash
 
 
 def copies(seed=1):
@@ -116,3 +117,63 @@ def test_equal_sketches_are_verified(spark, monkeypatch):
     rows = [(0, "a b c d e f g"), (1, "h i j k l m n"), (2, "A b c d e f g"), (3, None)]
     got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
+@pytest.mark.parametrize("module", ["neardup", "simhash"])
+def test_unlike_texts_of_one_id_stay(spark, module):
+    """Rows are dropped by their text, not by their doc_id alone."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, x), (3, x), (3, y), (4, z), (4, y), (4, z), (None, x), (None, None), (5, None), (6, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, text_hash int")
+    kept = {"neardup": neardup, "simhash": simhash}[module].keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, x), (3, y), (4, z), (None, x), (None, None), (5, None)], "doc_id long, text string").collect()))
+
+
+def test_tiles_miss_no_pair():
+    rng = random.Random(2)
+    docs = [(rng.choice([0, 1, 2, 3, 5, 17, 100, 120, 125, 126, 3000]), rng.randint(24, 40)) for _ in range(400)]
+    step = lambda n: int(np.floor(np.log2(n + 1) * neardup.STEPS))
+    counts = {}
+    for n, ones in docs:
+        counts[step(n), ones] = counts.get((step(n), ones), 0) + 1
+    for tile in (5, 40, 10**6):
+        tiles = neardup.Tiles(counts, tile)
+        meets = {(t, p) for t in range(len(tiles.bounds)) for p in tiles.partners(t, 4, neardup.steps_apart(0.8))}
+        of = lambda n, ones: range(tiles.first[step(n), ones][0], sum(tiles.first[step(n), ones]))
+        for n, ones in docs:
+            for m, others in docs:
+                if min(n, m) >= 0.8 * max(n, m) and abs(ones - others) <= 4:
+                    assert all((min(a, b), max(a, b)) in meets for a in of(n, ones) for b in of(m, others))
+
+
+def test_one_tile_of_near_copies_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    x = np.tile(rng.integers(0, 2**64, 4, np.uint64), (16_384, 1))
+    for k in range(4):
+        x[:, k] ^= np.uint64(1) << rng.integers(0, 64, len(x), np.uint64)
+    tracemalloc.start()
+    i, j = neardup.close(x.view(np.int64), x.view(np.int64), True, neardup.RADIUS, neardup.WIDE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(x) - 1 and len(set(i.tolist()) | set(j.tolist())) == len(x)
+    assert peak < 400e6
+
+
+def test_recall_by_number_of_shingles():
+    """Pairs of similarity 0.8 within both radii, of random shingles."""
+    rng = np.random.default_rng(7)
+
+    def bits(shared, own):
+        each = rng.integers(0, 2, (shared + own, 256), np.int8)
+        return each[:shared], each[shared:]
+
+    for shared, a, b, least in ((4, 0, 1, 0.95), (8, 1, 1, 0.99), (16, 2, 2, 0.99), (40, 5, 5, 0.99), (240, 30, 30, 0.99)):
+        hit = 0
+        for _ in range(600):
+            common, left = bits(shared, a)
+            right = rng.integers(0, 2, (b, 256), np.int8)
+            x, y = common.sum(0) + left.sum(0), common.sum(0) + right.sum(0)
+            apart = (2 * x > shared + a) != (2 * y > shared + b)
+            hit += apart[:64].sum() <= neardup.RADIUS and apart.sum() <= neardup.WIDE
+        assert hit >= least * 600
