@@ -1,6 +1,6 @@
 """Exact top-k inner products of integer vectors by MaxScore.
 
-A component makes two terms, one for each sign; a vector stands in the postings of a term with the size of its component. A query's terms that agree with it in sign add to a score, by no more than its own component times the largest in the term's postings; terms of the other sign only take away. Terms are sorted by that bound; the non-essential ones are those whose bounds together don't reach the k-th best score so far. A vector that stands in no essential posting can't be among the best. The essential postings are traversed first, then the other terms are probed, largest bound first, for those vectors whose score so far plus what bounds are left still competes. Scores that tie with the k-th best are kept, so ties go to the smaller id exactly.
+A component makes two terms, one for each sign; a vector stands in the postings of a term with the size of its component. A query's terms that agree with it in sign add to a score, by no more than its own component times the largest in the term's postings; terms of the other sign only take away. A shard is gone through in runs of vectors in ascending id. In each run a query's terms are sorted by that bound; the non-essential ones are the last, whose bounds together don't reach the bar: the k-th best score so far, or what another shard has already found if that is more. A vector that stands in no essential posting can't reach it. The essential postings are traversed, with those of the other sign of the same components; the other terms are probed, largest bound first, for those vectors whose score so far plus what bounds are left still competes. After each run the bar rises, and with it the border between essential and other terms; a run whose bounds together don't reach the bar is skipped. Scores that tie with the bar are kept, so ties go to the smaller id exactly.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; repeated rows with a query's vec_id are not its candidates, other repeated rows are candidates each; vectors of unlike sizes don't meet; an empty table gives no rows; columns other than vec_id and embedding are ignored.
 """
@@ -13,44 +13,98 @@ from pyspark.sql import functions as F
 
 from . import vectors
 
+#: Vectors of a shard between two rises of the bar.
+RUN = 1024
+#: Non-essential terms probed between two looks at what still competes.
+PROBES = 4
 
-def shard_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one shard for each query."""
+
+class Postings:
+    """For each component and sign: the rows (ascending) that have it, and their weights, by runs."""
+
+    def __init__(self, x: np.ndarray, run: int):
+        self.n, self.run = len(x), run
+        self.starts = list(range(0, len(x), run))
+        edges = [*self.starts, len(x)]
+        self.rows, self.weights, self.cuts = {}, {}, {}
+        self.most = np.zeros((2, x.shape[1], len(self.starts)), np.int64)  # largest weight of each term in each run
+        for d in range(x.shape[1]):
+            for sign in (0, 1):
+                column = -x[:, d] if sign else x[:, d]
+                rows = np.nonzero(column > 0)[0]
+                weights, cuts = column[rows], np.searchsorted(rows, edges)
+                self.rows[sign, d], self.weights[sign, d], self.cuts[sign, d] = rows, weights, cuts
+                for k in range(len(self.starts)):
+                    if cuts[k] < cuts[k + 1]:
+                        self.most[sign, d, k] = weights[cuts[k] : cuts[k + 1]].max()
+
+    def of(self, sign: int, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A term's rows in a run, counted from its start, and their weights."""
+        a, b = self.cuts[sign, d][k : k + 2]
+        return self.rows[sign, d][a:b] - self.starts[k], self.weights[sign, d][a:b]
+
+    def probe(self, sign: int, d: int, k: int, some: np.ndarray) -> np.ndarray:
+        """The weights of some rows (ascending) of a run, 0 without the term."""
+        rows, weights = self.of(sign, d, k)
+        if not len(rows):
+            return np.zeros(len(some), np.int64)
+        at = np.minimum(np.searchsorted(rows, some), len(rows) - 1)
+        return np.where(rows[at] == some, weights[at], 0)
+
+
+def scored(postings: Postings, k: int, q: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a run (counted from its start) that may reach the bar, and their scores."""
+    signs = (q < 0).astype(int)
+    terms = np.nonzero(q)[0]
+    bounds = np.abs(q[terms]) * postings.most[signs[terms], terms, k]
+    order = np.argsort(-bounds, kind="stable")
+    terms, bounds = terms[order], bounds[order]
+    after = np.append(np.cumsum(bounds[::-1])[::-1], 0)  # bounds of terms i and on together
+    size = min(postings.run, postings.n - postings.starts[k])
+    if after[0] < bar:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    essential = len(terms) if bar <= 0 else int(np.nonzero(after >= bar)[0][-1]) + 1
+    scores, met = np.zeros(size, np.int64), np.zeros(size, bool)
+    for d in terms[:essential].tolist():
+        rows, weights = postings.of(signs[d], d, k)
+        scores[rows] += abs(q[d]) * weights
+        met[rows] = True
+        rows, weights = postings.of(1 - signs[d], d, k)
+        scores[rows] -= abs(q[d]) * weights
+    some = np.nonzero(met & (scores + after[essential] >= bar) if bar > 0 else scores + after[essential] >= bar)[0]
+    kept = scores[some]
+    for i in range(essential, len(terms)):
+        d = int(terms[i])
+        kept = kept + abs(q[d]) * (postings.probe(signs[d], d, k, some) - postings.probe(1 - signs[d], d, k, some))
+        if i % PROBES == PROBES - 1:
+            on = kept + after[i + 1] >= bar
+            some, kept = some[on], kept[on]
+    on = kept >= bar
+    return some[on], kept[on]
+
+
+def shard_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bars: np.ndarray | None = None, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one shard for each query, without those below its bar (nan: no bar)."""
     order = np.argsort(ids, kind="stable")
-    ids, columns = ids[order], np.ascontiguousarray(x[order].T.astype(np.int64))  # a row for each dimension
-    high, low = columns.max(axis=1), columns.min(axis=1)
+    ids = ids[order]
+    postings = Postings(x[order].astype(np.int64), run)
+    bars = np.full(len(query_ids), np.nan) if bars is None else bars
     out: tuple[list, list, list] = ([], [], [])
-    for query_id, q in zip(query_ids.tolist(), queries.astype(np.int64), strict=True):
-        bound = np.maximum(0, np.maximum(q * high, q * low))  # the most that the agreeing term of each dimension adds
-        terms = np.argsort(-bound, kind="stable")
-        bounds = bound[terms]
-        after = np.append(np.cumsum(bounds[::-1])[::-1], 0)  # after[i]: bounds of terms i and on together
-        own = np.nonzero(ids == query_id)[0]
-        least = np.iinfo(np.int64).min
-        scores, alive = np.zeros(len(ids), np.int64), None
-        some = np.setdiff1d(np.argpartition(-(columns[terms[0]] * q[terms[0]]), min(4 * k, len(ids) - 1))[: 4 * k + 1], own)  # the heads of the longest term give a first bar
-        if len(some) >= k:
-            first = q @ columns[:, some]
-            least = np.partition(first, len(first) - k)[len(first) - k]
-        essential = len(terms) if least <= 0 else min(len(terms), max(1, int(np.searchsorted(-after, -least, "right"))))  # terms from here on can't reach the bar by themselves
-        for i, t in enumerate(terms):
-            if i < essential and alive is None:
-                scores += q[t] * columns[t]
-                if i % 8 == 7 and least > np.iinfo(np.int64).min:
-                    keep = scores + after[i + 1] >= least
-                    if keep.sum() * 4 < len(ids):
-                        alive = np.nonzero(keep)[0]
-                continue
-            if alive is None:
-                alive = np.nonzero(scores + after[i] >= least)[0]
-            scores[alive] += q[t] * columns[t, alive]
-            if i % 4 == 3:
-                alive = alive[scores[alive] + after[i + 1] >= least]
-        alive = np.setdiff1d(np.arange(len(ids)) if alive is None else alive, own)
-        best = alive[vectors.top(ids[alive], scores[alive], k, largest=True)]
+    for query_id, q, known in zip(query_ids.tolist(), queries.astype(np.int64), bars.tolist(), strict=True):
+        floor = -np.inf if np.isnan(known) else known
+        bar, best_ids, best = floor, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for r, start in enumerate(postings.starts):
+            some, scores = scored(postings, r, q, bar)
+            found = ids[start + some]
+            others = found != query_id
+            best_ids, best = np.append(best_ids, found[others]), np.append(best, scores[others])
+            top = vectors.top(best_ids, best, k, largest=True)
+            best_ids, best = best_ids[top], best[top]
+            if len(best) == k:
+                bar = max(floor, float(best[-1]))
         out[0].append(np.full(len(best), query_id))
-        out[1].append(ids[best])
-        out[2].append(scores[best])
+        out[1].append(best_ids)
+        out[2].append(best)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
@@ -58,7 +112,7 @@ def top_k(table: DataFrame, is_query: F.Column, k: int = 10, scale: int = 1024,
     """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * component) for each query row."""
     found = vectors.usable(table, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * float(scale))))
 
-    def best(ids, x, query_ids, queries):
-        return shard_top(ids, x, query_ids, queries, k)
+    def best(ids, x, query_ids, queries, bars):
+        return shard_top(ids, x, query_ids, queries, k, bars)
 
     return vectors.search(found, is_query, k, "long", best, largest=True, shard=shard, block=block)

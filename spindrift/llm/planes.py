@@ -8,7 +8,9 @@ A file holds the ids of neighbouring documents in ascending doc_id order. Every
 
 Spark's text sink writes the rows of a partition as they are, each ended by a line feed, so the files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches.
 
-Defined results: null text counts as empty, such a document has its end id alone; repeated rows are written each; a null doc_id sorts first; an empty table gives no files and no rows; columns other than doc_id and text are ignored.
+Files are bounds in the order of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread over files too; files follow one another by name. Reading loads each file once; what all files hold is summed from the documents found.
+
+Defined results: null text counts as empty, such a document has its end id alone; repeated rows are written each, those of one doc_id in the order of their texts' hashes; a null doc_id sorts first; an empty table gives no files and no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +122,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
         for row in write_rows(encoded, block):
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["value"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), common.text_hash().alias("mixed"))
+    ordered = ordered.repartitionByRange("doc_id", "mixed").sortWithinPartitions("doc_id", "mixed").select("doc_id", "text")
     ordered.mapInArrow(rows, "value binary").select(F.col("value").cast("string")).write.text(folder)
 
 
@@ -138,20 +141,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(out[0])), *(pa.array(x, pa.int64()) for x in out)], ["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").load(folder)
-    found = files.where("length > 0").select("path", "content").mapInArrow(docs, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
-    sizes = files.where("length > 0").select("path", "content").mapInArrow(_sizes, "file string, least long, total long")  # a row for each file
-    before = sizes.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
+    found = common.stored(files.mapInArrow(docs, "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
+    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file, whose names are in order
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            _, counts, names, _ = read_index(data.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([names[0]], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["file", "least", "total"])
-
-
 def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK, folder: str | None = None) -> DataFrame:
     """Writes the files below the shared folder (or in folder) and reads the documents back from them."""
     spark = docs.sparkSession

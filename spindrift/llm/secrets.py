@@ -110,17 +110,33 @@ def fit(docs: DataFrame, sample_rows: int = 5_000, strings: int = 4_000, seed: i
     return Ratio(counts[0] + drawn(strings, seed), counts[1])
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """Start and end of what the spans cover together, in order."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def all_spans(text: str, model: Ratio, margin: float) -> tuple[list[Span], list[Span]]:
     """Base spans; base spans and what the models add."""
     base = base_spans(text)
     added: list[Span] = []
     if max(map(len, text.split()), default=0) >= 20:
+        taken, nxt = merged(base), 0
         for m in CANDIDATE.finditer(text):
-            at = m.start()
-            for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
-                if s - at >= LEAST_RUN and model.mean(text[at:s]) > margin:
-                    added.append((at, 3, s))
-                at = max(at, e)
+            while nxt < len(taken) and taken[nxt][1] <= m.start():
+                nxt += 1
+            at, k = m.start(), nxt
+            while k < len(taken) and taken[k][0] < m.end():
+                if taken[k][0] - at >= LEAST_RUN and model.mean(text[at : taken[k][0]]) > margin:
+                    added.append((at, 3, taken[k][0]))
+                at, k = max(at, taken[k][1]), k + 1
+            if m.end() - at >= LEAST_RUN and model.mean(text[at : m.end()]) > margin:
+                added.append((at, 3, m.end()))
     return base, sorted(base + added)
 
 
@@ -129,7 +145,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, model: Ratio | None = None, margin: float = 1.0) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every row of docs(doc_id, text)."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every row of docs(doc_id, text)."""
     common.short_batches(docs.sparkSession)
     model = model or fit(docs)
 
@@ -141,9 +157,10 @@ def scan(docs: DataFrame, model: Ratio | None = None, margin: float = 1.0) -> Da
                 kinds = [k for _, k, _ in spans]
                 for column, x in zip(out, (*map(kinds.count, range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
+            n_assign, n_access, n_hex, n_random = (pa.array(x, pa.int64()) for x in out[:4])
+            yield pa.RecordBatch.from_arrays([b.column(0), n_assign, n_access, n_hex, pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), n_random], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redact(docs: DataFrame, model: Ratio | None = None, margin: float = 1.0, mark: str = "[SECRET]") -> DataFrame:

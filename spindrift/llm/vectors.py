@@ -1,6 +1,6 @@
 """What the two vector searches share: every query meets every candidate in bounded blocks, and the best are merged.
 
-Candidates are dealt into shards, and queries into blocks, of a fixed size by a hash of their id; a block goes to every shard and a shard to every block (a stated query set against all rows). Both are cogrouped by shard and block, so a task holds one of each at a time.
+Candidates are dealt into shards, and queries into blocks, of a fixed size by a hash; a block goes to every shard and a shard to every block (a stated query set against all rows). Both are cogrouped by shard and block, so a task holds one of each at a time. The first shard goes ahead, so that all others start from the scores it found.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 SHARD = 4096
 QUERIES = 2048
 FOUND = "query_id long, vec_id long, score {kind}"
@@ -32,29 +34,41 @@ def matrix(t: pa.Table, name: str = "v") -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() : flat.offsets[-1].as_py()].reshape(len(flat), -1)
 
 
-def search(found: DataFrame, is_query: Column, k: int, kind: str, best: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], largest: bool, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def search(found: DataFrame, is_query: Column, k: int, kind: str, best: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], largest: bool, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """found(vec_id, v) -> (query_id, rank, vec_id, score), the k best of each query.
 
-    best(ids, vectors, query ids, query vectors) returns the k best of a shard for each query: query ids, vec_ids and scores; a query is no candidate of its own.
+    best(ids, vectors, query ids, query vectors, bars) returns the k best of a shard for each query: query ids, vec_ids and scores; a query is no candidate of its own. bars are scores that the k best of all are known to reach (nan: none known); what is worse may be left out. The first shard is searched without bars; its k-th best scores are the bars of all other shards.
     Vectors of unlike sizes meet only their like. Of repeated query rows the least vector asks.
     """
     found = found.withColumn("size", F.size("v"))
     n = found.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(n.n / shard)), max(1, math.ceil(n.q / block))
-    mixed = F.xxhash64("vec_id")
-    rows = found.select("vec_id", "v", "size", F.pmod(mixed, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = found.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")).select("vec_id", "v", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(mixed, F.lit(blocks)).cast("int").alias("block"))
     names = ["query_id", "vec_id", "score"]
+    number = pa.int64() if kind == "long" else pa.float64()
+    rows = found.select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))  # rows of one vec_id are spread
+    queries = found.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")).select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             made = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
-            made = best(left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right))
-        return pa.table([pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64()), strict=True)], names)
-
-    key = ["size", "shard", "block"]
-    near = rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(pair, FOUND.format(kind=kind))
+            made = best(left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right), right.column("bar").to_numpy().astype(float))
+        return pa.table([pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), number), strict=True)], names)
+
+    def meet(rows: DataFrame, queries: DataFrame, first: int, last: int) -> DataFrame:
+        key = ["size", "shard", "block"]
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        queries = queries.select("*", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("shard"))
+        queries = queries.toDF(*queries.columns)  # names of its own, as both sides come from one table
+        return rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(pair, FOUND.format(kind=kind))
+
+    none = F.lit(None).cast("double").alias("bar")
+    near = meet(rows.where("shard = 0"), queries.select("*", none), 0, 0)
+    if shards > 1:
+        near = common.stored(near)
+        bars = near.groupBy("query_id").agg(F.count("*").alias("n"), (F.min if largest else F.max)("score").cast("double").alias("bar")).where(F.col("n") >= k)
+        barred = queries.join(bars.select(F.col("query_id").alias("vec_id"), "bar"), "vec_id", "left")
+        near = near.unionByName(meet(rows.where("shard > 0"), barred, 1, shards - 1))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc() if largest else F.col("score").asc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

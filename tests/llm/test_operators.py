@@ -380,5 +380,67 @@ def test_vptree_skips():
     assert set(search.result()[1].tolist()) == set(np.argsort(((x - x[0] - 0.001) ** 2).sum(1))[:10].tolist())
 
 
+def common_rows():
+    """A third of all vectors equal, small integers (many ties), and a vec_id that many rows repeat."""
+    rng = np.random.default_rng(12)
+    same = [float(x) for x in rng.integers(-2, 3, 5)]
+    rows = [(i, same if i % 3 == 0 else [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(900)]
+    rows += [(77, [float(x) for x in rng.integers(-2, 3, 5)]) for _ in range(300)] + [(78, same)] * 30
+    random.Random(3).shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("shard", "block"), [(4096, 2048), (100, 7)])
+def test_searches_with_a_very_common_vector(spark, shard, block):
+    rows = common_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = maxscore.top_k(df, F.col("vec_id") % 50 == 0, scale=4, shard=shard, block=block).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 4, True, True)
+    got = vptree.nearest(df, F.col("vec_id") % 50 == 0, factor=1.0, leaf=8, shard=shard, block=block).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, None, False, False)
+
+
+def test_vptree_of_equal_vectors_is_exact():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x[rng.permutation(1500)[:200]] = x[7]
+    ids = np.arange(1500)
+    queries = np.append(rng.permutation(1500)[:299], 7)
+    search = vptree.Search(ids, x, queries, x[queries], 10, 1.0)
+    search.visit(vptree.build(x, 16), np.arange(300))
+    want = []
+    for q in queries.tolist():
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        want += [(q, i) for i in np.lexsort((ids, far))[:10].tolist()]
+    found = search.result()
+    assert list(zip(found[0].tolist(), found[1].tolist(), strict=True)) == want
+
+
+def test_maxscore_skips():
+    """Essential postings get fewer as the bar rises; a bar from another shard skips whole runs and loses nothing that reaches it."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50, (3000, 16)) * (rng.random((3000, 16)) < 0.2)
+    x[:20] *= 8
+    postings = maxscore.Postings(x, 500)
+    read, probed = [], []
+    of, probe = postings.of, postings.probe
+    postings.of = lambda sign, d, k: (read.append(d), of(sign, d, k))[1]
+    postings.probe = lambda sign, d, k, some: (probed.append(len(some)), probe(sign, d, k, some), read.pop())[1]
+    q, counts = rng.integers(1, 20, 16), []
+    for bar in (-np.inf, float(np.sort(x @ q)[-10])):
+        read.clear()
+        found = [(s + a, b) for k, s in enumerate(postings.starts) for a, b in zip(*(v.tolist() for v in maxscore.scored(postings, k, q, bar)), strict=True)]
+        assert sorted(found) == sorted((i, v) for i, v in enumerate((x @ q).tolist()) if v >= bar)
+        counts.append((len(read), sum(probed)))
+    assert counts[0] == (2 * 16 * 6, 0) and counts[1][0] < 0.8 * counts[0][0] and counts[1][1] < 3000
+    read.clear()
+    assert not len(maxscore.scored(postings, 3, q, 1e9)[0]) and not read
+    ids, queries = np.arange(3000), np.stack([q, -q])
+    free = maxscore.shard_top(ids, x, np.array([-1, -2]), queries, 10)
+    barred = maxscore.shard_top(ids, x, np.array([-1, -2]), queries, 10, np.array([float(free[2][9]), np.nan]), run=200)
+    assert all((a == b).all() for a, b in zip(free, barred, strict=True))
+
+
 def test_usable_keeps_order(spark):
     assert vectors.top(np.array([5, 4, 3]), np.array([1.0, 1.0, 2.0]), 2, largest=False).tolist() == [1, 0]
