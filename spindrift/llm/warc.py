@@ -1,6 +1,6 @@
 """WARC archives in which later copies of a payload are revisit records.
 
-Only headers (page, payload digest, size) are shuffled by digest; the largest page_id of each digest comes from a pre-aggregated maximum, so a payload that a third of all pages share costs no task more than its share. Revisits, with what they refer to, are joined back to the pages by page_id, broadcast where they are counted to be few. Spark's text sink writes the records, one to a row and each ended by the two line ends that end a record, compressed with gzip, through its commit protocol; reading parses the archives by Content-Length.
+Only headers (page, payload digest, size) are shuffled by digest; the largest page_id of each digest comes from a pre-aggregated maximum, so a payload that a third of all pages share costs no task more than its share. Revisits, with what they refer to, are joined back to the pages by page_id, broadcast where they are counted to be few. Each record is a gzip member of its own, as the format has it, so it can be read by its place in the file alone. Spark's text sink writes the members, one to a row, through its commit protocol, with an empty member between them; its reader splits the files, of any size, at the empty members, so a task holds one record at a time. An empty member holds bytes that no compressed data of UTF-8 text is likely to hold, and each record's checksums and length are verified. The sink names the files part-*.txt, though they are gzip.
 
 Defined results: null html is an empty payload; a null url leaves its field out; a null page_id is never referred to unless no other page has its payload; payloads of fewer than min_bytes bytes are all responses; rows that repeat both the page_id and the payload of a response are responses too; an empty table gives no rows; columns other than page_id, url and html are ignored.
 """
@@ -25,6 +25,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 END = b"\r\n\r\n"
+#: A gzip member of no bytes, which stands between records.
+EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 #: Rows of revisits that may be broadcast; more are joined by a shuffle.
 FEW = 100_000
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -56,6 +58,16 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
+#: Makes Spark's text source and sink end each row with an empty member.
+BETWEEN = {"encoding": "ISO-8859-1", "lineSep": EMPTY.decode("latin-1")}
+
+
+def member(made: bytes) -> bytes:
+    """A record and the two line ends after it as a gzip member."""
+    press = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return press.compress(made + END) + press.flush()
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields and block of each record of an archive, compressed or not."""
     if data[:2] == b"\x1f\x8b":
@@ -63,6 +75,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while data:
             press = zlib.decompressobj(31)
             parts.append(press.decompress(data) + press.flush())
+            if not press.eof:
+                raise ValueError("a member has no end")
             data = press.unused_data
         data = b"".join(parts)
     at = 0
@@ -101,19 +115,21 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [record(page, url, (html or "").encode("utf-8", "surrogatepass"), to, to_url, revisit, date) for page, url, html, to, to_url, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            made = [member(record(page, url, (html or "").encode("utf-8", "surrogatepass"), to, to_url, revisit, date)) for page, url, html, to, to_url, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    joined.mapInArrow(rows, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(folder)
+    joined.mapInArrow(rows, "value binary").select(F.col("value").cast("string")).write.options(**BETWEEN).text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of the archives; size and digest of a response come from the payload itself, those of a revisit from its fields."""
 
+    common.short_batches(spark)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out: list[list] = [[], [], [], [], []]
             for data in b.column(0):
-                out: list[list] = [[], [], [], [], []]
                 for fields, block in parse(data.as_py()):
                     head, payload = block.split(END, 1)
                     kind, to = fields["WARC-Type"], fields.get("X-Refers-To-Page-ID")
@@ -124,10 +140,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     page = fields.get("X-Page-ID")
                     for column, x in zip(out, (None if page is None else int(page), size, name, kind, None if to is None else int(to)), strict=True):
                         column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return spark.read.format("binaryFile").load(folder).where("length > 0").select("content").mapInArrow(rows, READ)
+    return spark.read.options(**BETWEEN).text(folder).select(F.col("value").cast("binary").alias("record")).mapInArrow(rows, READ)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:

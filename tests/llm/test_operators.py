@@ -1,6 +1,8 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import base64
+import glob
+import gzip
 import hashlib
 import random
 import re
@@ -196,6 +198,32 @@ def test_warc_format(spark, tmp_path):
     assert fields["WARC-Payload-Digest"] == "sha1:" + warc.digest(b"body")
     with pytest.raises(ValueError):
         list(warc.parse(record[:-5]))
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.member(record[:-4])[:-9]))
+
+
+def test_warc_archives(spark, tmp_path):
+    """The files are gzip as it is, a member for each record, that can be read by its place; one file of many tasks."""
+    pages = [(i, f"http://h/{i}", "payload %d \x1f\x8b\x08 " % (i % 40) * (i % 7 * 500)) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, f"{tmp_path}/w")
+    files = sorted(glob.glob(f"{tmp_path}/w/part-*"))
+    assert len(files) == 1
+    with open(files[0], "rb") as f:
+        raw = f.read()
+    whole = list(warc.parse(raw))
+    assert gzip.decompress(raw).startswith(b"WARC/1.1") and len(whole) == 300
+    at = raw.index(warc.EMPTY) + len(warc.EMPTY)  # where the second record is
+    press = zlib.decompressobj(31)
+    assert next(warc.parse(press.decompress(raw[at:])))[0] == whole[1][0]
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        back = warc.read(spark, f"{tmp_path}/w")
+        assert back.rdd.getNumPartitions() > 3
+        assert sorted(r.page_id for r in back.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
 
 
 # SimHash
@@ -433,7 +461,7 @@ def test_maxscore_skips():
         found = [(s + a, b) for k, s in enumerate(postings.starts) for a, b in zip(*(v.tolist() for v in maxscore.scored(postings, k, q, bar)), strict=True)]
         assert sorted(found) == sorted((i, v) for i, v in enumerate((x @ q).tolist()) if v >= bar)
         counts.append((len(read), sum(probed)))
-    assert counts[0] == (2 * 16 * 6, 0) and counts[1][0] < 0.8 * counts[0][0] and counts[1][1] < 3000
+    assert counts[0] == (2 * 16 * 6, 0) and counts[1][0] < 0.4 * counts[0][0] and counts[1][1] < 0.4 * 3000 * 16
     read.clear()
     assert not len(maxscore.scored(postings, 3, q, 1e9)[0]) and not read
     ids, queries = np.arange(3000), np.stack([q, -q])
