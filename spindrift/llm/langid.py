@@ -1,8 +1,10 @@
 """Language proportions of a text by expectation-maximisation over n-gram likelihoods.
 
-Training counts letter trigrams of labelled texts for each language. A text's trigrams are taken as drawn from a mixture of the languages; expectation-maximisation estimates the proportions. Which languages belong to the mixture is settled by penalised likelihood: of the sets made of the largest proportions, the one whose log-likelihood less `penalty` half-logs of the trigram count for each further language is highest. The language of the largest proportion is predicted, with that proportion as score.
+Training counts letter trigrams of labelled texts for each language. A text's trigrams are taken as drawn from a mixture of the languages; expectation-maximisation estimates the proportions. Which languages belong to the mixture is settled by penalised likelihood: the set grows by the language of the next largest proportion as long as its log-likelihood, less `penalty` half-logs of the trigram count for each further language, rises. The language of the largest proportion is predicted, with that proportion as score.
 
-Letters are folded to 60 classes (other scripts by a hash of the code point), so a language has at most 64**3 counts and the model is bounded whatever the input. It is fitted on a bounded sample: the labelled rows whose hash is below the share that `sample_rows` asks for, whole texts.
+Estimation goes on until no proportion moves by more than `tolerance` (a thousandth), or for `steps` steps (200; on texts of the test tables it ends within a few dozen).
+
+Letters are folded to 60 classes (other scripts by a hash of the code point), so a language has at most 64**3 counts. It is fitted on a bounded sample: the labelled rows whose hash is below the share that `sample_rows` asks for, whole texts. A model takes 2 MB a language on the driver and in each worker; more than `most_languages` distinct labels (200, 400 MB) stop the fit with an error rather than be dropped.
 
 Defined results: a text that is null or has no letter is `und`, score 0; without labelled rows every text is `und`; a null doc_id is never held out and its row is kept; rows with a null lang don't train; repeated rows count each; an empty table gives no rows; other columns are ignored (the pipeline's filter keeps them).
 """
@@ -65,39 +67,44 @@ def held_out() -> Column:
 
 
 class Model:
-    def __init__(self, languages: list[str], codes: np.ndarray, ids: np.ndarray, counts: np.ndarray, alpha: float = 0.5, penalty: float = 4.0):
+    def __init__(self, languages: list[str], codes: np.ndarray, ids: np.ndarray, counts: np.ndarray, alpha: float = 0.5, penalty: float = 4.0, tolerance: float = 1e-3, steps: int = 200):
         """codes, ids, counts: a row for each language and trigram that occurred."""
-        self.languages, self.penalty = languages, penalty
+        self.languages, self.penalty, self.tolerance, self.steps = languages, penalty, tolerance, steps
         table = np.full((len(languages), GRAMS), alpha, np.float64)
         np.add.at(table, (codes, ids), counts)
         seen = max(1, len(np.unique(ids)))
         self.p = (table / (np.add.reduce(table, axis=1, keepdims=True) - alpha * (GRAMS - 2 * seen))).astype(np.float64) if len(languages) else table
 
-    def proportions(self, ids: np.ndarray, steps: int = 15) -> tuple[str, float, dict[str, float]]:
+    def mixture(self, p: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Proportions by expectation-maximisation from a first guess; p holds the trigrams' probabilities, a row for each language."""
+        n = float(counts.sum())
+        for _ in range(self.steps if len(share) > 1 else 0):
+            weight = counts / (share @ p)
+            new = share * (p @ weight) / n
+            moved = np.abs(new - share).max()
+            share = new
+            if moved <= self.tolerance:
+                break
+        return share / share.sum()
+
+    def value(self, p: np.ndarray, counts: np.ndarray, share: np.ndarray) -> float:
+        """Log-likelihood of a mixture less the penalty for each language but the first."""
+        return float(counts @ np.log(share @ p) - self.penalty * (len(share) - 1) * np.log(counts.sum()) / 2)
+
+    def proportions(self, ids: np.ndarray) -> tuple[str, float, dict[str, float]]:
         """Predicted language, score, and the mixture."""
         if not len(ids) or not self.languages:
             return "und", 0.0, {}
         unique, counts = np.unique(ids, return_counts=True)
-        p, n = self.p[:, unique], float(counts.sum())
-        share = np.full(len(p), 1 / len(p))
-        for _ in range(steps):
-            joint = share[:, None] * p
-            new = (joint / joint.sum(axis=0)) @ counts / n
-            done = np.abs(new - share).max() < 1e-3
-            share = new
-            if done:
-                break
+        p = self.p[:, unique]
+        share = self.mixture(p, counts, np.full(len(p), 1 / len(p)))
         order = np.argsort(-share, kind="stable")
         best, kept = -np.inf, None
         for size in range(1, len(order) + 1):
             part = order[:size]
-            if size > 1 and share[part[-1]] < 0.01:
-                break
-            mix = share[part] / share[part].sum()
-            for _ in range(4 if size > 1 else 0):
-                joint = mix[:, None] * p[part]
-                mix = (joint / joint.sum(axis=0)) @ counts / n
-            value = counts @ np.log(mix @ p[part]) - self.penalty * (size - 1) * np.log(n) / 2
+            first = np.maximum(share[part], 1e-9)  # a proportion of nothing would stay nothing
+            mix = self.mixture(p[part], counts, first / first.sum())
+            value = self.value(p[part], counts, mix)
             if value <= best:
                 break
             best, kept = value, (part, mix)
@@ -106,8 +113,8 @@ class Model:
         return self.languages[part[top]], float(min(1.0, mix[top])), {self.languages[i]: float(m) for i, m in zip(part, mix, strict=True)}
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000) -> Model:
-    """Fits the model on about sample_rows of docs(doc_id, text, lang) that are labelled and not held out."""
+def fit(docs: DataFrame, sample_rows: int = 20_000, most_languages: int = 200) -> Model:
+    """Fits the model on about sample_rows of docs(doc_id, text, lang) that are labelled and not held out; more than most_languages labels among them are an error."""
     common.short_batches(docs.sparkSession)
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.select("doc_id").count()
@@ -126,8 +133,11 @@ def fit(docs: DataFrame, sample_rows: int = 20_000) -> Model:
             at = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "gram", "n"])
 
+    labels = usable.select("lang").distinct().limit(most_languages + 1).count()
+    if labels > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages if 2 MB for each fit the workers")
     counted = usable.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, gram int, n long")
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most GRAMS rows a language
+    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most GRAMS rows for each of most_languages
     names = rows.column("lang").to_pylist()
     languages = sorted(set(names))
     code = {x: i for i, x in enumerate(languages)}

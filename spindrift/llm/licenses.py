@@ -1,15 +1,12 @@
 """Licence notices found by conditional compression.
 
-A block is a line that holds a word of licensing, or, of a line longer than `longest`, the sentences about such a word. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, all in turn: the words of the template that the block lacks or alters, in order, may be no more than a fifth, and numbers (versions) must all be there. What is confirmed in close order (no more than a fifth of further words between) goes before what is scattered; of templates that fit, the closest goes first in close order, and by ties and for scattered words that which saves most; the words of a confirmed notice are taken out and the rest is matched again, until nothing is confirmed.
-
-Notices wrapped over lines are found in windows: the words around a word of licensing, across lines, as far as the longest template reaches with a fifth more. Overlapping windows are one block. What the lines left of it is matched the same way, in close order only. A confirmed notice names its licence and lists its wording differences.
+A candidate block is a run of words, across lines, in which some template keeps four fifths of its words within one and a half times its length; overlapping runs are one block, and a block may be of any length. Each block is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of the size that this saves. They are confirmed by their exact wording, all in turn: the words of the template that the block lacks or alters, in order, may be no more than a fifth, further words between no more than half as many as the template has, and numbers (versions) must all be there. Of templates that fit one place the closest goes first, by ties that which saves most; the words of a confirmed notice are taken out and the rest is matched again, until nothing is confirmed. A confirmed notice names its licence and lists its wording differences.
 
 Defined results: null text has no blocks; ties of savings go to the template listed first; repeated rows each get their row; a null doc_id keeps its row; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import collections
 import difflib
 import functools
@@ -48,9 +45,6 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to this work to the public domain worldwide under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CUE = re.compile(r"licen[cs]|copyright|permission is|redistribut|public domain|creative commons|\bCC[ -]BY|\bCC0", re.IGNORECASE)
-#: The same across lines, where a wrapped notice may have the marks of a comment.
-WRAPPED = re.compile(CUE.pattern.replace("[ -]", r"\W+").replace(" ", r"\W+"), re.IGNORECASE)
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -61,39 +55,14 @@ class Match:
     differences: str
 
 
-def blocks(text: str, longest: int = 600) -> Iterator[tuple[int, int]]:
-    """Start and end of the candidate blocks within the lines of a whole text, in order."""
-    if not CUE.search(text):
-        return
-    at = 0
-    for line in text.split("\n"):
-        start, at = at, at + len(line) + 1
-        if not CUE.search(line):
-            continue
-        if len(line) <= longest:
-            yield start, start + len(line)
-            continue
-        ends = [*(m.span() for m in re.finditer(r"(?<=[.!?])\s+", line)), (len(line), len(line))]
-        begin, kept = 0, None
-        for end, after in ends:
-            if CUE.search(line, begin, end):
-                kept = (kept[0] if kept else begin, end)
-            elif kept:
-                yield start + kept[0], start + kept[1]
-                kept = None
-            begin = after
-        if kept:
-            yield start + kept[0], start + kept[1]
-
-
 class Templates:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, level: int = 19, most_lost: float = 0.2):
-        self.most_lost = most_lost
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, level: int = 19, most_lost: float = 0.2, most_between: float = 0.5):
+        self.most_lost, self.most_between = most_lost, most_between
         plain = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
         self.known = [(name, WORD.findall(t.lower()), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=plain)) for name, t in templates]
         self.spelled = [(wanted, [x for w in wanted for x in w.split("-")]) if any("-" in w for w in wanted) else (wanted,) for _, wanted, _ in self.known]  # a line may end at a hyphen
-        self.reach = max(self.room(len(wanted)) for _, wanted, _ in self.known)
+        self.reach = max(self.room(len(way)) for ways in self.spelled for way in ways)
         self.match = functools.lru_cache(maxsize=10_000)(self._match)
 
     def gains(self, block: str) -> list[float]:
@@ -103,8 +72,12 @@ class Templates:
         return [1 - len(press.compress(data)) / size for _, _, press in self.known]
 
     def room(self, n: int) -> int:
-        """Words that a notice of n words may take in close order."""
-        return n + int(self.most_lost * n)
+        """Words that a notice of n words may take."""
+        return n + int(self.most_between * n)
+
+    def least(self, n: int) -> int:
+        """Words of n that a notice must keep."""
+        return n - int(self.most_lost * n)
 
     def confirmed(self, wanted: list[str], words: list[str | None]) -> tuple[list[int], list[str], str, int] | None:
         """Places of the template's words, lost words, differences and further words between, if the words hold the notice."""
@@ -118,8 +91,8 @@ class Templates:
         return places, lost, differences, places[-1] + 1 - places[0] - len(places)
 
     def in_order(self, wanted: list[str], words: list[str | None], since: int = 0) -> tuple[int, range, str] | None:
-        """Of the first notice in close order that starts at `since` or later: words held less words lost or between, place, differences."""
-        room, least = self.room(len(wanted)), len(wanted) - int(self.most_lost * len(wanted))
+        """Of the first notice that starts at `since` or later: words held less words lost or between, place, differences."""
+        room, least = self.room(len(wanted)), self.least(len(wanted))
         need, have, shared, best, last = collections.Counter(wanted), collections.Counter(), 0, None, len(words)
         for end in range(since + 1, len(words) + room - least + 1):
             start = end - room
@@ -136,7 +109,7 @@ class Templates:
             if shared < least or (end < min(since + room, len(words)) and words[end - 1] not in need):
                 continue
             at = max(start, since)
-            if (got := self.confirmed(wanted, words[at:end])) and got[3] <= self.most_lost * len(wanted):
+            if (got := self.confirmed(wanted, words[at:end])) and got[3] <= self.most_between * len(wanted):
                 rank = (len(got[1]), got[3])
                 if best is None:
                     last = at + len(wanted)
@@ -146,27 +119,21 @@ class Templates:
                     break
         return best and best[1:]
 
-    def _match(self, block: str) -> list[tuple[Match, list[int]]]:
-        """Every notice of a block, and the places of its words."""
-        return self.matches(block, WORD.findall(block.lower()), True)
-
-    def matches(self, block: str, words: list[str | None], scattered: bool) -> list[tuple[Match, list[int]]]:
-        """Notices among the block's words, None for words taken out; of templates that fit one place the closest, by ties that which saves most."""
-        words, have, out = list(words), collections.Counter(words), []
-        possible = [i for i, ways in enumerate(self.spelled) if any(sum(min(n, have[w]) for w, n in collections.Counter(x).items()) >= len(x) - self.most_lost * len(x) for x in ways)]
-        if not possible:
-            return out
+    def _match(self, block: str) -> list[tuple[Match, int]]:
+        """Every notice of a block, and the place of its first word; of templates that fit one place the closest, by ties that which saves most."""
+        words: list[str | None] = list(WORD.findall(block.lower()))
+        out = []
+        possible = self.possible(set(words))
         gains = self.gains(block)
-        possible.sort(key=lambda i: -gains[i])
 
         def first(i: int, since: int) -> tuple[int, range, str] | None:
             return max((x for way in self.spelled[i] if (x := self.in_order(way, words, since))), key=lambda x: x[0], default=None)
 
-        held = {i: got for i in possible if (got := first(i, 0))}
+        held = {i: got for i in sorted(possible, key=lambda i: -gains[i]) if (got := first(i, 0))}
         while held:
             i = max(held, key=lambda i: (held[i][0], gains[i]))
             _, place, differences = held[i]
-            out.append((Match(self.known[i][0], gains[i], differences), list(place)))
+            out.append((Match(self.known[i][0], gains[i], differences), place.start))
             for k in place:
                 words[k] = None
             for j in [j for j in held if held[j][1].start < place.stop and place.start < held[j][1].stop]:
@@ -174,49 +141,45 @@ class Templates:
                 held.pop(j)
                 if got:
                     held[j] = got
-        for i in possible if scattered else ():
-            name, wanted, _ = self.known[i]
-            while True:
-                at = [k for k, w in enumerate(words) if w is not None]
-                got = self.confirmed(wanted, [words[k] for k in at])
-                if not got:
-                    break
-                out.append((Match(name, gains[i], got[2]), [at[k] for k in got[0]]))
-                for k in got[0]:
-                    words[at[k]] = None
+        return out
+
+    def possible(self, there: set[str]) -> list[int]:
+        """Templates that keep enough of their words in a text of these words."""
+        return [i for i, ways in enumerate(self.spelled) if any(sum(w in there for w in way) >= self.least(len(way)) for way in ways)]
+
+    def blocks(self, words: list[str], possible: list[int]) -> list[tuple[int, int]]:
+        """First word and end of each candidate block, in order."""
+        runs = []
+        for way in (way for i in possible for way in self.spelled[i]):
+            room, least = self.room(len(way)), self.least(len(way))
+            need, have, shared, lo = collections.Counter(way), collections.Counter(), 0, 0
+            at = [k for k, w in enumerate(words) if w in need]
+            for k in at:
+                while k - at[lo] >= room:
+                    w = words[at[lo]]
+                    shared -= have[w] <= need[w]
+                    have[w] -= 1
+                    lo += 1
+                have[words[k]] += 1
+                shared += have[words[k]] <= need[words[k]]
+                if shared >= least:
+                    runs.append((at[lo], k + 1))
+        out: list[tuple[int, int]] = []
+        for lo, hi in sorted(runs):
+            if out and lo < out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], hi))
+            else:
+                out.append((lo, hi))
         return out
 
     def notices(self, text: str) -> tuple[int, list[Match]]:
-        """Number of blocks tried, and the notices of a whole text."""
-        if not WRAPPED.search(text):
+        """Number of candidate blocks, and the notices of a whole text."""
+        possible = self.possible(set(WORD.findall(text.lower())))
+        if not possible:
             return 0, []
         tokens = list(WORD.finditer(text))
-        starts, words = [m.start() for m in tokens], [m[0].lower() for m in tokens]
-        tried, found = 0, []
-        lines = []
-        for start, end in blocks(text):
-            tried += 1
-            first = bisect.bisect_left(starts, start)
-            lines.append((first, bisect.bisect_left(starts, end)))
-            for match, places in self.match(text[start:end].strip()):
-                found.append((first + places[0], match))
-                for k in places:
-                    words[first + k] = None
-        windows: list[list[int]] = []
-        for m in WRAPPED.finditer(text):
-            k = bisect.bisect_right(starts, m.start()) - 1
-            lo, hi = max(0, k - self.reach), min(len(words), k + self.reach + 1)
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = hi
-            else:
-                windows.append([lo, hi])
-        inside = set(lines)
-        for lo, hi in windows:
-            if (lo, hi) in inside:  # nothing but a line
-                continue
-            tried += 1
-            found += [(lo + places[0], match) for match, places in self.matches(text[starts[lo] : tokens[hi - 1].end()], words[lo:hi], False)]
-        return tried, [m for _, m in sorted(found, key=lambda x: x[0])]
+        found = self.blocks([m[0].lower() for m in tokens], possible)
+        return len(found), [match for lo, hi in found for match, _ in sorted(self.match(text[tokens[lo].start() : tokens[hi - 1].end()]), key=lambda x: x[1])]
 
 
 @functools.lru_cache(maxsize=1)
