@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text
+
 # Numerals, their values, and the patterns of runs, ranges, tenths and tens.
 DIGIT = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 POWER = {"十": 10, "百": 100, "千": 1000}
@@ -47,12 +50,16 @@ def section(text: str) -> float:
 
 def chinese(text: str) -> float | None:
     """A whole numeral with sections of ten thousands and hundred millions and decimals; None for a bare unit."""
-    text = text.replace("点", "點")
-    if "點" in text:
-        head, tail = text.split("點", 1)
-        whole = chinese(head) if head else 0.0
-        decimals = "".join(str(DIGIT[c]) for c in tail if c in DIGIT)
-        return whole if whole is None or not decimals else float(f"{int(whole)}.{decimals}")
+    head, point, tail = text.replace("点", "點").partition("點")
+    whole = _whole(head) if head or not point else 0.0
+    digits = [DIGIT[c] for c in tail if c in DIGIT]
+    if whole is None or not digits:
+        return whole
+    size = 10 ** len(digits)
+    return (int(whole) * size + int("".join(map(str, digits)))) / size
+
+
+def _whole(text: str) -> float | None:
     if not set(text) & {*DIGIT, "十"}:
         return None
     *heads, rest = _SECTIONS.fullmatch(text).groups()
@@ -140,27 +147,36 @@ def unstated(tokens: Column, source: Column, ignore: Column | None = None, toler
     return F.transform(left, lambda t: t.tok)
 
 
+# Numbers as powers of ten, whole numbers of five digits or more by themselves, and the units they are given in (digits of the number, digits of the unit, name).
 _POWER_OF_TEN = re.compile(r"(\d+(?:\.\d+)?)[eE]\+?(\d+)")
 _LONG = re.compile(r"(?<![\d.])(\d{5,})(?![\d.])")
+_UNITS = ((9, 8, "億"), (6, 4, "萬"))
+#: Digits beyond which a number is no double.
+_DIGITS = 300
 
 
-def humanised(text: str) -> str:
-    """1e+07 and long integers as 萬 and 億; below a hundred thousand, and beyond what a double holds, they stay."""
+def in_units(digits: str) -> str:
+    """A whole number in the largest unit that fits, to six digits; short ones, and those no double holds, stay."""
+    bare = (digits if digits.isascii() else "".join(str(unicodedata.decimal(c)) for c in digits)).lstrip("0")
+    for least, size, name in _UNITS:
+        if least <= len(bare) <= _DIGITS:
+            count, rest = bare[:-size], bare[-size:]
+            return (f"{int(bare) / 10**size:g}" if rest.strip("0") else count) + name
+    return digits
+
 
-    def long(m: re.Match) -> str:
-        n = int(m[1])
-        if n < 100_000:
-            return m[1]
-        size, name = (10**8, "億") if n >= 10**8 else (10**4, "萬")
-        return (str(n // size) if n % size == 0 else f"{n / size:g}") + name
+def written_out(mantissa: str, exponent: str) -> str | None:
+    """The whole number that a power of ten says; None beyond doubles."""
+    if len(exponent) > 3:  # as in a hex string
+        return None
+    value = float(mantissa) * float(f"1e{exponent}")
+    return str(int(float(mantissa) * 10 ** int(exponent))) if math.isfinite(value) else None
 
-    def power(m: re.Match) -> str:
-        if len(m[2]) > 3:  # as in a hex string; no double is that large
-            return m[0]
-        value = float(m[1]) * float(f"1e{m[2]}")
-        return str(int(float(m[1]) * 10 ** int(m[2]))) if math.isfinite(value) else m[0]
 
-    return _LONG.sub(long, _POWER_OF_TEN.sub(power, text))
+def humanised(text: str) -> str:
+    """1e+07 and long integers as 萬 and 億; below a hundred thousand, and beyond what a double holds, they stay."""
+    plain = _POWER_OF_TEN.sub(lambda m: written_out(m[1], m[2]) or m[0], text)
+    return _LONG.sub(lambda m: in_units(m[1]), plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -168,18 +184,30 @@ def humanise(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else humanised(t))
 
 
-def label(value: Column, unit: Column) -> Column:
-    """A value as charts write it: thousands grouped from 1000 on, else six significant digits, and the unit."""
-    return F.concat(_label(value), F.coalesce(unit, F.lit("")))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def humanise_each(texts: pd.Series) -> pd.Series:
+    """The same for each item of an array."""
+    return texts.map(lambda ts: None if ts is None else [None if t is None else humanised(t) for t in ts])
 
 
-@F.pandas_udf(T.StringType())
-def _label(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"{v:,.0f}" if abs(v) >= 1000 else f"{v:g}")
+def general(value: Column) -> Column:
+    """A double to six significant digits without trailing zeros, with an exponent below a ten-thousandth or from a million on; null for null."""
+    size = F.abs(value)
+    form = lambda pattern: F.call_function("format_number", value, F.lit(pattern))
+    out = F.when(size == 0, F.lit("0")).when((size < 9.9999995e-5) | (size >= 999999.5), F.lower(F.regexp_replace(form("0.#####E00"), "E(\\d)", "E+$1")))
+    for digits, top in enumerate((9.999995e-4, 9.999995e-3, 9.999995e-2, 0.9999995, 9.999995, 99.99995, 999.9995, 9999.995, 99999.95)):
+        out = out.when(size < top, form("0." + "#" * (9 - digits)))
+    return out.otherwise(form("0"))
+
+
+def label(value: Column, unit: Column) -> Column:
+    """A value as charts write it: thousands grouped from 1000 on, else six significant digits, and the unit."""
+    return F.concat(F.when(F.abs(value) >= 1000, F.format_number(value, 0)).otherwise(general(value)), F.coalesce(unit, F.lit("")))
 
 
 def register(spark) -> None:
-    """Makes number_tokens, humanize_numbers and number_token_list available to SQL."""
+    """Makes number_tokens, humanize_numbers and number_token_list available to SQL, with what text.register adds."""
+    text.register(spark)
     spark.udtf.register("number_tokens", NumberTokens)
     spark.udf.register("humanize_numbers", humanise)
     spark.udf.register("number_token_list", number_tokens)

@@ -1,9 +1,12 @@
-"""Text functions as columns, and the longest common substring as an Arrow UDF."""
+"""Text functions as columns; shares of n-grams and the longest common substring as Arrow UDFs."""
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import types as T
 KEPT = "0-9A-Za-z一-鿿㐀-䶿０-９Ａ-Ｚａ-ｚ"
 #: Ends of sentences, a fixed value.
 SENTENCE_ENDS = "。！？!?；;"
+#: Marks of console output, a fixed value.
+MARKUP = r"\[/?(?:(?:bold|dim|italic|underline|red|green|yellow|blue|cyan|magenta|white|black)\s?)*\]"
 #: Punctuation that starts no line, a fixed value.
 CLOSING = "，。、！？：；」』）》…,.!?:;)"
 
@@ -29,11 +34,40 @@ def grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+@functools.lru_cache(maxsize=8)
+def _grams_of(source: str, n: int) -> frozenset[str]:
+    return frozenset(source[i : i + n] for i in range(len(source) - n + 1))
+
+
+def gram_counts(text: Column, source: Column, sizes: tuple[int, ...]) -> Column:
+    """For each size n a struct (total, hits): the n-grams of a normalised text, repeats counted, and how many of them the normalised source holds. All sizes in one pass over a row; memory grows with the source's length."""
+    if min(sizes) <= 0:
+        raise ValueError("n must be positive")
+
+    @F.pandas_udf("array<struct<total:bigint,hits:bigint>>")
+    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sources in pairs:
+            out = []
+            for a, b in zip(texts, sources, strict=True):
+                a, b, row = a or "", b or "", []
+                for n in sizes:
+                    known, total = _grams_of(b, n), max(0, len(a) - n + 1)
+                    hits = sum(a[i : i + n] in known for i in range(total)) if known else 0
+                    row.append({"total": total, "hits": hits})
+                out.append(row)
+            yield pd.Series(out, dtype=object)
+
+    return count(text, source)
+
+
+def share(counts: Column) -> Column:
+    """hits / total of a struct (total, hits), 0 without any."""
+    return F.when(counts.total > 0, counts.hits / counts.total).otherwise(F.lit(0.0))
+
+
 def gram_overlap(text: Column, source: Column, n: int) -> Column:
     """Share of the text's n-grams, repeats counted, that the source holds; 0 if the text is shorter than n. Both are normalised first."""
-    mine, theirs = grams(normalise(text), n), F.array_distinct(grams(normalise(source), n))
-    total = F.size(mine)
-    return F.when(total > 0, F.size(F.filter(mine, lambda g: F.array_contains(theirs, g))) / total).otherwise(F.lit(0.0))
+    return share(gram_counts(normalise(text), normalise(source), (n,))[0])
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
@@ -42,17 +76,45 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
 
 
+#: An odd multiplier and its inverse, both modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+
+
+def _sums(text: str) -> np.ndarray:
+    """Running sums of the characters, each times a power of the base by its place; differences of them tell substrings apart."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    room = 1 << max(10, len(points).bit_length())
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * _powers(_BASE, room)[: len(points)])])
+
+
+def _windows(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all substrings of length n."""
+    count = len(sums) - n
+    return (sums[n:] - sums[:count]) * _powers(_INVERSE, 1 << max(10, count.bit_length()))[:count]
+
+
 def shared(a: str, b: str) -> str:
-    """The longest common substring, the earliest in a among the longest: the length is found by bisection over sets of substrings."""
+    """The longest common substring, the earliest in a among the longest. Its length is found by bisection over hashes of all substrings of one length, in memory linear in the texts; what the hashes say is verified on the texts."""
     low, high, found = 0, min(len(a), len(b)), ""
+    if not high:
+        return found
+    mine, theirs = _sums(a), _sums(b)
     while low < high:
         n = (low + high + 1) // 2
-        known = {b[i : i + n] for i in range(len(b) - n + 1)}
-        hit = next((a[i : i + n] for i in range(len(a) - n + 1) if a[i : i + n] in known), None)
+        there = np.sort(_windows(theirs, n))
+        asked = _windows(mine, n)
+        at = np.minimum(np.searchsorted(there, asked), len(there) - 1)
+        hit = next((i for i in np.nonzero(there[at] == asked)[0].tolist() if a[i : i + n] in b), None)
         if hit is None:
             high = n - 1
         else:
-            low, found = n, hit
+            low, found = n, a[hit : hit + n]
     return found
 
 
@@ -65,8 +127,9 @@ def common_substring(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 def originality(text: Column, source: Column, n: int = 6, most_overlap: float = 0.15, most_shared: int = 12) -> Column:
     """Struct (ok, overlap, lcs): whether neither the gram overlap nor the longest common substring passes its limit."""
-    overlap = gram_overlap(text, source, n)
-    lcs = F.length(common_substring(normalise(text), normalise(source)))
+    text, source = normalise(text), normalise(source)
+    overlap = share(gram_counts(text, source, (n,))[0])
+    lcs = F.length(common_substring(text, source))
     return F.struct(((overlap <= most_overlap) & (lcs <= most_shared)).alias("ok"), overlap.alias("overlap"), lcs.alias("lcs"))
 
 
@@ -106,16 +169,78 @@ def video_id(url: Column) -> Column:
 
 def strip_markup(line: Column) -> Column:
     """A log line without [bold] and the like."""
-    return F.regexp_replace(line, r"\[/?(?:(?:bold|dim|italic|underline|red|green|yellow|blue|cyan|magenta|white|black)\s?)*\]", "")
+    return F.regexp_replace(line, MARKUP, "")
 
 
 def wrap(text: Column, width: int) -> Column:
-    """Lines of at most width characters; closing punctuation may run over so that it starts none; a line feed ends a line."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    """Lines of at most width characters; closing punctuation may run over so that it starts none; a line feed ends a line, and a last line without text is left out."""
+    full = rf"[^\n]{{{width}}}[{re.escape(CLOSING)}]*|[^\n]+"
+    lines = F.flatten(F.transform(F.split(F.trim(text), "\n"), lambda part: F.when(part == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(part, F.lit(full), F.lit(0)))))
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+
+
+#: White space that ends of texts lose.
+BLANKS = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def safe_id(text: Column) -> Column:
+    """Whether a text is 1 to 64 letters, digits, _ or -."""
+    return text.rlike(r"\A[A-Za-z0-9_\-]{1,64}\z")
+
+
+#: What a programme's channel is called, by what its name holds, and the words around a source; fixed values.
+CHANNELS = ((("HEALTH 2.0",), ("健康2.0", "健康 2.0"), "TVBS《健康2.0》"),)
+NO_SOURCE = "原始節目"
+ATTRIBUTION = "根據%s報導指出"
+
+
+def source_name(channel: Column) -> Column:
+    """The programme that clips cite: by what the channel's name holds (in upper case, or as it is), else the name itself, else a general word."""
+    out = F.coalesce(F.nullif(channel, F.lit("")), F.lit(NO_SOURCE))
+    for upper, plain, name in CHANNELS:
+        held = [F.upper(channel).contains(x) for x in upper] + [channel.contains(x) for x in plain]
+        out = F.when(F.coalesce(functools.reduce(lambda a, b: a | b, held), F.lit(False)), F.lit(name)).otherwise(out)
+    return out
+
+
+def attribution(source: Column) -> Column:
+    return F.format_string(ATTRIBUTION, source)
+
+
+def first_lines(text: Column, n: int) -> Column:
+    return F.slice(F.split(text, "\n"), 1, n)
+
+
+def nested(json: Column, path: str, default: Column) -> Column:
+    """What a JSON text holds at a path as text, or default where any step is missing."""
+    return F.coalesce(F.get_json_object(json, path), default)
+
+
+@F.pandas_udf(T.IntegerType())
+def _shared_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([len(shared(_plain(x), _plain(y))) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def _shared_text(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([shared(_plain(x), _plain(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+_DROPPED = re.compile(f"[^{KEPT}]+")
+
+
+def _plain(text: str | None) -> str:
+    return _DROPPED.sub("", text or "").lower()
 
-    def step(acc: Column, c: Column) -> Column:
-        feed, full = c == "\n", (F.length(acc.line) >= width) & ~F.lit(CLOSING).contains(c)
-        ends = feed | full
-        return F.struct(F.when(ends, F.array_append(acc.done, acc.line)).otherwise(acc.done).alias("done"), F.when(feed, F.lit("")).when(full, c).otherwise(F.concat(acc.line, c)).alias("line"))
 
-    return F.aggregate(F.filter(F.split(F.trim(text), ""), lambda c: c != ""), empty, step, lambda acc: F.when(acc.line != "", F.array_append(acc.done, acc.line)).otherwise(acc.done))
+def register(spark) -> None:
+    """Makes lcs_len and lcs_text available to SQL: length and text of the longest common substring of two texts, which they normalise."""
+    spark.udf.register("lcs_len", _shared_length)
+    spark.udf.register("lcs_text", _shared_text)

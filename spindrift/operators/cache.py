@@ -88,3 +88,14 @@ def hit_any(wanted: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 def merged(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Full-outer merge of two maps as rows: new values win, new keys are added."""
     return old.select(key, F.col(value).alias("_old")).join(new.select(key, F.col(value).alias("_new")), key, "full_outer").select(key, F.coalesce("_new", "_old").alias(value))
+
+
+def with_outputs(outputs: Column, more: Column) -> Column:
+    """A record's map of outputs with further ones; of equal names the further one counts."""
+    return F.map_concat(F.map_filter(outputs, lambda k, v: ~F.map_contains_key(more, k)), more)
+
+
+def sidecar_hits(wanted: DataFrame, sidecars: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted(path, key) with cached: whether the file at path is in files(path) and its sidecar(path, key) names the same key."""
+    there = sidecars.select("path", "key").distinct().join(files.select("path").distinct(), "path", "left_semi").withColumn("cached", F.lit(True))
+    return wanted.join(there, ["path", "key"], "left").withColumn("cached", F.coalesce("cached", F.lit(False)))

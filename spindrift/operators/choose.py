@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def rendition(files: Column, short_side: int = SHORT_SIDE) -> Column:
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    return first_n(rows, keys, 1, *order)
 
 
 def footage(videos: DataFrame, key: str, preferred: float = PREFERRED_SECONDS) -> DataFrame:
@@ -65,7 +67,35 @@ def first_unit(series: Column) -> Column:
     return F.coalesce(F.get(F.filter(units, lambda u: u != ""), F.lit(0)), F.lit(""))
 
 
+def with_line(lines: Column, has: Callable[[Column], Column], line: Column) -> Column:
+    """Lines, with the given one as second (or only one) if none has what is asked."""
+    there = F.exists(lines, has)
+    return F.when(there, lines).when(F.size(lines) == 0, F.array(line)).otherwise(F.concat(F.slice(lines, 1, 1), F.array(line), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))))
+
+
 def with_attribution(lines: Column, attribution: Column) -> Column:
     """Lines, with the attribution as second one (or only one) if none has it."""
-    there = F.exists(lines, lambda x: x.contains(attribution))
-    return F.when(there, lines).when(F.size(lines) == 0, F.array(attribution)).otherwise(F.concat(F.slice(lines, 1, 1), F.array(attribution), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))))
+    return with_line(lines, lambda x: x.contains(attribution), attribution)
+
+
+def major_points(points: Column) -> Column:
+    """Of an array of structs (label, value, unit) those of the most frequent unit, of equal ones that seen first; none if fewer than two are left of two or more."""
+    units = F.transform(points, lambda p: p.unit)
+    ranked = F.transform(F.array_distinct(units), lambda u, i: F.struct((-F.size(F.filter(units, lambda x: x == u))).alias("n"), i.alias("i"), u.alias("unit")))
+    kept = F.filter(points, lambda p: p.unit == F.array_min(ranked).unit)
+    return F.when((F.size(points) < 2) | (F.size(kept) >= 2), F.when(F.size(points) < 2, points).otherwise(kept)).otherwise(F.slice(points, 1, 0))
+
+
+def accepted(clips: DataFrame, where: Column, key: str, order: str, most: int) -> DataFrame:
+    """The first `most` clips of each key, in order, that are accepted."""
+    return first_n(clips.where(where), [key], most, order)
+
+
+def first_n(rows: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each key in the given order."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def by_start(chosen: DataFrame, *ties: str) -> DataFrame:
+    """Chosen segments in the order of their starts."""
+    return chosen.orderBy("start", *ties)

@@ -23,21 +23,30 @@ def price_key(provider: Column | str, model: Column | str) -> Column:
     return F.concat_ws("/", provider, model)
 
 
+def _literal(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+
+
+def static_table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A table of constants in the plan, whose size the optimizer knows."""
+    listed = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})")
+
+
 def prices(spark: SparkSession, table: dict, names: tuple[str, ...]) -> DataFrame:
     """A static price table (key, names...), of the size of the dictionary."""
-    rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in table.items()]
-    return spark.createDataFrame(rows, "key string, " + ", ".join(f"{n} double" for n in names))
+    return static_table(spark, [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in table.items()], ("key", *names))
 
 
 def priced(rows: DataFrame, table: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """rows(key, ...) with their prices; unknown keys are free."""
-    joined = rows.join(F.broadcast(table), "key", "left")  # a static table of a few rows
+    """rows(key, ...) with their prices; unknown keys are free. Spark broadcasts a price table that it knows to be small, as the static ones, and shuffles any other."""
+    joined = rows.join(table, "key", "left")
     return joined.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
 
 
 def strictly_priced(rows: DataFrame, table: DataFrame, keys: list[str], price: str) -> DataFrame:
     """rows with their price; a key without one stops the query."""
-    joined = rows.join(F.broadcast(table), keys, "left")
+    joined = rows.join(table, keys, "left")
     return joined.withColumn(price, F.when(F.col(price).isNull(), F.raise_error(F.concat(F.lit("no price for "), F.concat_ws("/", *keys)))).otherwise(F.col(price)))
 
 
@@ -116,16 +125,45 @@ def rollup(ledger: DataFrame, keys: list[str]) -> DataFrame:
     return ledger.groupBy(*keys).agg(*sums) if keys else ledger.agg(*sums)
 
 
-def stage_table(spark: SparkSession, stages: tuple[str, ...] = STAGES) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(stages)), "ord int, stage string")
-
-
 def by_stage(ledger: DataFrame, videos: DataFrame, key: str, stages: tuple[str, ...] = STAGES) -> DataFrame:
     """One row for each video and each stage, also those without ledger rows; rows count for the stage they name."""
-    grid = videos.select(key).distinct().crossJoin(F.broadcast(stage_table(ledger.sparkSession, stages)))  # a video times the four stages
+    grid = videos.select(key).distinct().withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
     return grid.join(rollup(ledger, [key, "stage"]), [key, "stage"], "left").na.fill(0.0, ["spent_usd", "estimated_usd", "reference_usd"])
 
 
+def in_stage_order(ledger: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """The ledgers of all stages one after another: rows of known stages with part, the stage's place from 1. One scan."""
+    part = F.array_position(F.array(*map(F.lit, stages)), F.col("stage")).cast("int")
+    return ledger.where(F.col("stage").isin(*stages)).withColumn("part", part)
+
+
+def history(runs: DataFrame, key: str) -> DataFrame:
+    """(key, history_usd): what all runs(key, usd) cost."""
+    return runs.groupBy(key).agg(F.sum("usd").alias("history_usd"))
+
+
+def savings_ratio(naive: Column, spent: Column) -> Column:
+    """How many times the naive way would cost; null unless both are positive."""
+    return F.when((naive > 0) & (spent > 0), F.round(naive / spent, 6))
+
+
+def dry_run_estimate(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, estimate_usd): estimated amounts, without reference rows."""
+    return ledger.groupBy(*keys).agg(total(is_estimate()).alias("estimate_usd"))
+
+
+def render_totals(clips: DataFrame, key: str, kept: float = 0.97) -> DataFrame:
+    """(key, seconds, saved_pct, reference_usd) of clips(key, seconds): total time, percent saved by what processing leaves of it, and what a hosted API would charge."""
+    seconds = F.sum("seconds")
+    return clips.groupBy(key).agg(seconds.alias("seconds"), F.round(100 * (1 - seconds * kept / seconds), 2).alias("saved_pct"), F.round(seconds * VIDEO_SECOND, 4).alias("reference_usd"))
+
+
+def gate_counts(segments: DataFrame, key: str, selected: Column, model: str) -> DataFrame:
+    """(key, total, selected, charts, saved_usd) of segments(key, has_chart_data): what the gate chose, and what the strong pass would have cost for the rest."""
+    clip = sum(t * p for t, p in zip(STRONG_PASS, LLM_MILLION[model], strict=True)) / 1e6
+    return segments.groupBy(key).agg(F.count("*").alias("total"), F.count_if(selected).alias("selected"), F.count_if("has_chart_data").alias("charts"), F.round(F.count_if(~selected) * clip, 6).alias("saved_usd"))
+
+
 def saved_by_cache(per_stage: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """What the stages cost that each video's last run found cached; runs(key, run, stages_cached)."""
     last = runs.groupBy(key).agg(F.max_by("stages_cached", "run").alias("cached")).select(key, F.explode(F.array_distinct("cached")).alias("stage"))
@@ -173,7 +211,7 @@ def snapped(seconds: Column, short: int, long: int) -> Column:
 
 def video_prices(spark: SparkSession) -> DataFrame:
     """(model, mode, seconds, price): the static table with a key of three columns, for strictly_priced."""
-    return spark.createDataFrame([(*k, v) for k, v in VIDEO.items()], "model string, mode string, seconds int, price double")
+    return static_table(spark, [(*k, v) for k, v in VIDEO.items()], ("model", "mode", "seconds", "price"))
 
 
 def footage_rows(requests: DataFrame) -> DataFrame:

@@ -1,25 +1,27 @@
-"""Overlap of texts with sources as joins on n-grams, for texts too long or too many for array functions."""
+"""Overlap of texts with their sources, a row at a time: texts and source stand in one row, so nothing is shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import common_substring, grams, normalise
+from ..functions.text import common_substring, gram_counts, normalise, share
+
+
+def _counted(pairs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    return pairs.withColumn("_c", gram_counts(normalise(F.col("text")), normalise(F.col("source")), sizes))
 
 
 def gram_share(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, total, hits, overlap) of pairs(key, text, source): how many of the text's n-grams, repeats counted, the source holds."""
-    mine = pairs.select(key, F.explode_outer(grams(normalise(F.col("text")), n)).alias("gram")).groupBy(key, "gram").agg(F.count("gram").alias("n"))
-    theirs = pairs.select(key, F.explode(grams(normalise(F.col("source")), n)).alias("gram")).distinct().withColumn("hit", F.lit(True))
-    both = mine.join(theirs, [key, "gram"], "left").groupBy(key).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("hits"))
-    return both.withColumn("overlap", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(F.lit(0.0)))
+    """(key, total, hits, overlap) of each row of pairs(key, text, source): how many of the text's n-grams, repeats counted, the source holds."""
+    c = F.col("_c")[0]
+    return _counted(pairs, (n,)).select(key, c.total.alias("total"), c.hits.alias("hits"), share(c).alias("overlap"))
 
 
 def gated(pairs: DataFrame, key: str, n: int = 6, most_overlap: float = 0.15, most_shared: int = 12) -> DataFrame:
     """(key, overlap, ok) without any dynamic programming: a common substring longer than most_shared is a shared (most_shared + 1)-gram."""
-    long = gram_share(pairs, key, most_shared + 1).select(key, (F.col("hits") > 0).alias("long"))
-    return gram_share(pairs, key, n).join(long, key).select(key, "overlap", ((F.col("overlap") <= most_overlap) & ~F.col("long")).alias("ok"))
+    short, long = F.col("_c")[0], F.col("_c")[1]
+    return _counted(pairs, (n, most_shared + 1)).select(key, share(short).alias("overlap"), ((share(short) <= most_overlap) & (long.hits == 0)).alias("ok"))
 
 
 def longest_shared(pairs: DataFrame, key: str) -> DataFrame:

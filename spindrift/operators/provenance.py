@@ -20,12 +20,11 @@ def _bucket(x: Column, tolerance: float) -> Column:
 
 def stated(values: DataFrame, source: DataFrame, keys: list[str], tolerance: float = 0.005) -> DataFrame:
     """Rows of values(keys, value) for which source(keys, value) has a value within max(1e-6, tolerance * |value|): a band join as an equi-join on neighbouring buckets, then the exact predicate."""
-    near = values.withColumn("_id", F.monotonically_increasing_id())
     own = _bucket(F.col("value"), tolerance)
-    dealt = near.select(*keys, F.col("value").alias("_v"), F.explode(F.array(*[F.struct(own.sign.alias("sign"), (own.b + d).alias("b")) for d in (-1, 0, 1)])).alias("_b"))
+    dealt = values.select(*keys, F.col("value").alias("_v"), F.explode(F.array(*[F.struct(own.sign.alias("sign"), (own.b + d).alias("b")) for d in (-1, 0, 1)])).alias("_b"))
     # around the border between small and other values both buckets are asked
     other = F.when(own.sign == 0, F.struct(F.signum("value").cast("int").alias("sign"), F.floor(F.log(F.greatest(F.abs("value"), F.lit(1e-300))) / (WIDTH * tolerance / 0.005)).alias("b"))).otherwise(F.struct(F.lit(0).alias("sign"), F.floor(F.col("value") / 2e-6).alias("b")))
-    dealt = dealt.unionByName(near.where(F.abs("value") <= 1e-6 / tolerance * 1.2).select(*keys, F.col("value").alias("_v"), F.explode(F.array(*[F.struct(other.sign.alias("sign"), (other.b + d).alias("b")) for d in (-1, 0, 1)])).alias("_b"))).distinct()
+    dealt = dealt.unionByName(values.where(F.abs("value") <= 1e-6 / tolerance * 1.2).select(*keys, F.col("value").alias("_v"), F.explode(F.array(*[F.struct(other.sign.alias("sign"), (other.b + d).alias("b")) for d in (-1, 0, 1)])).alias("_b"))).distinct()
     asked = source.select(*keys, F.col("value").alias("_s")).distinct().withColumn("_b", _bucket(F.col("_s"), tolerance))
     hit = dealt.join(asked, [*keys, "_b"]).where(F.abs(F.col("_s") - F.col("_v")) <= F.greatest(F.lit(1e-6), tolerance * F.abs("_v"))).select(*keys, F.col("_v").alias("value")).distinct()
     return values.join(hit, [*keys, "value"], "left_semi")

@@ -109,3 +109,14 @@ def furthest(index: Column, key: str, order: str) -> Column:
 
 def chunk(t: Column, seconds: float = 600.0) -> Column:
     return F.floor(t / seconds)
+
+
+def transcript_summary(segments: DataFrame, key: str, known: Column) -> DataFrame:
+    """(key, segments, chars, duration) of segments(key, end, text): the duration that is known, else the latest end."""
+    return segments.groupBy(key).agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.coalesce(F.first(known), F.max("end")).alias("duration"))
+
+
+def processed_or_known(processed: Column, original: Column, name: Column) -> Column:
+    """Seconds of audio that are processed, else the original length; a recording without either stops the query."""
+    usable = F.coalesce(F.when(processed > 0, processed), F.when(original > 0, original))
+    return F.when(usable.isNull(), F.raise_error(F.concat(F.lit("no duration known for "), name))).otherwise(usable)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache
+from ..storage import Files, stored
 
 #: Seconds after which a lock counts as left behind.
 STALE = 3 * 3600
@@ -40,28 +41,26 @@ class Stage:
 
 @dataclass
 class Engine:
-    """Runs stages in order over one folder; results are Parquet tables below it and a JSON record of hashes, costs and runs."""
+    """Runs stages in order over one folder of any store that Spark reaches; results are Parquet tables below it and a JSON record of hashes, costs and runs. What the engine does is told to log."""
 
     spark: SparkSession
     folder: str
     stages: list[Stage]
     budget: float = 1.0
+    log: Callable[[str], None] = lambda line: None
     record: dict = field(default_factory=lambda: {"stages": {}, "runs": []})
 
     def __post_init__(self) -> None:
-        if os.path.exists(self._file):
-            with open(self._file, encoding="utf-8") as f:
-                self.record = json.load(f)
+        self.files = Files(self.spark)
+        if self.files.exists(self._file):
+            self.record = json.loads(self.files.text(self._file))
 
     @property
     def _file(self) -> str:
         return f"{self.folder}/manifest.json"
 
     def _save(self) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        with open(f"{self._file}.part", "w", encoding="utf-8") as f:
-            json.dump(self.record, f, ensure_ascii=False)
-        os.replace(f"{self._file}.part", self._file)
+        self.files.write(self._file, json.dumps(self.record, ensure_ascii=False))
 
     def charge(self, spent: float, usd: float, what: str) -> None:
         if spent + usd > self.budget:
@@ -82,7 +81,8 @@ class Engine:
             for stage in self.stages:
                 key = config_hash({**stage.config(), "parent": parent})
                 known, path = self.record["stages"].get(stage.name), f"{self.folder}/{stage.name}"
-                if not force and known and known["config_hash"] == key and os.path.exists(f"{path}/_SUCCESS"):
+                if not force and known and known["config_hash"] == key and self.files.exists(f"{path}/_SUCCESS"):
+                    self.log(f"{stage.name}: cached")
                     run["stages_cached"].append(stage.name)
                     out[stage.name] = self.spark.read.parquet(path)
                 elif dry_run:
@@ -95,6 +95,7 @@ class Engine:
                     self.invalidate(stage.name)
                     self.record["stages"][stage.name] = {"config_hash": key, "usd": usd, "finished_at": time.strftime("%Y-%m-%dT%H:%M:%S")}
                     run["usd"] = round(run["usd"] + usd, 6)
+                    self.log(f"{stage.name}: done, {usd:.4f} dollars")
                     run["stages_run"].append(stage.name)
                 parent = key
                 if until and stage.name.startswith(until):
@@ -108,35 +109,54 @@ class Engine:
 
 
 def retried_once(rows: DataFrame, check: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected rows: check adds ok; what fails goes through again once and is checked once more."""
-    first = check(rows)
-    second = check(again(first.where(~F.coalesce("ok", F.lit(False))).select(rows.columns)))
-    both = first.where("ok").unionByName(second)
+    """Accepted and rejected rows: check adds ok; what fails goes through again once and is checked once more.
+
+    Both passes are stored before they are split, so each failing row is asked for again once (once more only if a task is lost), however often the results are read. A row that again leaves out is rejected as it was; keys tell rows apart.
+    """
+    first = stored(check(rows))
+    failing = first.where(~F.coalesce("ok", F.lit(False)))
+    second = stored(check(again(failing.select(rows.columns))))
+    left = failing.join(second.select(*keys), keys, "left_anti").select(first.columns)
+    both = first.where("ok").unionByName(second).unionByName(left)
     return both.where("ok").drop("ok"), both.where(~F.coalesce("ok", F.lit(False))).drop("ok")
 
 
 class Lock:
-    """One process at a time in a folder: a file made exclusively; one older than three hours is taken over."""
+    """One process at a time in a folder: a file that only one writer can make; one older than three hours is taken over. With a session the folder may be in any store that Spark reaches."""
 
-    def __init__(self, folder: str):
-        self.path = f"{folder}/.lock"
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.path, self.files = f"{folder}/.lock", Files(spark) if spark else None
 
-    def __enter__(self) -> Lock:
+    def _make(self) -> None:
+        if self.files:
+            self.files.write(self.path, str(os.getpid()), anew=True)
+            return
         os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        with open(self.path, "x") as f:
+            f.write(str(os.getpid()))
+
+    def _age(self) -> float:
+        return self.files.age(self.path) if self.files else time.time() - os.path.getmtime(self.path)
+
+    def _remove(self) -> None:
+        if self.files:
+            self.files.delete(self.path)
+        elif os.path.exists(self.path):
+            os.unlink(self.path)
+
+    def __enter__(self) -> Lock:
         for last in (False, True):
             try:
-                with open(self.path, "x") as f:
-                    f.write(str(os.getpid()))
+                self._make()
                 return self
             except FileExistsError:
-                if last or time.time() - os.path.getmtime(self.path) < STALE:
+                if last or self._age() < STALE:
                     raise RuntimeError(f"{self.path} is held") from None
-                os.unlink(self.path)
+                self._remove()
         raise AssertionError
 
     def __exit__(self, *_) -> None:
-        if os.path.exists(self.path):
-            os.unlink(self.path)
+        self._remove()
 
 
 __all__ = ["BudgetExceeded", "Engine", "Lock", "Stage", "cache", "config_hash", "retried_once"]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce, numerals, text
-from ..operators import cache, choose, gate, ledger, overlap, provenance, timeline
+from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
+from ..sources import adapters, documents
+from ..storage import new_folder
+from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +58,7 @@ SELECT l_orderkey AS video, CASE l_linenumber % 4 WHEN 0 THEN 's1_download' WHEN
 
 
 def _spark_sql(sql: str) -> str:
-    return sql.replace('"end"', "`end`").replace("VARCHAR", "STRING").replace("5e0", "5D").replace("10e0", "10D").replace("3e0", "3D").replace("64e0", "64D").replace("2.5D", "2.5D").replace("2.5e0", "2.5D")
+    return sql.replace('"end"', "`end`").replace("VARCHAR", "STRING").replace("5e0", "5D").replace("10e0", "10D").replace("3e0", "3D").replace("64e0", "64D").replace("2.5e0", "2.5D")
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,14 +97,15 @@ def p1_video_id(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9_\\-]{1,64}') AS safe, regexp_full_match(text, '[A-Za-z0-9_\\-]{1,64}') AS safe_text FROM documents")
 def p2_safe_id(spark: SparkSession, sf: str) -> DataFrame:
-    safe = r"\A[A-Za-z0-9_\-]{1,64}\z"
-    return table(spark, sf, "documents").select("doc_id", F.col("source").rlike(safe).alias("safe"), F.col("text").rlike(safe).alias("safe_text"))
+    return table(spark, sf, "documents").select("doc_id", text.safe_id(F.col("source")).alias("safe"), text.safe_id(F.col("text")).alias("safe_text"))
 
 
-@query("SELECT c_custkey, source_name, '資料來源：' || source_name AS attribution FROM (SELECT c_custkey, CASE WHEN contains(upper(c_mktsegment), 'BUILD') THEN 'BUILDERS (TV)' WHEN c_custkey % 10 = 0 THEN 'unknown' ELSE c_mktsegment END AS source_name FROM customer)")
+@query("SELECT c_custkey, name AS source_name, '根據' || name || '報導指出' AS attribution FROM (SELECT c_custkey, CASE WHEN contains(upper(channel), 'HEALTH 2.0') OR contains(channel, '健康2.0') OR contains(channel, '健康 2.0') THEN 'TVBS《健康2.0》' WHEN channel IS NULL OR channel = '' THEN '原始節目' ELSE channel END AS name FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Health 2.0 ' || c_name WHEN 1 THEN '新健康2.0' WHEN 2 THEN '健康 2.0' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE c_name END AS channel FROM customer))")
 def p3_p4_source_name_and_template(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(F.upper("c_mktsegment").contains("BUILD"), "BUILDERS (TV)").when(F.col("c_custkey") % 10 == 0, "unknown").otherwise(F.col("c_mktsegment"))
-    return table(spark, sf, "customer").select("c_custkey", name.alias("source_name"), F.format_string("資料來源：%s", name).alias("attribution"))
+    kind = F.col("c_custkey") % 6
+    channel = F.when(kind == 0, F.concat(F.lit("Health 2.0 "), "c_name")).when(kind == 1, "新健康2.0").when(kind == 2, "健康 2.0").when(kind == 3, "").when(kind == 5, F.col("c_name"))
+    name = text.source_name(channel)
+    return table(spark, sf, "customer").select("c_custkey", name.alias("source_name"), text.attribution(name).alias("attribution"))
 
 
 RAW = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_partkey % 8 WHEN 0 THEN CAST(l_quantity AS INT)::VARCHAR WHEN 1 THEN CAST(l_linenumber AS VARCHAR) || ':' || lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR), 2, '0') WHEN 2 THEN '1:02:' || CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 3 THEN '12d' WHEN 4 THEN ' 1,234.5 ' WHEN 5 THEN '45%' WHEN 6 THEN '2.5' ELSE 'n/a' END AS raw FROM lineitem)"""
@@ -137,18 +141,95 @@ def p9_data_points(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("l_orderkey", "l_suppkey", F.explode(coerce.points(F.col("p"))).alias("p")).groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("points"), F.sum("p.value").alias("total"))
 
 
-@query(f"SELECT video, pos, id, greatest(1, least(5, hook_score * 2 - 3)) AS hook, has_chart_data AND len(list_filter([v1, v2], lambda x: x > 1)) >= 2 AS has_chart FROM ({TOPICS}) WHERE trim(topic) <> '' AND \"end\" > start + 15")
+#: Items that a reply may hold, by their place (Spark SQL): no object, a plain one, one of texts, one without topic, one without length, one without id.
+ITEMS = """CASE pos % 6 WHEN 0 THEN '"just text"'
+WHEN 1 THEN '{"id": ' || id || ', "start": ' || start || ', "end": ' || `end` || ', "topic": "' || topic || '", "summary": "' || summary || '", "key_points": ["a", " ", "b"], "data_points": [{"label": "x", "value": ' || v1 || ', "unit": "倍"}, {"label": "y", "value": "1,234.5%"}, {"value": "n/a"}, 7], "has_chart_data": ' || has_chart_data || ', "hook_score": ' || (hook_score * 2 - 3) || '}'
+WHEN 2 THEN '{"id": "1", "start": "1:30", "end": "0:02:30", "topic": " two\\\\n", "key_points": "single", "data_points": "none", "has_chart_data": "是", "hook_score": "high"}'
+WHEN 3 THEN '{"id": 9, "start": 0, "end": 60, "topic": " "}'
+WHEN 4 THEN '{"start": 60, "end": 60, "topic": "t"}'
+ELSE '{"start": "12s", "end": 45.5, "topic": "five", "hook_score": null, "has_chart_data": 1, "data_points": [{"value": 2}, {"label": "q", "value": "3", "unit": null}]}' END"""
+CANDIDATES = f"""
+WITH RECURSIVE kept AS (
+  SELECT *, row_number() OVER (PARTITION BY video ORDER BY pos) AS i, CAST(CASE pos % 6 WHEN 2 THEN 1 ELSE pos END AS BIGINT) AS own
+  FROM ({TOPICS}) WHERE pos % 6 IN (1, 2, 5) AND video % 7 <> 0 AND video % 11 <> 0
+), walk AS (
+  SELECT video, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT video FROM kept)
+  UNION ALL
+  SELECT w.video, w.i + 1, list_append(w.ids, CASE WHEN list_contains(w.ids, k.own) THEN list_max(w.ids) + 1 ELSE k.own END) FROM walk w JOIN kept k ON k.video = w.video AND k.i = w.i + 1
+)
+SELECT k.video, CAST(w.ids[k.i] AS INT) AS id, CASE pos % 6 WHEN 1 THEN start WHEN 2 THEN 90e0 ELSE 0e0 END AS start, CASE pos % 6 WHEN 1 THEN "end" WHEN 2 THEN 150e0 ELSE 45.5e0 END AS "end",
+  CASE pos % 6 WHEN 1 THEN topic WHEN 2 THEN 'two' ELSE 'five' END AS topic, CASE pos % 6 WHEN 1 THEN summary ELSE '' END AS summary, CASE pos % 6 WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['single'] ELSE [] END AS key_points,
+  CASE pos % 6 WHEN 1 THEN v1 + 1234.5e0 WHEN 2 THEN 0e0 ELSE 5e0 END AS total, CASE pos % 6 WHEN 1 THEN has_chart_data ELSE pos % 6 = 5 END AS has_chart, CAST(CASE pos % 6 WHEN 1 THEN greatest(1, least(5, hook_score * 2 - 3)) ELSE 1 END AS INT) AS hook
+FROM kept k JOIN walk w ON w.video = k.video AND w.i = k.i
+"""
+
+
+def candidate_replies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = topics(spark, sf).withColumn("item", F.expr(ITEMS))
+    listed = rows.groupBy("video").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x.item), ", ").alias("items"))
+    whole = F.concat(F.lit('{"segments": ['), "items", F.lit("]}"))
+    reply = F.when(F.col("video") % 7 == 0, '{"segments": "none"}').when(F.col("video") % 11 == 0, "no JSON").when(F.col("video") % 3 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    return listed.select("video", reply.alias("reply"))
+
+
+@query(CANDIDATES)
 def p10_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    points = F.size(F.filter(F.array("v1", "v2"), lambda x: x > 1))
-    return topics(spark, sf).where((F.trim("topic") != "") & (F.col("end") > F.col("start") + 15)).select("video", "pos", "id", F.greatest(F.lit(1), F.least(F.lit(5), F.col("hook_score") * 2 - 3)).alias("hook"), (F.col("has_chart_data") & (points >= 2)).alias("has_chart"))
+    found = replies.candidates(candidate_replies(spark, sf)).select("video", F.inline("segments"))
+    total = F.aggregate("data_points", F.lit(0.0), lambda acc, p: acc + p.value)
+    return found.select("video", "id", "start", "end", "topic", "summary", "key_points", total.alias("total"), F.col("has_chart_data").alias("has_chart"), F.col("hook_score").alias("hook"))
+
+
+def human_sql(column: str) -> str:
+    """Numbers of a text in units, for texts without Unicode digits."""
+    exact = "TRY_CAST(regexp_extract(x, '^[0-9]+(\\.[0-9]+)?') AS DOUBLE) * TRY_CAST('1e' || regexp_extract(x, '([0-9]+)$', 1) AS DOUBLE)"
+    digits = f"CASE WHEN {exact} < 1e38 THEN CAST(CAST(trunc({exact}) AS HUGEINT) AS VARCHAR) ELSE left(format('{{:.0f}}', {exact}), length(format('{{:.0f}}', {exact})) - 1) || '1' END"  # beyond, no multiple of a unit
+    powers = f"list_transform(regexp_extract_all({column}, '(?s)[0-9]+(?:\\.[0-9]+)?[eE]\\+?[0-9]+|.'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+(\\.[0-9]+)?[eE]\\+?[0-9]{{1,3}}') AND coalesce(isfinite({exact}), false) THEN {digits} ELSE x END)"
+    runs = f"list_transform(regexp_extract_all(array_to_string({powers}, ''), '(?s)[0-9.]+|[^0-9.]+'), lambda x: struct_pack(x := x, b := ltrim(x, '0'), k := CASE WHEN length(ltrim(x, '0')) >= 9 THEN 8 ELSE 4 END))"
+    return f"array_to_string(list_transform({runs}, lambda s: CASE WHEN regexp_full_match(s.x, '[0-9]{{5,}}') AND length(s.b) BETWEEN 6 AND 300 THEN CASE WHEN ltrim(right(s.b, s.k), '0') = '' THEN left(s.b, length(s.b) - s.k) ELSE printf('%g', CAST(s.b AS DOUBLE) / (CASE s.k WHEN 8 THEN 1e8 ELSE 1e4 END)) END || CASE s.k WHEN 8 THEN '億' ELSE '萬' END ELSE s.x END), '')"
+
+
+#: A conversation as a reply: its turns are lines, by turns plain texts and objects, with a blank line and a number among them.
+SCRIPTS = f"""
+WITH l AS (
+  SELECT conv_id, {human_sql("trim(text, chr(32) || chr(9) || chr(10) || chr(13))")} AS text, role <> 'user' AS emphasis, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+), s AS (
+  SELECT conv_id, list(text ORDER BY i) AS texts, list(emphasis ORDER BY i) AS stressed FROM l GROUP BY conv_id
+), h AS (
+  SELECT conv_id, coalesce(texts, []) AS texts, coalesce(stressed, []) AS stressed, CASE conv_id % 3 WHEN 0 THEN coalesce(texts[1], '') WHEN 1 THEN coalesce(texts[1], '') ELSE '掛勾40萬' END AS hook FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN s USING (conv_id)
+), c AS (
+  SELECT *, len(texts) > 0 AND {normal("texts[1]")} = {normal("hook")} AS again FROM h
+), k AS (
+  SELECT *, CASE WHEN again THEN texts[2:] ELSE texts END AS body, CASE WHEN again THEN stressed[2:] ELSE stressed END AS strong FROM c
+)
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN '標題1000萬' ELSE 'topic ' || conv_id END AS title, hook,
+  CASE WHEN len(list_filter(body, lambda x: contains(x, '根據X報導指出'))) > 0 THEN body ELSE list_concat(list_concat(body[1:1], ['根據X報導指出']), body[2:]) END AS lines,
+  CAST(len(list_filter(strong, lambda x: x)) AS INT) AS stressed, CASE WHEN conv_id % 2 = 0 THEN CASE WHEN conv_id % 4 = 0 THEN 'line' ELSE 'bar' END END AS chart_type, CASE WHEN conv_id % 2 = 0 THEN 'topic ' || conv_id END AS chart_title,
+  CASE WHEN conv_id % 2 = 0 THEN [1e0, 2e0] END AS chart_values, CASE conv_id % 5 WHEN 0 THEN 45e0 WHEN 1 THEN 30e0 WHEN 2 THEN 65e0 ELSE 30e0 END AS est_seconds, 'a shot' AS ai_shot
+FROM k WHERE conv_id % 13 <> 0
+"""
+
+
+def script_replies(spark: SparkSession, sf: str) -> DataFrame:
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    line = F.when(F.col("role") == "user", quoted(F.col("text"))).otherwise(F.concat(F.lit('{"text": '), quoted(F.col("text")), F.lit(', "emphasis": "yes", "visual": " v "}')))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("x"))
+    number = F.col("conv_id")
+    hook = F.when(number % 3 == 0, quoted(F.get("x", F.lit(0)).text)).when(number % 3 == 1, F.lit("null")).otherwise('"掛勾400000"')
+    points = '[{"label": "a", "value": 1, "unit": "x"}, {"label": "b", "value": "2", "unit": "x"}, {"label": "c", "value": 3, "unit": "y"}]'
+    chart = F.format_string('{"type": "%s", "series": [{"name": "s", "points": ' + points + '}, {"name": "empty", "points": [{"value": "n/a"}]}, "junk"]}', F.when(number % 4 == 0, "LINE").otherwise("pie"))
+    seconds = F.when(number % 5 == 0, '"45"').when(number % 5 == 1, "0").when(number % 5 == 2, '"1:05"').otherwise("null")
+    title = F.when(number % 2 == 0, '" 標題1e+07 "').otherwise('""')
+    reply = F.concat(F.lit('{"title": '), title, F.lit(', "hook": '), hook, F.lit(', "lines": ['), F.array_join(F.transform("x", lambda s: s.line), ", "), F.lit(', " ", 5], "chart": '), chart, F.lit(', "est_seconds": '), seconds, F.lit(', "ai_shot": " a shot "}'))
+    return rows.select("conv_id", F.when(number % 13 == 0, "[1, 2]").otherwise(reply).alias("reply"), F.concat(F.lit("topic "), number.cast("string")).alias("topic"), (number % 2 == 0).alias("has_chart_data"), F.lit("根據X報導指出").alias("attribution"))
 
 
-@query(f"SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS said, min_by(text, (turn, role, text)) AS hook, CAST(count(*) FILTER (WHERE NOT (rn = 1 AND {normal('text')} = {normal('first')})) AS BIGINT) AS kept FROM (SELECT *, row_number() OVER w AS rn, lead(text) OVER w AS nxt, first_value(text) OVER w AS first FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) GROUP BY conv_id")
+@query(SCRIPTS)
 def p11_script_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x")).select("conv_id", F.transform("x", lambda s: s.text).alias("lines"))
-    hook = F.get("lines", F.lit(0))
-    body = F.when(coerce.same_line(F.get("lines", F.lit(0)), hook), F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).otherwise(F.col("lines"))
-    return lines.select("conv_id", F.array_join("lines", "").alias("said"), hook.alias("hook"), F.size(body).cast("long").alias("kept"))
+    s = F.col("script")
+    found = replies.scripts(script_replies(spark, sf)).where(s.isNotNull())
+    values = F.flatten(F.transform(s.chart.series, lambda x: F.transform(x.points, lambda p: p.value)))
+    stressed = F.size(F.filter(s.lines, lambda x: x.emphasis))
+    return found.select("conv_id", s.title.alias("title"), s.hook.alias("hook"), F.transform(s.lines, lambda x: x.text).alias("lines"), stressed.alias("stressed"), s.chart.type.alias("chart_type"), s.chart.title.alias("chart_title"), values.alias("chart_values"), s.est_seconds.alias("est_seconds"), s.ai_shot.alias("ai_shot"))
 
 
 @query("SELECT o_custkey, CASE WHEN list_contains(l, '1-URGENT') THEN l WHEN len(l) = 0 THEN ['1-URGENT'] ELSE list_concat(list_concat(l[1:1], ['1-URGENT']), l[2:]) END AS lines FROM (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey)")
@@ -164,10 +245,7 @@ def p13_p14_ledger_predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, pos, id FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY pos) AS r FROM ({TOPICS}) WHERE hook_score >= 3) WHERE r <= 3")
 def p15_accepted_and_cap(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    accepted = topics(spark, sf).where("hook_score >= 3").withColumn("r", F.row_number().over(Window.partitionBy("video").orderBy("pos")))
-    return accepted.where("r <= 3").select("video", "pos", "id")
+    return choose.accepted(topics(spark, sf), F.col("hook_score") >= 3, "video", "pos", 3).select("video", "pos", "id")
 
 
 RECORDS = "(SELECT o_orderkey AS video, stage, left(md5(CAST(o_orderkey % 40 AS VARCHAR) || stage), 16) AS config_hash, [CAST(o_orderkey % 30 AS VARCHAR) || '.json', CAST(o_custkey % 30 AS VARCHAR) || '.wav'] AS outputs FROM orders, (VALUES ('s1_download'), ('s2_transcribe'), ('s3_script'), ('s4_render')) s(stage) WHERE o_orderkey % 7 <> 3 OR stage < 's3')"
@@ -179,7 +257,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("o_orderkey").alias("video"), "stage", F.left(F.md5(F.concat((F.col("o_orderkey") % 40).cast("string"), "stage")), F.lit(16)).alias("config_hash"), F.array(F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(".json")), F.concat((F.col("o_custkey") % 30).cast("string"), F.lit(".wav"))).alias("outputs"))
 
 
-@query(f"SELECT r.video, r.stage, r.config_hash FROM {RECORDS} r WHERE r.config_hash = left(md5(CAST(r.video % 35 AS VARCHAR) || r.stage), 16) AND len(list_filter(r.outputs, lambda p: NOT (p IN (SELECT CAST(p_partkey % 27 AS VARCHAR) || '.json' FROM part) OR p IN (SELECT CAST(p_partkey % 25 AS VARCHAR) || '.wav' FROM part)))) = 0".replace("lambda p: NOT (p IN (SELECT CAST(p_partkey % 27 AS VARCHAR) || '.json' FROM part) OR p IN (SELECT CAST(p_partkey % 25 AS VARCHAR) || '.wav' FROM part))", "lambda p: NOT (regexp_full_match(p, '([0-9]|1[0-9]|2[0-6])\\.json') OR regexp_full_match(p, '([0-9]|1[0-9]|2[0-4])\\.wav'))"))
+@query(f"SELECT r.video, r.stage, r.config_hash FROM {RECORDS} r WHERE r.config_hash = left(md5(CAST(r.video % 35 AS VARCHAR) || r.stage), 16) AND len(list_filter(r.outputs, lambda p: NOT (regexp_full_match(p, '([0-9]|1[0-9]|2[0-6])\\.json') OR regexp_full_match(p, '([0-9]|1[0-9]|2[0-4])\\.wav')))) = 0")
 def p16_fresh_records(spark: SparkSession, sf: str) -> DataFrame:
     have = records(spark, sf)
     wanted = have.select("video", "stage", F.left(F.md5(F.concat((F.col("video") % 35).cast("string"), "stage")), F.lit(16)).alias("config_hash"))
@@ -193,7 +271,7 @@ def p17_reached_stages(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).where(cache.reached(F.col("stage"), "s3")).select("video", "stage")
 
 
-@query(f"SELECT video, list_slice(list(v1 ORDER BY pos) FILTER (WHERE v1 > 0), 1, 2) AS first_two, coalesce(arg_min(topic, pos) FILTER (WHERE topic <> ''), '') AS unit FROM ({TOPICS}) GROUP BY video".replace("list_slice(list(v1 ORDER BY pos) FILTER (WHERE v1 > 0), 1, 2)", "coalesce(list_slice(list(v1 ORDER BY pos) FILTER (WHERE v1 > 0), 1, 2), [])"))
+@query(f"SELECT video, coalesce(list_slice(list(v1 ORDER BY pos) FILTER (WHERE v1 > 0), 1, 2), []) AS first_two, coalesce(arg_min(topic, pos) FILTER (WHERE topic <> ''), '') AS unit FROM ({TOPICS}) GROUP BY video")
 def p18_chart_series(spark: SparkSession, sf: str) -> DataFrame:
     point = F.when(F.col("v1") > 0, F.array(F.struct("v1", F.col("topic").alias("unit")))).otherwise(F.array().cast("array<struct<v1:double,unit:string>>"))
     all_points = F.array(F.struct("v1", F.col("topic").alias("unit")))
@@ -206,16 +284,29 @@ def p19_a12_ordered_text(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.ordered_text(segments(spark, sf), ["video"])
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, CASE WHEN s_acctbal > 0 THEN s_acctbal END, 3000e0) AS basis FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
-def p20_first_usable(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "customer").join(table(spark, sf, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left")
-    return joined.select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")), F.lit(3000.0)).alias("basis"))
+BASIS = """(SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS transcript, CASE WHEN c_custkey % 5 = 1 THEN c_acctbal END AS chars, CASE WHEN c_custkey % 5 = 2 THEN 0 - c_acctbal END AS text_chars, CASE WHEN c_custkey % 5 IN (1, 3) THEN c_acctbal END AS seconds_billed, CASE WHEN c_custkey % 2 = 0 THEN 61.3e0 END AS duration_sec FROM customer)"""
+
+
+@query(f"SELECT c_custkey, CASE WHEN transcript IS NOT NULL THEN length(transcript) WHEN chars > 0 THEN CAST(trunc(chars) AS BIGINT) WHEN text_chars > 0 THEN CAST(trunc(text_chars) AS BIGINT) WHEN seconds_billed > 0 THEN CAST(trunc(seconds_billed * 4) AS BIGINT) WHEN duration_sec > 0 THEN CAST(trunc(duration_sec * 4) AS BIGINT) ELSE 3000 END AS chars, CASE WHEN transcript IS NOT NULL THEN 'transcript' WHEN chars > 0 THEN 'chars' WHEN text_chars > 0 THEN 'text_chars' WHEN seconds_billed > 0 THEN 'seconds_billed x 4.0 chars/s' WHEN duration_sec > 0 THEN 'duration_sec x 4.0 chars/s' ELSE 'assumed' END AS basis FROM {BASIS}")
+def p20_estimate_basis(spark: SparkSession, sf: str) -> DataFrame:
+    k, usd = F.col("c_custkey"), F.col("c_acctbal")
+    given = {"chars": F.when(k % 5 == 1, usd), "text_chars": F.when(k % 5 == 2, 0 - usd), "seconds_billed": F.when((k % 5).isin(1, 3), usd), "duration_sec": F.when(k % 2 == 0, 61.3)}
+    meta = F.create_map(*[x for n, c in given.items() for x in (F.lit(n), c)])
+    chars, basis = replies.estimate_basis(F.when(k % 5 == 0, F.col("c_name")), meta)
+    return table(spark, sf, "customer").select("c_custkey", chars.alias("chars"), basis.alias("basis"))
 
 
-@query(f"SELECT video, coalesce(string_agg('- ' || topic, chr(10) ORDER BY pos) FILTER (WHERE hook_score > 3), '- （無）') AS bullets FROM ({TOPICS}) GROUP BY video")
-def p21_prompt_bullets(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = F.array_sort(F.collect_list(F.when(F.col("hook_score") > 3, F.struct("pos", "topic"))))
-    return topics(spark, sf).groupBy("video").agg(chosen.alias("x")).select("video", F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda s: F.concat(F.lit("- "), s.topic)), "\n")).otherwise("- （無）").alias("bullets"))
+def clock_sql(seconds: str) -> str:
+    return f"lpad(CAST(CAST(floor({seconds} / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({seconds}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+
+
+@query(f"""SELECT video, pos, 'segment_id: ' || id || chr(10) || 'topic: ' || topic || chr(10) || 'summary: ' || summary || chr(10) || 'has_chart_data: ' || has_chart_data || chr(10) || '出處句（必須完整出現在第 1 或第 2 句）：根據X報導指出' || chr(10) || chr(10) || 'key_points:' || chr(10) || CASE WHEN hook_score > 3 THEN '- ' || topic || chr(10) || '- ' || summary ELSE '- （無）' END || chr(10) || chr(10) || 'data_points（數字只能用這些，或逐字稿裡出現的）:' || chr(10) || '- x: ' || printf('%g', v1 / 7) || '%' || chr(10) || '- y: ' || printf('%g', v2 * 234567.8) || chr(10) || chr(10) || '原始逐字稿片段（' || {clock_sql("start")} || '–' || {clock_sql('"end"')} || '，只供了解事實，禁止照抄）：' || chr(10) || 'said ' || pos AS prompt FROM ({TOPICS})""")
+def p21_script_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    points = F.array(F.struct(F.lit("x").alias("label"), (F.col("v1") / 7).alias("value"), F.lit("%").alias("unit")), F.struct(F.lit("y").alias("label"), (F.col("v2") * 234567.8).alias("value"), F.lit("").alias("unit")))
+    keys = F.when(F.col("hook_score") > 3, F.array("topic", "summary")).otherwise(F.array().cast("array<string>"))
+    segment = F.struct("id", "start", "end", "topic", "summary", keys.alias("key_points"), points.alias("data_points"), "has_chart_data")
+    rows = topics(spark, sf).withColumn("s", segment)
+    return rows.select("video", "pos", replies.script_prompt(F.col("s"), F.concat(F.lit("said "), F.col("pos").cast("string")), F.lit("根據X報導指出")).alias("prompt"))
 
 
 @query("SELECT p_partkey, list_filter(list_transform(string_split(upper(p_type) || ' , ,' || p_brand, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS chain FROM part")
@@ -244,11 +335,12 @@ def p26_h3_query_and_name(spark: SparkSession, sf: str) -> DataFrame:
 # Joins
 
 
-@query(f"SELECT t.video, t.id, coalesce(string_agg(s.text, '' ORDER BY s.pos), '') AS window_text, count(*) AS n FROM (SELECT *, video % 150 AS who FROM ({TOPICS})) t JOIN ({SEGMENTS}) s ON s.video = t.who AND s.\"end\" > t.start - 20 AND s.start < t.\"end\" + 20 GROUP BY ALL")
+@query(f"SELECT t.video, t.id, coalesce(string_agg(s.text, '' ORDER BY s.pos), '') AS window_text, count(*) AS n FROM (SELECT *, video % (SELECT max(user_id) + 1 FROM events) AS who FROM ({TOPICS})) t JOIN ({SEGMENTS}) s ON s.video = t.who AND s.\"end\" > t.start - 20 AND s.start < t.\"end\" + 20 GROUP BY ALL")
 def j1_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    spans = topics(spark, sf).select((F.col("video") % 150).alias("who"), F.struct("video", "id").alias("span_id"), F.col("start").alias("lo"), F.col("end").alias("hi"))
+    spans = spark.sql("SELECT video % (SELECT max(user_id) + 1 FROM {events}) AS who, struct(video, id) AS span_id, start AS lo, `end` AS hi FROM {topics}", events=table(spark, sf, "events"), topics=topics(spark, sf))
     pairs = timeline.overlaps(spans, segments(spark, sf).withColumnRenamed("video", "who"), "who", pad=20.0).select("span_id.video", "span_id.id", "pos", "text")
-    return timeline.ordered_text(pairs, ["video", "id"]).join(pairs.groupBy("video", "id").agg(F.count("*").alias("n")), ["video", "id"]).withColumnRenamed("text", "window_text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "")
+    return pairs.groupBy("video", "id").agg(joined.alias("window_text"), F.count("*").alias("n"))
 
 
 PRICES = "(VALUES ('openai/gpt-5', 1.25e0, 10e0), ('openai/gpt-5-mini', 0.25e0, 2e0)) p(key, pin, pout)"
@@ -288,12 +380,12 @@ def j5_u4_near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return gate.near_pairs(topics(spark, sf).select("video", "id", F.concat("topic", "summary").alias("text")), "video")
 
 
-DOC_PAIRS = "(SELECT doc_id, d.text, b.text AS source FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+DOC_PAIRS = "(SELECT doc_id, d.text, b.text AS source FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 
 
 def doc_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("source"))
-    return table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("i")).join(items, "i", "left").select("doc_id", "text", "source")
+    """Each document with one of all the benchmark's items as its source."""
+    return spark.sql("SELECT doc_id, d.text, b.text AS source FROM {d} d LEFT JOIN {b} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {b})", d=table(spark, sf, "documents"), b=table(spark, sf, "benchmark"))
 
 
 def share_sql(n: int) -> str:
@@ -350,12 +442,9 @@ def j9_parent_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT d.doc_id, d.n_chars, l.quality, p.url, c.turns, b.text AS item FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def j10_five_way_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "n_chars")
     turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("turns"))
-    rest = (table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url"), turns, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item")))
-    for other in rest:
-        d = d.join(other, "doc_id", "left")
-    return d
+    rest = [table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url"), turns, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))]
+    return documents.assembled(table(spark, sf, "documents").select("doc_id", "n_chars"), rest, "doc_id")
 
 
 # Aggregations
@@ -384,20 +473,19 @@ def a6_naive_alternative(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, history_usd, spent_usd, CASE WHEN history_usd > 0 AND spent_usd > 0 THEN round(history_usd / spent_usd, 6) END AS ratio FROM (SELECT video, sum(floor(usd)) AS history_usd FROM {RUNS} GROUP BY video) JOIN (SELECT video, {SUMS} FROM ({LEDGER}) GROUP BY video) USING (video)")
 def a7_a16_history_against_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    history = runs(spark, sf).groupBy("video").agg(F.sum(F.floor("usd").cast("double")).alias("history_usd"))
+    history = ledger.history(runs(spark, sf).withColumn("usd", F.floor("usd").cast("double")), "video")
     both = history.join(ledger.rollup(costs(spark, sf), ["video"]).select("video", "spent_usd"), "video")
-    return both.withColumn("ratio", F.when((F.col("history_usd") > 0) & (F.col("spent_usd") > 0), F.round(F.col("history_usd") / F.col("spent_usd"), 6)))
+    return both.withColumn("ratio", ledger.savings_ratio(F.col("history_usd"), F.col("spent_usd")))
 
 
 @query(f"SELECT video, count(*) AS total, count(*) FILTER (WHERE hook_score >= 3) AS selected, count(*) FILTER (WHERE has_chart_data) AS charts, round(count(*) FILTER (WHERE hook_score < 3) * 0.0175e0, 6) AS saved_usd FROM ({TOPICS}) GROUP BY video")
 def a8_a9_counts_and_savings(spark: SparkSession, sf: str) -> DataFrame:
-    clip = sum(t * p for t, p in zip(ledger.STRONG_PASS, ledger.LLM_MILLION["openai/gpt-5"], strict=True)) / 1e6
-    return topics(spark, sf).groupBy("video").agg(F.count("*").alias("total"), F.count_if(F.col("hook_score") >= 3).alias("selected"), F.count_if("has_chart_data").alias("charts"), F.round(F.count_if(F.col("hook_score") < 3) * clip, 6).alias("saved_usd"))
+    return ledger.gate_counts(topics(spark, sf), "video", F.col("hook_score") >= 3, "openai/gpt-5")
 
 
 @query(f"SELECT video, count(*) AS segments, sum(length(text)) AS chars, coalesce(CASE WHEN video % 2 = 0 THEN 100e0 END, max(\"end\")) AS duration FROM ({SEGMENTS}) GROUP BY video")
 def a10_transcript_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return segments(spark, sf).groupBy("video").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.coalesce(F.first(F.when(F.col("video") % 2 == 0, F.lit(100.0))), F.max("end")).alias("duration"))
+    return timeline.transcript_summary(segments(spark, sf), "video", F.when(F.col("video") % 2 == 0, F.lit(100.0)))
 
 
 @query(f"SELECT t.video, t.pos, t.v1 AS value, t.topic AS unit FROM ({TOPICS}) t JOIN (SELECT video, topic, sum(n) OVER (PARTITION BY video) AS total, n, row_number() OVER (PARTITION BY video ORDER BY n DESC, first) AS r FROM (SELECT video, topic, count(*) AS n, min(pos) AS first FROM ({TOPICS}) GROUP BY ALL)) m ON m.video = t.video AND m.topic = t.topic AND r = 1 AND (n >= 2 OR total < 2)")
@@ -413,13 +501,12 @@ def a13_worst_provider(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, sum(d) AS seconds, round(100 * (1 - sum(d) * 0.97 / sum(d)), 2) AS saved_pct, round(sum(d) * 0.25, 4) AS reference_usd FROM (SELECT video, \"end\" - start AS d FROM ({SEGMENTS})) GROUP BY video")
 def a14_a15_seconds_and_render_totals(spark: SparkSession, sf: str) -> DataFrame:
-    total = F.sum(F.col("end") - F.col("start"))
-    return segments(spark, sf).groupBy("video").agg(total.alias("seconds"), F.round(100 * (1 - total * 0.97 / total), 2).alias("saved_pct"), F.round(total * ledger.VIDEO_SECOND, 4).alias("reference_usd"))
+    return ledger.render_totals(segments(spark, sf).select("video", (F.col("end") - F.col("start")).alias("seconds")), "video")
 
 
 @query(f"SELECT stage, coalesce(sum(usd) FILTER (WHERE estimated AND provider <> 'reference'), 0) AS estimate_usd FROM ({LEDGER}) GROUP BY stage")
 def a17_dry_run_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return costs(spark, sf).groupBy("stage").agg(ledger.total(ledger.is_estimate()).alias("estimate_usd"))
+    return ledger.dry_run_estimate(costs(spark, sf), ["stage"])
 
 
 # Order-sensitive operators
@@ -459,7 +546,7 @@ def w2_t3_selection_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, id, start FROM ({TOPICS}) WHERE hook_score >= 4 ORDER BY start, video, pos")
 def t2_chosen_by_start(spark: SparkSession, sf: str) -> DataFrame:
-    return topics(spark, sf).where("hook_score >= 4").orderBy("start", "video", "pos").select("video", "id", "start")
+    return choose.by_start(topics(spark, sf).where("hook_score >= 4"), "video", "pos").select("video", "id", "start")
 
 
 @query(f"SELECT video, pos, round(coalesce(sum(d + 0.25) OVER b, 0), 3) AS start, round(coalesce(sum(d + 0.25) OVER b, 0) + d + 0.25, 3) AS \"end\" FROM (SELECT video, pos, \"end\" - start AS d FROM ({SEGMENTS})) WINDOW b AS (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -476,8 +563,6 @@ def w4_proportional_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, scene, CASE WHEN scene = 0 THEN 0 ELSE min(start) END AS start, CASE WHEN scene = max(scene) OVER (PARTITION BY video) THEN max(total) + 1 ELSE max(\"end\") END AS \"end\" FROM (SELECT *, CASE WHEN i = 0 OR w = 1 THEN 0 ELSE CAST(1 + (i * (w - 1) - 1) // (n - 1) AS INT) END AS scene FROM (SELECT *, pos - 1 AS i, count(*) OVER (PARTITION BY video) AS n, greatest(1, least(5, count(*) OVER (PARTITION BY video))) AS w, 3e0 * (count(*) OVER (PARTITION BY video)) AS total FROM ({SEGMENTS}))) GROUP BY video, scene")
 def w6_scene_windows(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     lines = segments(spark, sf).withColumn("total", 3.0 * F.count("*").over(Window.partitionBy("video"))).withColumn("pos", F.col("pos") - 1)
     return timeline.scenes(lines, "video", F.lit(5))
 
@@ -502,7 +587,11 @@ def w8_f10_packed_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("video", "start", F.concat(F.lit("["), text.clock(F.col("start")), F.lit("] "), "text").alias("line"))
 
 
-@query()
+#: White space as the split pattern has it.
+BLANK = "[ \\t\\n\\v\\f\\r]+"
+
+
+@query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, phrase FROM (SELECT doc_id, unnest(p) AS phrase, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(flatten(list_transform(regexp_extract_all(text, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda s: string_split(list_reduce(list_prepend('', list_filter(regexp_split_to_array(s, '{BLANK}'), lambda w: w <> '')), lambda a, w: CASE WHEN a = '' THEN w WHEN CASE WHEN contains(a, chr(10)) THEN instr(reverse(a), chr(10)) - 1 ELSE length(a) END + length(w) > 30 THEN a || chr(10) || w ELSE a || w END), chr(10)))), lambda x: x <> '') AS p FROM documents))""")
 def w7_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(timeline.phrases(F.col("text"))).alias("pos", "phrase"))
 
@@ -568,25 +657,57 @@ def t6_footage_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, string_split(text, chr(10))[1:3] AS top FROM documents")
 def t7_first_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 3).alias("top"))
+    return table(spark, sf, "documents").select("doc_id", text.first_lines(F.col("text"), 3).alias("top"))
 
 
-@query("SELECT source, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY source ORDER BY source")
+@query("SELECT lang || '/' || source AS folder, min('01_raw.' || doc_id) AS first, max('01_raw.' || doc_id) AS last FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
 def t8_listing_ends(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).orderBy("source")
+    files = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select(F.concat_ws("/", "lang", "source").alias("folder"), F.concat(F.lit("01_raw."), F.col("doc_id").cast("string")).alias("name"))
+    return documents.listing_ends(files)
 
 
 # Sets
 
 
 @query(f"SELECT video, stage, 1 AS part, usd FROM ({LEDGER}) WHERE stage = 's1_download' UNION ALL SELECT video, stage, 2, usd FROM ({LEDGER}) WHERE stage = 's2_transcribe' UNION ALL SELECT video, stage, 3, usd FROM ({LEDGER}) WHERE stage = 's3_script' UNION ALL SELECT video, stage, 4, usd FROM ({LEDGER}) WHERE stage = 's4_render'")
-def u1_u2_union_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = costs(spark, sf)
-    out = None
-    for i, stage in enumerate(ledger.STAGES, 1):
-        part = rows.where(F.col("stage") == stage).select("video", "stage", F.lit(i).alias("part"), "usd")
-        out = part if out is None else out.unionByName(part)
-    return out
+def u1_stage_ledgers(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.in_stage_order(costs(spark, sf)).select("video", "stage", "part", "usd")
+
+
+@query(f"SELECT video, pos, topic, true AS accepted FROM ({TOPICS}) WHERE hook_score >= 3 UNION ALL SELECT video, pos, topic, false FROM ({TOPICS}) WHERE hook_score < 2")
+def u2_accepted_and_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    clips = topics(spark, sf).select("video", "pos", "topic", "hook_score")
+    return replies.with_rejected(clips.where("hook_score >= 3"), clips.where("hook_score < 2")).drop("hook_score")
+
+
+@query("SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice / 2 END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS attempts, o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0 AND o_totalprice / 2 < 100000 AS accepted FROM orders")
+def c5_one_retry(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_totalprice").alias("value"), F.lit(0).alias("attempts"))
+    check = lambda df: df.withColumn("ok", (F.col("o_orderkey") % 3 == 0) | ((F.col("attempts") == 1) & (F.col("o_orderkey") % 5 != 0) & (F.col("value") < 100000)))
+    good, bad = engine.retried_once(rows, check, lambda df: df.withColumns({"value": F.col("price") / 2, "attempts": F.lit(1)}), ["o_orderkey"])
+    return replies.with_rejected(good, bad)
+
+
+@query("SELECT p_partkey, p_type AS query, '[{\"id\": ' || length(p_type) || '}]' AS videos FROM part UNION ALL SELECT p_partkey, ' ' || replace(p_type, ' ', '  '), '[{\"id\": ' || length(p_type) || '}]' FROM part")
+def s18_footage_search(spark: SparkSession, sf: str) -> DataFrame:
+    class Lengths:
+        def search(self, query: str) -> list[dict]:
+            return [{"id": len(query)}]
+
+    part = table(spark, sf, "part")
+    queries = part.select("p_partkey", F.col("p_type").alias("query")).unionAll(part.select("p_partkey", F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit("  ")))))
+    return adapters.searched(queries, spark.createDataFrame([], adapters.FOUND), Lengths(), "city")[0]
+
+
+@query("SELECT p_partkey, CASE t.i WHEN 0 THEN 'input_tokens' ELSE 'output_tokens' END AS unit, CASE t.i WHEN 0 THEN floor((length(p_name) + 3) / 1.3e0) + 1 ELSE floor((length(p_name) + 6) / 1.3e0) + 1 END AS quantity, round((CASE t.i WHEN 0 THEN (floor((length(p_name) + 3) / 1.3e0) + 1) * 0.25e0 ELSE (floor((length(p_name) + 6) / 1.3e0) + 1) * 2e0 END) / 1e6, 6) AS usd FROM part, (VALUES (0), (1)) t(i)")
+def s17_call_and_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    class Echo:
+        def reply(self, model: str, system: str, user: str) -> str:
+            return f'["{user}"]  '
+
+    calls = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("note"), F.col("p_name").alias("prompt"))
+    costs = adapters.chat_costs(adapters.chat(calls, Echo(), "gpt-5-mini", "sys"), "s3_script", "openai", "gpt-5-mini", F.col("note"))
+    return costs.select(F.col("note").cast("long").alias("p_partkey"), "unit", "quantity", "usd")
 
 
 @query(f"SELECT x.video, x.id AS a, y.id AS b, CAST(len(list_intersect([(x.v1, 'a'), (x.v2, 'b')], [(y.v1, 'a'), (y.v2, 'b')])) AS INT) AS shared, greatest(0, least(x.\"end\", y.\"end\") - greatest(x.start, y.start)) / greatest(1e-6, least(x.\"end\" - x.start, y.\"end\" - y.start)) AS time_share FROM ({TOPICS}) x JOIN ({TOPICS}) y ON x.video = y.video AND y.id = x.id + 1")
@@ -616,9 +737,9 @@ def f7_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS lines FROM (SELECT doc_id, flatten(list_transform(string_split(trim(text, ' '), chr(10)), lambda p: CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '[^\\n]{40}[，。、！？：；」』）》…,.!?:;)]*|[^\\n]+') END)) AS lines FROM documents)")
 def f9_wrap(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", text.wrap(F.col("text"), 40).alias("lines"))
+    return table(spark, sf, "documents").select("doc_id", text.wrap(F.col("text"), 40).alias("lines"))
 
 
 @query("SELECT event_id, regexp_replace('[bold red]' || event_type || '[/] ' || props || '[x]', '\\[/?(?:(?:bold|dim|italic|underline|red|green|yellow|blue|cyan|magenta|white|black)\\s?)*\\]', '', 'g') AS line, TRY_CAST(regexp_extract('segment_id: ' || event_id || ' x', 'segment_id:\\s*(\\d+)', 1) AS BIGINT) AS segment, translate('１２' || event_id, '０１２３４５６７８９', '0123456789') AS digits FROM events")
@@ -636,12 +757,43 @@ def n1_n8_numbers_in(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_sort(numerals.values(numerals.number_tokens("text"))).alias("vals"))
 
 
-@query()
+#: Numbers of a text with ASCII digits only, as the tables' texts are.
+FIGURES = "list_transform(regexp_extract_all(coalesce({0}, ''), '[0-9][0-9,.]*'), lambda x: struct_pack(tok := x, v := CAST(regexp_extract(replace(x, ',', ''), '^[0-9]+(\\.[0-9]+)?') AS DOUBLE)))"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INT) AS pos, t.tok AS tok, [t.v] AS vals FROM (SELECT doc_id, unnest(f) AS t, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, {FIGURES.format('text')} AS f FROM documents))")
 def n6_n7_number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("doc_id", "pos", "t.tok", "t.vals")
 
 
-@query()
+#: Texts with Chinese numerals and what they say, by hand: (text, [(token, readings)]).
+SAID = (
+    ("一萬五", [("一萬五", [15000])]), ("1萬5", [("1萬5", [1, 15000])]), ("1.5萬", [("1.5萬", [1.5, 15000])]), ("五千八百億", [("五千八百億", [580000000000])]), ("四十年", [("四十", [40])]), ("百分之四十", [("百分之四十", [40])]),
+    ("四成", [("四", [4]), ("四成", [40])]), ("四成本", [("四", [4])]), ("兩千三百八十萬", [("兩千三百八十萬", [23800000])]), ("2,380萬", [("2,380萬", [2380, 23800000])]), ("三點五", [("三點五", [3.5])]), ("九字頭", [("九", [9]), ("九字頭", [90])]),
+    ("豪宅70到80萬/坪", [("70", [70, 700000]), ("80萬", [80, 800000])]), ("三百零五", [("三百零五", [350])]), ("一千零五", [("一千零五", [1500])]), ("二〇二五", [("二〇二五", [5])]), ("三萬二三萬四", [("三萬二三萬四", [32000, 34000])]),
+    ("5800億2025縮到4100多億", [("5800億", [5800, 580000000000]), ("2025", [2025]), ("4100", [4100])]), ("１２３", [("１２３", [123])]), ("萬億", []), ("", []),
+)
+SAID_SQL = " UNION ALL ".join(f"SELECT {i} AS k, {pos} AS pos, '{tok}' AS tok, CAST([{', '.join(map(str, vals))}] AS DOUBLE[]) AS vals" for i, (_, found) in enumerate(SAID) for pos, (tok, vals) in enumerate(found))
+
+
+@query(SAID_SQL)
+def n2_n5_chinese_numerals(spark: SparkSession, sf: str) -> DataFrame:
+    said = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SAID)], "k int, text string")
+    return said.select("k", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("k", "pos", "t.tok", "t.vals")
+
+
+#: Values with units, what a source states, and whether it states the value, by hand.
+UNITS = ((23800000, "元", "兩千三百八十萬", True), (2380, "萬元", "兩千三百八十萬", True), (5800, "億", "五千八百億", True), (5800, "萬", "五千八百億", False), (15.75, "倍", "15.7倍", True), (15.9, "倍", "15.7倍", False), (40, "%", "四成", True), (3.5, "", "三點五", True), (70, "萬", "豪宅70到80萬/坪", True))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS k, {str(stated).lower()} AS stated" for i, (_, _, _, stated) in enumerate(UNITS)))
+def n10_n11_chinese_units(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, float(v), u, t) for i, (v, u, t, _) in enumerate(UNITS)], "k int, value double, unit string, text string")
+    rows = rows.withColumn("source", numerals.values(numerals.number_tokens("text")))
+    return rows.select("k", numerals.value_stated(F.col("value"), F.col("unit"), F.col("source")).alias("stated"))
+
+
+@query(f"SELECT doc_id, list_transform(list_filter({FIGURES.format('text')}, lambda t: t.v <> 2024 AND len(list_filter({FIGURES.format('source')}, lambda o: abs(o.v - t.v) <= greatest(1e-6, 0.005 * abs(t.v)))) = 0), lambda t: t.tok) AS unstated FROM {DOC_PAIRS}")
 def n9_unstated_numbers(spark: SparkSession, sf: str) -> DataFrame:
     pairs = doc_pairs(spark, sf).withColumn("mine", numerals.number_tokens("text")).withColumn("theirs", numerals.values(numerals.number_tokens("source")))
     return pairs.select("doc_id", numerals.unstated(F.col("mine"), F.col("theirs"), F.array(F.lit(2024.0))).alias("unstated"))
@@ -658,14 +810,14 @@ def n10_value_stated(spark: SparkSession, sf: str) -> DataFrame:
 CHART = "(SELECT o_custkey AS clip, o_orderpriority AS series, o_orderkey AS pos, CAST(o_orderkey % 20 AS DOUBLE) AS value FROM orders)"
 
 
-@query(f"SELECT clip, series, pos, value FROM (SELECT *, count(*) OVER (PARTITION BY clip, series) AS n FROM (SELECT * FROM {CHART} c WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = c.clip AND (abs(c_custkey % 20 - value) <= greatest(1e-6, 0.005 * value) OR abs(c_custkey % 13 - value) <= greatest(1e-6, 0.005 * value) OR abs(c_custkey % 11 - value) <= greatest(1e-6, 0.005 * value) OR value > 12)))) WHERE n >= 2".replace("OR value > 12", "OR abs(c_nationkey - value) <= greatest(1e-6, 0.005 * value)"))
+@query(f"SELECT clip, series, pos, value FROM (SELECT *, count(*) OVER (PARTITION BY clip, series) AS n FROM (SELECT * FROM {CHART} c WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = c.clip AND (abs(c_custkey % 20 - value) <= greatest(1e-6, 0.005 * value) OR abs(c_custkey % 13 - value) <= greatest(1e-6, 0.005 * value) OR abs(c_custkey % 11 - value) <= greatest(1e-6, 0.005 * value) OR abs(c_nationkey - value) <= greatest(1e-6, 0.005 * value))))) WHERE n >= 2")
 def n11_checked_chart(spark: SparkSession, sf: str) -> DataFrame:
     points = table(spark, sf, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderpriority").alias("series"), F.col("o_orderkey").alias("pos"), F.lit("x").alias("label"), (F.col("o_orderkey") % 20).cast("double").alias("value"), F.lit("").alias("unit"))
     source = table(spark, sf, "customer").select(F.col("c_custkey").alias("clip"), F.explode(F.array(*[(F.col("c_custkey") % k).cast("double") for k in (20, 13, 11)], F.col("c_nationkey").cast("double"))).alias("value"))
     return provenance.checked_chart(points, source, "clip").select("clip", "series", "pos", "value")
 
 
-@query()
+@query(f"SELECT doc_id, {human_sql('text')} AS text FROM documents")
 def n12_humanised(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", numerals.humanise("text").alias("text"))
 
@@ -682,10 +834,11 @@ def n14_token_and_pass_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", ledger.tokens_estimate(F.col("text")).alias("tokens"), F.col("p")[0].input_tokens.alias("cheap_in"), F.col("p")[0].output_tokens.cast("int").alias("cheap_out"), F.col("p")[1].input_tokens.cast("int").alias("strong_in"), F.col("p")[1].output_tokens.cast("int").alias("strong_out"))
 
 
-@query("SELECT DISTINCT s, round(greatest(0, s - 5 - 10) * (1 - 0.03e0) / 1.25e0, 1) AS processed, greatest(9, (CAST(round_even(s * 24, 0) AS BIGINT) + 6) // 8 * 8 + 1) AS frames, CASE WHEN s <= 6 THEN 6 ELSE 10 END AS six, CASE WHEN s <= 5 THEN 5 ELSE 10 END AS five FROM (SELECT l_quantity / 4 AS s FROM lineitem)")
+@query("SELECT *, round(greatest(0, s - 5 - 10) * (1 - 0.03e0) / 1.25e0, 1) AS processed, greatest(9, (CAST(round_even(s * 24, 0) AS BIGINT) + 6) // 8 * 8 + 1) AS frames, CASE WHEN s <= 6 THEN 6 ELSE 10 END AS six, CASE WHEN s <= 5 THEN 5 ELSE 10 END AS five FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity / 4 AS s FROM lineitem)")
 def n15_n16_n17_durations(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s")
-    return table(spark, sf, "lineitem").select((F.col("l_quantity") / 4).alias("s")).distinct().select("s", ledger.processed_seconds(s, 5, 10, 1.25).alias("processed"), ledger.frames(s).alias("frames"), ledger.snapped(s, 6, 10).alias("six"), ledger.snapped(s, 5, 10).alias("five"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_quantity") / 4).alias("s"))
+    return rows.select("*", ledger.processed_seconds(s, 5, 10, 1.25).alias("processed"), ledger.frames(s).alias("frames"), ledger.snapped(s, 6, 10).alias("six"), ledger.snapped(s, 5, 10).alias("five"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 30 / 60, 3) AS minutes, round(l_quantity * 30 / 60 * 0.003e0, 6) AS stt_usd, round(l_extendedprice * 0.25e0, 4) AS video_usd FROM lineitem")
@@ -713,12 +866,14 @@ def h2_shot_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.nope.deep'), '-') AS deep FROM events")
 def h6_nested_access(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")).cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.nope.deep"), F.lit("-")).alias("deep"))
+    props = F.col("props")
+    return table(spark, sf, "events").select("event_id", text.nested(props, "$.k", F.lit("0")).cast("long").alias("k"), text.nested(props, "$.nope.deep", F.lit("-")).alias("deep"))
 
 
 @query("SELECT c_custkey, c_mktsegment || '.json' AS script, c_name || '.wav' AS audio, CAST(3 AS INT) AS n FROM customer")
 def h7_map_merge(spark: SparkSession, sf: str) -> DataFrame:
-    merged = F.map_concat(F.create_map(F.lit("script"), F.concat("c_mktsegment", F.lit(".json"))), F.map_from_entries(F.array(F.struct(F.lit("audio"), F.concat("c_name", F.lit(".wav"))), F.struct(F.lit("x"), F.lit("y")))))
+    old = F.create_map(F.lit("script"), F.concat("c_mktsegment", F.lit(".json")), F.lit("audio"), F.lit("old"))
+    merged = cache.with_outputs(old, F.create_map(F.lit("audio"), F.concat("c_name", F.lit(".wav")), F.lit("x"), F.lit("y")))
     return table(spark, sf, "customer").withColumn("m", merged).select("c_custkey", F.col("m")["script"].alias("script"), F.col("m")["audio"].alias("audio"), F.size("m").alias("n"))
 
 
@@ -750,28 +905,16 @@ def k7_cost_table(spark: SparkSession, sf: str) -> DataFrame:
 # Sources, sinks, prices
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    import os
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}"
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s1_s3_k1_document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources import documents
-
-    path = _folder(spark, "documents")
+    path = new_folder(spark, "documents")
     documents.write_documents(table(spark, sf, "nation"), path, "n_regionkey")
     return documents.strict(spark, path, "n_nationkey int, n_name string, n_regionkey int", by_line=True).select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
 def s4_k3_k6_appended_state(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources import documents
-
-    path, rows = _folder(spark, "state"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    path, rows = new_folder(spark, "state"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
     for odd in (0, 1):
         documents.append(rows.where(F.col("s_suppkey") % 2 == odd), path)
     return documents.state(spark, path, "s_suppkey long, s_name string")

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from ..functions.text import collapse
+from ..operators import ledger
+from ..operators.cache import search_name
+from ..storage import stored
+
 
 class ChatModel(Protocol):
     def reply(self, model: str, system: str, user: str) -> str: ...
@@ -34,7 +39,19 @@ class Footage(Protocol):
     def search(self, query: str) -> list[dict]: ...
 
 
-Speech = Callable[[str], float]
+class AudioSource(Protocol):
+    def download(self, url: str, stem: str) -> str:
+        """Fetches a recording's audio beside stem; the path of the file."""
+        ...
+
+
+class Fetcher(Protocol):
+    def fetch(self, link: str, path: str) -> None: ...
+
+
+#: Says a text into a file; the seconds it takes.
+Synth = Callable[[str, str], float]
+#: The seconds that a file takes.
 Probe = Callable[[str], float]
 
 
@@ -77,6 +94,37 @@ class FakeVideo:
         return f"{self.name}/{hashlib.sha1(f'{prompt}{seconds}{seed}'.encode()).hexdigest()[:12]}.mp4"
 
 
+@dataclass
+class CannedFootage:
+    """Videos from a table of queries; the queries asked are counted by `asked`, if it is given."""
+
+    videos: dict[str, list[dict]]
+    asked: Callable[[str], None] | None = None
+
+    def search(self, query: str) -> list[dict]:
+        if self.asked:
+            self.asked(query)
+        return self.videos.get(query, [])
+
+
+@dataclass
+class CannedAudio:
+    """Paths as a download would write them; links it doesn't know fail."""
+
+    known: set[str]
+    suffix: str = "m4a"
+
+    def download(self, url: str, stem: str) -> str:
+        if url not in self.known:
+            raise ProviderError(f"no audio for {url}")
+        return f"{stem}.{self.suffix}"
+
+
+def paced(characters_a_second: float = 4.0) -> Synth:
+    """A stand-in voice that takes time in proportion to the text and writes nothing."""
+    return lambda text, path: round(len(text) / characters_a_second, 3)
+
+
 class Chain:
     """Providers in order; after a ProviderError the next one serves this and all later calls, other errors pass through."""
 
@@ -123,14 +171,92 @@ def parsed(reply: Column, schema: str) -> Column:
 
 
 def chat(rows: DataFrame, service: ChatModel, model: str, system: str, user: str = "prompt") -> DataFrame:
-    """rows with reply, and the tokens in and out that the call is billed by; calls run once in each task, not within a query plan that may repeat them."""
+    """rows with reply, and the tokens in and out that the call is billed by. The replies are stored before they are returned, so each row is asked once (once more only if a task is lost), however often the result is read."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             replies = [service.reply(model, system, u) for u in b[user]]
             yield b.assign(reply=replies, input_tokens=[int((len(u) + len(system)) / 1.3) + 1 for u in b[user]], output_tokens=[int(len(r) / 1.3) + 1 for r in replies])
 
-    return rows.mapInPandas(call, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reply string, input_tokens long, output_tokens long")
+    return stored(rows.mapInPandas(call, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reply string, input_tokens long, output_tokens long"))
+
+
+def chat_costs(replies: DataFrame, stage: str, provider: str, model: str, note: Column) -> DataFrame:
+    """The two ledger rows (tokens in and out) of each of chat's replies."""
+    usage = replies.select(F.lit(stage).alias("stage"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), "input_tokens", "output_tokens", F.lit(False).alias("estimated"), note.alias("note"))
+    return ledger.llm_rows(usage)
+
+
+FOUND = "query string, name string, videos string"
+
+
+def searched(queries: DataFrame, kept: DataFrame, service: Footage, default: str) -> tuple[DataFrame, DataFrame]:
+    """queries(query) with videos (JSON), and the rows to add to the cache kept(query, name, videos).
+
+    White space in queries is collapsed; an empty one is the default. Each different query that the cache lacks is asked once; the answers are stored before they are returned. The number of rows to add is the number of requests.
+    """
+    tidy = queries.withColumn("_q", collapse(F.col("query"), default)).withColumn("_name", search_name(F.col("_q")))
+    missing = tidy.select(F.col("_q").alias("query"), F.col("_name").alias("name")).distinct().join(kept.select("name").distinct(), "name", "left_anti").select("query", "name")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(videos=[json.dumps(service.search(q), ensure_ascii=False) for q in b["query"]])
+
+    added = stored(missing.mapInPandas(ask, FOUND))
+    known = kept.select("name", "videos").unionByName(added.select("name", "videos")).groupBy("name").agg(F.max("videos").alias("videos"))
+    return tidy.join(known.withColumnRenamed("name", "_name"), "_name", "left").select(*queries.columns, "videos"), added
+
+
+def downloaded(recordings: DataFrame, source: AudioSource, folder: str) -> DataFrame:
+    """recordings(video_id, url) with audio_path, stored: each is fetched once."""
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"video_id": b["video_id"], "url": b["url"], "audio_path": [source.download(u, f"{folder}/{v}/01_raw") for v, u in zip(b["video_id"], b["url"], strict=True)]})
+
+    return stored(recordings.select("video_id", "url").mapInPandas(fetch, "video_id string, url string, audio_path string"))
+
+
+def probed(files: DataFrame, probe: Probe, path: str = "path") -> DataFrame:
+    """files with seconds, as the probe measures them; nothing for a null path."""
+
+    @F.pandas_udf("double")
+    def measure(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else float(probe(p)))
+
+    return files.withColumn("seconds", measure(F.col(path)))
+
+
+def trimmed(wanted: DataFrame, kept: DataFrame, fetcher: Fetcher, folder: str, most_seconds: float) -> DataFrame:
+    """(id, path) of wanted(id, link): a file for each id that holds its first seconds; those in kept(path) are not fetched again. Each other id is fetched once, and the result stored."""
+    size = f"{most_seconds:g}s"
+    named = wanted.groupBy("id").agg(F.min("link").alias("link")).withColumn("path", F.concat(F.lit(f"{folder}/"), F.col("id").cast("string"), F.lit(f"_{size}.mp4")))
+    there = named.join(kept.select("path").distinct(), "path", "left_semi").select("id", "path")
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for link, path in zip(b["link"], b["path"], strict=True):
+                fetcher.fetch(link, path)
+            yield b[["id", "path"]]
+
+    kind = dict(wanted.dtypes)["id"]
+    missing = named.join(kept.select("path").distinct(), "path", "left_anti").select("id", "path", "link")
+    return there.unionByName(stored(missing.mapInPandas(fetch, f"id {kind}, path string")))
+
+
+def spoken(lines: DataFrame, synth: Synth, folder: str) -> DataFrame:
+    """(clip, pos, text, path, seconds) of lines(clip, pos, text): a file for each line, said once by the given voice; a line of no length stops the query. timeline.running_spans gives their places in the whole, with the gap after each."""
+
+    def say(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            paths = [f"{folder}/{c}_line_{p:02d}.mp3" for c, p in zip(b["clip"], b["pos"], strict=True)]
+            seconds = [float(synth(t, p)) for t, p in zip(b["text"], paths, strict=True)]
+            if silent := [t for t, s in zip(b["text"], seconds, strict=True) if s <= 0]:
+                raise ProviderError(f"no audio for {silent[0][:30]!r}")
+            yield b.assign(path=paths, seconds=seconds)
+
+    kinds = dict(lines.dtypes)
+    return stored(lines.select("clip", "pos", "text").mapInPandas(say, f"clip {kinds['clip']}, pos {kinds['pos']}, text string, path string, seconds double"))
 
 
 def transcribe(chunks: DataFrame, service: SpeechToText) -> DataFrame:

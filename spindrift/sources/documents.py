@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..storage import Files
 
 CORRUPT = "_corrupt_record"
 
@@ -22,19 +23,12 @@ def strict(spark: SparkSession, path: str, schema: str, by_line: bool = False) -
 
 def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Documents with name, the folder of each; what can't be read as JSON is left out, and a path without files gives no rows."""
-    found = _exists(spark, path)
-    if not found:
+    if not Files(spark).found(path):
         return spark.createDataFrame([], f"{schema}, name string")
     read = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return read.withColumn("name", folder_name(F.col("_metadata.file_path"))).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
-    return bool(found)
-
-
 def recordings(spark: SparkSession, base: str) -> DataFrame:
     """Manifests of all folders below base, with name; folders without one don't count."""
     return tolerant(spark, f"{base}/*/manifest.json", schemas.MANIFEST)
@@ -42,7 +36,7 @@ def recordings(spark: SparkSession, base: str) -> DataFrame:
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, empty where there is none yet; nothing is created by looking."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if Files(spark).found(path) else spark.createDataFrame([], schema)
 
 
 def cached(table: DataFrame, key: str) -> DataFrame:
@@ -50,6 +44,37 @@ def cached(table: DataFrame, key: str) -> DataFrame:
     return table.where(F.col("key") == key)
 
 
+SIDECAR = "key string, provider string, model string, prompt string, seconds double, seed long, wall_seconds double"
+
+
+def sidecars(spark: SparkSession, path: str, made: str = "mp4") -> DataFrame:
+    """(path, key, ...) of the JSON files beside generated ones: path is the generated file's, of the same stem; what can't be read is left out."""
+    if not Files(spark).found(path):
+        return spark.createDataFrame([], f"path string, {SIDECAR}")
+    read = spark.read.schema(f"{SIDECAR}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    named = read.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", f".{made}"))
+    return named.where(F.col(CORRUPT).isNull()).select("path", *[f.split()[0] for f in SIDECAR.split(", ")])
+
+
+def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(folder, name) of the files below folder whose names match a pattern; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
+    parts = F.split("path", "/")
+    return files.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("folder"), F.element_at(parts, -1).alias("name"))
+
+
+def listing_ends(files: DataFrame) -> DataFrame:
+    """(folder, first, last): the first and last name of each folder in the order of a sorted listing."""
+    return files.groupBy("folder").agg(F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+def assembled(base: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
+    """All rows of base with what the other documents of their key add; what is missing is null."""
+    for other in others:
+        base = base.join(other, key, "left")
+    return base
+
+
 def settings(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of the lines key=value of a text file, without comments and outer quotes."""
     pattern = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$"

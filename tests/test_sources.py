@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift import schemas
+from spindrift.operators import cache, timeline
 from spindrift.plans import engine
 from spindrift.sources import adapters, documents
 from spindrift.streaming import ledger as stream
@@ -75,6 +76,100 @@ def test_adapters(spark):
     assert spark.read.format("recordings").option("items", items).load().first().duration == 9.5
 
 
+def test_calls_run_once(spark, tmp_path):
+    """However often results are read, a service is asked once for each row, and an engine's row is tried again once."""
+    asked = f"{tmp_path}/asked"
+
+    class Noted:
+        def reply(self, model, system, user):
+            with open(asked, "a") as f:
+                f.write(user + "\n")
+            return '{"x": 1}'
+
+    df = spark.createDataFrame([("a",), ("bb",)], "prompt string")
+    replies = adapters.chat(df, Noted(), "gpt-5", "sys")
+    replies.count(), replies.collect()
+    assert sorted(open(asked).read().split()) == ["a", "bb"]
+    rows = adapters.chat_costs(replies, "s3_script", "openai", "gpt-5", F.col("prompt")).orderBy("note", "unit").collect()
+    assert [(r.note, r.unit, r.quantity, r.usd) for r in rows] == [("a", "input_tokens", 4.0, 5e-6), ("a", "output_tokens", 7.0, 7e-5), ("bb", "input_tokens", 4.0, 5e-6), ("bb", "output_tokens", 7.0, 7e-5)]
+    tries = f"{tmp_path}/tries"
+
+    def again(failing):
+        def call(batches):
+            for b in batches:
+                with open(tries, "a") as f:
+                    f.writelines(f"{k}\n" for k in b["k"])
+                kept = b[b["k"] != 4]
+                yield kept.assign(x=kept["x"] - 4)
+
+        return failing.mapInPandas(call, "k int, x int")
+
+    rows = spark.createDataFrame([(1, 0), (2, 5), (3, 9), (4, 9), (5, 5)], "k int, x int")
+    good, bad = engine.retried_once(rows, lambda df: df.withColumn("ok", F.col("x") < 3), again, ["k"])
+    for _ in range(2):
+        assert sorted(map(tuple, good.collect())) == [(1, 0), (2, 1), (5, 1)]
+        assert sorted(map(tuple, bad.collect())) == [(3, 5), (4, 9)]
+    assert sorted(open(tries).read().split()) == ["2", "3", "4", "5"]
+
+
+def test_footage_speech_and_files(spark, tmp_path):
+    asked = f"{tmp_path}/asked"
+
+    def note(query):
+        with open(asked, "a") as f:
+            f.write(query + "|")
+
+    service = adapters.CannedFootage({"old town": [{"id": 1}], "city": [{"id": 2}]}, note)
+    kept = spark.createDataFrame([("sea", "", "[]")], adapters.FOUND).withColumn("name", cache.search_name(F.col("query")))
+    queries = spark.createDataFrame([("  old   town",), ("old town",), ("",), (None,), ("sea",)], "query string")
+    found, added = adapters.searched(queries, kept, service, "city")
+    got = {(r.query, r.videos) for r in found.collect()}
+    assert got == {("  old   town", '[{"id": 1}]'), ("old town", '[{"id": 1}]'), ("", '[{"id": 2}]'), (None, '[{"id": 2}]'), ("sea", "[]")}
+    assert sorted(filter(None, open(asked).read().split("|"))) == ["city", "old town"] and added.count() == 2
+    found, added = adapters.searched(queries, kept.unionByName(added), service, "city")
+    assert added.count() == 0 and {(r.query, r.videos) for r in found.collect()} == got
+
+    lines = spark.createDataFrame([("c", 0, "eight ch"), ("c", 1, "four")], "clip string, pos int, text string")
+    said = adapters.spoken(lines, adapters.paced(), "out").orderBy("pos").collect()
+    assert [(r.path, r.seconds) for r in said] == [("out/c_line_00.mp3", 2.0), ("out/c_line_01.mp3", 1.0)]
+    start, end = timeline.running_spans(F.col("seconds"), 0.25, "clip", "pos")
+    assert [(r.s, r.e) for r in adapters.spoken(lines, adapters.paced(), "out").select(start.alias("s"), end.alias("e")).orderBy("s").collect()] == [(0.0, 2.25), (2.25, 3.5)]
+    with pytest.raises(Exception, match="no audio"):
+        adapters.spoken(lines, lambda text, path: 0.0, "out")
+
+    recordings = spark.createDataFrame([("v", "u")], "video_id string, url string")
+    audio = adapters.downloaded(recordings, adapters.CannedAudio({"u"}), "w")
+    assert adapters.probed(audio, lambda p: len(p), "audio_path").first().seconds == len("w/v/01_raw.m4a")
+    with pytest.raises(Exception, match="no audio"):
+        adapters.downloaded(recordings, adapters.CannedAudio(set()), "w")
+
+    fetched = f"{tmp_path}/fetched"
+
+    class Store:
+        def fetch(self, link, path):
+            with open(fetched, "a") as f:
+                f.write(f"{link}>{path}\n")
+
+    wanted = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, link string")
+    clips = adapters.trimmed(wanted, spark.createDataFrame([("f/1_8s.mp4",)], "path string"), Store(), "f", 8.0)
+    assert sorted(map(tuple, clips.collect())) == [(1, "f/1_8s.mp4"), (2, "f/2_8s.mp4")] and open(fetched).read() == "b>f/2_8s.mp4\n"
+
+    base = f"{tmp_path}/shots"
+    write(base, "a.json", {"key": "k1", "provider": "p"})
+    write(base, "b.json", {"key": "k2"})
+    write(base, "c.json", "{broken")
+    for name in "abc":
+        write(base, f"{name}.mp4", "film" if name != "b" else "x")
+    side, files = documents.sidecars(spark, f"{base}/*.json"), documents.listing(spark, base, "*.mp4")
+    names = files.select(F.concat_ws("/", "folder", "name").alias("path"))
+    asked_for = spark.createDataFrame([(f"file:{base}/a.mp4", "k1"), (f"file:{base}/b.mp4", "other"), (f"file:{base}/c.mp4", "k3")], "path string, key string")
+    same = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    assert {(r.path[-5:], r.cached) for r in cache.sidecar_hits(same(asked_for), same(side), same(names)).collect()} == {("a.mp4", True), ("b.mp4", False), ("c.mp4", False)}
+    assert documents.sidecars(spark, f"{base}/none/*.json").collect() == []
+    ends = documents.listing_ends(files).first()
+    assert (ends["first"], ends["last"]) == ("a.mp4", "c.mp4")
+
+
 def test_engine(spark, tmp_path):
     setting = {"x": 1}
     calls = []
@@ -116,6 +211,25 @@ def test_retry_and_lock(spark, tmp_path):
             pass
     with engine.Lock(str(tmp_path)):
         pass
+    shared = f"file://{tmp_path}/shared"
+    with engine.Lock(shared, spark) as lock:
+        with pytest.raises(RuntimeError):
+            engine.Lock(shared, spark).__enter__()
+        os.utime(f"{tmp_path}/shared/.lock", (0, time.time() - 4 * 3600))
+        with engine.Lock(shared, spark):
+            pass
+    with engine.Lock(shared, spark):
+        pass
+
+
+def test_engine_on_a_path_of_the_store(spark, tmp_path):
+    """By a path that only Hadoop's file systems read."""
+    said = []
+    made = lambda: engine.Engine(spark, f"file://{tmp_path}/run", [engine.Stage("one", lambda _: spark.range(2))], log=said.append)
+    made().run()
+    e = made()
+    e.run()
+    assert e.last_run["stages_cached"] == ["one"] and len(e.record["runs"]) == 2 and said == ["one: done, 0.0000 dollars", "one: cached"]
 
 
 def test_streams(spark, tmp_path):
