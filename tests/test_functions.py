@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindrift.functions import coerce, numerals, text
-from spindrift.operators import cache, choose, gate, ledger, overlap, provenance, timeline
+from spindrift.operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
 
 
 def one(spark, column, **values):
@@ -303,3 +303,95 @@ def test_settings_and_names(spark):
     assert one(spark, adapters.converted(F.col("t"), {"国": "國"}), t=(" 中国 ", "string")) == "中國"
     assert one(spark, F.length(documents.now())) == 19
     assert ledger.footage_rows(spark.createDataFrame([("p", 3, False)], "provider string, n int, estimated boolean")).first().usd == 0.0
+
+
+# replies
+
+
+def parsed(spark, fold, **columns):
+    """One reply through a parser."""
+    row = spark.createDataFrame([tuple(columns.values())], ", ".join(f"{n} {'boolean' if isinstance(v, bool) else 'string'}" for n, v in columns.items()))
+    return fold(row).first()
+
+
+def test_candidates_of_unknown_make(spark):
+    reply = """```json
+    {"segments": [
+      {"id": 3, "start": "1:05", "end": "1:00:00", "topic": "  one\u3000", "summary": 5, "key_points": ["a", "", 7, null], "data_points": [{"label": "p", "value": "1,5%", "unit": null}, {"label": "q", "value": 2.5, "unit": "x"}, {"value": "n/a"}, {"value": null}, "junk"], "has_chart_data": "YES", "hook_score": 9},
+      "junk", 5, null, [1], {"id": "x", "topic": "", "hook_score": "high"},
+      {"id": 3, "start": 1, "end": 2, "topic": "again", "hook_score": "2.5", "has_chart_data": true, "data_points": [{"value": 1}]},
+      {"id": null, "start": 5, "end": "bad", "topic": "ends before it starts"},
+      {"start": true, "end": 3, "topic": "no id", "key_points": "alone", "hook_score": -4}
+    ]}
+    ```"""
+    found = parsed(spark, replies.candidates, reply=reply).segments
+    assert [(s.id, s.start, s.end, s.topic, s.summary) for s in found] == [(3, 65.0, 3600.0, "one", "5"), (4, 1.0, 2.0, "again", ""), (9, 0.0, 3.0, "no id", "")]
+    assert [s.key_points for s in found] == [["a", "7", "None"], [], ["alone"]]
+    assert [[tuple(p) for p in s.data_points] for s in found] == [[("p", 15.0, ""), ("q", 2.5, "x")], [("", 1.0, "")], []]
+    assert [(s.has_chart_data, s.hook_score) for s in found] == [(True, 5), (False, 2), (False, 1)]
+    for empty in (None, "", "no JSON", "[]", "{}", '{"segments": {"a": 1}}', '{"segments": null}'):
+        assert parsed(spark, replies.candidates, reply=empty).segments == []
+
+
+def script_of(spark, reply, topic="標題", chart=True):
+    return parsed(spark, replies.scripts, reply=reply, topic=topic, has_chart_data=chart, attribution="根據X報導指出").script
+
+
+def test_scripts_of_unknown_make(spark):
+    assert script_of(spark, None) is None and script_of(spark, "[1]") is None and script_of(spark, "{broken") is None
+    bare = script_of(spark, "{}")
+    assert (bare.title, bare.hook, [x.text for x in bare.lines], bare.chart, bare.est_seconds, bare.ai_shot) == ("標題", "", ["根據X報導指出"], None, 30.0, "")
+    full = script_of(spark, '{"title": "  月付1e+07 ", "hook": "房價，漲了 3%", "lines": ["房價漲了3%", {"text": " 23800000元 ", "emphasis": "是", "visual": " city "}, "", 7, {"text": null}, "根據X報導指出，完"], "est_seconds": 0, "ai_shot": null, "chart": {"type": "Line", "title": null, "series": [{"name": "s", "points": [{"value": 1, "unit": "倍"}, {"value": 2, "unit": "元"}, {"value": 3, "unit": "倍"}]}, {"points": [{"value": 1, "unit": "a"}, {"value": 1, "unit": "b"}]}, {"name": "one", "points": [{"value": "9"}]}]}}')
+    assert (full.title, full.hook, full.est_seconds, full.ai_shot) == ("月付1000萬", "房價，漲了 3%", 30.0, "")
+    assert [tuple(x) for x in full.lines] == [("2380萬元", True, "city"), ("根據X報導指出，完", False, "")]  # the first line said the hook again
+    assert (full.chart.type, full.chart.title, full.chart.y_label) == ("line", "標題", "")
+    assert [(x.name, [p.value for p in x.points]) for x in full.chart.series] == [("s", [1.0, 3.0]), ("one", [9.0])]
+    assert script_of(spark, '{"lines": ["a", "b"], "chart": {"series": [{"points": [{"value": 1}]}]}}', chart=False).chart is None
+    short = script_of(spark, '{"lines": ["一", "二", "三"], "est_seconds": "1:05", "chart": {"type": "pie", "series": []}}')
+    assert (short.hook, [x.text for x in short.lines], short.est_seconds, short.chart) == ("一", ["二", "根據X報導指出", "三"], 65.0, None)
+
+
+def test_prompt_and_basis(spark):
+    df = spark.createDataFrame([(1, 785.0, 3725.0, "t", "s", [], [("台北市", 15.7, "倍"), ("x", 1e7, "元"), ("y", 1.5e-7, "")], True)], "id int, start double, end double, topic string, summary string, key_points array<string>, data_points array<struct<label:string,value:double,unit:string>>, has_chart_data boolean")
+    said = df.select(replies.script_prompt(F.struct(*df.columns), F.lit("原文"), F.lit("出處"))).first()[0]
+    assert said.split("\n") == ["segment_id: 1", "topic: t", "summary: s", "has_chart_data: true", "出處句（必須完整出現在第 1 或第 2 句）：出處", "", "key_points:", "- （無）", "", "data_points（數字只能用這些，或逐字稿裡出現的）:", "- 台北市: 15.7倍", "- x: 1e+07元", "- y: 1.5e-07", "", "原始逐字稿片段（13:05–62:05，只供了解事實，禁止照抄）：", "原文"]
+    cases = [("abc", None, 3, "transcript"), (None, {"chars": 5.9, "duration_sec": 9.0}, 5, "chars"), (None, {"chars": 0.0, "seconds_billed": 2.6}, 10, "seconds_billed x 4.0 chars/s"), (None, {}, 3000, "assumed"), (None, None, 3000, "assumed")]
+    rows = spark.createDataFrame([(i, t, m) for i, (t, m, _, _) in enumerate(cases)], "i int, t string, m map<string,double>")
+    got = rows.select("i", *replies.estimate_basis(F.col("t"), F.col("m"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[2:] for c in cases]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
+def test_general_is_six_digits(spark_values):
+    from pyspark.sql import SparkSession
+
+    values = spark_values + [0.0, 1e-4, 9.99999e-5, 0.5, 999.9996, 99999.949, 999999.4, 1e6, -2.5e-9, 123456.5]
+    df = SparkSession.getActiveSession().createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", numerals.general(F.col("v")).alias("g")).collect():
+        assert float(r.g) == pytest.approx(float(f"{r.v:g}"), rel=2e-6, abs=1e-300) and len(r.g) <= len(f"{r.v:g}") + 4
+
+
+def test_source_names_and_small_operators(spark):
+    names = [("HEALTH 2.0 健康", "TVBS《健康2.0》"), ("健康2.0", "TVBS《健康2.0》"), ("頻道", "頻道"), ("", "原始節目"), (None, "原始節目")]
+    df = spark.createDataFrame([(c,) for c, _ in names], "c string")
+    assert [r[0] for r in df.select(text.source_name(F.col("c"))).collect()] == [n for _, n in names]
+    assert one(spark, text.attribution(F.col("s")), s=("X", "string")) == "根據X報導指出"
+    numerals.register(spark)
+    assert spark.sql("SELECT lcs_len('xx台北市，15.7倍', '台北市15.7倍yy'), lcs_text('abc', 'zbcz'), lcs_len(NULL, 'a')").first()[:] == (7, "bc", 0)
+    known = spark.createDataFrame([("v", 0.0, 950.0), ("w", 800.0, 950.0)], "n string, p double, o double")
+    assert [r[0] for r in known.select(timeline.processed_or_known(F.col("p"), F.col("o"), F.col("n"))).collect()] == [950.0, 800.0]
+    with pytest.raises(Exception, match="no duration"):
+        known.select(timeline.processed_or_known(F.lit(0.0), F.lit(None).cast("double"), F.col("n"))).collect()
+
+
+def test_shared_is_linear_in_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    a, b = ("".join(rng.choices("abcd", k=60_000)) for _ in range(2))
+    b = b[:30_000] + a[20_000:20_500] + b[30_000:]
+    tracemalloc.start()
+    assert text.shared(a, b).find(a[20_000:20_500]) >= 0
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
