@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, numerals, text
 from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
 from ..sources import adapters, documents
-from ..storage import new_folder
+from ..storage import balanced, new_folder
 from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, for what takes long for each text."""
+    return balanced(table(spark, sf, "documents"))
+
+
 # What the queries read, derived from the driver's tables; the same in SQL.
 
 TOPICS = """
@@ -69,8 +74,9 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_spark_sql(SEGMENTS.replace("FROM events", "FROM {events}")), events=table(spark, sf, "events"))
 
 
-def costs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_spark_sql(LEDGER.replace("FROM lineitem", "FROM {lineitem}")), lineitem=table(spark, sf, "lineitem"))
+def costs(spark: SparkSession, sf: str, deal: bool = False) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    return spark.sql(_spark_sql(LEDGER.replace("FROM lineitem", "FROM {lineitem}")), lineitem=balanced(lines) if deal else lines)
 
 
 NORMAL = "lower(regexp_replace(coalesce({0}, ''), '[^0-9A-Za-z一-鿿㐀-䶿０-９Ａ-Ｚａ-ｚ]+', '', 'g'))"
@@ -114,7 +120,7 @@ RAW = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
 def raw_values(spark: SparkSession, sf: str) -> DataFrame:
     q, kind = F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey") % 8
     raw = F.when(kind == 0, q).when(kind == 1, F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), F.lpad(q, 2, "0"))).when(kind == 2, F.concat(F.lit("1:02:"), q)).when(kind == 3, "12d").when(kind == 4, " 1,234.5 ").when(kind == 5, "45%").when(kind == 6, "2.5").otherwise("n/a")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", raw.alias("raw"))
+    return balanced(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", raw.alias("raw"))
 
 
 _NUM = "CASE WHEN regexp_full_match({0}, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') THEN CAST(trim({0}) AS DOUBLE) END"
@@ -132,7 +138,7 @@ def p6_p7_as_int_as_bool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS items FROM documents")
 def p8_text_list(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", coerce.texts(F.split("text", "\n")).alias("items"))
+    return texts(spark, sf).select("doc_id", coerce.texts(F.split("text", "\n")).alias("items"))
 
 
 @query(f"SELECT l_orderkey, l_suppkey, count(*) AS points, sum(v) AS total FROM (SELECT *, {_NUM.format('''trim(regexp_replace(raw, '[,%]', '', 'g'))''')} AS v FROM {RAW}) WHERE v IS NOT NULL GROUP BY ALL")
@@ -253,7 +259,7 @@ RECORDS = "(SELECT o_orderkey AS video, stage, left(md5(CAST(o_orderkey % 40 AS
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     stages = F.explode(F.array(*map(F.lit, ledger.STAGES))).alias("stage")
-    found = table(spark, sf, "orders").select("o_orderkey", "o_custkey", stages).where((F.col("o_orderkey") % 7 != 3) | (F.col("stage") < "s3"))
+    found = balanced(table(spark, sf, "orders")).select("o_orderkey", "o_custkey", stages).where((F.col("o_orderkey") % 7 != 3) | (F.col("stage") < "s3"))
     return found.select(F.col("o_orderkey").alias("video"), "stage", F.left(F.md5(F.concat((F.col("o_orderkey") % 40).cast("string"), "stage")), F.lit(16)).alias("config_hash"), F.array(F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(".json")), F.concat((F.col("o_custkey") % 30).cast("string"), F.lit(".wav"))).alias("outputs"))
 
 
@@ -329,7 +335,7 @@ def p23_p24_prompts_and_footage(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'city') AS q, left(sha1(coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'city')), 12) AS name FROM documents")
 def p26_h3_query_and_name(spark: SparkSession, sf: str) -> DataFrame:
     q = text.collapse(F.col("text"), "city")
-    return table(spark, sf, "documents").select("doc_id", q.alias("q"), cache.search_name(q).alias("name"))
+    return texts(spark, sf).select("doc_id", q.alias("q"), cache.search_name(q).alias("name"))
 
 
 # Joins
@@ -348,7 +354,7 @@ PRICES = "(VALUES ('openai/gpt-5', 1.25e0, 10e0), ('openai/gpt-5-mini', 0.25e0,
 
 @query(f"SELECT video, l_suppkey, stage, provider, model, unit, quantity, price / 1e6 AS unit_price_usd, round(quantity * price / 1e6, 6) AS usd, estimated FROM (SELECT l.*, 'input_tokens' AS unit, floor(l.usd * 64000) AS quantity, coalesce(pin, 0e0) AS price FROM ({LEDGER}) l LEFT JOIN {PRICES} ON key = provider || '/' || model UNION ALL SELECT l.*, 'output_tokens', floor(l.usd * 6400), coalesce(pout, 0e0) FROM ({LEDGER}) l LEFT JOIN {PRICES} ON key = provider || '/' || model)")
 def j2_n19_price_lookup_llm(spark: SparkSession, sf: str) -> DataFrame:
-    usage = costs(spark, sf).select(F.col("stage"), "provider", "model", "estimated", F.floor(F.col("usd") * 64000).alias("input_tokens"), F.floor(F.col("usd") * 6400).alias("output_tokens"), F.concat_ws("|", F.col("video").cast("string"), F.col("l_suppkey").cast("string")).alias("note"))
+    usage = costs(spark, sf, deal=True).select(F.col("stage"), "provider", "model", "estimated", F.floor(F.col("usd") * 64000).alias("input_tokens"), F.floor(F.col("usd") * 6400).alias("output_tokens"), F.concat_ws("|", F.col("video").cast("string"), F.col("l_suppkey").cast("string")).alias("note"))
     rows = ledger.llm_rows(usage)
     who = F.split("note", r"\|")
     return rows.select(who[0].cast("long").alias("video"), who[1].cast("long").alias("l_suppkey"), "stage", "provider", "model", "unit", "quantity", "unit_price_usd", "usd", "estimated")
@@ -385,7 +391,7 @@ DOC_PAIRS = "(SELECT doc_id, d.text, b.text AS source FROM documents d LEFT JOIN
 
 def doc_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with one of all the benchmark's items as its source."""
-    return spark.sql("SELECT doc_id, d.text, b.text AS source FROM {d} d LEFT JOIN {b} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {b})", d=table(spark, sf, "documents"), b=table(spark, sf, "benchmark"))
+    return spark.sql("SELECT doc_id, d.text, b.text AS source FROM {d} d LEFT JOIN {b} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {b})", d=texts(spark, sf), b=table(spark, sf, "benchmark"))
 
 
 def share_sql(n: int) -> str:
@@ -593,7 +599,7 @@ BLANK = "[ \\t\\n\\v\\f\\r]+"
 
 @query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, phrase FROM (SELECT doc_id, unnest(p) AS phrase, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(flatten(list_transform(regexp_extract_all(text, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda s: string_split(list_reduce(list_prepend('', list_filter(regexp_split_to_array(s, '{BLANK}'), lambda w: w <> '')), lambda a, w: CASE WHEN a = '' THEN w WHEN CASE WHEN contains(a, chr(10)) THEN instr(reverse(a), chr(10)) - 1 ELSE length(a) END + length(w) > 30 THEN a || chr(10) || w ELSE a || w END), chr(10)))), lambda x: x <> '') AS p FROM documents))""")
 def w7_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(timeline.phrases(F.col("text"))).alias("pos", "phrase"))
+    return texts(spark, sf).select("doc_id", F.posexplode(timeline.phrases(F.col("text"))).alias("pos", "phrase"))
 
 
 @query(f"SELECT video, pos, CASE WHEN lead(pos) OVER (PARTITION BY video ORDER BY pos) IS NULL THEN greatest(\"end\", 501e0) ELSE \"end\" END AS \"end\" FROM ({SEGMENTS})")
@@ -729,17 +735,17 @@ def u5_u7_distinct_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {normal('text')} AS plain FROM documents")
 def f1_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"))
+    return texts(spark, sf).select("doc_id", text.normalise(F.col("text")).alias("plain"))
 
 
 @query("SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda s: s <> '') AS sentences FROM documents")
 def f7_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
+    return texts(spark, sf).select("doc_id", text.sentences(F.col("text")).alias("sentences"))
 
 
 @query("SELECT doc_id, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS lines FROM (SELECT doc_id, flatten(list_transform(string_split(trim(text, ' '), chr(10)), lambda p: CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '[^\\n]{40}[，。、！？：；」』）》…,.!?:;)]*|[^\\n]+') END)) AS lines FROM documents)")
 def f9_wrap(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.wrap(F.col("text"), 40).alias("lines"))
+    return texts(spark, sf).select("doc_id", text.wrap(F.col("text"), 40).alias("lines"))
 
 
 @query("SELECT event_id, regexp_replace('[bold red]' || event_type || '[/] ' || props || '[x]', '\\[/?(?:(?:bold|dim|italic|underline|red|green|yellow|blue|cyan|magenta|white|black)\\s?)*\\]', '', 'g') AS line, TRY_CAST(regexp_extract('segment_id: ' || event_id || ' x', 'segment_id:\\s*(\\d+)', 1) AS BIGINT) AS segment, translate('１２' || event_id, '０１２３４５６７８９', '0123456789') AS digits FROM events")
@@ -754,7 +760,7 @@ def f11_f12_f13_markup_id_digits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[0-9][0-9,.]*'), lambda x: true), lambda x: CAST(regexp_extract(replace(x, ',', ''), '^[0-9]+(\\.[0-9]+)?') AS DOUBLE)))) AS vals FROM documents")
 def n1_n8_numbers_in(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.array_sort(numerals.values(numerals.number_tokens("text"))).alias("vals"))
+    return texts(spark, sf).select("doc_id", F.array_sort(numerals.values(numerals.number_tokens("text"))).alias("vals"))
 
 
 #: Numbers of a text with ASCII digits only, as the tables' texts are.
@@ -763,7 +769,7 @@ FIGURES = "list_transform(regexp_extract_all(coalesce({0}, ''), '[0-9][0-9,.]*')
 
 @query(f"SELECT doc_id, CAST(i - 1 AS INT) AS pos, t.tok AS tok, [t.v] AS vals FROM (SELECT doc_id, unnest(f) AS t, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, {FIGURES.format('text')} AS f FROM documents))")
 def n6_n7_number_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("doc_id", "pos", "t.tok", "t.vals")
+    return texts(spark, sf).select("doc_id", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("doc_id", "pos", "t.tok", "t.vals")
 
 
 #: Texts with Chinese numerals and what they say, by hand: (text, [(token, readings)]).
@@ -819,7 +825,7 @@ def n11_checked_chart(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {human_sql('text')} AS text FROM documents")
 def n12_humanised(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", numerals.humanise("text").alias("text"))
+    return texts(spark, sf).select("doc_id", numerals.humanise("text").alias("text"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) ELSE printf('%g', o_totalprice) END || '元' AS label FROM orders")

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,6 +34,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one partition may hold whatever its share.
+FEW_ROWS = 500
+
+
+def balanced(scan: DataFrame) -> DataFrame:
+    """A scanned table, dealt out anew if one partition holds over twice its fair share of the rows, as the single row group of a small file does; a count of rows by partition, which reads no column, tells."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    sizes = scan.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    if (sizes.most or 0) > FEW_ROWS and sizes.most * cores > 2 * sizes.total:
+        return scan.repartition(4 * cores)
+    return scan
+
+
 class Files:
     """Small files of any store that Spark reaches."""
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift import schemas
+from spindrift import schemas, storage
 from spindrift.operators import cache, timeline
 from spindrift.plans import engine
 from spindrift.sources import adapters, documents
@@ -46,6 +46,18 @@ def test_scans(spark, tmp_path):
     assert sorted(map(tuple, documents.settings(spark, f"{base}/env").collect())) == [("A", "1"), ("B", "two words"), ("C", "x")]
 
 
+def test_balanced(spark, tmp_path):
+    spark.range(5_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(5_000).repartition(16).write.parquet(f"{tmp_path}/many")
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/few")
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    read = lambda name: storage.balanced(spark.read.parquet(f"{tmp_path}/{name}"))
+    assert most(spark.read.parquet(f"{tmp_path}/one")) == 5_000 and most(read("one")) < 1_000 and read("one").count() == 5_000
+    assert "Exchange" not in read("many")._jdf.queryExecution().toString() and "Exchange" not in read("few")._jdf.queryExecution().toString()
+    assert read("none").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     path = f"{tmp_path}/table"
     assert documents.state(spark, path, "v string, x int").collect() == []
