@@ -29,8 +29,8 @@ from . import common, tokens
 NEVER = np.int64(1) << 40
 #: Characters of a word that still shares the numpy steps of its batch.
 LONG = 64
-#: Bytes of texts that are cut into words together.
-TOGETHER = 1_000_000
+#: Bytes of texts that are cut into words together, and words that are merged together.
+TOGETHER, TOGETHER_WORDS = 500_000, 4096
 
 
 class Table:
@@ -40,6 +40,7 @@ class Table:
         bits = max(4, int(4 * len(keys)).bit_length())
         self.shift, self.last, self.missing = np.uint64(64 - bits), (1 << bits) - 1, missing
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, np.int64)
+        keys = np.asarray(keys, np.int64)
         left, at = np.arange(len(keys)), self.home(keys)
         while len(left):
             free = left[self.keys[at[left]] < 0]
@@ -66,6 +67,16 @@ class Table:
         return out
 
 
+    def one(self, key: int) -> int:
+        """The value of a single key."""
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (there := self.keys.item(at)) != key:
+            if there < 0:
+                return self.missing
+            at = (at + 1) & self.last
+        return self.values.item(at)
+
+
 class Merges:
     """A vocabulary's merges, as tables for checks on arrays. Words are arrays of letters: places in `letters`, the vocabulary's single characters."""
 
@@ -101,26 +112,29 @@ class Merges:
         self._trie({text: i for text, i in vocab.items() if sound[i]})
 
     def _trie(self, known: dict[str, int]) -> None:
-        """next[row, letter]: a node, 0 without; row_of[node]: its row, 0 (which leads nowhere) for a leaf; token[node]: its token or -1. Row 1 is the root's."""
-        kids: list[dict[int, int]] = [{}]
-        token = [-1]
+        """next[node * width + letter]: the node after a letter, 0 without; token[node]: its token or -1; the root is node 1. Nodes without further letters come last, from `leaf` on."""
+        self.width = self.end + 1
+        steps: dict[int, int] = {}
+        token = [-1, -1]
         for text, i in known.items():
             bare = text.removesuffix(self.suffix) if self.suffix else text
-            path = [self.place[c] for c in bare] + ([self.end] if self.suffix and bare != text else [])
-            at = 0
-            for x in path:
-                if x not in kids[at]:
-                    kids[at][x] = len(kids)
-                    kids.append({})
+            at = 1
+            for x in [self.place[c] for c in bare] + ([self.end] if self.suffix and bare != text else []):
+                nxt = steps.get(at * self.width + x)
+                if nxt is None:
+                    nxt = steps[at * self.width + x] = len(token)
                     token.append(-1)
-                at = kids[at][x]
+                at = nxt
             token[at] = i
-        self.token, self.row_of = np.array(token, np.int64), np.zeros(len(kids), np.int64)
-        inner = [0] + [n for n in range(1, len(kids)) if kids[n]]
-        self.row_of[inner] = np.arange(1, len(inner) + 1)
-        self.next = np.zeros((len(inner) + 1, self.end + 1), np.int32)
-        for row, n in enumerate(inner, 1):
-            self.next[row, list(kids[n])] = list(kids[n].values())
+        keys, nodes = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64)
+        inner = np.zeros(len(token), bool)
+        inner[[0, 1]] = True
+        inner[keys // self.width] = True
+        order = np.argsort(~inner, kind="stable")
+        name = np.empty(len(token), np.int64)
+        name[order] = np.arange(len(token))
+        self.leaf, self.token = int(inner.sum()), np.array(token, np.int64)[order]
+        self.next = Table(name[keys // self.width] * self.width + keys % self.width, name[nodes], 0)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.ranks[a << 32 | b]
@@ -153,9 +167,9 @@ class Merges:
         live, at = np.nonzero(start < end)[0], start.copy()
         while len(live):
             stop, best, to = end[live] + extra, np.full(len(live), -1, np.int64), at[live]
-            some, q, row = np.arange(len(live)), to.copy(), np.ones(len(live), np.int64)
+            some, q, node = np.arange(len(live)), to.copy(), np.ones(len(live), np.int64)
             while len(some):
-                node = self.next[row, letters[q]]
+                node = self.next[node * self.width + letters[q]]
                 on = node > 0
                 some, q, node = some[on], q[on] + 1, node[on]
                 token = self.token[node]
@@ -163,9 +177,8 @@ class Merges:
                 if extra:
                     good &= q != stop[some] - 1  # the last letter goes with the end
                 best[some[good]], to[some[good]] = token[good], q[good]
-                row = self.row_of[node]
-                on = (row > 0) & (q < stop[some])
-                some, q, row = some[on], q[on], row[on]
+                on = (node < self.leaf) & (q < stop[some])
+                some, q, node = some[on], q[on], node[on]
             hit = best >= 0
             lost[live[~hit]] = True
             owners.append(live[hit])
@@ -252,12 +265,11 @@ class Merges:
         if at == last:
             return out
         while at < stop:
-            row, q, best, to = 1, at, -1, at
-            while row and q < stop and (node := int(self.next[row, letters[q]])):
+            node, q, best, to = 1, at, -1, at
+            while node < self.leaf and q < stop and (node := self.next.one(node * self.width + letters[q])):
                 q += 1
                 if self.token[node] >= 0 and q != last:
                     best, to = int(self.token[node]), q
-                row = self.row_of[node]
             if best < 0:
                 return None
             out.append(best)
@@ -299,8 +311,8 @@ class Merges:
         wrong = wrong[np.argsort(size[wrong], kind="stable")]
         for low, high in ((0, 8), (8, 16), (16, 32), (32, LONG)):
             part = wrong[(size[wrong] > low) & (size[wrong] <= high)]
-            for at in range(0, len(part), 65_536):
-                rows = part[at : at + 65_536]
+            for at in range(0, len(part), TOGETHER_WORDS):
+                rows = part[at : at + TOGETHER_WORDS]
                 place = np.arange(int(size[rows].max()))
                 there = place < size[rows, None]
                 spelling = letters[np.minimum(start[rows, None] + place, len(letters) - 1)]
@@ -395,7 +407,7 @@ class Known:
 class Codec:
     """encode and decode whole texts as the library does with this file."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -563,7 +575,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
             back = [hashlib.sha256(own.decode(x)).hexdigest() for x in encoded]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in encoded], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.released(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -577,7 +589,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
             encoded = own.encode_column(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens.ids_of(x).view(np.int32) for x in encoded], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.released(rows), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -590,4 +602,4 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
             texts = [None if x is None else own.decode(np.array(x, "<u4").tobytes()).decode() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.released(rows), "doc_id long, text string")

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to Python; texts may be long, so batches stay short.
-BATCH_ROWS = 500
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    root = f"file:///tmp/checkpoints/{os.getpid()}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+from ..storage import balanced, new_folder, shared_root, stored
 
+__all__ = ["BATCH_ROWS", "cut", "hash_share", "new_folder", "released", "shared_root", "short_batches", "stored", "table", "text_hash"]
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+#: Rows that one Arrow batch carries to Python; texts may be long, so batches stay short.
+BATCH_ROWS = 250
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,12 +41,17 @@ def text_hash() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def released(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives the memory it no longer needs back to the system when a task ends, as Python workers live on."""
 
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-def stored(df: DataFrame) -> DataFrame:
-    """Computes df once into a Parquet table in the shared folder and reads it back; unlike cut() the table has no partitioning left, so Spark may split a hot key in a later join."""
-    spark = df.sparkSession
-    path = new_folder(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return run

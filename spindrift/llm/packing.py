@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
 
-    return common.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES))
+    return common.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.released(cut), PIECES))
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), common.text_hash().alias("mixed"))
     ordered = ordered.repartitionByRange("doc_id", "mixed").sortWithinPartitions("doc_id", "mixed").select("doc_id", "text")
-    ordered.mapInArrow(rows, "value binary").select(F.col("value").cast("string")).write.text(folder)
+    ordered.mapInArrow(common.released(rows), "value binary").select(F.col("value").cast("string")).write.text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +142,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(out[0])), *(pa.array(x, pa.int64()) for x in out)], ["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
-    found = common.stored(files.mapInArrow(docs, "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
+    found = common.stored(files.mapInArrow(common.released(docs), "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file, whose names are in order
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
