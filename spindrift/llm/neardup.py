@@ -4,7 +4,7 @@ A document's sketch is four SimHash fingerprints of its distinct word shingles,
 
 The forest's links only say which classes can be similar: each of its components is then compared within, on the shingle sets themselves. Two close members not yet joined are joined if the Jaccard similarity of their sets is at least `least`, so every close pair is either verified or joined by verified links. Those links' components are the groups. A large component is split into parts by its shingles and by the root of its members, and each pair of parts compared by a task of its own.
 
-At a similarity of 0.8 the first fingerprints differ in 9.7 bits and the sketches in 38.8, give or take 2.9 and 5.7; the defaults leave 3.5 and 5.8 of these deviations.
+At a similarity of 0.8 the first fingerprints differ in 9.7 bits and the sketches in 38.8, give or take 2.9 and 5.7; the defaults leave 3.5 and 4.4 of these deviations.
 
 Defined results: null text has no words, and all documents without words are alike; fewer words than a shingle count as one shingle; rows with a null doc_id are kept, as no id can stand for them; rows that repeat a doc_id with another text count by their text, and of rows that repeat both one stays; an empty table gives no rows; all columns are kept.
 """
@@ -27,13 +27,15 @@ LANES = ("s0", "s1", "s2", "s3")
 #: What the members of a class share: the sketch, and the hash of the shingle set.
 CLASS = (*LANES, "h")
 #: Bits within which two classes are verified: of the first fingerprint, and of the sketch.
-RADIUS, WIDE = 20, 72
-#: Classes in a tile; each tile is sent to all it is compared with, so larger tiles move less.
-TILE = 16_384
+RADIUS, WIDE = 20, 64
+#: Classes in a tile (3 MB); each tile is sent to all it is compared with, so larger tiles move less.
+TILE = 65_536
+#: Pairs that numpy compares at once, and classes that one batch of tiles holds.
+AT_ONCE, IN_BATCH = 2_097_152, 131_072
 #: Ids with sketches that may be broadcast (56 MB); more are joined by a shuffle.
 FEW = 1_000_000
 #: Shingles (8 bytes each) in a part of a component of close classes; a task holds two parts. Members of a component of one part.
-MOST, MEMBERS = 2_000_000, 512
+MOST, MEMBERS = 2_000_000, 4096
 #: Steps of shingle counts to a doubling.
 STEPS = 8
 #: Odd multipliers, one for each place in a shingle, and what tells the lanes apart.
@@ -92,7 +94,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(s[:, k].copy()) for k in range(6))], ["doc_id", "text_hash", *CLASS, "n"])
 
     text = F.col("text").cast("string")
-    return common.stored(docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("text_hash"), text.alias("text")).mapInArrow(made, "doc_id long, text_hash long, s0 long, s1 long, s2 long, s3 long, h long, n long"))
+    return common.stored(docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("text_hash"), text.alias("text")).mapInArrow(common.released(made), "doc_id long, text_hash long, s0 long, s1 long, s2 long, s3 long, h long, n long"))
 
 
 def spanning(ends: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def close(x: np.ndarray, y: np.ndarray, same: bool, radius: int, wide: int, size
     x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)  # of signed integers numpy counts the absolute value's bits
     shift = 0 if same else len(x)
     label, out, joined = np.arange(shift + len(y)), [np.zeros((0, 2), np.int64)], False
-    head, every = np.ascontiguousarray(y[:, 0]), 128
+    head, every = np.ascontiguousarray(y[:, 0]), max(1, AT_ONCE // max(1, len(y)))
     for at in range(0, len(x), every):
         near = np.bitwise_count(x[at : at + every, :1] ^ head[None, :]) <= radius
         if joined:
@@ -210,9 +212,9 @@ def candidates(classes: DataFrame, radius: int, wide: int, tile: int, least: flo
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, own in enumerate(b.column(0).to_pylist()):
-                others = tiles.partners(own, radius, apart)
-                for lo in range(0, len(others), 32):
-                    part = others[lo : lo + 32]
+                others, each = tiles.partners(own, radius, apart), max(1, IN_BATCH // len(b.column(1)[k]))
+                for lo in range(0, len(others), each):
+                    part = others[lo : lo + each]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([own] * len(part), pa.int64()), b.column(1).take(pa.array([k] * len(part))).cast(kind)], ["tile", "own", "cs"])
 
     def lanes(cs: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +229,8 @@ def candidates(classes: DataFrame, radius: int, wide: int, tile: int, least: flo
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(x_ids[i]), pa.array(y_ids[j])], ["a", "b"])
 
-    pairs = full.mapInArrow(spread, f"tile long, own long, cs {row}").join(full.select("tile", F.col("cs").alias("others")), "tile")
-    return pairs.mapInArrow(compare, components.LINKS)
+    pairs = full.mapInArrow(common.released(spread), f"tile long, own long, cs {row}").join(full.select("tile", F.col("cs").alias("others")), "tile")
+    return pairs.mapInArrow(common.released(compare), components.LINKS)
 
 
 def similar(node: np.ndarray, part: np.ndarray, lanes: np.ndarray, sets: list[np.ndarray], radius: int, wide: int, least: float) -> list[tuple[int, int]]:
@@ -277,7 +279,7 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
             own = pa.array([int(x.sum()) == h for x, h in zip(made, b.column(7).to_pylist(), strict=True)], pa.bool_())  # of rows that repeat a doc_id those of the class
             yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(made, pa.list_(pa.int64()))], ["root", "parts", "node", *LANES, "set"]).filter(own)
 
-    made = needed.mapInArrow(sets, row).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    made = needed.mapInArrow(common.released(sets), row).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     sent = made.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     sent = sent.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *LANES, "set")
     sent = sent.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
@@ -299,7 +301,7 @@ def verified(docs: DataFrame, classes: DataFrame, links: DataFrame, words: int,
                     held[node] = (part, (s0, s1, s2, s3), values.values.to_numpy().copy())
         yield links_of(held)
 
-    return sent.mapInArrow(compare, components.LINKS)
+    return sent.mapInArrow(common.released(compare), components.LINKS)
 
 
 def with_roots(labels: DataFrame) -> DataFrame:

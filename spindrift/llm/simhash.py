@@ -20,6 +20,8 @@ from . import common, components
 
 SEED = 42
 PARTS = 4
+#: Rows to drop that may be broadcast (16 MB of keys); more are joined by a shuffle of the texts.
+FEW = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -48,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             made = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["doc_id", "text_hash", "fp"])
 
-    return common.stored(docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, text_hash long, fp long"))
+    return common.stored(docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(hashed), "doc_id long, text_hash long, fp long"))
 
 
 def _cell() -> F.Column:
@@ -104,8 +106,8 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
                         forest.link(a, c)
             yield components._rows(forest)
 
-    pairs = full.mapInArrow(spread, "tile long, own long, fps array<long>").join(full.select("tile", F.col("fps").alias("others")), "tile")
-    return pairs.mapInArrow(compare, components.LINKS)
+    pairs = full.mapInArrow(common.released(spread), "tile long, own long, fps array<long>").join(full.select("tile", F.col("fps").alias("others")), "tile")
+    return pairs.mapInArrow(common.released(compare), components.LINKS)
 
 
 def classed(docs: DataFrame, radius: int, words: int, tile: int) -> DataFrame:
@@ -137,8 +139,11 @@ def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = common.stored(found.groupBy("root").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first.*", "n"))
     in_group = found.join(first.select("root"), "root", "left_semi").select(*key)
     gone = common.stored(in_group.join(first.select(*key), key, "left_anti").distinct())
+    gone = gone.toDF("__doc_id", "__text_hash")
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
     mine = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__text_hash": common.text_hash()})
-    kept = mine.join(gone.toDF("__doc_id", "__text_hash"), ["__doc_id", "__text_hash"], "left_anti")
+    kept = mine.join(gone, ["__doc_id", "__text_hash"], "left_anti")
     twice = common.stored(in_group.join(first.select(*key), key, "left_semi").groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")))
     if not twice.limit(1).count():
         return kept.select(docs.columns)

@@ -119,9 +119,10 @@ def test_equal_sketches_are_verified(spark, monkeypatch):
     assert got == {0: 0, 1: 1, 2: 0, 3: 3}
 
 
-@pytest.mark.parametrize("module", ["neardup", "simhash"])
-def test_unlike_texts_of_one_id_stay(spark, module):
-    """Rows are dropped by their text, not by their doc_id alone."""
+@pytest.mark.parametrize(("module", "few"), [("neardup", 10**6), ("simhash", 10**6), ("simhash", -1)])
+def test_unlike_texts_of_one_id_stay(spark, monkeypatch, module, few):
+    """Rows are dropped by their text, not by their doc_id alone; with a broadcast and without."""
+    monkeypatch.setattr(simhash, "FEW", few)
     x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
     rows = [(1, x), (3, x), (3, y), (4, z), (4, y), (4, z), (None, x), (None, None), (5, None), (6, None)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, text_hash int")
