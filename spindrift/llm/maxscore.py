@@ -1,6 +1,6 @@
 """Exact top-k inner products of integer vectors by MaxScore.
 
-A component makes two terms, one for each sign; a vector stands in the postings of a term with the size of its component. A query's terms that agree with it in sign add to a score, by no more than its own component times the largest in the term's postings; terms of the other sign only take away. A shard is gone through in runs of vectors in ascending id. In each run a query's terms are sorted by that bound; the non-essential ones are the last, whose bounds together don't reach the bar: the k-th best score so far, or what another shard has already found if that is more. A vector that stands in no essential posting can't reach it. The essential postings are traversed, with those of the other sign of the same components; the other terms are probed, largest bound first, for those vectors whose score so far plus what bounds are left still competes. After each run the bar rises, and with it the border between essential and other terms; a run whose bounds together don't reach the bar is skipped. Scores that tie with the bar are kept, so ties go to the smaller id exactly.
+A component makes two terms, one for each sign; a vector stands in the postings of a term with the size of its component (the two lists of a component are kept as one, by sign). A query's terms that agree with it in sign add to a score, by no more than its own component times the largest in the term's postings; terms of the other sign only take away. A shard is gone through in runs of vectors in ascending id. In each run a query's terms are sorted by that bound; the non-essential ones are the last, whose bounds together don't reach the bar: the k-th best score so far, or what another shard has already found if that is more. A vector that stands in no essential posting can't reach it. The essential postings are traversed, with those of the other sign of the same components; the other terms are probed, largest bound first, for those vectors whose score so far plus what bounds are left still competes. After each run the bar rises, and with it the border between essential and other terms; a run whose bounds together don't reach the bar is skipped. Scores that tie with the bar are kept, so ties go to the smaller id exactly.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; repeated rows with a query's vec_id are not its candidates, other repeated rows are candidates each; vectors of unlike sizes don't meet; an empty table gives no rows; columns other than vec_id and embedding are ignored.
 """
@@ -14,38 +14,42 @@ from pyspark.sql import functions as F
 from . import vectors
 
 #: Vectors of a shard between two rises of the bar.
-RUN = 1024
+RUN = 2048
 #: Non-essential terms probed between two looks at what still competes.
 PROBES = 4
 
 
 class Postings:
-    """For each component and sign: the rows (ascending) that have it, and their weights, by runs."""
+    """For each component and run: the rows (ascending, counted from the run's start) that have it, with their weights, whose sign says which of the component's two terms they are of. Rows of a list that holds all of the run are not kept."""
 
     def __init__(self, x: np.ndarray, run: int):
-        self.n, self.run = len(x), run
-        self.starts = list(range(0, len(x), run))
-        edges = [*self.starts, len(x)]
-        self.rows, self.weights, self.cuts = {}, {}, {}
-        self.most = np.zeros((2, x.shape[1], len(self.starts)), np.int64)  # largest weight of each term in each run
-        for d in range(x.shape[1]):
-            for sign in (0, 1):
-                column = -x[:, d] if sign else x[:, d]
-                rows = np.nonzero(column > 0)[0]
-                weights, cuts = column[rows], np.searchsorted(rows, edges)
-                self.rows[sign, d], self.weights[sign, d], self.cuts[sign, d] = rows, weights, cuts
-                for k in range(len(self.starts)):
-                    if cuts[k] < cuts[k + 1]:
-                        self.most[sign, d, k] = weights[cuts[k] : cuts[k + 1]].max()
-
-    def of(self, sign: int, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """A term's rows in a run, counted from its start, and their weights."""
-        a, b = self.cuts[sign, d][k : k + 2]
-        return self.rows[sign, d][a:b] - self.starts[k], self.weights[sign, d][a:b]
-
-    def probe(self, sign: int, d: int, k: int, some: np.ndarray) -> np.ndarray:
-        """The weights of some rows (ascending) of a run, 0 without the term."""
-        rows, weights = self.of(sign, d, k)
+        self.n, self.starts = len(x), list(range(0, len(x), run))
+        self.size = [min(run, len(x) - s) for s in self.starts]
+        self.lists: dict[tuple[int, int], tuple[np.ndarray | None, np.ndarray]] = {}
+        self.most = np.zeros((2, x.shape[1], len(self.starts)), np.int64)  # largest weight of each term (plus, minus) in each run
+        for k, start in enumerate(self.starts):
+            part = x[start : start + run]
+            self.most[0, :, k], self.most[1, :, k] = np.maximum(0, part.max(axis=0)), np.maximum(0, -part.min(axis=0))
+            for d in range(x.shape[1]):
+                column = part[:, d]
+                rows = np.nonzero(column)[0]
+                self.lists[d, k] = (None, np.ascontiguousarray(column)) if len(rows) == len(part) else (rows, column[rows])
+
+    def add(self, d: int, k: int, weight: int, scores: np.ndarray, met: np.ndarray, sign: int) -> None:
+        """Traverses both terms of a component: adds to the scores, and marks the rows of the agreeing one."""
+        rows, weights = self.lists[d, k]
+        if rows is None:
+            scores += weight * weights
+            met |= weights > 0 if sign == 0 else weights < 0
+        else:
+            scores[rows] += weight * weights
+            met[rows[weights > 0 if sign == 0 else weights < 0]] = True
+
+    def probe(self, d: int, k: int, some: np.ndarray) -> np.ndarray:
+        """The signed weights of some rows (ascending) of a run, 0 where they have no term of the component."""
+        rows, weights = self.lists[d, k]
+        if rows is None:
+            return weights[some]
         if not len(rows):
             return np.zeros(len(some), np.int64)
         at = np.minimum(np.searchsorted(rows, some), len(rows) - 1)
@@ -60,22 +64,19 @@ def scored(postings: Postings, k: int, q: np.ndarray, bar: float) -> tuple[np.nd
     order = np.argsort(-bounds, kind="stable")
     terms, bounds = terms[order], bounds[order]
     after = np.append(np.cumsum(bounds[::-1])[::-1], 0)  # bounds of terms i and on together
-    size = min(postings.run, postings.n - postings.starts[k])
     if after[0] < bar:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     essential = len(terms) if bar <= 0 else int(np.nonzero(after >= bar)[0][-1]) + 1
-    scores, met = np.zeros(size, np.int64), np.zeros(size, bool)
+    scores, met = np.zeros(postings.size[k], np.int64), np.zeros(postings.size[k], bool)
     for d in terms[:essential].tolist():
-        rows, weights = postings.of(signs[d], d, k)
-        scores[rows] += abs(q[d]) * weights
-        met[rows] = True
-        rows, weights = postings.of(1 - signs[d], d, k)
-        scores[rows] -= abs(q[d]) * weights
+        postings.add(d, k, int(q[d]), scores, met, signs[d])
     some = np.nonzero(met & (scores + after[essential] >= bar) if bar > 0 else scores + after[essential] >= bar)[0]
     kept = scores[some]
     for i in range(essential, len(terms)):
+        if not len(some):
+            break
         d = int(terms[i])
-        kept = kept + abs(q[d]) * (postings.probe(signs[d], d, k, some) - postings.probe(1 - signs[d], d, k, some))
+        kept = kept + q[d] * postings.probe(d, k, some)
         if i % PROBES == PROBES - 1:
             on = kept + after[i + 1] >= bar
             some, kept = some[on], kept[on]
