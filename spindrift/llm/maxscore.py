@@ -20,36 +20,43 @@ PROBES = 4
 
 
 class Postings:
-    """For each component and run: the rows (ascending, counted from the run's start) that have it, with their weights, whose sign says which of the component's two terms they are of. Rows of a list that holds all of the run are not kept."""
+    """For each component and run: the rows (ascending, counted from the run's start) that have it, with their weights, whose sign says which of the component's two terms they are of. Lists that hold half of a run's rows or more are stacked, with weight 0 in their gaps, so that a product with a query's components traverses them together."""
 
     def __init__(self, x: np.ndarray, run: int):
         self.n, self.starts = len(x), list(range(0, len(x), run))
         self.size = [min(run, len(x) - s) for s in self.starts]
-        self.lists: dict[tuple[int, int], tuple[np.ndarray | None, np.ndarray]] = {}
+        self.lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # by run: the shorter ones, by component
+        self.full: list[tuple[np.ndarray, np.ndarray]] = []  # by run: components of the longer lists, and their weights, a row each
+        self.largest: list[int] = []
         self.most = np.zeros((2, x.shape[1], len(self.starts)), np.int64)  # largest weight of each term (plus, minus) in each run
         for k, start in enumerate(self.starts):
-            part = x[start : start + run]
-            self.most[0, :, k], self.most[1, :, k] = np.maximum(0, part.max(axis=0)), np.maximum(0, -part.min(axis=0))
-            for d in range(x.shape[1]):
-                column = part[:, d]
-                rows = np.nonzero(column)[0]
-                self.lists[d, k] = (None, np.ascontiguousarray(column)) if len(rows) == len(part) else (rows, column[rows])
-
-    def add(self, d: int, k: int, weight: int, scores: np.ndarray, met: np.ndarray, sign: int) -> None:
-        """Traverses both terms of a component: adds to the scores, and marks the rows of the agreeing one."""
-        rows, weights = self.lists[d, k]
-        if rows is None:
-            scores += weight * weights
-            met |= weights > 0 if sign == 0 else weights < 0
+            part = np.ascontiguousarray(x[start : start + run].T)
+            self.most[0, :, k], self.most[1, :, k] = np.maximum(0, part.max(axis=1)), np.maximum(0, -part.min(axis=1))
+            there = part != 0
+            whole = 2 * there.sum(axis=1) >= part.shape[1]
+            self.full.append((np.nonzero(whole)[0], part[whole].astype(np.float64)))
+            self.largest.append(int(np.abs(part).max(initial=0)))
+            self.lists.append({int(d): (np.nonzero(there[d])[0], part[d, there[d]]) for d in np.nonzero(~whole)[0]})
+
+    def traverse(self, k: int, q: np.ndarray) -> np.ndarray:
+        """Scores of a run's rows from the lists of the components that q (0 elsewhere) has."""
+        dims, weights = self.full[k]
+        if int(np.abs(q).sum()) * self.largest[k] < 2**53:  # whole numbers below it, and their sums, are exact
+            scores = (q[dims].astype(np.float64) @ weights).astype(np.int64)
         else:
-            scores[rows] += weight * weights
-            met[rows[weights > 0 if sign == 0 else weights < 0]] = True
+            scores = q[dims] @ weights.astype(np.int64)
+        for d in np.nonzero(q)[0].tolist():
+            if d in self.lists[k]:
+                rows, values = self.lists[k][d]
+                scores[rows] += q[d] * values
+        return scores
 
     def probe(self, d: int, k: int, some: np.ndarray) -> np.ndarray:
         """The signed weights of some rows (ascending) of a run, 0 where they have no term of the component."""
-        rows, weights = self.lists[d, k]
-        if rows is None:
-            return weights[some]
+        if d not in self.lists[k]:
+            dims, weights = self.full[k]
+            return weights[np.searchsorted(dims, d), some].astype(np.int64)
+        rows, weights = self.lists[k][d]
         if not len(rows):
             return np.zeros(len(some), np.int64)
         at = np.minimum(np.searchsorted(rows, some), len(rows) - 1)
@@ -67,10 +74,10 @@ def scored(postings: Postings, k: int, q: np.ndarray, bar: float) -> tuple[np.nd
     if after[0] < bar:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     essential = len(terms) if bar <= 0 else int(np.nonzero(after >= bar)[0][-1]) + 1
-    scores, met = np.zeros(postings.size[k], np.int64), np.zeros(postings.size[k], bool)
-    for d in terms[:essential].tolist():
-        postings.add(d, k, int(q[d]), scores, met, signs[d])
-    some = np.nonzero(met & (scores + after[essential] >= bar) if bar > 0 else scores + after[essential] >= bar)[0]
+    wanted = np.zeros(len(q), np.int64)
+    wanted[terms[:essential]] = q[terms[:essential]]
+    scores = postings.traverse(k, wanted)
+    some = np.nonzero(scores + after[essential] >= bar)[0]  # a row of no essential term has at most `after`, which is below a positive bar
     kept = scores[some]
     for i in range(essential, len(terms)):
         if not len(some):

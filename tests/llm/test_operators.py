@@ -488,6 +488,18 @@ def test_maxscore_prunes_and_ties():
     assert list(zip(*(a.tolist() for a in got), strict=True)) == [tuple(map(int, w)) for w in want]
 
 
+@pytest.mark.parametrize("scale", [1, 2**24, 2**30])
+def test_maxscore_is_exact_for_large_and_dense_vectors(scale):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-9, 10, (700, 12)) * scale + rng.integers(0, 2, (700, 12))
+    x[:, 3] = 5 * scale  # full lists and ones with gaps
+    x[::3, 5] = 0
+    queries = x[:40] // max(1, scale // 2**10) if scale > 2**24 else x[:40]
+    got = maxscore.shard_top(np.arange(700), x, np.arange(40), queries, 10, run=100)
+    want = [(i, j, int(s[j])) for i in range(40) for s in [x @ queries[i]] for j in [j for j in np.lexsort((np.arange(700), -s)) if j != i][:10]]
+    assert list(zip(*(a.tolist() for a in got), strict=True)) == want
+
+
 def test_vptree(spark):
     rows = vector_rows()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
@@ -568,8 +580,8 @@ def test_maxscore_skips():
     x[:20] *= 8
     postings = maxscore.Postings(x, 500)
     read, probed = [], []
-    add, probe = postings.add, postings.probe
-    postings.add = lambda d, *rest: (read.append(d), add(d, *rest))[1]
+    traverse, probe = postings.traverse, postings.probe
+    postings.traverse = lambda k, wanted: (read.extend(np.nonzero(wanted)[0]), traverse(k, wanted))[1]
     postings.probe = lambda d, k, some: (probed.append(len(some)), probe(d, k, some))[1]
     q, counts = rng.integers(1, 20, 16), []
     for bar in (-np.inf, float(np.sort(x @ q)[-10])):
