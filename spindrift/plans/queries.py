@@ -936,3 +936,53 @@ def s6_j3_composite_prices(spark: SparkSession, sf: str) -> DataFrame:
 def r16_billed_quantities(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.when(F.col("l_partkey") % 4 == 0, "gpu_second").when(F.col("l_partkey") % 4 == 1, "second").when(F.col("l_partkey") % 4 == 2, "video").otherwise("request")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ledger.billed_quantity(unit, F.col("l_linenumber"), F.col("l_quantity")).alias("quantity"))
+
+
+# What has files, services or stages around it
+
+
+@query("SELECT n_nationkey, n_name, 'file=' || n_nationkey AS name FROM nation WHERE n_nationkey % 3 <> 0")
+def s2_tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path, k = new_folder(spark, "tolerant"), F.col("n_nationkey")
+    rows = table(spark, sf, "nation").select(k.alias("file"), F.when(k % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("n_nationkey", "n_name"))).alias("value"))
+    rows.write.partitionBy("file").text(path)
+    return documents.tolerant(spark, f"{path}/*/part-*", "n_nationkey int, n_name string")
+
+
+@query("SELECT p_partkey AS chunk, CAST(i - 1 AS BIGINT) AS pos, 600e0 * p_partkey + 2e0 * (i - 1) AS start, 600e0 * p_partkey + 2e0 * i AS \"end\", word AS text FROM (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))")
+def s15_s16_transcribed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    class Words:
+        def segments(self, path: str) -> list[tuple[float, float, str]]:
+            return [(2.0 * i, 2.0 * i + 2, w) for i, w in enumerate(path.split(" "))]
+
+    chunks = table(spark, sf, "part").select(F.lit("v").alias("video_id"), F.col("p_partkey").cast("long").alias("chunk"), F.col("p_name").alias("path"), (600.0 * F.col("p_partkey")).alias("offset"))
+    return adapters.transcribe(chunks, Words()).drop("video_id")
+
+
+@query("SELECT conv_id AS clip, pos, path, seconds, round(coalesce(sum(seconds + 0.25) OVER b, 0), 3) AS start, round(coalesce(sum(seconds + 0.25) OVER b, 0) + seconds + 0.25, 3) AS \"end\" FROM (SELECT conv_id, CAST(pos AS INT) AS pos, 'clips/' || conv_id || '_line_' || lpad(CAST(pos AS VARCHAR), CAST(greatest(2, length(CAST(pos AS VARCHAR))) AS INT), '0') || '.mp3' AS path, round(length(text) / 4e0, 3) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations WHERE text <> '')) WINDOW b AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def k12_x3_spoken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lines = table(spark, sf, "conversations").where("text <> ''").select(F.col("conv_id").alias("clip"), (F.row_number().over(order) - 1).alias("pos"), "text")
+    start, end = timeline.running_spans(F.col("seconds"), 0.25, "clip", "pos")
+    return adapters.spoken(lines, adapters.paced(), "clips").select("clip", "pos", "path", "seconds", start.alias("start"), end.alias("end"))
+
+
+@query("SELECT c_nationkey, count(*) AS n, 's1_download,s2_transcribe' AS cached FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def c1_c2_cached_stages(spark: SparkSession, sf: str) -> DataFrame:
+    folder, customers = new_folder(spark, "stages"), table(spark, sf, "customer")
+    stages = [engine.Stage("s1_download", lambda _: customers.where("c_acctbal > 0")), engine.Stage("s2_transcribe", lambda done: done["s1_download"].groupBy("c_nationkey").agg(F.count("*").alias("n")))]
+    for _ in range(2):
+        run = engine.Engine(spark, folder, stages)
+        out = run.run()
+    return out["s2_transcribe"].withColumn("cached", F.lit(",".join(run.last_run["stages_cached"])))
+
+
+#: Texts, and the length and text of what they share, by hand.
+SHARED = (("房價所得比15.7倍，台北市", "台北市的房價所得比創新高", 5, "房價所得比"), ("abc", "xbcx", 2, "bc"), ("ab, AB!", "abab", 4, "abab"), ("", "a", 0, ""), ("甲乙", "丙丁", 0, ""))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS k, {n} AS n, '{found}' AS found" for i, (_, _, n, found) in enumerate(SHARED)))
+def x6_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    text.register(spark)
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(SHARED)], "k int, a string, b string")
+    return spark.sql("SELECT k, lcs_len(a, b) AS n, lcs_text(a, b) AS found FROM {pairs}", pairs=pairs)
