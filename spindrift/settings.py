@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields
 class Settings:
     stt_provider: str = "openai"
     stt_model: str = "gpt-4o-mini-transcribe"
+    local_stt_model: str = "small"
     llm_cheap_model: str = "gpt-5-mini"
     llm_strong_model: str = "gpt-5"
     hook_threshold: int = 3
@@ -32,6 +33,7 @@ class Settings:
     trim_head_sec: float = 0.0
     trim_tail_sec: float = 0.0
     speedup: float = 1.0
+    sample_rate: int = 16_000
 
     @classmethod
     def read(cls, environ: dict[str, str] | None = None, **given) -> Settings:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spindrift import schemas, storage
 from spindrift.operators import cache, timeline
-from spindrift.plans import engine
+from spindrift.plans import configs, engine
+from spindrift.settings import Settings
 from spindrift.sources import adapters, documents
 from spindrift.streaming import ledger as stream
 
@@ -234,6 +235,15 @@ def test_retry_and_lock(spark, tmp_path):
         pass
 
 
+def test_stage_configurations():
+    plain, fast = Settings.read({}), Settings.read({}, speedup=1.25)
+    audio, other = (engine.config_hash(configs.download(x, "v")) for x in (plain, fast))
+    assert audio != other and configs.download(plain, "v")["sample_rate"] == 16_000
+    text = configs.transcribe(plain, "v", audio)
+    assert engine.config_hash(text) != engine.config_hash(configs.transcribe(fast, "v", other))  # other audio, another transcript
+    assert text["stt_model"] == "gpt-4o-mini-transcribe" and configs.transcribe(Settings.read({}, stt_provider="local"), "v", None)["stt_model"] == plain.local_stt_model
+
+
 def test_engine_on_a_path_of_the_store(spark, tmp_path):
     """By a path that only Hadoop's file systems read."""
     said = []
