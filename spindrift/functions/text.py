@@ -34,13 +34,21 @@ def grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+_DROPPED = re.compile(f"[^{KEPT}]+")
+
+
+def _plain(text: str | None) -> str:
+    """As normalise, for one text."""
+    return _DROPPED.sub("", text or "").lower()
+
+
 @functools.lru_cache(maxsize=8)
 def _grams_of(source: str, n: int) -> frozenset[str]:
     return frozenset(source[i : i + n] for i in range(len(source) - n + 1))
 
 
 def gram_counts(text: Column, source: Column, sizes: tuple[int, ...]) -> Column:
-    """For each size n a struct (total, hits): the n-grams of a normalised text, repeats counted, and how many of them the normalised source holds. All sizes in one pass over a row; memory grows with the source's length."""
+    """For each size n a struct (total, hits): the n-grams of a text, repeats counted, and how many of them the source holds; both are normalised in the same pass. Memory grows with the source's length."""
     if min(sizes) <= 0:
         raise ValueError("n must be positive")
 
@@ -49,7 +57,7 @@ def gram_counts(text: Column, source: Column, sizes: tuple[int, ...]) -> Column:
         for texts, sources in pairs:
             out = []
             for a, b in zip(texts, sources, strict=True):
-                a, b, row = a or "", b or "", []
+                a, b, row = _plain(a), _plain(b), []
                 for n in sizes:
                     known, total = _grams_of(b, n), max(0, len(a) - n + 1)
                     hits = sum(a[i : i + n] in known for i in range(total)) if known else 0
@@ -67,7 +75,7 @@ def share(counts: Column) -> Column:
 
 def gram_overlap(text: Column, source: Column, n: int) -> Column:
     """Share of the text's n-grams, repeats counted, that the source holds; 0 if the text is shorter than n. Both are normalised first."""
-    return share(gram_counts(normalise(text), normalise(source), (n,))[0])
+    return share(gram_counts(text, source, (n,))[0])
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
@@ -118,18 +126,24 @@ def shared(a: str, b: str) -> str:
     return found
 
 
+@F.pandas_udf(T.IntegerType())
+def shared_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Length of the longest common substring of two texts, which it normalises."""
+    for a, b in pairs:
+        yield pd.Series([len(shared(_plain(x), _plain(y))) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 @F.pandas_udf(T.StringType())
-def common_substring(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The longest common substring of two normalised texts."""
+def shared_text(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The longest common substring of two texts, which it normalises."""
     for a, b in pairs:
-        yield pd.Series([shared(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=object)
+        yield pd.Series([shared(_plain(x), _plain(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def originality(text: Column, source: Column, n: int = 6, most_overlap: float = 0.15, most_shared: int = 12) -> Column:
     """Struct (ok, overlap, lcs): whether neither the gram overlap nor the longest common substring passes its limit."""
-    text, source = normalise(text), normalise(source)
     overlap = share(gram_counts(text, source, (n,))[0])
-    lcs = F.length(common_substring(text, source))
+    lcs = F.length(shared_text(text, source))
     return F.struct(((overlap <= most_overlap) & (lcs <= most_shared)).alias("ok"), overlap.alias("overlap"), lcs.alias("lcs"))
 
 
@@ -221,26 +235,7 @@ def nested(json: Column, path: str, default: Column) -> Column:
     return F.coalesce(F.get_json_object(json, path), default)
 
 
-@F.pandas_udf(T.IntegerType())
-def _shared_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([len(shared(_plain(x), _plain(y))) for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def _shared_text(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([shared(_plain(x), _plain(y)) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
-_DROPPED = re.compile(f"[^{KEPT}]+")
-
-
-def _plain(text: str | None) -> str:
-    return _DROPPED.sub("", text or "").lower()
-
-
 def register(spark) -> None:
     """Makes lcs_len and lcs_text available to SQL: length and text of the longest common substring of two texts, which they normalise."""
-    spark.udf.register("lcs_len", _shared_length)
-    spark.udf.register("lcs_text", _shared_text)
+    spark.udf.register("lcs_len", shared_length)
+    spark.udf.register("lcs_text", shared_text)

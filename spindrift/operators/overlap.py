@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import common_substring, gram_counts, normalise, share
+from ..functions.text import gram_counts, share, shared_text
 
 
 def _counted(pairs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    return pairs.withColumn("_c", gram_counts(normalise(F.col("text")), normalise(F.col("source")), sizes))
+    return pairs.withColumn("_c", gram_counts(F.col("text"), F.col("source"), sizes))
 
 
 def gram_share(pairs: DataFrame, key: str, n: int) -> DataFrame:
@@ -26,5 +26,5 @@ def gated(pairs: DataFrame, key: str, n: int = 6, most_overlap: float = 0.15, mo
 
 def longest_shared(pairs: DataFrame, key: str) -> DataFrame:
     """(key, lcs, shared): length and text of the longest common substring."""
-    found = pairs.select(key, common_substring(normalise(F.col("text")), normalise(F.col("source"))).alias("shared"))
+    found = pairs.select(key, shared_text(F.col("text"), F.col("source")).alias("shared"))
     return found.select(key, F.length("shared").alias("lcs"), "shared")
