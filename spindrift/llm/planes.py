@@ -8,7 +8,7 @@ A file holds the ids of neighbouring documents in ascending doc_id order. Every
 
 Spark's text sink writes the rows of a partition as they are, each ended by a line feed, so the files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches.
 
-Files are bounds in the order of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread over files too; files follow one another by name. Reading loads each file once; what all files hold is summed from the documents found.
+Files are bounds in the order of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread over files too; files follow one another by the number in their names. Reading loads each file once; what all files hold is summed from the documents found.
 
 Defined results: null text counts as empty, such a document has its end id alone; repeated rows are written each, those of one doc_id in the order of their texts' hashes; a null doc_id sorts first; an empty table gives no files and no rows; columns other than doc_id and text are ignored.
 """
@@ -143,8 +143,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
     found = common.stored(files.mapInArrow(common.released(docs), "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file, whose names are in order
-    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file; the numbers in their names are in order
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
