@@ -407,7 +407,7 @@ class Known:
 class Codec:
     """encode and decode whole texts as the library does with this file."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 480_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
