@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, maxscore, packing, planes, secrets, simhash, vptree, warc
+from . import bpe, fim, langid, licenses, maxscore, packing, planes, secrets, simhash, vptree, warc
 from .common import table
 
 
@@ -51,8 +51,12 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.round_trip(table(spark, sf_dir, "documents"))
+
+
 #: In the order of the operators' numbers.
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes, op13_fim)}
 
 #: Base-32 SHA-1 has no function in DuckDB: five bits at a time from the hex digest.
 WARC_SQL = """
@@ -85,9 +89,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+FIM_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
+), h AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, list_transform(range(0, 4), lambda k: ('0x' || substr(hex, CAST(8 * k + 1 AS INT), 8))::BIGINT) AS h FROM u
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC_SQL, "op7_maxscore": TOP_SQL}
+    return {"op5_warc": WARC_SQL, "op7_maxscore": TOP_SQL, "op13_fim": FIM_SQL}
