@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, langid, licenses, maxscore, packing, planes, secrets, simhash, vptree, warc
+from . import bpe, fim, langid, licenses, maxscore, packing, planes, secrets, simhash, trie, vptree, warc
 from .common import table
 
 
@@ -51,12 +51,16 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.round_trip(table(spark, sf_dir, "documents"))
 
 
 #: In the order of the operators' numbers.
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes, op13_fim)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes, op11_trie, op13_fim)}
 
 #: Base-32 SHA-1 has no function in DuckDB: five bits at a time from the hex digest.
 WARC_SQL = """
@@ -89,6 +93,38 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, a byte and then its eight bits at a time; DuckDB has no function for it."""
+    bit = "CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(crc, CAST(ord(c) AS BIGINT)), list_transform(range(0, 8), lambda i: CAST(0 AS BIGINT))), lambda acc, i: {bit})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda crc, x: {byte.replace('CAST(ord(c) AS BIGINT)', 'x')}), 4294967295)"
+
+
+#: Prefixes as lists of digests of their turns.
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list(struct_pack(d := d, chars := chars) ORDER BY turn NULLS FIRST, d) AS own FROM t GROUP BY conv_id
+), h AS (
+  SELECT *, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM o
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100
+), l AS (
+  SELECT conv_id, len(turns) AS n, list_transform(turns, lambda x: x.d) AS ds, list_transform(turns, lambda x: x.chars) AS cs FROM r
+), p AS (
+  SELECT conv_id, n, depth, ds[1:depth] AS prefix, CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) AS depth FROM l)
+), v AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM p GROUP BY depth, prefix
+), k AS (
+  SELECT v.*, x.n_children FROM v LEFT JOIN (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL) x USING (depth, prefix)
+), s AS (
+  SELECT a.depth, a.prefix, count(*) FILTER (WHERE b.n_children IS NULL) AS n_leaves, CAST(sum((b.n_convs - 1) * b.chars) AS BIGINT) AS saved_tokens FROM v a JOIN k b ON b.depth >= a.depth AND b.prefix[1:a.depth] = a.prefix GROUP BY ALL
+)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM k JOIN s USING (depth, prefix) LEFT JOIN v q ON q.depth = k.depth - 1 AND q.prefix = k.prefix[1:k.depth - 1]
+"""
+
 FIM_SQL = r"""
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
@@ -111,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC_SQL, "op7_maxscore": TOP_SQL, "op13_fim": FIM_SQL}
+    return {"op5_warc": WARC_SQL, "op7_maxscore": TOP_SQL, "op11_trie": TRIE_SQL, "op13_fim": FIM_SQL}
