@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import balanced, new_folder, shared_root, stored
 
-__all__ = ["BATCH_ROWS", "cut", "hash_share", "new_folder", "released", "shared_root", "short_batches", "stored", "table", "text_hash"]
+__all__ = ["BATCH_ROWS", "cut", "few_rows", "hash_share", "new_folder", "released", "shared_root", "short_batches", "stored", "table", "text_hash"]
 
 #: Rows that one Arrow batch carries to Python; texts may be long, so batches stay short.
 BATCH_ROWS = 250
@@ -30,6 +30,18 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For what runs inside, Arrow batches of so many rows, as each of them is large; the session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash_share(rows: int, n: int, *of: Column) -> Column:
     """Whether a row belongs to the about `rows` of n that a hash of its columns chooses; the share is one of 2**62, so it never rounds to nothing."""
     return F.pmod(F.xxhash64(*of), F.lit(2**62)) < min(rows * 2**62 // max(n, 1), 2**62)

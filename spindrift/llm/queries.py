@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, langid, licenses, maxscore, packing, planes, secrets, simhash, trie, vptree, warc
+from . import bpe, egrid, fim, langid, licenses, maxscore, packing, planes, secrets, simhash, trie, vptree, warc
 from .common import table
 
 
@@ -55,12 +55,16 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_egrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egrid.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.round_trip(table(spark, sf_dir, "documents"))
 
 
 #: In the order of the operators' numbers.
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes, op11_trie, op13_fim)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_secrets, op3_licenses, op4_bpe, op5_warc, op6_packing, op7_maxscore, op8_simhash, op9_vptree, op10_planes, op11_trie, op12_egrid, op13_fim)}
 
 #: Base-32 SHA-1 has no function in DuckDB: five bits at a time from the hex digest.
 WARC_SQL = """
