@@ -25,6 +25,7 @@ class Postings:
     def __init__(self, x: np.ndarray, run: int):
         self.n, self.starts = len(x), list(range(0, len(x), run))
         self.size = [min(run, len(x) - s) for s in self.starts]
+        self.multiplied = 0  # entries of lists that were traversed
         self.lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # by run: the shorter ones, by component
         self.full: list[tuple[np.ndarray, np.ndarray]] = []  # by run: components of the longer lists, and their weights, a row each
         self.largest: list[int] = []
@@ -41,6 +42,10 @@ class Postings:
     def traverse(self, k: int, q: np.ndarray) -> np.ndarray:
         """Scores of a run's rows from the lists of the components that q (0 elsewhere) has."""
         dims, weights = self.full[k]
+        use = np.nonzero(q[dims])[0]
+        if len(use) < len(dims):  # the lists of other components stay untouched
+            dims, weights = dims[use], weights[use]
+        self.multiplied += weights.size
         if int(np.abs(q).sum()) * self.largest[k] < 2**53:  # whole numbers below it, and their sums, are exact
             scores = (q[dims].astype(np.float64) @ weights).astype(np.int64)
         else:
@@ -49,6 +54,7 @@ class Postings:
             if d in self.lists[k]:
                 rows, values = self.lists[k][d]
                 scores[rows] += q[d] * values
+                self.multiplied += len(rows)
         return scores
 
     def probe(self, d: int, k: int, some: np.ndarray) -> np.ndarray:
@@ -94,8 +100,11 @@ def scored(postings: Postings, k: int, q: np.ndarray, bar: float) -> tuple[np.nd
 def shard_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bars: np.ndarray | None = None, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of one shard for each query, without those below its bar (nan: no bar)."""
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    postings = Postings(x[order].astype(np.int64), run)
+    return searched(Postings(x[order].astype(np.int64), run), ids[order], query_ids, queries, k, bars)
+
+
+def searched(postings: Postings, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shard_top, of postings whose rows have these ids, in ascending order."""
     bars = np.full(len(query_ids), np.nan) if bars is None else bars
     out: tuple[list, list, list] = ([], [], [])
     for query_id, q, known in zip(query_ids.tolist(), queries.astype(np.int64), bars.tolist(), strict=True):

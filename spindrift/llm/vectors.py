@@ -38,14 +38,15 @@ def search(found: DataFrame, is_query: Column, k: int, kind: str, best: Callable
     """found(vec_id, v) -> (query_id, rank, vec_id, score), the k best of each query.
 
     best(ids, vectors, query ids, query vectors, bars) returns the k best of a shard for each query: query ids, vec_ids and scores; a query is no candidate of its own. bars are scores that the k best of all are known to reach (nan: none known); what is worse may be left out. The first shard is searched without bars; its k-th best scores are the bars of all other shards.
-    Vectors of unlike sizes meet only their like. Of repeated query rows the least vector asks.
+    Vectors of unlike sizes meet only their like. Of repeated query rows the least vector asks. Equal rows are counted before they are dealt out, and of more than k of them k are candidates, as more can't be among k best; so no shard holds many of them.
     """
-    found = found.withColumn("size", F.size("v"))
+    counted = common.stored(found.groupBy("vec_id", "v").agg(F.count("*").alias("copies")))
+    found = counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy")).select("vec_id", "v", F.size("v").alias("size"))
     n = found.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(n.n / shard)), max(1, math.ceil(n.q / block))
     names = ["query_id", "vec_id", "score"]
     number = pa.int64() if kind == "long" else pa.float64()
-    rows = found.select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))  # rows of one vec_id are spread
+    rows = found.select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))  # unlike rows of one vec_id are spread
     queries = found.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")).select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:

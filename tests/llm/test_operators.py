@@ -488,6 +488,25 @@ def test_maxscore_prunes_and_ties():
     assert list(zip(*(a.tolist() for a in got), strict=True)) == [tuple(map(int, w)) for w in want]
 
 
+def test_maxscore_multiplies_essential_postings_alone():
+    """On components of unlike sizes, where bounds exclude most of a query's terms, less than a third of all entries are multiplied."""
+    rng = np.random.default_rng(6)
+    x = np.floor(1024 * rng.normal(size=(8192, 64)) * 0.9 ** np.arange(64)).astype(np.int64)
+    postings = maxscore.Postings(x, maxscore.RUN)
+    found = maxscore.searched(postings, np.arange(8192), np.arange(40), x[:40], 10)
+    want = [(i, j, int(s[j])) for i in range(40) for s in [x @ x[i]] for j in [j for j in np.lexsort((np.arange(8192), -s)) if j != i][:10]]
+    assert list(zip(*(a.tolist() for a in found), strict=True)) == want
+    assert postings.multiplied < 40 * x.size / 3
+
+
+def test_repeated_rows_take_part_as_often_as_they_can_count(spark):
+    rows = [(k, [float(k % 7), 1.0]) for k in range(60)] + [(1000, [9.0, 9.0])] * 500
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for shard, block in ((4096, 2048), (20, 2)):
+        got = sorted(map(tuple, maxscore.top_k(df, F.col("vec_id") % 50 == 0, shard=shard, block=block).collect()))
+        assert got == brute_top(rows, 1024, True, True)
+
+
 @pytest.mark.parametrize("scale", [1, 2**24, 2**30])
 def test_maxscore_is_exact_for_large_and_dense_vectors(scale):
     rng = np.random.default_rng(9)
