@@ -84,27 +84,49 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
 
 
-#: An odd multiplier and its inverse, both modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+#: The modulus of substring hashes, a Mersenne prime, a base below it, and the base's inverse.
+_PRIME = 2**61 - 1
+_BASE = 0x1E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, _PRIME)
+
+
+def _times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 bits, as no integer of numpy holds 122 bits."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    middle = a_low * b_high + a_high * b_low
+    whole = a_high * b_high * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64(2**30 - 1)) << half) + a_low * b_low
+    whole = (whole & np.uint64(_PRIME)) + (whole >> np.uint64(61))
+    return np.where(whole >= np.uint64(_PRIME), whole - np.uint64(_PRIME), whole)
 
 
 @functools.lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+    """The first n powers, n a power of two: those known times the next one double them."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), _PRIME)))])
+    return out
 
 
 def _sums(text: str) -> np.ndarray:
-    """Running sums of the characters, each times a power of the base by its place; differences of them tell substrings apart."""
+    """Running sums of the characters, each times a power of the base by its place, modulo the prime; differences of them tell substrings apart."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    room = 1 << max(10, len(points).bit_length())
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * _powers(_BASE, room)[: len(points)])])
+    out = _times(points, _powers(_BASE, 1 << max(10, len(points).bit_length()))[: len(points)])
+    step = 1
+    while step < len(out):  # sums of twice as many neighbours each time
+        more = out.copy()
+        more[step:] += out[:-step]
+        out = np.where(more >= np.uint64(_PRIME), more - np.uint64(_PRIME), more)
+        step *= 2
+    return np.concatenate([np.zeros(1, np.uint64), out])
 
 
 def _windows(sums: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all substrings of length n."""
     count = len(sums) - n
-    return (sums[n:] - sums[:count]) * _powers(_INVERSE, 1 << max(10, count.bit_length()))[:count]
+    apart = sums[n:] + np.uint64(_PRIME) - sums[:count]
+    return _times(np.where(apart >= np.uint64(_PRIME), apart - np.uint64(_PRIME), apart), _powers(_INVERSE, 1 << max(10, count.bit_length()))[:count])
 
 
 def shared(a: str, b: str) -> str:

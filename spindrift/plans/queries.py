@@ -417,6 +417,12 @@ def f4_f5_longest_shared(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.longest_shared(doc_pairs(spark, sf), "doc_id")
 
 
+@query()
+def f4_f5_best_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all the benchmark's items the one that shares most with each document."""
+    return overlap.best_source(texts(spark, sf), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
 @query("SELECT c_custkey, r.o_orderkey, r.o_totalprice FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) r ON c_custkey = r.o_custkey")
 def j7_last_right_row_wins(spark: SparkSession, sf: str) -> DataFrame:
     last = cache.latest(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
