@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan
 from . import common, components, vectors
 
 #: Axes that order the grid, and axes of the boxes.
@@ -98,8 +99,8 @@ def shadows(u: np.ndarray, basis: dict[int, np.ndarray]) -> np.ndarray:
     return np.hstack([placed, np.zeros((len(u), BOX - placed.shape[1]))])
 
 
-def blocks(classes: DataFrame, basis: dict[int, np.ndarray], epsilon: float, block: int) -> DataFrame:
-    """The sequence in the order of the grid, in blocks, stored: part and at (which order them), size, keys, ids, first (vec_ids, the least of each class), copies, data (the vectors), and the bounds l0, h0, ... of the box."""
+def numbered(classes: DataFrame, basis: dict[int, np.ndarray], epsilon: float) -> DataFrame:
+    """classes(size, key, first, copies, v) with rank, their place in the order of the grid."""
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,54 +110,65 @@ def blocks(classes: DataFrame, basis: dict[int, np.ndarray], epsilon: float, blo
                 cells[of == size] = np.floor(shadows(units(vectors.matrix(t.filter(pa.array(of == size)))), basis)[:, :GRID] / epsilon)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(cells), pa.list_(pa.int32()))], [*b.schema.names, "cell"])
 
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int64()), pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "part", "at"])
+            at += b.num_rows
+
+    schema = "size int, key binary, first long, copies long, v array<double>"
+    order = ["size", "cell", "key"]  # the digest splits a cell that holds very many
+    ordered = classes.select("size", "key", "first", "copies", "v").mapInArrow(celled, f"{schema}, cell array<int>").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = common.stored(ordered.drop("cell").mapInArrow(placed, f"{schema}, part long, at long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range, however many vectors there are
+    starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return dealt.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
+def blocks(classes: DataFrame, basis: dict[int, np.ndarray], epsilon: float, block: int) -> DataFrame:
+    """The sequence in blocks, stored: rank (from 0), size, ids (places in the sequence), keys, first (vec_ids, the least of each class), copies, data (the vectors), and the bounds l0, h0, ... of the box."""
     bounds = [f"{side}{k}" for k in range(BOX + 1) for side in "lh"]
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, held = TaskContext.get().partitionId(), 0, []
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
 
-        def made(t: pa.Table) -> pa.RecordBatch:
-            nonlocal at
-            x, size = vectors.matrix(t), t.column("size")[0].as_py()
+        def made() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            x, size = vectors.matrix(t), now[0]
             near = np.hstack([shadows(units(x), basis), np.full((len(x), 1), 4.0 * size)])  # vectors of other sizes are far
             box = [y for k in range(BOX + 1) for y in (near[:, k].min(), near[:, k].max())]
             small = x.astype("<f4")
             data = b"f" + small.tobytes() if np.array_equal(small, x) else b"d" + x.astype("<f8").tobytes()
-            ids = [part << 42 | at << 20 | k for k in range(len(x))]
-            row = [pa.array([part]), pa.array([at]), pa.array([size], pa.int32()), pa.array([t.column("key").to_pylist()], pa.list_(pa.binary())), pa.array([ids]), pa.array([t.column("first").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary()), *(pa.array([float(y)]) for y in box)]
-            at += 1
-            return pa.RecordBatch.from_arrays(row, ["part", "at", "size", "keys", "ids", "first", "copies", "data", *bounds])
-
-        def full(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            t = pa.Table.from_batches(held)
-            sizes = t.column("size").to_numpy()
-            ends = [*(np.nonzero(np.diff(sizes))[0] + 1).tolist(), len(sizes)]
-            start = 0
-            for end in ends:
-                most = max(64, min(block, BLOCK_BYTES // (8 * int(sizes[start])))) if block >= 64 else block
-                while end - start >= most or (end > start and (last or end < len(sizes))):
-                    take = min(most, end - start)
-                    yield made(t.slice(start, take).combine_chunks())
-                    start += take
-            held = t.slice(start).to_batches()
+            held.clear()
+            lists = [pa.array([t.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("rank", pa.int64()), ("key", pa.binary()), ("first", pa.int64()), ("copies", pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([now[1]], pa.int64()), *lists, pa.array([data], pa.binary()), *(pa.array([float(y)]) for y in box)], ["size", "no", "ids", "keys", "first", "copies", "data", *bounds])
 
         for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= block:
-                yield from full(False)
-        if sum(x.num_rows for x in held):
-            yield from full(True)
-
-    schema = "part long, at long, size int, keys array<binary>, ids array<long>, first array<long>, copies array<long>, data binary, " + ", ".join(f"{x} double" for x in bounds)
-    named = classes.select("size", "key", "first", "copies", "v")
-    celled_rows = named.mapInArrow(celled, "size int, key binary, first long, copies long, v array<double>, cell array<int>")
-    order = ["size", "cell", "key"]  # the digest splits a cell that holds very many
-    ordered = celled_rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("cell")
-    made = common.stored(ordered.mapInArrow(common.released(dealt), schema))
-    counts = made.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range, however many vectors there are
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return made.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("start")
+            sizes, numbers = b.column("size").to_numpy(), b.column("no").to_numpy()
+            edges = np.nonzero((np.diff(sizes) != 0) | (np.diff(numbers) != 0))[0] + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                if start == end:
+                    continue
+                name = (int(sizes[start]), int(numbers[start]))
+                if held and name != now:
+                    yield made()
+                now = name
+                held.append(b.slice(start, end - start))
+        if held:
+            yield made()
+
+    ranked = numbered(classes, basis, epsilon)
+    bytes_bound = F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size")))
+    most = F.greatest(F.lit(64), F.least(F.lit(block), bytes_bound)) if block > 64 else F.lit(block)
+    cut = ranked.withColumn("no", F.floor(F.col("rank") / most))
+    wanted = classes.groupBy("size").agg(F.count("*").alias("n")).agg(F.sum(F.ceil(F.col("n") / most))).first()[0] or 1
+    dealt = cut.repartition(max(1, min(int(wanted), 10_000)), "size", "no").sortWithinPartitions("size", "no", "rank")
+    schema = "size int, no long, ids array<long>, keys array<binary>, first array<long>, copies array<long>, data binary, " + ", ".join(f"{x} double" for x in bounds)
+    made = common.stored(dealt.mapInArrow(common.released(gathered), schema))
+    order = scan.running(made.select("size", "no", F.lit(0).alias("all")), ["all"], [F.col("size"), F.col("no")], {"rank": F.lit(1)})
+    return made.join(order.select("size", "no", (F.col("rank") - 1).alias("rank")), ["size", "no"]).drop("no")
 
 
 def apart(x: str, y: str) -> F.Column:
