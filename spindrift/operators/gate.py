@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, normalise
+from ..storage import stored
+from . import scan
 
 #: Limits at which two segments count as duplicates: bigram Jaccard, equal figures, share of the shorter one's time.
 TEXT, FIGURES, TIME = 0.5, 2, 0.5
@@ -41,28 +43,74 @@ def prepared(segments: DataFrame) -> DataFrame:
     return segments.withColumn("bigrams", F.array_distinct(grams(normalise(F.concat("topic", "summary")), 2))).withColumn("figures", F.array_distinct(F.transform("data_points", lambda p: F.struct(p.value, p.unit))))
 
 
-def select(segments: DataFrame, key: str, threshold: int = 3, most: int = 3) -> DataFrame:
+#: Segments of a key that one array may hold; more are chosen in rounds.
+BLOCK = 512
+_CHOSEN = "array<struct<place:struct<chart:int,unscored:boolean,score:double,start:double,pos:bigint>,id:bigint,start:double,end:double,bigrams:array<string>,figures:array<struct<value:double,unit:string>>>>"
+
+
+def place() -> Column:
+    """A segment's place in the ranking, to be compared: as ranked() orders a key."""
+    chart = F.when(F.col("has_chart_data"), 0).when(~F.col("has_chart_data"), 1).otherwise(2)
+    return F.struct(chart.alias("chart"), F.col("hook_score").isNull().alias("unscored"), (-F.col("hook_score")).cast("double").alias("score"), F.col("start").cast("double").alias("start"), F.col("pos").cast("long").alias("pos"))
+
+
+def _mine(s: Column) -> Column:
+    """What is kept of a chosen segment."""
+    return F.struct(s["place"].alias("place"), s["id"].cast("long").alias("id"), s["start"].cast("double").alias("start"), s["end"].cast("double").alias("end"), s["bigrams"].alias("bigrams"), s["figures"].alias("figures"))
+
+
+def _repeats(s: Column, chosen: Column) -> Column:
+    """Why a segment repeats the first of the chosen ones before it that it repeats, or null."""
+    why = lambda c: F.when(c["place"] < s["place"], F.concat(F.lit("duplicate of segment "), c["id"].cast("string"), F.lit(" ("), duplicate(s, c), F.lit(")")))
+    return F.get(F.filter(F.transform(chosen, why), lambda r: r.isNotNull()), F.lit(0))
+
+
+def select(segments: DataFrame, key: str, threshold: int = 3, most: int = 3, block: int = BLOCK) -> DataFrame:
     """segments(key, pos, id, start, end, topic, summary, has_chart_data, hook_score, data_points) with selected and skip_reason.
 
-    A walk down the ranking: a score below the threshold, then a likeness to a chosen segment, then the cap skips a segment. The walk is a fold over each key's ranked array, which a recording's segments (five to ten) fit.
+    A walk down the ranking: a score below the threshold, then a likeness to a chosen segment, then the cap skips a segment. Keys of up to `block` segments walk their arrays. A larger key is chosen in rounds, its segments staying rows of as many tasks as it takes: the best `block` open segments of each key walk on from what is chosen, then all others are joined with the chosen ones, and what repeats one, or comes after the cap, is open no more. Each round chooses the best open segment at least, so there are `most` rounds at most.
     """
-    walk = F.struct("rank", "pos", "id", "start", "end", "hook_score", "bigrams", "figures")
-    chosen_type = "array<struct<id:bigint,start:double,end:double,bigrams:array<string>,figures:array<struct<value:double,unit:string>>>>"
-    begin = F.struct(F.array().cast(chosen_type).alias("chosen"), F.array().cast("array<struct<pos:bigint,selected:boolean,skip_reason:string>>").alias("out"))
+    rows = prepared(segments).withColumn("place", place())
+    score = F.col("hook_score")
+    low = F.when(score < threshold, F.concat(F.lit("hook_score "), score.cast("string"), F.lit(f" < threshold {threshold}")))
+    over = F.lit("over max_clips budget")
+    listed = F.struct("place", "pos", "id", "start", "end", "bigrams", "figures")
 
     def step(acc: Column, s: Column) -> Column:
-        reasons = F.filter(F.transform(acc.chosen, lambda c: F.concat(F.lit("duplicate of segment "), c.id.cast("string"), F.lit(" ("), duplicate(s, c), F.lit(")"))), lambda r: r.isNotNull())
-        reason = (
-            F.when(s.hook_score < threshold, F.concat(F.lit("hook_score "), s.hook_score.cast("string"), F.lit(f" < threshold {threshold}")))
-            .when(F.size(reasons) > 0, F.get(reasons, F.lit(0)))
-            .when(F.size(acc.chosen) >= most, F.lit("over max_clips budget"))
-            .otherwise(F.lit(""))
-        )
-        mine = F.struct(s.id.cast("long").alias("id"), s.start.cast("double").alias("start"), s.end.cast("double").alias("end"), s.bigrams.alias("bigrams"), s.figures.alias("figures"))
-        return F.struct(F.when(reason == "", F.array_append(acc.chosen, mine)).otherwise(acc.chosen).alias("chosen"), F.array_append(acc.out, F.struct(s.pos.cast("long").alias("pos"), (reason == "").alias("selected"), reason.alias("skip_reason"))).alias("out"))
-
-    folded = ranked(prepared(segments), key).groupBy(key).agg(F.array_sort(F.collect_list(walk)).alias("walk")).select(key, F.inline(F.aggregate("walk", begin, step, lambda acc: acc.out)))
-    return segments.join(folded, [key, "pos"])
+        free = _repeats(s, acc).isNull() & (F.size(acc) < most)
+        return F.when(free, F.array_append(acc, _mine(s))).otherwise(acc)
+
+    def walked(best: DataFrame, before: DataFrame | None) -> DataFrame:
+        """(key, chosen) after the arrays of best rows."""
+        arrays = best.groupBy(key).agg(F.array_sort(F.collect_list(listed)).alias("walk"))
+        begin = F.array().cast(_CHOSEN)
+        if before is not None:
+            arrays, begin = arrays.join(before, key, "left"), F.coalesce("chosen", begin)
+        return arrays.select(key, F.aggregate("walk", begin, step).alias("chosen"))
+
+    def settled(chosen: DataFrame) -> DataFrame:
+        mine = F.col("_s")
+        told = rows.withColumn("_s", F.struct(*listed_names)).withColumn("_low", low).join(chosen, key, "left")
+        is_chosen = F.exists(F.coalesce("chosen", F.array().cast(_CHOSEN)), lambda c: c["place"] == mine["place"])
+        reason = F.coalesce("_low", F.when(is_chosen, F.lit("")), _repeats(mine, F.col("chosen")), over)
+        return told.withColumn("skip_reason", reason).withColumn("selected", F.col("skip_reason") == "").select(*segments.columns, "selected", "skip_reason")
+
+    listed_names = ["place", "pos", "id", "start", "end", "bigrams", "figures"]
+    if not scan.hot(segments, [key], block):
+        return settled(walked(rows.where(low.isNull()), None))
+    rows = stored(rows)
+    open_, chosen = rows.where(low.isNull()), None
+    while True:
+        first = Window.partitionBy(key).orderBy("place")
+        best = open_.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= block)  # Spark drops the rest of a key before it is shuffled
+        new = stored(walked(best, chosen))
+        chosen = new if chosen is None else stored(new.unionByName(chosen.join(new, key, "left_anti")))
+        met = open_.withColumn("_s", F.struct(*listed_names)).join(new, key).where(F.size("chosen") < most)
+        mine = F.col("_s")
+        left = met.where(~F.exists("chosen", lambda c: c["place"] == mine["place"]) & _repeats(mine, F.col("chosen")).isNull())
+        open_ = stored(left.select(rows.columns))
+        if not open_.limit(1).count():
+            return settled(chosen)
 
 
 def unique_ids(ids: Column) -> Column:

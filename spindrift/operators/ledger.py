@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STAGES
+from . import scan
 
 # US dollars a minute, a million tokens in and out, a million characters, and what else a price needs.
 STT_MINUTE = {"openai/gpt-4o-mini-transcribe": 0.003, "openai/gpt-4o-transcribe": 0.006, "openai/gpt-transcribe": 0.0045, "openai/whisper-1": 0.006, "local/faster-whisper": 0.0}
@@ -178,13 +179,14 @@ def naive_alternative(ledger: DataFrame, segments: DataFrame, key: str, strong_m
     return paid.join(counts, key, "left").select(key, F.round("strong_usd", 6).alias("strong_usd"), F.round(whole, 6).alias("all_segments_usd"), F.round(F.col("reference_usd") + whole, 6).alias("naive_usd"))
 
 
-def budget_guard(calls: DataFrame, key: str, order: str, most: float) -> DataFrame:
-    """calls(key, order, estimate, actual) with spent_before and whether a call goes ahead: it and all before it must not pass the budget."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.coalesce(F.sum("actual").over(before), F.lit(0.0))
-    over = calls.withColumn("spent_before", spent).withColumn("_over", (F.col("spent_before") + F.col("estimate") > most).cast("int"))
-    return over.withColumn("admitted", F.max("_over").over(upto) == 0).drop("_over")
+def budget_guard(calls: DataFrame, key: str, order: str, most: float, hot: int = scan.HOT) -> DataFrame:
+    """calls(key, order, estimate, actual) with spent_before and whether a call goes ahead: it and all before it must not pass the budget. Keys of any size, summed exactly."""
+    actual = scan.exact(F.coalesce(F.col("actual"), F.lit(0)))
+    upto = scan.running(calls.withColumn("_actual", actual), [key], [F.col(order)], {"_upto": F.col("_actual")}, hot)
+    spent = (F.col("_upto") - F.col("_actual")).cast("double")
+    over = upto.withColumn("spent_before", spent).withColumn("_over", (F.col("spent_before") + F.col("estimate") > most).cast("int"))
+    refused = scan.running(over, [key], [F.col(order)], {"_refused": F.col("_over")}, hot)
+    return refused.select(*calls.columns, "spent_before", (F.col("_refused") == 0).alias("admitted"))
 
 
 def worst_provider(chain: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+from ..storage import stored
+from . import scan
+
 
 def overlaps(spans: DataFrame, segments: DataFrame, key: str, pad: float = 0.0, bucket: float = 60.0) -> DataFrame:
     """Pairs of spans(key, span_id, lo, hi) and segments(key, pos, start, end, text) that overlap by more than a point, spans widened by pad.
@@ -14,7 +22,7 @@ def overlaps(spans: DataFrame, segments: DataFrame, key: str, pad: float = 0.0,
     widened = spans.select(key, "span_id", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi")).where("hi > lo")
     first, last = (lambda c: F.floor(c / bucket)), (lambda c: F.floor(c / bucket))
     left = widened.withColumn("b", F.explode(F.sequence(first(F.col("lo")), last(F.col("hi")))))
-    right = segments.where('"end" is not null').where(F.col("end") >= F.col("start")).withColumn("b", F.explode(F.sequence(first(F.col("start")), last(F.col("end")))))
+    right = segments.where(F.col("end") >= F.col("start")).withColumn("b", F.explode(F.sequence(first(F.col("start")), last(F.col("end")))))
     joined = left.join(right, [key, "b"]).where((F.col("end") > F.col("lo")) & (F.col("start") < F.col("hi")))
     return joined.where(F.col("b") == F.greatest(first(F.col("lo")), first(F.col("start")))).drop("b")
 
@@ -31,6 +39,23 @@ def running_spans(duration: Column, gap: float, key: Column | str, order: Column
     return F.round(start, digits), F.round(start + duration + gap, digits)
 
 
+def timed(pieces: DataFrame, duration: Column, gap: float, key: str, order: str, digits: int = 3, most: int = scan.HOT) -> DataFrame:
+    """pieces with start and end as running_spans has them, for keys of any size; summed exactly."""
+    whole = scan.exact(duration + gap)
+    summed = scan.running(pieces.withColumn("_d", duration), [key], [F.col(order)], {"_upto": whole}, most)
+    end = F.col("_upto").cast("double")
+    return summed.select(*pieces.columns, F.round((F.col("_upto") - F.coalesce(scan.exact(F.col("_d") + gap), F.lit(0))).cast("double"), digits).alias("start"), F.round(end, digits).alias("end"))
+
+
+def shared_out(texts: DataFrame, length: Column, lo: Column, hi: Column, key: str, order: str, most: int = scan.HOT) -> DataFrame:
+    """texts with start and end as allocated has them, for keys of any size."""
+    named = texts.withColumn("_n", length.cast("long"))
+    totals = named.groupBy(key).agg(F.greatest(F.sum("_n"), F.lit(1)).alias("_total"))
+    summed = scan.running(named, [key], [F.col(order)], {"_done": F.col("_n")}, most).join(totals, key)
+    span = F.greatest(hi - lo, F.lit(0.0))
+    return summed.select(*texts.columns, (lo + span * (F.col("_done") - F.col("_n")) / F.col("_total")).alias("start"), (lo + span * F.col("_done") / F.col("_total")).alias("end"))
+
+
 def allocated(length: Column, lo: Column, hi: Column, key: str, order: str) -> tuple[Column, Column]:
     """Start and end of texts that share a span in proportion to their lengths."""
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -63,7 +88,7 @@ def packed_lines(segments: Column, most_chars: int = 60, most_span: float = 15.0
     begin = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.lit(0.0).alias("start"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
-        text = F.trim(s.text)
+        text = stripped(s.text)
         blank, fresh = F.coalesce(text, F.lit("")) == "", acc.text == ""
         flush = ~fresh & ((F.length(acc.text) + F.length(text) > most_chars) | (s.end - acc.start > most_span))
         whole = F.struct(acc.start.alias("start"), acc.text.alias("text"))
@@ -75,6 +100,121 @@ def packed_lines(segments: Column, most_chars: int = 60, most_span: float = 15.0
     return F.aggregate(segments, begin, step, lambda acc: F.when(acc.text != "", F.array_append(acc.done, F.struct(acc.start.alias("start"), acc.text.alias("text")))).otherwise(acc.done))
 
 
+#: Rows of a recording that one task packs where a recording is split.
+CHUNK = 16_384
+_LINE = "pos long, start double, text string"
+
+
+def packed(segments: DataFrame, key: str, most_chars: int = 60, most_span: float = 15.0, most: int = scan.HOT, chunk: int = CHUNK) -> DataFrame:
+    """(key, pos, start, text) of the lines of segments(key, pos, start, end, text), pos and start of their first segment: neighbours are joined until a line would be too long or span too much time; blank ones are skipped.
+
+    Recordings of up to `most` segments stream through a task each, in order. A longer one is dealt into chunks. Where a line starts says where the next one does, no further on than a line has characters; so each chunk tells, for each of its first segments, at which of the next chunk's first segments the line that reaches there ends. These steps are doubled, two of them make one over twice as many chunks, and going down the powers of two finds where each chunk's first line really starts; then all chunks pack at once.
+    """
+    rows = segments.select(key, F.col("pos").cast("long").alias("pos"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), stripped(F.col("text")).alias("text")).where("text <> ''")
+    kind = dict(rows.dtypes)[key]
+    if not scan.hot(rows, [key], most):
+        ordered = rows.repartition(key).sortWithinPartitions(key, "pos")
+        return ordered.mapInArrow(lambda batches: _stream(batches, key, most_chars, most_span), f"{key} {kind}, {_LINE}")
+    chunk = max(chunk, most_chars + 1)
+    counted = scan.running(rows, [key], [F.col("pos")], {"n": F.lit(1), "upto": F.length("text")}, most)
+    number, within = F.floor((F.col("n") - 1) / chunk), (F.col("n") - 1) % chunk
+    both = F.when((within < most_chars) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))  # the first ones also end the chunk before
+    dealt = stored(counted.select(key, F.explode(both).alias("chunk"), "n", "upto", "pos", "start", "end", "text"))
+    steps = stored(dealt.groupBy(key, "chunk").applyInArrow(lambda names, t: _steps(names, t, key, chunk, most_chars, most_span), f"{key} {kind}, chunk long, entry long, exit long"))
+    longest = steps.agg(F.max("chunk")).first()[0] or 0
+    doubled, width = [steps], 1
+    while 2 * width <= longest:  # from chunks that are multiples of a power of two, over as many chunks
+        far = doubled[-1].select(key, (F.col("chunk") - width).alias("chunk"), F.col("entry").alias("exit"), F.col("exit").alias("to"))
+        near = doubled[-1].where(F.col("chunk") % (2 * width) == 0)
+        doubled.append(stored(near.join(far, [key, "chunk", "exit"]).select(key, "chunk", "entry", F.col("to").alias("exit"))))
+        width *= 2
+    begins = steps.where("chunk = 0").select(key, "chunk", F.lit(0).cast("long").alias("entry")).distinct()
+    for step in reversed(doubled):
+        begins = stored(begins.unionByName(begins.join(step, [key, "chunk", "entry"]).select(key, (F.col("chunk") + width).alias("chunk"), F.col("exit").alias("entry"))))
+        width //= 2
+    placed = dealt.join(begins, [key, "chunk"])
+    return placed.groupBy(key, "chunk").applyInArrow(lambda names, t: _pack_chunk(names, t, key, chunk, most_chars, most_span), f"{key} {kind}, {_LINE}")
+
+
+def _stream(batches: Iterator[pa.RecordBatch], key: str, most_chars: int, most_span: float) -> Iterator[pa.RecordBatch]:
+    """Lines of rows (key, pos, start, end, text) in order; one line in memory."""
+    now, parts, size, first, begun, kind = None, [], 0, None, 0.0, None
+    for b in batches:
+        kind, out = b.schema.field(key).type, ([], [], [], [])
+
+        def line() -> None:
+            for column, x in zip(out, (now, first, begun, "".join(parts)), strict=True):
+                column.append(x)
+
+        for name, pos, start, end, text in zip(*(b.column(c).to_pylist() for c in (key, "pos", "start", "end", "text")), strict=True):
+            if parts and (name != now or size + len(text) > most_chars or (end is not None and begun is not None and end - begun > most_span)):
+                line()
+                parts = []
+            if not parts:
+                now, first, begun, size = name, pos, start, 0
+            parts.append(text)
+            size += len(text)
+        yield _lines(out, key, kind)
+    if parts:
+        yield _lines(([now], [first], [begun], ["".join(parts)]), key, kind)
+
+
+def _lines(columns: tuple[list, list, list, list], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [key, "pos", "start", "text"])
+
+
+def _next_lines(t: pa.Table, most_chars: int, most_span: float) -> np.ndarray:
+    """For a line that starts at each row of a chunk in order: the row that starts the next one; the number of rows if none does."""
+    upto = t.column("upto").to_numpy()
+    start, end = (t.column(c).to_numpy().astype(float) for c in ("start", "end"))  # nan where null, which is over no span
+    size, n = np.diff(upto, prepend=upto[0] - len(t.column("text")[0].as_py())), len(upto)
+    rows = np.arange(n)
+    following = np.maximum(np.searchsorted(upto, upto - size + most_chars, "right"), rows + 1)  # by prefix sums of lengths
+    for ahead in range(1, most_chars + 1):
+        open_ = np.nonzero(rows + ahead < following)[0]
+        if not len(open_):
+            break
+        late = open_[end[open_ + ahead] - start[open_] > most_span]
+        following[late] = late + ahead
+    return following
+
+
+def _sorted(t: pa.Table) -> pa.Table:
+    return t.sort_by("n").combine_chunks()
+
+
+def _steps(names: tuple, t: pa.Table, key: str, chunk: int, most_chars: int, most_span: float) -> pa.Table:
+    t = _sorted(t)
+    n, number = t.num_rows, names[1].as_py()
+    to = np.minimum(_next_lines(t, most_chars, most_span), n)
+    inside = min(chunk, n)
+    leap = np.append(to, n)
+    while (leap[:inside] < inside).any():
+        leap = np.where(leap < inside, leap[np.minimum(leap, n)], leap)
+    entries = np.arange(min(most_chars, inside))
+    exits = leap[entries]
+    on = exits < n  # else the recording ends here
+    entries, exits = entries[on], exits[on] - chunk
+    if not len(entries):
+        entries, exits = np.array([0]), np.array([-1])  # a chunk that nothing follows
+    of = [pa.array([names[0].as_py()] * len(entries), names[0].type), pa.array([number] * len(entries), pa.int64()), pa.array(entries, pa.int64()), pa.array(exits, pa.int64())]
+    return pa.table(of, [key, "chunk", "entry", "exit"])
+
+
+def _pack_chunk(names: tuple, t: pa.Table, key: str, chunk: int, most_chars: int, most_span: float) -> pa.Table:
+    """The lines that start in a chunk, from its first one on."""
+    t = _sorted(t)
+    to, at = _next_lines(t, most_chars, most_span).tolist(), t.column("entry")[0].as_py()
+    texts, pos, start = (t.column(c).to_pylist() for c in ("text", "pos", "start"))
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    while 0 <= at < min(chunk, t.num_rows):
+        for column, x in zip(out, (names[0].as_py(), pos[at], start[at], "".join(texts[at : to[at]])), strict=True):
+            column.append(x)
+        at = to[at]
+    return pa.Table.from_batches([_lines(out, key, names[0].type)])
+
+
 def bucket_of(i: Column, lines: Column, buckets: Column) -> Column:
     """Which of `buckets` even runs the i-th (from 0) of `lines` lines falls in: bucket j takes [j*lines div buckets, (j+1)*lines div buckets)."""
     return F.floor(((i + 1) * buckets - 1) / lines)

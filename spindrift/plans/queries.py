@@ -563,14 +563,13 @@ def t2_chosen_by_start(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT video, pos, round(coalesce(sum(d + 0.25) OVER b, 0), 3) AS start, round(coalesce(sum(d + 0.25) OVER b, 0) + d + 0.25, 3) AS \"end\" FROM (SELECT video, pos, \"end\" - start AS d FROM ({SEGMENTS})) WINDOW b AS (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def w3_w5_line_timings(spark: SparkSession, sf: str) -> DataFrame:
-    start, end = timeline.running_spans(F.col("end") - F.col("start"), 0.25, "video", "pos")
-    return segments(spark, sf).select("video", "pos", start.alias("start"), end.alias("end"))
+    lines = segments(spark, sf).select("video", "pos", (F.col("end") - F.col("start")).alias("seconds"))
+    return timeline.timed(lines, F.col("seconds"), 0.25, "video", "pos").drop("seconds")
 
 
 @query(f"SELECT video, pos, 10 + 600e0 * (done - n) / total AS start, 10 + 600e0 * done / total AS \"end\" FROM (SELECT video, pos, length(text) AS n, sum(length(text)) OVER (PARTITION BY video ORDER BY pos) AS done, sum(length(text)) OVER (PARTITION BY video) AS total FROM ({SEGMENTS}))")
 def w4_proportional_time(spark: SparkSession, sf: str) -> DataFrame:
-    start, end = timeline.allocated(F.length("text"), F.lit(10.0), F.lit(610.0), "video", "pos")
-    return segments(spark, sf).select("video", "pos", start.alias("start"), end.alias("end"))
+    return timeline.shared_out(segments(spark, sf).select("video", "pos", "text"), F.length("text"), F.lit(10.0), F.lit(610.0), "video", "pos").drop("text")
 
 
 @query(f"SELECT video, scene, CASE WHEN scene = 0 THEN 0 ELSE min(start) END AS start, CASE WHEN scene = max(scene) OVER (PARTITION BY video) THEN max(total) + 1 ELSE max(\"end\") END AS \"end\" FROM (SELECT *, CASE WHEN i = 0 OR w = 1 THEN 0 ELSE CAST(1 + (i * (w - 1) - 1) // (n - 1) AS INT) END AS scene FROM (SELECT *, pos - 1 AS i, count(*) OVER (PARTITION BY video) AS n, greatest(1, least(5, count(*) OVER (PARTITION BY video))) AS w, 3e0 * (count(*) OVER (PARTITION BY video)) AS total FROM ({SEGMENTS}))) GROUP BY video, scene")
@@ -594,8 +593,7 @@ FROM (SELECT video, out_s, out_t FROM w WHERE out_t IS NOT NULL UNION ALL SELECT
 
 @query(PACK_SQL)
 def w8_f10_packed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = segments(spark, sf).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text"))).alias("s"))
-    lines = ordered.select("video", F.inline(timeline.packed_lines(F.col("s"))))
+    lines = timeline.packed(segments(spark, sf), "video")
     return lines.select("video", "start", F.concat(F.lit("["), text.clock(F.col("start")), F.lit("] "), "text").alias("line"))
 
 
