@@ -6,9 +6,7 @@ A file holds the ids of neighbouring documents in ascending doc_id order. Every
 * index, after the last block: "BPIX", compressed size u32, then with zstandard: blocks u32, documents u32, offset of each block u64, ids in each block u32, doc_id of each document i64, null flag of each u8, ids of each u64; line feed;
 * tail: "BPND", offset of the index u64, line feed.
 
-Spark's text sink writes the rows of a partition as they are, each ended by a line feed, so the files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches.
-
-Files are bounds in the order of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread over files too; files follow one another by the number in their names. Reading loads each file once; what all files hold is summed from the documents found.
+Documents are encoded where they lie; their ids, two bytes each where the vocabulary allows it, are stored and dealt by ranges of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread too. A range makes as many files as it takes: one is closed at the end of the document that fills it (`file_ids`), so a file stays small enough to be read as one value however large the corpus. A file is one row of Spark's text sink, which writes it as it is, ended by a line feed, and with one row to a file; so files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches. They follow one another by the two numbers in their names, of the range and within it.
 
 Defined results: null text counts as empty, such a document has its end id alone; repeated rows are written each, those of one doc_id in the order of their texts' hashes; a null doc_id sorts first; an empty table gives no files and no rows; columns other than doc_id and text are ignored.
 """
@@ -28,6 +26,8 @@ from pyspark.sql import functions as F
 from . import bpe, common, tokens
 
 BLOCK = 65536
+#: Ids after which a file is closed; about 12 MB at 12 bits an id.
+FILE_IDS = 8_000_000
 
 
 def pack_block(ids: np.ndarray, level: int = 1) -> bytes:
@@ -50,39 +50,54 @@ def unpack_block(data: memoryview | bytes) -> np.ndarray:
     return ids
 
 
-def write_rows(docs: Iterator[tuple[int | None, bytes]], block: int = BLOCK) -> Iterator[bytes]:
-    """The rows of one file from (doc_id, ids as uint32 bytes); nothing if there are no documents."""
-    held, size, at = [], 0, 0
-    offsets, counts, names, nulls, lengths = [], [], [], [], []
-
-    def full(ids: np.ndarray) -> bytes:
-        nonlocal at
-        row = pack_block(ids)
-        offsets.append(at)
-        counts.append(len(ids))
-        at += len(row) + 1
-        return row
-
+def write_files(docs: Iterator[tuple[int | None, np.ndarray]], block: int = BLOCK, file_ids: int = FILE_IDS) -> Iterator[bytes]:
+    """The files, without the last line feed, of (doc_id, ids); none if there are no documents."""
+    file = _File(block)
     for doc_id, ids in docs:
-        names.append(doc_id or 0)
-        nulls.append(doc_id is None)
-        lengths.append(len(ids) // 4)
-        held.append(ids)
-        size += len(ids) // 4
-        if size >= block:
-            all_ids = np.frombuffer(b"".join(held), "<u4")
-            whole = size // block * block
-            for k in range(0, whole, block):
-                yield full(all_ids[k : k + block])
-            held, size = [all_ids[whole:].tobytes()], size - whole
-    if not names:
-        return
-    if size:
-        yield full(np.frombuffer(b"".join(held), "<u4"))
-    index = struct.pack("<II", len(offsets), len(names)) + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u4").tobytes() + np.array(names, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(lengths, "<u8").tobytes()
-    index = zstandard.ZstdCompressor().compress(index)
-    yield struct.pack("<4sI", b"BPIX", len(index)) + index
-    yield struct.pack("<4sQ", b"BPND", at)
+        file.add(doc_id, ids)
+        if file.ids >= file_ids:
+            yield file.closed()
+            file = _File(block)
+    if file.names:
+        yield file.closed()
+
+
+class _File:
+    """A file as it is written: compressed blocks, and the ids that don't fill one yet."""
+
+    def __init__(self, block: int):
+        self.block, self.ids, self.at, self.size = block, 0, 0, 0
+        self.rows: list[bytes] = []
+        self.held: list[np.ndarray] = []
+        self.offsets, self.counts, self.names, self.nulls, self.lengths = [], [], [], [], []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        for column, x in ((self.names, doc_id or 0), (self.nulls, doc_id is None), (self.lengths, len(ids))):
+            column.append(x)
+        self.ids += len(ids)
+        self.size += len(ids)
+        self.held.append(ids)
+        if self.size >= self.block:
+            joined = np.concatenate(self.held)
+            whole = self.size // self.block * self.block
+            for k in range(0, whole, self.block):
+                self._put(joined[k : k + self.block])
+            self.held, self.size = [joined[whole:].copy()], self.size - whole
+
+    def _put(self, ids: np.ndarray) -> None:
+        row = pack_block(ids.astype(np.uint32))
+        self.offsets.append(self.at)
+        self.counts.append(len(ids))
+        self.rows.append(row)
+        self.at += len(row) + 1
+
+    def closed(self) -> bytes:
+        if self.size:
+            self._put(np.concatenate(self.held))
+        arrays = zip((self.offsets, self.counts, self.names, self.nulls, self.lengths), ("<u8", "<u4", "<i8", "u1", "<u8"), strict=True)
+        index = struct.pack("<II", len(self.offsets), len(self.names)) + b"".join(np.array(x, kind).tobytes() for x, kind in arrays)
+        index = zstandard.ZstdCompressor().compress(index)
+        return b"\n".join([*self.rows, struct.pack("<4sI", b"BPIX", len(index)) + index, struct.pack("<4sQ", b"BPND", self.at)])
 
 
 def read_index(data: bytes) -> tuple[np.ndarray, np.ndarray, list[int | None], np.ndarray]:
@@ -111,20 +126,34 @@ def read_docs(data: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         place += n
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK) -> None:
-    """Encodes docs(doc_id, text), each followed by end_id, into bit-plane files in folder, in ascending doc_id order over all files."""
-    path = tokenizer_path or tokens.public_path("word_bpe_49k.json")
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """(doc_id, mixed, wide, ids) of docs(doc_id, text), stored: ids with the end id as integers of two bytes, or of four if wide; mixed is a hash of the text."""
     common.short_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = bpe.codec(path), end_id.to_bytes(4, "little")
-        encoded = ((doc_id, ids + end) for b in batches for doc_id, ids in zip(b.column(0).to_pylist(), codec.encode_column(b.column(1)), strict=True))
-        for row in write_rows(encoded, block):
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["value"])
+        codec = bpe.codec(tokenizer_path)
+        for b in batches:
+            found = [np.append(tokens.ids_of(x), np.uint32(end_id)) for x in codec.encode_column(b.column(2))]
+            wide = [bool((x >> 16).any()) for x in found]
+            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide), pa.array(ids, pa.binary())], ["doc_id", "mixed", "wide", "ids"])
+
+    found = docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("mixed"), F.col("text").cast("string").alias("text"))
+    return common.stored(found.mapInArrow(common.released(rows), "doc_id long, mixed long, wide boolean, ids binary"))
+
+
+def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
+    """Encodes docs(doc_id, text), each followed by end_id, into bit-plane files in folder, in ascending doc_id order over all files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((doc_id, np.frombuffer(ids, "<u4" if wide else "<u2")) for b in batches for doc_id, wide, ids in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for file in write_files(found, block, file_ids):
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["value"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), common.text_hash().alias("mixed"))
-    ordered = ordered.repartitionByRange("doc_id", "mixed").sortWithinPartitions("doc_id", "mixed").select("doc_id", "text")
-    ordered.mapInArrow(common.released(rows), "value binary").select(F.col("value").cast("string")).write.text(folder)
+    order = ["doc_id", "mixed"]
+    ordered = encoded(docs, tokenizer_path or tokens.public_path("word_bpe_49k.json"), end_id).repartitionByRange(*order).sortWithinPartitions(*order)
+    files = ordered.select("doc_id", "wide", "ids").mapInArrow(common.released(rows), "value binary")
+    files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,15 +172,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
     found = common.stored(files.mapInArrow(common.released(docs), "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file; the numbers in their names are in order
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = found.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", *[F.regexp_extract("file", p, 1).cast("long").alias(n) for n, p in (("range", r"part-(\d+)"), ("nth", r"-c(\d+)"))])
+    upto = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = named.groupBy("range").agg(F.sum("total").alias("total")).select("range", upto(Window.orderBy("range")).alias("first"))  # a row for each range
+    before = named.withColumn("within", upto(Window.partitionBy("range").orderBy("nth"))).join(ranges, "range").select("file", (F.col("first") + F.col("within")).alias("before"))
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files below the shared folder (or in folder) and reads the documents back from them."""
     spark = docs.sparkSession
     folder = folder or common.new_folder(spark, "planes")
-    write(docs, folder, tokenizer_path, end_id, block)
+    write(docs, folder, tokenizer_path, end_id, block, file_ids)
     return read(spark, folder)

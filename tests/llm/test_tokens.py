@@ -1,6 +1,7 @@
 """Packing and bit-plane files against the tokenizers library on whole texts."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -119,8 +120,8 @@ def test_plan_places_everything(counts):
             assert offset == at
             at += n
         assert at <= 40
-    best = -(-sum(k * v for k, v in counts.items()) // 40)
-    assert len(bins) == max(bins, default=-1) + 1 <= best * 1.7 + 1
+    least = max(-(-sum(k * v for k, v in counts.items()) // 40), sum(v for k, v in counts.items() if k > 20))  # no two pieces over half fit together
+    assert len(bins) == max(bins, default=-1) + 1 <= least * 1.7 + 1
 
 
 def test_planes_round_trip(spark):
@@ -132,8 +133,23 @@ def test_planes_round_trip(spark):
             ids = theirs.encode(text or "", add_special_tokens=False).ids + [1]
             want.append((doc_id, start, len(ids), zlib.crc32(packed(ids))))
             start += len(ids)
-        got = sorted((tuple(r) for r in planes.round_trip(docs, block=1000).collect()), key=lambda r: r[1])
-        assert got == want
+        for file_ids in (planes.FILE_IDS, 3000):
+            got = sorted((tuple(r) for r in planes.round_trip(docs, block=1000, file_ids=file_ids).collect()), key=lambda r: r[1])
+            assert got == want
+
+
+def test_planes_files_are_small_and_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "word " * (k % 90)) for k in range(2000)] + [(5000, "word " * 20_000)], "doc_id long, text string").repartition(7)
+    planes.round_trip(docs, block=500, file_ids=4000, folder=f"file://{tmp_path}/files").count()
+    files = sorted(tmp_path.glob("files/part-*"), key=lambda p: [int(x) for x in re.findall(r"part-(\d+)|-c(\d+)", p.name) for x in x if x])
+    names, sizes = [], []
+    for p in files:
+        if data := p.read_bytes():
+            found = [(doc_id, len(ids) // 4) for doc_id, _, ids in planes.read_docs(data)]
+            names += [d for d, _ in found]
+            sizes.append(sum(n for _, n in found) - found[-1][1])
+    assert names == [*range(2000), 5000]
+    assert len(sizes) > 20 and max(sizes) < 4000  # without the document that fills a file
 
 
 def test_planes_empty(spark):
