@@ -11,6 +11,7 @@ from ..functions import coerce, numerals, text
 from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
 from ..sources import adapters, documents
 from ..storage import balanced, new_folder
+from ..streaming import budget, bursts
 from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -990,3 +991,44 @@ def x6_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     text.register(spark)
     pairs = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(SHARED)], "k int, a string, b string")
     return spark.sql("SELECT k, lcs_len(a, b) AS n, lcs_text(a, b) AS found FROM {pairs}", pairs=pairs)
+
+
+# Streams, run until nothing is left to read
+
+
+def stream(spark: SparkSession, sf: str, name: str, schema: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, as a stream's path may be a single file only by one."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def streamed(rows: DataFrame, schema: str) -> DataFrame:
+    """What a stream writes until its input is read, from a checkpoint and to files in the shared folder."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "stream")
+    query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
+@query("SELECT o_custkey, o_orderkey, max(CAST(spent_before + estimate > 2000 AS INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 0 AS admitted FROM (SELECT o_custkey, o_orderkey, o_orderkey % 900 / 2 AS estimate, coalesce(sum(o_orderkey % 800 / 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_before FROM orders)")
+def w10_c3_reserved_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """The budget guard as a stream: each order reserves an estimate and settles what it cost."""
+    orders = stream(spark, sf, "orders", "o_orderkey long, o_custkey long")
+    event = lambda kind, place, usd: F.struct(F.lit(kind).alias("kind"), (F.col("o_orderkey") * 2 + place).alias("seq"), budget.micros(usd).alias("micros"))
+    k = F.col("o_orderkey")
+    events = F.array(event("reserve", 0, k % 900 / 2), event("settle", 1, k % 800 / 2))
+    calls = orders.select("o_custkey", k.alias("call"), F.timestamp_seconds(1_704_067_200 + k / 1000).alias("ts"), F.inline(events))
+    with budget.state_store(spark):
+        told = streamed(budget.reserved(calls, "o_custkey", 2000.0, hours=10_000.0), f"o_custkey long, {budget.TOLD}")
+    return told.where("kind = 'reserve'").select("o_custkey", F.col("call").alias("o_orderkey"), "admitted")
+
+
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, count(*) AS n, round(sum(value), 6) AS usd FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst")
+def a1_call_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of a user's calls from a stream; an event long after all others moves the watermark past the last of them."""
+    schema, path = "user_id long, ts timestamp, value double", new_folder(spark, "events")
+    events = table(spark, sf, "events").select("user_id", "ts", "value")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(0.0).alias("value"))
+    end.write.parquet(path)
+    calls = stream(spark, sf, "events", schema).unionByName(spark.readStream.schema(schema).parquet(path))
+    found = streamed(bursts.bursts(calls, "user_id", "6 hours", value="value"), "user_id long, start timestamp, end timestamp, n long, value double")
+    return found.where("user_id >= 0").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), "n", F.round("value", 6).alias("usd"))

@@ -20,13 +20,12 @@ def guarded(rows: DataFrame, key: str, most: float) -> DataFrame:
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent, open_ = state.get if state.exists else (0.0, True)
-        for b in batches:
-            b, out = b.sort_values("seq"), []
-            for usd in b["usd"]:
-                open_ = open_ and spent + usd <= most
-                spent += usd if open_ else 0.0
-                out.append(open_)
-            yield pd.DataFrame({key: name[0], "seq": b["seq"], "usd": b["usd"], "admitted": out})
+        rows, out = pd.concat(list(batches)).sort_values("seq"), []  # a key's rows of a micro-batch may come in several
+        for usd in rows["usd"]:
+            open_ = open_ and spent + usd <= most
+            spent += usd if open_ else 0.0
+            out.append(open_)
+        yield pd.DataFrame({key: name[0], "seq": rows["seq"], "usd": rows["usd"], "admitted": out})
         state.update((float(spent), bool(open_)))
 
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(rows.dtypes)[key]}, seq long, usd double, admitted boolean", "spent double, open boolean", "append", GroupStateTimeout.NoTimeout)
