@@ -6,7 +6,7 @@ A file holds the ids of neighbouring documents in ascending doc_id order. Every
 * index, after the last block: "BPIX", compressed size u32, then with zstandard: blocks u32, documents u32, offset of each block u64, ids in each block u32, doc_id of each document i64, null flag of each u8, ids of each u64; line feed;
 * tail: "BPND", offset of the index u64, line feed.
 
-Documents are encoded where they lie; their ids, two bytes each where the vocabulary allows it, are stored and dealt by ranges of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread too. A range makes as many files as it takes: one is closed at the end of the document that fills it (`file_ids`), so a file stays small enough to be read as one value however large the corpus. A file is one row of Spark's text sink, which writes it as it is, ended by a line feed, and with one row to a file; so files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches. They follow one another by the two numbers in their names, of the range and within it.
+Documents are encoded where they lie; their ids, two bytes each where the vocabulary allows it, go to ranges of (doc_id, hash of the text), so rows that repeat a doc_id, or have none, are spread too. The bounds of the ranges come from a sample of these two columns, about a hundred rows for each range, so nothing is encoded twice or stored between. A range makes as many files as it takes: one is closed at the end of the document that fills it (`file_ids`), so a file stays small enough to be read as one value however large the corpus. A file is one row of Spark's text sink, which writes it as it is, ended by a line feed, and with one row to a file; so files go through Spark's commit protocol (safe if a task is lost or tried twice) to any store that Spark reaches. They follow one another by the two numbers in their names, of the range and within it.
 
 Defined results: null text counts as empty, such a document has its end id alone; repeated rows are written each, those of one doc_id in the order of their texts' hashes; a null doc_id sorts first; an empty table gives no files and no rows; columns other than doc_id and text are ignored.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,33 +127,43 @@ def read_docs(data: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         place += n
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, mixed, wide, ids) of docs(doc_id, text), stored: ids with the end id as integers of two bytes, or of four if wide; mixed is a hash of the text."""
-    common.short_batches(docs.sparkSession)
+def bounds(docs: DataFrame, ranges: int, each: int = 100) -> list[tuple[bool, int, int]]:
+    """(doc_id is there, doc_id, hash of the text) where the second and later of about `ranges` ranges of about equal rows start, from about `each` rows for each range."""
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("mixed"))
+    n = keys.count()
+    sample = sorted(_place(*r) for r in keys.where(common.hash_share(ranges * each, n, F.col("doc_id"), F.col("mixed"))).collect())
+    return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec(tokenizer_path)
-        for b in batches:
-            found = [np.append(tokens.ids_of(x), np.uint32(end_id)) for x in codec.encode_column(b.column(2))]
-            wide = [bool((x >> 16).any()) for x in found]
-            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide), pa.array(ids, pa.binary())], ["doc_id", "mixed", "wide", "ids"])
 
-    found = docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("mixed"), F.col("text").cast("string").alias("text"))
-    return common.stored(found.mapInArrow(common.released(rows), "doc_id long, mixed long, wide boolean, ids binary"))
+def _place(doc_id: int | None, mixed: int) -> tuple[bool, int, int]:
+    return doc_id is not None, doc_id or 0, mixed
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 1, block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
     """Encodes docs(doc_id, text), each followed by end_id, into bit-plane files in folder, in ascending doc_id order over all files."""
+    spark, path = docs.sparkSession, tokenizer_path or tokens.public_path("word_bpe_49k.json")
+    common.short_batches(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = bounds(docs, ranges)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec(path)
+        for b in batches:
+            found = [np.append(tokens.ids_of(x), np.uint32(end_id)) for x in codec.encode_column(b.column(2))]
+            wide = [bool((x >> 16).any()) for x in found]
+            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
+            of = [bisect_right(starts, _place(*key)) for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(of, pa.int32()), pa.array(wide), pa.array(ids, pa.binary())], ["doc_id", "mixed", "range", "wide", "ids"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((doc_id, np.frombuffer(ids, "<u4" if wide else "<u2")) for b in batches for doc_id, wide, ids in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for file in write_files(found, block, file_ids):
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["value"])
 
-    order = ["doc_id", "mixed"]
-    ordered = encoded(docs, tokenizer_path or tokens.public_path("word_bpe_49k.json"), end_id).repartitionByRange(*order).sortWithinPartitions(*order)
-    files = ordered.select("doc_id", "wide", "ids").mapInArrow(common.released(rows), "value binary")
+    texts = docs.select(F.col("doc_id").cast("long"), common.text_hash().alias("mixed"), F.col("text").cast("string").alias("text"))
+    encoded = texts.mapInArrow(common.released(encode), "doc_id long, mixed long, range int, wide boolean, ids binary")
+    ordered = encoded.repartitionById(ranges, "range").sortWithinPartitions("doc_id", "mixed").select("doc_id", "wide", "ids")
+    files = ordered.mapInArrow(common.released(rows), "value binary")
     files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
@@ -172,7 +183,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
     found = common.stored(files.mapInArrow(common.released(docs), "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
-    named = found.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", *[F.regexp_extract("file", p, 1).cast("long").alias(n) for n, p in (("range", r"part-(\d+)"), ("nth", r"-c(\d+)"))])
+    named = found.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", *[F.regexp_extract("file", p, 1).cast("long").alias(n) for n, p in (("range", r"part-(\d+)-[^/]*$"), ("nth", r"-c(\d+)\.[^/]*$"))])
     upto = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = named.groupBy("range").agg(F.sum("total").alias("total")).select("range", upto(Window.orderBy("range")).alias("first"))  # a row for each range
     before = named.withColumn("within", upto(Window.partitionBy("range").orderBy("nth"))).join(ranges, "range").select("file", (F.col("first") + F.col("within")).alias("before"))

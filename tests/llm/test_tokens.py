@@ -141,7 +141,7 @@ def test_planes_round_trip(spark):
 def test_planes_files_are_small_and_in_order(spark, tmp_path):
     docs = spark.createDataFrame([(k, "word " * (k % 90)) for k in range(2000)] + [(5000, "word " * 20_000)], "doc_id long, text string").repartition(7)
     planes.round_trip(docs, block=500, file_ids=4000, folder=f"file://{tmp_path}/files").count()
-    files = sorted(tmp_path.glob("files/part-*"), key=lambda p: [int(x) for x in re.findall(r"part-(\d+)|-c(\d+)", p.name) for x in x if x])
+    files = sorted(tmp_path.glob("files/part-*"), key=lambda p: [int(x) for x in re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt", p.name).groups()])
     names, sizes = [], []
     for p in files:
         if data := p.read_bytes():
