@@ -190,6 +190,35 @@ def humanise_each(texts: pd.Series) -> pd.Series:
     return texts.map(lambda ts: None if ts is None else [None if t is None else humanised(t) for t in ts])
 
 
+def _spelled_section(n: Column) -> Column:
+    """A number below ten thousand in Chinese numerals; '' for 0."""
+    digit = lambda k: F.floor(n / 10**k) % 10
+    name = lambda d: F.translate(d.cast("string"), "123456789", "一二三四五六七八九")
+    d3, d2, d1, d0 = (digit(k) for k in (3, 2, 1, 0))
+    none = F.lit("")
+    parts = [
+        F.when(d3 > 0, F.concat(name(d3), F.lit("千"))).otherwise(none),
+        F.when(d2 > 0, F.concat(name(d2), F.lit("百"))).when((d3 > 0) & (d1 + d0 > 0), "零").otherwise(none),
+        F.when(d1 > 0, F.concat(name(d1), F.lit("十"))).when((d2 > 0) & (d0 > 0), "零").otherwise(none),
+        F.when(d0 > 0, name(d0)).otherwise(none),
+    ]
+    return F.concat(*parts)
+
+
+def spelled(n: Column) -> Column:
+    """A whole number from 0 to below 10**12 in Chinese numerals, with 零 for what is left out between units; null for others."""
+
+    def words(n: Column) -> Column:
+        a, b, c = F.floor(n / 10**8), F.floor(n / 10**4) % 10**4, n % 10**4
+        zero_b, zero_c = (a > 0) & (b < 1000), (a + b > 0) & ((c < 1000) | (b == 0))
+        named = F.transform(F.array(a, b, c), _spelled_section)
+        none = F.lit("")
+        part = lambda k, zero, unit: F.when(named[k] == "", none).otherwise(F.concat(F.when(zero, "零").otherwise(none), named[k], F.lit(unit)))
+        return F.when(n == 0, "零").when((n > 0) & (n < 10**12), F.concat(part(0, F.lit(False), "億"), part(1, zero_b, "萬"), part(2, zero_c, "")))
+
+    return F.get(F.transform(F.array(n.cast("long")), words), F.lit(0))  # a lambda's variable is computed once, however often it is used
+
+
 def general(value: Column) -> Column:
     """A double to six significant digits without trailing zeros, with an exponent below a ten-thousandth or from a million on; null for null."""
     size = F.abs(value)

@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.text import stripped
 from ..storage import stored
@@ -215,6 +218,47 @@ def _pack_chunk(names: tuple, t: pa.Table, key: str, chunk: int, most_chars: int
     return pa.Table.from_batches([_lines(out, key, names[0].type)])
 
 
+class PackedLines:
+    """packed_lines(TABLE(segments) PARTITION BY key ORDER BY (pos), most_chars, most_span) for SQL: the lines of packed(), a partition of the table at a time, a line in memory. The table has columns key (any name and type, the first), pos, start, end and text; the result's columns are the key as the table has it, pos, start and text."""
+
+    @staticmethod
+    def analyze(segments: AnalyzeArgument, most_chars: AnalyzeArgument, most_span: AnalyzeArgument) -> AnalyzeResult:
+        if not segments.isTable or len(segments.dataType.fields) < 5:
+            raise ValueError("packed_lines needs a table of a key, pos, start, end and text")
+        if not (most_chars.isConstantExpression and most_span.isConstantExpression):
+            raise ValueError("limits of packed_lines must be constants")
+        key = segments.dataType.fields[0]
+        return AnalyzeResult(T.StructType([T.StructField(key.name, key.dataType), T.StructField("pos", T.LongType()), T.StructField("start", T.DoubleType()), T.StructField("text", T.StringType())]))
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+
+    def eval(self, row: Row, most_chars: int, most_span: float) -> Iterator[tuple]:
+        text = (row["text"] or "").strip()
+        if not text:
+            return
+        end = row["end"]
+        if self.parts and (sum(map(len, self.parts)) + len(text) > most_chars or (end is not None and self.start is not None and float(end) - self.start > float(most_span))):
+            yield self._line()
+        if not self.parts:
+            self.key, self.pos, self.start = row[0], int(row["pos"]), None if row["start"] is None else float(row["start"])
+        self.parts.append(text)
+
+    def _line(self) -> tuple:
+        text = "".join(self.parts)
+        self.parts = []
+        return self.key, self.pos, self.start, text
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.parts:
+            yield self._line()
+
+
+def register(spark: SparkSession) -> None:
+    """Makes packed_lines available to SQL."""
+    spark.udtf.register("packed_lines", udtf(PackedLines))
+
+
 def bucket_of(i: Column, lines: Column, buckets: Column) -> Column:
     """Which of `buckets` even runs the i-th (from 0) of `lines` lines falls in: bucket j takes [j*lines div buckets, (j+1)*lines div buckets)."""
     return F.floor(((i + 1) * buckets - 1) / lines)

@@ -777,31 +777,52 @@ def n6_n7_number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("doc_id", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("doc_id", "pos", "t.tok", "t.vals")
 
 
-#: Texts with Chinese numerals and what they say, by hand: (text, [(token, readings)]).
-SAID = (
-    ("一萬五", [("一萬五", [15000])]), ("1萬5", [("1萬5", [1, 15000])]), ("1.5萬", [("1.5萬", [1.5, 15000])]), ("五千八百億", [("五千八百億", [580000000000])]), ("四十年", [("四十", [40])]), ("百分之四十", [("百分之四十", [40])]),
-    ("四成", [("四", [4]), ("四成", [40])]), ("四成本", [("四", [4])]), ("兩千三百八十萬", [("兩千三百八十萬", [23800000])]), ("2,380萬", [("2,380萬", [2380, 23800000])]), ("三點五", [("三點五", [3.5])]), ("九字頭", [("九", [9]), ("九字頭", [90])]),
-    ("豪宅70到80萬/坪", [("70", [70, 700000]), ("80萬", [80, 800000])]), ("三百零五", [("三百零五", [350])]), ("一千零五", [("一千零五", [1500])]), ("二〇二五", [("二〇二五", [5])]), ("三萬二三萬四", [("三萬二三萬四", [32000, 34000])]),
-    ("5800億2025縮到4100多億", [("5800億", [5800, 580000000000]), ("2025", [2025]), ("4100", [4100])]), ("１２３", [("１２３", [123])]), ("萬億", []), ("", []),
-)
-SAID_SQL = " UNION ALL ".join(f"SELECT {i} AS k, {pos} AS pos, '{tok}' AS tok, CAST([{', '.join(map(str, vals))}] AS DOUBLE[]) AS vals" for i, (_, found) in enumerate(SAID) for pos, (tok, vals) in enumerate(found))
+def section_sql(x: str) -> str:
+    """What a numeral of digits and 千百十 below ten thousand reads as: a digit after hundreds or thousands is a tenth of that unit."""
+    return f"({x} - {x} % 10 + {x} % 10 * CASE WHEN {x} // 10 % 10 > 0 THEN 1 WHEN {x} // 100 % 10 > 0 THEN 10 WHEN {x} // 1000 > 0 THEN 100 ELSE 1 END)"
 
 
-@query(SAID_SQL)
-def n2_n5_chinese_numerals(spark: SparkSession, sf: str) -> DataFrame:
-    said = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SAID)], "k int, text string")
-    return said.select("k", F.posexplode(numerals.number_tokens("text")).alias("pos", "t")).select("k", "pos", "t.tok", "t.vals")
+def numeral_sql(n: str) -> str:
+    """The readings of a number that is spelled out: 零 after 億 or 萬 starts a new one."""
+    a, b, c = f"({n} // 100000000)", f"({n} // 10000 % 10000)", f"({n} % 10000)"
+    zero_b, zero_c = f"({a} > 0 AND {b} > 0 AND {b} < 1000)", f"({c} > 0 AND {a} + {b} > 0 AND ({c} < 1000 OR {b} = 0))"
+    first = f"CASE WHEN {n} < 10000 THEN {section_sql(c)} ELSE {section_sql(a)} * 100000000 + CASE WHEN {zero_b} THEN 0 ELSE {section_sql(b)} * 10000 END + CASE WHEN {zero_b} OR {zero_c} THEN 0 ELSE {section_sql(c)} END END"
+    second = f"CASE WHEN {zero_b} THEN {section_sql(b)} * 10000 + CASE WHEN {zero_c} THEN 0 ELSE {section_sql(c)} END END"
+    return f"list_transform(list_filter([{first}, {second}, CASE WHEN {zero_c} THEN {section_sql(c)} END], lambda v: v IS NOT NULL), lambda v: CAST(v AS DOUBLE))"
 
 
-#: Values with units, what a source states, and whether it states the value, by hand.
-UNITS = ((23800000, "元", "兩千三百八十萬", True), (2380, "萬元", "兩千三百八十萬", True), (5800, "億", "五千八百億", True), (5800, "萬", "五千八百億", False), (15.75, "倍", "15.7倍", True), (15.9, "倍", "15.7倍", False), (40, "%", "四成", True), (3.5, "", "三點五", True), (70, "萬", "豪宅70到80萬/坪", True))
+#: What an order says, by its key: a number spelled out, one of ten thousands with a digit that counts thousands, tenths, or a range whose unit both ends share.
+SAID_SQL = f"""
+SELECT o_orderkey, CAST(i - 1 AS INT) AS pos, vals[i] AS vals FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM (
+  SELECT o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN [[CAST(b * 10000 + d * 1000 AS DOUBLE)]] WHEN 4 THEN [[CAST(d AS DOUBLE)], [10e0 * d]] WHEN 5 THEN [[CAST(d AS DOUBLE), 1e4 * d], [CAST(d + 9 AS DOUBLE), 1e4 * (d + 9)]] ELSE [{numeral_sql("n")}] END AS vals
+  FROM (SELECT o_orderkey, CAST(o_orderkey * 7919 % CASE o_orderkey % 6 WHEN 0 THEN 100000000000 WHEN 1 THEN 100000 ELSE 10000 END AS BIGINT) AS n, o_orderkey % 9 + 1 AS d, CAST(o_orderkey % 990 // 10 * 10 + 10 AS BIGINT) AS b FROM orders)))
+"""
 
 
-@query(" UNION ALL ".join(f"SELECT {i} AS k, {str(stated).lower()} AS stated" for i, (_, _, _, stated) in enumerate(UNITS)))
+def said(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = k * 7919 % F.when(k % 6 == 0, 100_000_000_000).when(k % 6 == 1, 100_000).otherwise(10_000)
+    d, b = k % 9 + 1, F.floor(k % 990 / 10) * 10 + 10
+    words = numerals.spelled(d)
+    tens = F.concat(numerals.spelled(b), F.lit("萬"), words)
+    spoken = F.when(k % 6 == 3, tens).when(k % 6 == 4, F.concat(words, F.lit("成"))).when(k % 6 == 5, F.concat(d.cast("string"), F.lit("到"), (d + 9).cast("string"), F.lit("萬"))).otherwise(numerals.spelled(n))
+    return balanced(table(spark, sf, "orders").select("o_orderkey", "o_totalprice")).withColumn("said", F.concat(F.lit("價格"), spoken, F.lit("元")))
+
+
+@query(SAID_SQL)
+def n2_n5_chinese_numerals(spark: SparkSession, sf: str) -> DataFrame:
+    return said(spark, sf).select("o_orderkey", F.posexplode(numerals.number_tokens("said")).alias("pos", "t")).select("o_orderkey", "pos", "t.vals")
+
+
+@query(f"""SELECT o_orderkey, value, unit, len(list_filter(list_distinct(flatten(list(vals))), lambda s: abs(s - value) <= greatest(1e-6, 0.005 * abs(value)) OR (scale IS NOT NULL AND abs(s - value * scale) <= greatest(1e-6, 0.005 * abs(value * scale))))) > 0 AS stated
+FROM (SELECT x.*, CAST(y.o_orderkey % 9 + 1 AS DOUBLE) * CASE WHEN y.o_orderkey % 2 = 0 THEN 1 ELSE 10 END AS value, CASE y.o_orderkey % 3 WHEN 0 THEN '萬元' WHEN 1 THEN '億' ELSE '倍' END AS unit, CASE y.o_orderkey % 3 WHEN 0 THEN 1e4 WHEN 1 THEN 1e8 END AS scale FROM ({SAID_SQL}) x JOIN orders y USING (o_orderkey)) GROUP BY o_orderkey, value, unit, scale""")
 def n10_n11_chinese_units(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, float(v), u, t) for i, (v, u, t, _) in enumerate(UNITS)], "k int, value double, unit string, text string")
-    rows = rows.withColumn("source", numerals.values(numerals.number_tokens("text")))
-    return rows.select("k", numerals.value_stated(F.col("value"), F.col("unit"), F.col("source")).alias("stated"))
+    """Whether what an order says states a value of its own."""
+    k = F.col("o_orderkey")
+    value = (k % 9 + 1).cast("double") * F.when(k % 2 == 0, 1).otherwise(10)
+    unit = F.when(k % 3 == 0, "萬元").when(k % 3 == 1, "億").otherwise("倍")
+    rows = said(spark, sf).select("o_orderkey", value.alias("value"), unit.alias("unit"), numerals.values(numerals.number_tokens("said")).alias("source"))
+    return rows.select("o_orderkey", "value", "unit", numerals.value_stated(F.col("value"), F.col("unit"), F.col("source")).alias("stated"))
 
 
 @query(f"SELECT doc_id, list_transform(list_filter({FIGURES.format('text')}, lambda t: t.v <> 2024 AND len(list_filter({FIGURES.format('source')}, lambda o: abs(o.v - t.v) <= greatest(1e-6, 0.005 * abs(t.v)))) = 0), lambda t: t.tok) AS unstated FROM {DOC_PAIRS}")
@@ -982,15 +1003,17 @@ def c1_c2_cached_stages(spark: SparkSession, sf: str) -> DataFrame:
     return out["s2_transcribe"].withColumn("cached", F.lit(",".join(run.last_run["stages_cached"])))
 
 
-#: Texts, and the length and text of what they share, by hand.
-SHARED = (("房價所得比15.7倍，台北市", "台北市的房價所得比創新高", 5, "房價所得比"), ("abc", "xbcx", 2, "bc"), ("ab, AB!", "abab", 4, "abab"), ("", "a", 0, ""), ("甲乙", "丙丁", 0, ""))
+@query(f"SELECT doc_id, t.tok AS tok, t.v AS value, CASE WHEN len(t.tok) > 5 THEN 'long' ELSE {human_sql('t.tok')} END AS shown FROM (SELECT doc_id, unnest({FIGURES.format('text')}) AS t FROM documents)")
+def x6_n6_number_tokens_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    numerals.register(spark)
+    return spark.sql("SELECT doc_id, t.tok, t.vals[0] AS value, CASE WHEN length(t.tok) > 5 THEN 'long' ELSE humanize_numbers(t.tok) END AS shown FROM {docs}, LATERAL number_tokens(text) t", docs=texts(spark, sf))
 
 
-@query(" UNION ALL ".join(f"SELECT {i} AS k, {n} AS n, '{found}' AS found" for i, (_, _, n, found) in enumerate(SHARED)))
-def x6_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
-    text.register(spark)
-    pairs = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(SHARED)], "k int, a string, b string")
-    return spark.sql("SELECT k, lcs_len(a, b) AS n, lcs_text(a, b) AS found FROM {pairs}", pairs=pairs)
+@query(PACK_SQL)
+def x6_w8_packed_lines_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    timeline.register(spark)
+    lines = spark.sql("SELECT * FROM packed_lines(TABLE(SELECT video, pos, start, `end`, text FROM {segments}) PARTITION BY video ORDER BY (pos), 60, 15D)", segments=segments(spark, sf))
+    return lines.select("video", "start", F.concat(F.lit("["), text.clock(F.col("start")), F.lit("] "), "text").alias("line"))
 
 
 # Streams, run until nothing is left to read
