@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, numerals, text
 from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
-from ..sources import adapters, documents
+from ..sources import adapters, buckets, documents
 from ..storage import balanced, new_folder
 from ..streaming import budget, bursts
 from . import engine
@@ -921,6 +921,32 @@ def k2_s8_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return cache.upserted(old, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), ["k"])
 
 
+@query("SELECT o_custkey, count(*) AS n, CAST(sum(floor(o_totalprice)) AS BIGINT) + 5 * CAST(count(*) FILTER (WHERE o_custkey % 50 = 3) AS BIGINT) AS total FROM orders WHERE o_custkey % 70 <> 1 GROUP BY 1")
+def p16_a7_refreshed_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of customers over a second state of the orders, of which some customers have other prices and some are gone: only their buckets are computed again."""
+    totals = lambda rows: rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+    first = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("price"))
+    second = first.where("o_custkey % 70 <> 1").withColumn("price", F.when(F.col("o_custkey") % 50 == 3, F.col("price") + 5).otherwise(F.col("price")))
+    kept = buckets.Buckets(spark, new_folder(spark, "totals"), "o_custkey long, n long, total long", ["o_custkey"])
+    buckets.refreshed(kept, first, totals)
+    return buckets.refreshed(kept, second, totals)[0]
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'third' WHEN o_orderkey % 5 = 0 THEN 'second' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 7 <> 2 OR o_orderkey % 9 = 0 UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier")
+def k2_k6_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Upserts, deletes, a compaction between, and upserts again."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    new = lambda rows, value: rows.select(k.alias("k"), value.alias("v"))
+    kept = buckets.Deltas(spark, new_folder(spark, "deltas"), "k long, v string", ["k"], 64)
+    kept.upsert(new(orders, F.col("o_orderpriority")), 1)
+    kept.upsert(new(orders.where(k % 5 == 0), F.lit("second")), 2)
+    kept.compact()
+    kept.delete(orders.where(k % 7 == 2).select(k.alias("k")), 3)
+    kept.upsert(new(orders.where(k % 9 == 0), F.lit("third")), 4)
+    kept.upsert(table(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("k"), F.col("s_name").alias("v")), 5)
+    return kept.read()
+
+
 @query(f"SELECT r.video, r.stage FROM {RECORDS} r LEFT JOIN (SELECT o_orderkey AS video, CASE o_orderkey % 4 WHEN 0 THEN 's2_transcribe' WHEN 1 THEN 's4_render' ELSE 's1_download' END AS s FROM orders WHERE o_orderkey % 5 < 3) i USING (video) WHERE i.s IS NULL OR r.stage < i.s")
 def k4_invalidate_later(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
