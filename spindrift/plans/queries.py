@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, numerals, text
 from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
-from ..sources import adapters, buckets, documents
+from ..sources import adapters, buckets, documents, folders
 from ..storage import balanced, new_folder
 from ..streaming import budget, bursts
 from . import engine
@@ -970,6 +970,18 @@ def s1_s3_k1_document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return documents.strict(spark, path, "n_nationkey int, n_name string, n_regionkey int", by_line=True).select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query("SELECT c_nationkey, c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey >= 5 AND c_nationkey <= 9 AND c_acctbal > 0")
+def s3_s12_pruned_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as documents in a folder for each nation; a filter on the folder opens only some."""
+    folders.register(spark)
+    path = new_folder(spark, "folders")
+    rows = table(spark, sf, "customer").select(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("nation"), "c_custkey", "c_name", "c_acctbal")
+    documents.write_documents(rows, path, "nation")
+    read = spark.read.format("document_folders").schema("name string, c_custkey long, c_name string, c_acctbal double").option("path", path).option("key", "nation").option("by_line", "true").load()
+    found = read.where((F.col("name") >= "05") & (F.col("name") <= "09") & (F.col("c_acctbal") > 0))
+    return found.select(F.col("name").cast("long").alias("c_nationkey"), "c_custkey", "c_name", "c_acctbal")
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
 def s4_k3_k6_appended_state(spark: SparkSession, sf: str) -> DataFrame:
     path, rows = new_folder(spark, "state"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
