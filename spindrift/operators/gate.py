@@ -126,18 +126,65 @@ def major_unit(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(best, [*keys, "unit"], "left_semi")
 
 
-def near_pairs(texts: DataFrame, key: str, least: float = TEXT) -> DataFrame:
-    """Pairs (a, b, similarity) of one key's texts(key, id, text) with a < b and bigram Jaccard of at least `least`, each pair of different texts once.
+#: Texts of a key that one array may hold for all to be compared in it.
+SMALL = 64
 
-    An inverted index with prefix filtering: bigrams are ordered by how rare they are, and two sets that reach the similarity share one of their first size - ceil(least * size) + 1 bigrams.
+
+def near_pairs(texts: DataFrame, key: str, least: float = TEXT, small: int = SMALL) -> DataFrame:
+    """Pairs (a, b, similarity) of one key's texts(key, id, text) with a < b and bigram Jaccard of at least `least`, each pair once, equal texts too.
+
+    Keys of up to `small` texts compare them in an array, by one shuffle of the sets. Of a larger key equal sets are one class first; classes meet by an inverted index with prefix filtering, and their members only in what is returned (near_classes() returns the classes themselves, where equal texts may be many).
+    """
+    sets = _sets(texts, key)
+    if not scan.hot(texts, [key], small):
+        return _small_pairs(sets, key, least)
+    many = texts.groupBy(key).count().where(F.col("count") > small).select(key)
+    classes, members = near_classes(texts.join(many, key, "left_semi"), key, least)
+    links = classes.unionByName(members.groupBy(key, "class").count().where("count > 1").select(key, F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")))
+    x, y = (members.select(key, F.col("class").alias(c), F.col("id").alias(i)) for c, i in (("a", "_x"), ("b", "_y")))
+    met = links.join(x, [key, "a"]).join(y, [key, "b"])
+    once = (F.col("a") != F.col("b")) & (F.col("_x") != F.col("_y")) | (F.col("_x") < F.col("_y"))
+    spread = met.where(once).select(key, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
+    return spread.unionByName(_small_pairs(sets.join(many, key, "left_anti"), key, least))
+
+
+def _sets(texts: DataFrame, key: str) -> DataFrame:
+    return texts.select(key, "id", F.array_distinct(grams(normalise(F.col("text")), 2)).alias("set")).where("size(set) > 0")
+
+
+def _small_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
+    listed = sets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "set"))).alias("all"))
+
+    def likeness(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x.set, y.set))
+        return both / (F.size(x.set) + F.size(y.set) - both)
+
+    def pairs(x: Column, i: Column) -> Column:
+        later = F.filter(F.slice("all", i + 2, F.size("all")), lambda y: (y.id > x.id) & (F.least(F.size(x.set), F.size(y.set)) >= least * F.greatest(F.size(x.set), F.size(y.set))))
+        return F.filter(F.transform(later, lambda y: F.struct(x.id.alias("a"), y.id.alias("b"), likeness(x, y).alias("similarity"))), lambda p: p.similarity >= least)
+
+    return listed.select(key, F.inline(F.flatten(F.transform("all", pairs))))
+
+
+def near_classes(texts: DataFrame, key: str, least: float = TEXT) -> tuple[DataFrame, DataFrame]:
+    """Of texts(key, id, text): pairs (key, a, b, similarity) of classes of equal bigram sets, a < b, of a Jaccard similarity of at least `least`, and their members (key, class, id); a class is named by its least id. However many texts are equal, they are one class.
+
+    An inverted index with prefix filtering: bigrams are ordered by how rare they are among a key's classes, and two sets that reach the similarity share one of their first size - ceil(least * size) + 1 bigrams. So frequent bigrams are in few prefixes; a pair is compared where its first shared one meets.
     """
-    texts = texts.select(key, "id", F.array_distinct(grams(normalise(F.col("text")), 2)).alias("set")).where("size(set) > 0")
-    flat = texts.select(key, "id", F.size("set").alias("size"), F.explode("set").alias("gram"))
+    sets = _sets(texts, key).withColumn("set", F.array_sort("set"))
+    classes = stored(sets.groupBy(key, "set").agg(F.min("id").alias("id")))
+    members = stored(sets.join(classes.select(key, "set", F.col("id").alias("class")), [key, "set"]).select(key, "class", "id"))
+    flat = classes.select(key, "id", F.explode("set").alias("gram"))
     rare = flat.groupBy(key, "gram").count()
-    order = Window.partitionBy(key, "id").orderBy("count", "gram")
-    prefix = flat.join(rare, [key, "gram"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    x = prefix.select(key, "gram", F.col("id").alias("a"), F.col("size").alias("sa"))
-    y = prefix.select(key, "gram", F.col("id").alias("b"), F.col("size").alias("sb"))
-    pairs = x.join(y, [key, "gram"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= least * F.greatest("sa", "sb"))).select(key, "a", "b").distinct()
-    full = pairs.join(texts.select(key, F.col("id").alias("a"), F.col("set").alias("x")), [key, "a"]).join(texts.select(key, F.col("id").alias("b"), F.col("set").alias("y")), [key, "b"])
-    return full.select(key, "a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    ranked_sets = flat.join(rare, [key, "gram"]).groupBy(key, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "gram"))), lambda x: x.gram).alias("set"))
+    ranked_sets = stored(ranked_sets)
+    prefix = F.slice("set", 1, (F.size("set") - F.ceil(F.size("set") * least - 1e-9) + 1).cast("int"))
+    opened = stored(ranked_sets.select(key, "id", "set", F.posexplode(prefix).alias("at", "gram")))
+    x, y = (opened.select(key, "gram", F.col("id").alias(n), F.col("set").alias(f"_{n}"), F.col("at").alias(f"at_{n}")) for n in ("a", "b"))
+    n, m = F.size("_a"), F.size("_b")
+    enough = F.ceil(least / (1 + least) * (n + m) - 1e-9)  # shared bigrams that the similarity takes
+    room = F.least(n - F.col("at_a"), m - F.col("at_b"))  # what this bigram and all after it can make
+    met = x.join(y, [key, "gram"]).where((F.col("a") < F.col("b")) & (F.least(n, m) >= least * F.greatest(n, m)) & (room >= enough))
+    first = F.get(F.array_intersect("_a", "_b"), F.lit(0)) == F.col("gram")  # both are in one order, so a pair counts where its first shared bigram is
+    found = met.where(first).select(key, "a", "b", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
+    return found.where(F.col("similarity") >= least), members

@@ -120,14 +120,20 @@ def total(where: Column) -> Column:
     return F.coalesce(F.sum(F.when(where, F.col("usd"))), F.lit(0.0))
 
 
-def rollup(ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Spent, estimated and reference amounts in one aggregation."""
+def rollup(ledger: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Spent, estimated and reference amounts, and further aggregates, in one aggregation."""
     sums = [F.round(total(w), 6).alias(n) for w, n in ((is_real(), "spent_usd"), (is_estimate(), "estimated_usd"), (is_reference(), "reference_usd"))]
-    return ledger.groupBy(*keys).agg(*sums) if keys else ledger.agg(*sums)
+    return ledger.groupBy(*keys).agg(*sums, *more) if keys else ledger.agg(*sums, *more)
 
 
 def by_stage(ledger: DataFrame, videos: DataFrame, key: str, stages: tuple[str, ...] = STAGES) -> DataFrame:
     """One row for each video and each stage, also those without ledger rows; rows count for the stage they name."""
+    if videos is ledger:  # one pass: the stages' sums side by side, then a row for each
+        per = [(s, F.col("stage") == s) for s in stages]
+        kinds = ((is_real(), "spent_usd"), (is_estimate(), "estimated_usd"), (is_reference(), "reference_usd"))
+        wide = ledger.groupBy(key).agg(*[F.round(total(w & own), 6).alias(f"{n}_{i}") for i, (_, own) in enumerate(per) for w, n in kinds])
+        rows = F.array(*[F.struct(F.lit(s).alias("stage"), *[F.col(f"{n}_{i}").alias(n) for _, n in kinds]) for i, (s, _) in enumerate(per)])
+        return wide.select(key, F.inline(rows))
     grid = videos.select(key).distinct().withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
     return grid.join(rollup(ledger, [key, "stage"]), [key, "stage"], "left").na.fill(0.0, ["spent_usd", "estimated_usd", "reference_usd"])
 

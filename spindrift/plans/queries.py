@@ -387,6 +387,12 @@ def j5_u4_near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return gate.near_pairs(topics(spark, sf).select("video", "id", F.concat("topic", "summary").alias("text")), "video")
 
 
+@query(f"SELECT x.video, x.id AS class, y.class AS other, len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) AS similarity FROM (SELECT DISTINCT video, list_sort(g) AS g, min(id) OVER (PARTITION BY video, list_sort(g)) AS id FROM {PAIRS}) x JOIN (SELECT DISTINCT video, list_sort(g) AS g, min(id) OVER (PARTITION BY video, list_sort(g)) AS class FROM {PAIRS}) y ON x.video = y.video AND x.id < y.class WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.5")
+def j5_near_classes(spark: SparkSession, sf: str) -> DataFrame:
+    found = gate.near_classes(topics(spark, sf).select("video", "id", F.concat("topic", "summary").alias("text")), "video")[0]
+    return found.select("video", F.col("a").alias("class"), F.col("b").alias("other"), "similarity")
+
+
 DOC_PAIRS = "(SELECT doc_id, d.text, b.text AS source FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 
 
@@ -957,7 +963,7 @@ def k4_invalidate_later(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT video, stage, count(*) AS n, {SUMS} FROM ({LEDGER}) GROUP BY ALL ORDER BY video, stage")
 def k7_cost_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = costs(spark, sf)
-    return ledger.rollup(rows, ["video", "stage"]).join(rows.groupBy("video", "stage").agg(F.count("*").alias("n")), ["video", "stage"]).orderBy("video", "stage")
+    return ledger.rollup(rows, ["video", "stage"], F.count("*").alias("n")).orderBy("video", "stage")
 
 
 # Sources, sinks, prices

@@ -6,7 +6,8 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import gate, ledger, scan, timeline
+from spindrift.functions import numerals
+from spindrift.operators import gate, ledger, provenance, scan, timeline
 
 
 def plan(df):
@@ -119,3 +120,44 @@ def test_packed_lines_of_one_long_recording(spark):
     one, split = timeline.packed(rows, "video"), timeline.packed(rows, "video", most=1000)
     assert one.count() == split.count() > 20_000
     assert one.exceptAll(split).count() == 0
+
+
+def test_figures_of_large_sources(spark, monkeypatch):
+    """By buckets, where a key has too many values to ask each: the same as by one join, and as by brute force."""
+    rng = random.Random(3)
+    draw = lambda: rng.choice([0.0, 1e-7, -1e-4, 2e-4, 2.1e-4, 2.2e-4, 2.6e-4, 1.0, -3.5, 1e6, 3e4]) * (1 + rng.uniform(-0.01, 0.01)) + rng.choice([0, 5e-7])
+    values = [(rng.randrange(4), draw(), rng.choice(["", "萬元", "億", None])) for _ in range(400)] + [(1, None, "萬"), (None, 1.0, "")]
+    source = [(rng.randrange(4), draw() * rng.choice([1, 1e4])) for _ in range(150)] + [(2, None)]
+    near = lambda k, v: v is not None and any(k == j and s is not None and abs(s - v) <= max(1e-6, 0.005 * abs(v)) for j, s in source)
+    scale = {"萬元": 1e4, "億": 1e8, "萬": 1e4}
+    df, of = spark.createDataFrame(values, "k int, value double, unit string"), spark.createDataFrame(source, "k int, value double")
+    for few in (provenance.FEW, 1):
+        monkeypatch.setattr(provenance, "FEW", few)
+        assert sorted(map(tuple, provenance.stated(df, of, ["k"]).collect()), key=repr) == sorted((r for r in values if near(*r[:2])), key=repr)
+        want = [(k, v, u, near(k, v) or (v is not None and u in scale and near(k, v * scale[u]))) for k, v, u in values]
+        assert sorted(map(tuple, provenance.stated_with_unit(df, of, ["k"]).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_pairs_of_large_keys(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcd", k=12)) for _ in range(6)]
+    rows = [(i % 3 + (i > 240), i, "".join(c if rng.random() > 0.12 else "z" for c in rng.choice(base))) for i in range(250)] + [(0, 1000 + i, base[0]) for i in range(40)]
+    sets = {i: frozenset(t[j : j + 2] for j in range(len(t) - 1)) for _, i, t in rows}
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = {(k, i, j): like(i, j) for k, i, _ in rows for m, j, _ in rows if k == m and i < j and like(i, j) >= 0.5}
+    df = spark.createDataFrame(rows, "k int, id int, text string")
+    for small in (1000, 60, 1):
+        got = gate.near_pairs(df, "k", small=small).collect()
+        assert len(got) == len(want) and {(r.k, r.a, r.b): r.similarity for r in got} == pytest.approx(want)
+    pairs, members = gate.near_classes(df, "k")
+    assert members.count() == len(rows) and members.where(f"k = 0 AND class = {min(i for k, i, t in rows if k == 0 and sets[i] == frozenset(base[0][j:j + 2] for j in range(11)))}").count() >= 40
+    assert pairs.count() == pairs.select("k", "a", "b").distinct().count() < len(want)
+
+
+def test_spelled_numbers_are_read_again(spark):
+    numbers = [0, 5, 10, 12, 30, 99, 110, 1000, 1010, 1110, 4321, 9990, 12_000, 23_450, 10**6 + 2 * 10**5, 98_760_000, 3 * 10**8 + 45_670_000, 10**12 - 10**4]
+    rows = spark.createDataFrame([(n,) for n in [*numbers, -1, 10**12, None]], "n long").select("n", numerals.spelled(F.col("n")).alias("t")).collect()
+    said = {r.n: r.t for r in rows}
+    assert (said[-1], said[10**12], said[None]) == (None, None, None)
+    assert said[12_000] == "一萬二千" and said[1010] == "一千零一十" and said[0] == "零"
+    assert {n: numerals.stated(said[n])[0][1] for n in numbers} == {n: [float(n)] for n in numbers}
