@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STAGES
@@ -126,6 +126,14 @@ def rollup(ledger: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return ledger.groupBy(*keys).agg(*sums, *more) if keys else ledger.agg(*sums, *more)
 
 
+def written(ledger: DataFrame, path: str, mode: str = "append") -> dict[str, float]:
+    """Writes ledger rows and says what they come to, as rollup does, counted in the one pass that writes them; rows of a task that is tried again count once."""
+    told = Observation()
+    sums = {"spent_usd": total(is_real()), "estimated_usd": total(is_estimate()), "reference_usd": total(is_reference())}
+    ledger.observe(told, *[c.alias(n) for n, c in sums.items()]).write.mode(mode).parquet(path)
+    return {n: round(told.get[n], 6) for n in sums}
+
+
 def by_stage(ledger: DataFrame, videos: DataFrame, key: str, stages: tuple[str, ...] = STAGES) -> DataFrame:
     """One row for each video and each stage, also those without ledger rows; rows count for the stage they name."""
     if videos is ledger:  # one pass: the stages' sums side by side, then a row for each

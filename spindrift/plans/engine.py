@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache
@@ -30,13 +30,13 @@ class BudgetExceeded(Exception):
 
 @dataclass
 class Stage:
-    """A named step: config(inputs) is what its result depends on, run(inputs) makes it, estimate its cost in dollars, cost(result) what it did cost."""
+    """A named step: config(inputs) is what its result depends on, run(inputs) makes it, estimate its cost in dollars, cost what it did cost: a sum of its rows, counted while they are written, or a function of the stored result."""
 
     name: str
     run: Callable[[dict[str, DataFrame]], DataFrame]
     config: Callable[[], dict] = dict
     estimate: float = 0.0
-    cost: Callable[[DataFrame], float] | None = None
+    cost: Column | Callable[[DataFrame], float] | None = None
 
 
 @dataclass
@@ -89,9 +89,12 @@ class Engine:
                     run["usd"] += stage.estimate
                 else:
                     self.charge(run["usd"], stage.estimate, stage.name)
-                    stage.run(dict(out)).write.mode("overwrite").parquet(path)
+                    made, told = stage.run(dict(out)), Observation()
+                    counted = isinstance(stage.cost, Column)
+                    made = made.observe(told, F.coalesce(stage.cost, F.lit(0.0)).cast("double").alias("usd")) if counted else made
+                    made.write.mode("overwrite").parquet(path)
                     out[stage.name] = self.spark.read.parquet(path)
-                    usd = stage.cost(out[stage.name]) if stage.cost else 0.0
+                    usd = told.get["usd"] if counted else stage.cost(out[stage.name]) if stage.cost else 0.0
                     self.invalidate(stage.name)
                     self.record["stages"][stage.name] = {"config_hash": key, "usd": usd, "finished_at": time.strftime("%Y-%m-%dT%H:%M:%S")}
                     run["usd"] = round(run["usd"] + usd, 6)

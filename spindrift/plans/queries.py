@@ -479,6 +479,12 @@ def a3_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.rollup(costs(spark, sf), [])
 
 
+@query(f"SELECT {SUMS} FROM ({LEDGER})")
+def a1_a3_counted_while_written(spark: SparkSession, sf: str) -> DataFrame:
+    told = ledger.written(costs(spark, sf), new_folder(spark, "ledger"))
+    return ledger.static_table(spark, [tuple(told.values())], tuple(told))
+
+
 @query(f"SELECT * FROM {GRID}")
 def a4_by_stage(spark: SparkSession, sf: str) -> DataFrame:
     rows = costs(spark, sf)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift import schemas, storage
-from spindrift.operators import cache, timeline
+from spindrift.operators import cache, ledger, timeline
 from spindrift.plans import configs, engine
 from spindrift.settings import Settings
 from spindrift.sources import adapters, documents
@@ -211,6 +211,27 @@ def test_engine(spark, tmp_path):
     assert len(made().record["runs"]) == 5
 
 
+def test_costs_are_counted_while_written(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("stage"), F.lit("openai").alias("provider"), (F.col("id") / 100).alias("usd"), (F.col("id") % 2 == 0).alias("estimated"))
+    told = ledger.written(rows, f"{tmp_path}/ledger")
+    assert told == {"spent_usd": 2500.0, "estimated_usd": 2495.0, "reference_usd": 0.0} and spark.read.parquet(f"{tmp_path}/ledger").count() == 1000
+    opened = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            opened.add(b.num_rows)
+            yield b
+
+    once = rows.mapInArrow(seen, rows.schema)
+    stage = engine.Stage("s3_script", lambda _: once, cost=F.sum(F.when(~F.col("estimated"), F.col("usd"))))
+    run = engine.Engine(spark, f"file://{tmp_path}/run", [stage], budget=1e6)
+    run.run()
+    assert run.record["stages"]["s3_script"]["usd"] == 2500.0 and opened.value == 1000  # one pass writes and counts
+    none = engine.Engine(spark, f"file://{tmp_path}/none", [engine.Stage("s3_script", lambda _: rows.limit(0), cost=F.sum("usd"))])
+    none.run()
+    assert none.record["stages"]["s3_script"]["usd"] == 0.0
+
+
 def test_retry_and_lock(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0), (2, 5), (3, 9)], "k int, x int")
     check = lambda df: df.withColumn("ok", F.col("x") < 3)
