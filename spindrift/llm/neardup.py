@@ -28,6 +28,8 @@ LANES = ("s0", "s1", "s2", "s3")
 CLASS = (*LANES, "h")
 #: Bits within which two classes are verified: of the first fingerprint, and of the sketch.
 RADIUS, WIDE = 20, 64
+#: Bounds that no sketch passes: groups(docs, **EXACT) and keep_first(docs, **EXACT) verify every pair that the numbers of shingles allow, and lose none. Work then grows with the square of the documents of like length, so it is for small tables and for measuring what the defaults lose.
+EXACT = {"radius": 64, "wide": 256}
 #: Classes in a tile (3 MB); each tile is sent to all it is compared with, so larger tiles move less.
 TILE = 65_536
 #: Pairs that numpy compares at once, and classes that one batch of tiles holds.

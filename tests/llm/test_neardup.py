@@ -94,13 +94,28 @@ def test_every_close_pair_is_verified(spark, monkeypatch, tile, most):
     for i, _ in rows:
         for j in range(i):
             d = np.bitwise_count(lanes[i] ^ lanes[j])
-            if d[0] <= 16 and d.sum() <= 56 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if d[0] <= neardup.RADIUS and d.sum() <= neardup.WIDE and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 want.link(i, j)
     got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
     assert got == {i: want.root(i) for i, _ in rows}
     assert 1 < sum(i != c for i, c in got.items())
 
 
+def test_exact_setting_loses_no_pair(spark):
+    """Short texts, whose sketches say least: pairs of 4 shared shingles and 1 own, and others about the bound."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for k in range(220):
+        base = [word() for _ in range(8 + k % 9)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, *[word() for _ in range(1 + k % 3)]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {r.doc_id: r.component_id for r in neardup.groups(docs, **neardup.EXACT).collect()} == want
+    assert sum(i != c for i, c in want.items()) > 60
+    assert sorted(r.doc_id for r in neardup.keep_first(docs, **neardup.EXACT).collect()) == sorted({*want.values()})
+
+
 def test_repeated_lines_decide_nothing(spark):
     rng = random.Random(8)
     line = " ".join(f"l{k}" for k in range(11))
