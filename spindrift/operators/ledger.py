@@ -209,6 +209,20 @@ def worst_provider(chain: DataFrame, key: str) -> DataFrame:
     return sums.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("usd"), "pos"))).where("r = 1").drop("r", "pos")
 
 
+def worst_left(chain: DataFrame, key: str) -> DataFrame:
+    """(key, at, worst): for each place in a chain(key, at, usd) of providers, at from 0, the dearest price from there on."""
+    after = Window.partitionBy(key).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    return chain.select(key, "at", F.max("usd").over(after).alias("worst"))
+
+
+def chain_guard(shots: DataFrame, chain: DataFrame, key: str, order: str, most: float) -> DataFrame:
+    """shots(key, order, used, actual) with active, estimate, spent_before and admitted: before each shot the budget must hold what is spent and the dearest of the providers that are left. A provider that was passed over stays so: active is the furthest place in the chain(key, at, usd) used before."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    active = shots.withColumn("active", F.coalesce(F.max("used").over(before), F.lit(0)))
+    left = worst_left(chain, key).select(key, F.col("at").alias("active"), F.col("worst").alias("estimate"))
+    return budget_guard(active.join(left, [key, "active"]), key, order, most)
+
+
 def billed_quantity(unit: Column, shots: Column, seconds: Column) -> Column:
     """What a provider bills by: graphics-card seconds and video seconds for each shot, or videos."""
     return F.when(unit.isin("gpu_second", "second"), shots * seconds).when(unit == "video", shots.cast("double")).otherwise(F.lit(0.0))

@@ -5,6 +5,8 @@ A figure meets its source in one join on the key that asks whether any value is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,15 @@ def nested_chart(points: DataFrame, clip: str) -> DataFrame:
 def spoken(text: Column, attribution: Column, source: Column) -> Column:
     """Flags 'text:TOKEN' for numbers of a text, its attribution taken out, that the source doesn't state."""
     return F.transform(numerals.unstated(numerals.number_tokens(F.replace(text, attribution, F.lit(""))), source), lambda t: F.concat(F.lit("text:"), t))
+
+
+def verified_clips(clips: DataFrame, again: Callable[[DataFrame], DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected of clips(keys, text, attribution, source, ...), source being an array of stated values, with numbers_unverified and rewrite_attempts: a clip whose text says a number that its source doesn't is written again once, by again(clips), and what comes back is verified anew, so the flags are those of the final text."""
+    from ..plans.engine import retried_once
+
+    def check(rows: DataFrame) -> DataFrame:
+        flags = rows.withColumn("numbers_unverified", spoken(F.col("text"), F.col("attribution"), F.col("source")))
+        return flags.withColumn("ok", F.size("numbers_unverified") == 0)
+
+    first = clips.withColumns({"numbers_unverified": F.lit(None).cast("array<string>"), "rewrite_attempts": F.lit(0)})
+    return retried_once(first, check, lambda failing: again(failing).withColumn("rewrite_attempts", F.lit(1)), keys)

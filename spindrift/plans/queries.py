@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, numerals, text
 from ..operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
 from ..sources import adapters, buckets, documents, folders
+from .. import schemas
 from ..storage import balanced, new_folder
 from ..streaming import budget, bursts
 from . import engine
@@ -503,6 +504,25 @@ def a7_a16_history_against_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("ratio", ledger.savings_ratio(F.col("history_usd"), F.col("spent_usd")))
 
 
+MANIFEST_RUNS = "(SELECT o_orderkey, floor(o_totalprice) + CASE WHEN o_orderkey % 2 = 0 THEN 0.25e0 ELSE 0e0 END AS history_usd, CASE o_orderkey % 3 WHEN 0 THEN ['s1_download', 's2_transcribe'] WHEN 1 THEN ['s3_script'] ELSE [] END AS cached FROM orders)"
+
+
+@query(f"""SELECT CAST(video AS VARCHAR) AS video_id, CAST(count(DISTINCT stage) AS INT) AS stages, {SUMS}, any_value(history_usd) AS history_usd,
+  round(coalesce(sum(usd) FILTER (WHERE NOT estimated AND provider <> 'reference' AND list_contains(cached, stage)), 0), 6) AS saved_usd FROM ({LEDGER}) JOIN {MANIFEST_RUNS} ON o_orderkey = video GROUP BY video""")
+def s3_a4_a5_a7_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages, ledger, runs and savings of every recording from its stored document."""
+    path, k = new_folder(spark, "manifests"), F.col("o_orderkey")
+    cost = F.struct("stage", "provider", "model", "usd", "estimated", "note")
+    records = costs(spark, sf).groupBy("video", "stage").agg(F.collect_list(cost).alias("costs")).groupBy("video").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("costs").alias("record")))).alias("stages"))
+    none = F.array().cast("array<string>")
+    last = F.when(k % 3 == 0, F.array(F.lit("s1_download"), F.lit("s2_transcribe"), F.lit("s2_transcribe"))).when(k % 3 == 1, F.array(F.lit("s3_script"))).otherwise(none)
+    run = lambda cached, usd: F.struct(cached.alias("stages_cached"), usd.cast("double").alias("usd"))
+    runs_of = F.when(k % 2 == 0, F.array(run(F.array(F.lit("s4_render")), F.lit(0.25)), run(last, F.floor("o_totalprice")))).otherwise(F.array(run(last, F.floor("o_totalprice"))))
+    manifests = table(spark, sf, "orders").select(k.alias("video"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"), runs_of.alias("runs")).join(records, "video")
+    manifests.select(F.col("video").cast("string").alias("video_id"), "updated", "stages", "runs").write.json(path)
+    return documents.overview(documents.strict(spark, path, schemas.MANIFEST, by_line=True)).drop("updated")
+
+
 @query(f"SELECT video, count(*) AS total, count(*) FILTER (WHERE hook_score >= 3) AS selected, count(*) FILTER (WHERE has_chart_data) AS charts, round(count(*) FILTER (WHERE hook_score < 3) * 0.0175e0, 6) AS saved_usd FROM ({TOPICS}) GROUP BY video")
 def a8_a9_counts_and_savings(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.gate_counts(topics(spark, sf), "video", F.col("hook_score") >= 3, "openai/gpt-5")
@@ -630,6 +650,19 @@ def w10_budget_guard(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.budget_guard(calls, "o_custkey", "o_orderkey", 2000.0).drop("actual")
 
 
+@query("""SELECT o_custkey, o_orderkey, CAST(active AS INT) AS active, estimate, spent_before, max(CAST(spent_before + estimate > 600 AS INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 0 AS admitted FROM (
+  SELECT s.*, (SELECT max(p) FROM (VALUES (0, 90e0), (1, 10e0), (2, 45e0), (3, 5e0)) c(place, p) WHERE place >= s.active) + o_custkey % 7 AS estimate FROM (
+    SELECT o_custkey, o_orderkey, coalesce(max(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey % 4 ELSE 0 END) OVER b, 0) AS active, coalesce(sum(o_orderkey % 100 / 2) OVER b, 0) AS spent_before
+    FROM orders WINDOW b AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) s)""")
+def w10_a13_w14_chain_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Shots of a customer draw on a budget; before each the dearest of the providers left must be affordable."""
+    k = F.col("o_orderkey")
+    shots = table(spark, sf, "orders").select("o_custkey", k, F.when(k % 11 == 0, k % 4).otherwise(0).cast("int").alias("used"), (k % 100 / 2).alias("actual"))
+    prices = F.array(*[F.struct(F.lit(i).alias("at"), (F.lit(p) + F.col("o_custkey") % 7).alias("usd")) for i, p in enumerate((90.0, 10.0, 45.0, 5.0))])
+    chain = table(spark, sf, "orders").select("o_custkey").distinct().select("o_custkey", F.inline(prices))
+    return ledger.chain_guard(shots, chain, "o_custkey", "o_orderkey", 600.0).select("o_custkey", "o_orderkey", "active", "estimate", "spent_before", "admitted")
+
+
 @query("WITH RECURSIVE t AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 5 AS x FROM orders), w AS (SELECT o_custkey, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT o_custkey FROM t) UNION ALL SELECT w.o_custkey, w.i + 1, list_append(w.ids, CASE WHEN list_contains(w.ids, t.x) THEN list_max(w.ids) + 1 ELSE t.x END) FROM w JOIN t ON t.o_custkey = w.o_custkey AND t.i = w.i + 1) SELECT o_custkey, arg_max(ids, i) AS ids FROM w GROUP BY o_custkey")
 def w11_unique_ids(spark: SparkSession, sf: str) -> DataFrame:
     ordered = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey"))), lambda x: x.o_orderkey % 5).alias("x"))
@@ -843,6 +876,18 @@ def n9_unstated_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("doc_id", numerals.unstated(F.col("mine"), F.col("theirs"), F.array(F.lit(2024.0))).alias("unstated"))
 
 
+UNVERIFIED = f"list_transform(list_filter({FIGURES.format('text')}, lambda t: len(list_filter({FIGURES.format('source')}, lambda o: abs(o.v - t.v) <= greatest(1e-6, 0.005 * abs(t.v)))) = 0), lambda t: 'text:' || t.tok)"
+
+
+@query(f"SELECT doc_id, CAST(len(u) > 0 AS INT) AS rewrite_attempts, CASE WHEN doc_id % 2 = 0 THEN [] ELSE u END AS numbers_unverified, len(u) = 0 OR doc_id % 2 = 0 AS accepted FROM (SELECT doc_id, {UNVERIFIED} AS u FROM {DOC_PAIRS})")
+def n9_c5_verified_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that say numbers of their own are written again, every other one without its numbers, and verified anew."""
+    clips = doc_pairs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("　").alias("attribution"), numerals.values(numerals.number_tokens("source")).alias("source"))
+    again = lambda rows: rows.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[0-9][0-9,.]*", "")).otherwise(F.col("text")))
+    good, bad = provenance.verified_clips(clips, again, ["doc_id"])
+    return replies.with_rejected(good, bad).select("doc_id", "rewrite_attempts", "numbers_unverified", "accepted")
+
+
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS value, CASE WHEN l_suppkey % 3 = 0 THEN '萬元' ELSE '元' END AS unit, len(list_filter(CASE WHEN l_suppkey % 3 = 0 THEN [l_extendedprice, l_extendedprice * 1e4] ELSE [l_extendedprice] END, lambda t: abs(o_totalprice / 4 - t) <= greatest(1e-6, 0.005 * abs(t)) OR abs(o_totalprice * 1e3 - t) <= greatest(1e-6, 0.005 * abs(t)))) > 0 AS stated FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def n10_value_stated(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")

@@ -93,6 +93,25 @@ def runs(manifests: DataFrame) -> DataFrame:
     return manifests.select("video_id", F.posexplode("runs").alias("run", "r")).select("video_id", "run", "r.*")
 
 
+def overview(manifests: DataFrame) -> DataFrame:
+    """(video_id, updated, stages, spent_usd, estimated_usd, reference_usd, history_usd, saved_usd) of manifests: how many stages are recorded, what their ledgers come to, what all runs have cost, and what the last run saved by what it found cached. A projection of each stored document, with nothing exploded or shuffled; a recording without stages or runs has zeros."""
+    costs = lambda record: F.coalesce(record["costs"], F.array())
+    rows = F.flatten(F.transform(F.map_values("_stages"), costs))
+    reference = lambda c: F.coalesce(c["provider"] == "reference", F.lit(False))
+    estimated = lambda c: F.coalesce(c["estimated"], F.lit(False))
+    kinds = {"spent_usd": lambda c: ~estimated(c) & ~reference(c), "estimated_usd": lambda c: estimated(c) & ~reference(c), "reference_usd": reference}
+
+    def summed(of: Column, wanted=None) -> Column:
+        some = F.filter(of, wanted) if wanted else of
+        return F.round(F.aggregate(some, F.lit(0.0), lambda acc, c: acc + F.coalesce(c["usd"].cast("double"), F.lit(0.0))), 6)
+
+    last = F.array_distinct(F.coalesce(F.get("runs", F.size("runs") - 1)["stages_cached"], F.array().cast("array<string>")))
+    cached = F.flatten(F.transform(F.filter(last, lambda s: F.map_contains_key("_stages", s)), lambda s: costs(F.element_at("_stages", s))))
+    whole = manifests.withColumn("_stages", F.coalesce("stages", F.create_map().cast(manifests.schema["stages"].dataType))).withColumn("runs", F.coalesce("runs", F.array().cast(manifests.schema["runs"].dataType)))
+    sums = [summed(rows, w).alias(n) for n, w in kinds.items()]
+    return whole.select("video_id", "updated", F.size("_stages").alias("stages"), *sums, summed(F.col("runs")).alias("history_usd"), summed(cached, kinds["spent_usd"]).alias("saved_usd"))
+
+
 def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """wanted(name) with folder: the name itself where known(name) has it, else the id in it as a link; neither stops the query."""
     from ..functions.text import video_id
