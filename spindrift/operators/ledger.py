@@ -51,19 +51,19 @@ def strictly_priced(rows: DataFrame, table: DataFrame, keys: list[str], price: s
     return joined.withColumn(price, F.when(F.col(price).isNull(), F.raise_error(F.concat(F.lit("no price for "), F.concat_ws("/", *keys)))).otherwise(F.col(price)))
 
 
-def stt_rows(usage: DataFrame) -> DataFrame:
-    """Ledger rows of usage(stage, provider, model, seconds, estimated): minutes."""
+def stt_rows(usage: DataFrame, *keep: str) -> DataFrame:
+    """Ledger rows of usage(stage, provider, model, seconds, estimated): minutes; with further columns to keep."""
     table = prices(usage.sparkSession, STT_MINUTE, ("price",))
     minutes = F.col("seconds") / 60.0
-    return priced(usage.withColumn("key", price_key("provider", "model")), table, ("price",)).select("stage", "provider", "model", F.lit("minute").alias("unit"), F.round(minutes, 3).alias("quantity"), F.col("price").alias("unit_price_usd"), F.round(minutes * F.col("price"), 6).alias("usd"), "estimated", F.concat(F.bround("seconds").cast("long").cast("string"), F.lit("s audio")).alias("note"))
+    return priced(usage.withColumn("key", price_key("provider", "model")), table, ("price",)).select("stage", "provider", "model", F.lit("minute").alias("unit"), F.round(minutes, 3).alias("quantity"), F.col("price").alias("unit_price_usd"), F.round(minutes * F.col("price"), 6).alias("usd"), "estimated", F.concat(F.bround("seconds").cast("long").cast("string"), F.lit("s audio")).alias("note"), *keep)
 
 
-def llm_rows(usage: DataFrame) -> DataFrame:
-    """Two ledger rows for each of usage(stage, provider, model, input_tokens, output_tokens, estimated, note)."""
+def llm_rows(usage: DataFrame, *keep: str) -> DataFrame:
+    """Two ledger rows for each of usage(stage, provider, model, input_tokens, output_tokens, estimated, note), with further columns to keep."""
     table = prices(usage.sparkSession, LLM_MILLION, ("price_in", "price_out"))
     found = priced(usage.withColumn("key", price_key("provider", "model")), table, ("price_in", "price_out"))
     kinds = [F.struct(F.lit(u).alias("unit"), F.col(u).cast("double").alias("quantity"), (F.col(p) / 1e6).alias("unit_price_usd"), F.round(F.col(u) * F.col(p) / 1e6, 6).alias("usd")) for u, p in (("input_tokens", "price_in"), ("output_tokens", "price_out"))]
-    return found.select("stage", "provider", "model", "estimated", "note", F.inline(F.array(*kinds))).select("stage", "provider", "model", "unit", "quantity", "unit_price_usd", "usd", "estimated", "note")
+    return found.select("stage", "provider", "model", "estimated", "note", *keep, F.inline(F.array(*kinds))).select("stage", "provider", "model", "unit", "quantity", "unit_price_usd", "usd", "estimated", "note", *keep)
 
 
 def tts_rows(usage: DataFrame) -> DataFrame:

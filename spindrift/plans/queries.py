@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -65,7 +66,8 @@ SELECT l_orderkey AS video, CASE l_linenumber % 4 WHEN 0 THEN 's1_download' WHEN
 
 
 def _spark_sql(sql: str) -> str:
-    return sql.replace('"end"', "`end`").replace("VARCHAR", "STRING").replace("5e0", "5D").replace("10e0", "10D").replace("3e0", "3D").replace("64e0", "64D").replace("2.5e0", "2.5D")
+    """The same SQL for Spark: quoted names, text types, and doubles, which are written with an exponent here so that both take them for doubles."""
+    return re.sub(r"\b(\d+(?:\.\d+)?)e0\b", r"\1D", sql.replace('"end"', "`end`").replace("VARCHAR", "STRING"))
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,10 +358,9 @@ PRICES = "(VALUES ('openai/gpt-5', 1.25e0, 10e0), ('openai/gpt-5-mini', 0.25e0,
 
 @query(f"SELECT video, l_suppkey, stage, provider, model, unit, quantity, price / 1e6 AS unit_price_usd, round(quantity * price / 1e6, 6) AS usd, estimated FROM (SELECT l.*, 'input_tokens' AS unit, floor(l.usd * 64000) AS quantity, coalesce(pin, 0e0) AS price FROM ({LEDGER}) l LEFT JOIN {PRICES} ON key = provider || '/' || model UNION ALL SELECT l.*, 'output_tokens', floor(l.usd * 6400), coalesce(pout, 0e0) FROM ({LEDGER}) l LEFT JOIN {PRICES} ON key = provider || '/' || model)")
 def j2_n19_price_lookup_llm(spark: SparkSession, sf: str) -> DataFrame:
-    usage = costs(spark, sf, deal=True).select(F.col("stage"), "provider", "model", "estimated", F.floor(F.col("usd") * 64000).alias("input_tokens"), F.floor(F.col("usd") * 6400).alias("output_tokens"), F.concat_ws("|", F.col("video").cast("string"), F.col("l_suppkey").cast("string")).alias("note"))
-    rows = ledger.llm_rows(usage)
-    who = F.split("note", r"\|")
-    return rows.select(who[0].cast("long").alias("video"), who[1].cast("long").alias("l_suppkey"), "stage", "provider", "model", "unit", "quantity", "unit_price_usd", "usd", "estimated")
+    tokens = {"input_tokens": F.floor(F.col("usd") * 64000), "output_tokens": F.floor(F.col("usd") * 6400)}
+    rows = ledger.llm_rows(costs(spark, sf, deal=True).withColumns(tokens), "video", "l_suppkey")
+    return rows.select("video", "l_suppkey", "stage", "provider", "model", "unit", "quantity", "unit_price_usd", "usd", "estimated")
 
 
 @query("SELECT c_custkey, n_name AS name, 1 AS checked FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -932,10 +933,10 @@ def n15_n16_n17_durations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 30 / 60, 3) AS minutes, round(l_quantity * 30 / 60 * 0.003e0, 6) AS stt_usd, round(l_extendedprice * 0.25e0, 4) AS video_usd FROM lineitem")
 def n19_stt_tts_video_costs(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
-    usage = table(spark, sf, "lineitem").select(key.alias("stage"), F.lit("openai").alias("provider"), F.lit("gpt-4o-mini-transcribe").alias("model"), (F.col("l_quantity") * 30).alias("seconds"), F.lit(False).alias("estimated"))
-    who = F.split("stage", r"\|")
-    return ledger.stt_rows(usage).select(who[0].cast("long").alias("l_orderkey"), who[1].cast("int").alias("l_linenumber"), who[2].cast("long").alias("l_partkey"), who[3].cast("long").alias("l_suppkey"), F.col("quantity").alias("minutes"), F.col("usd").alias("stt_usd"), F.round(who[4].cast("double") * ledger.VIDEO_SECOND, 4).alias("video_usd"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    usage = table(spark, sf, "lineitem").select(*keys, "l_extendedprice", F.lit("s2_transcribe").alias("stage"), F.lit("openai").alias("provider"), F.lit("gpt-4o-mini-transcribe").alias("model"), (F.col("l_quantity") * 30).alias("seconds"), F.lit(False).alias("estimated"))
+    rows = ledger.stt_rows(usage, *keys, "l_extendedprice")
+    return rows.select(*keys, F.col("quantity").alias("minutes"), F.col("usd").alias("stt_usd"), F.round(F.col("l_extendedprice") * ledger.VIDEO_SECOND, 4).alias("video_usd"))
 
 
 # Hashes and state
