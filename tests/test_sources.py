@@ -38,6 +38,7 @@ def test_scans(spark, tmp_path):
     assert documents.ledger(found).agg(F.sum("usd")).first()[0] == pytest.approx(0.068)
     assert [r.usd for r in documents.runs(found).collect()] == [0.1, 0.1]
     assert documents.recordings(spark, f"{base}/none").collect() == []
+    assert found.select("name").distinct().count() == 2  # no field of a document is asked for
     write(base, "t.json", {"video_id": "v", "segments": [{"start": 0, "end": 1.5, "text": "a"}]})
     assert documents.strict(spark, f"{base}/t.json", schemas.TRANSCRIPT).first().segments[0].end == 1.5
     write(base, "bad.json", {"video_id": "v", "segments": "none"})
