@@ -1154,7 +1154,7 @@ def w10_c3_reserved_budget(spark: SparkSession, sf: str) -> DataFrame:
     return told.where("kind = 'reserve'").select("o_custkey", F.col("call").alias("o_orderkey"), "admitted")
 
 
-@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, count(*) AS n, round(sum(value), 6) AS usd FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst")
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, count(*) AS n, round(sum(value), 6) AS usd FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst")
 def a1_call_bursts(spark: SparkSession, sf: str) -> DataFrame:
     """Bursts of a user's calls from a stream; an event long after all others moves the watermark past the last of them."""
     schema, path = "user_id long, ts timestamp, value double", new_folder(spark, "events")

@@ -1,4 +1,4 @@
-"""Bursts of calls: the calls of a key with less than a gap between neighbours, as session windows."""
+"""Bursts of calls: the calls of a key with no more than a gap between neighbours, as session windows."""
 
 from __future__ import annotations
 
