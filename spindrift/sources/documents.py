@@ -53,12 +53,13 @@ def cached(table: DataFrame, key: str) -> DataFrame:
 SIDECAR = "key string, provider string, model string, prompt string, seconds double, seed long, wall_seconds double"
 
 
-def sidecars(spark: SparkSession, path: str, made: str = "mp4") -> DataFrame:
-    """(path, key, ...) of the JSON files beside generated ones: path is the generated file's, of the same stem; what can't be read is left out."""
+def sidecars(spark: SparkSession, path: str, made: str = "mp4", by_line: bool = False) -> DataFrame:
+    """(path, key, ...) of the JSON files beside generated ones: path is the generated file's, of the same stem; what can't be read is left out. With by_line a file holds many sidecars, one to a line, and each says its generated file's path, so that files needn't be as many as what was generated."""
     if not Files(spark).found(path):
         return spark.createDataFrame([], f"path string, {SIDECAR}")
-    read = spark.read.schema(f"{SIDECAR}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    named = read.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", f".{made}"))
+    own = "path string, " if by_line else ""
+    read = spark.read.schema(f"{own}{SIDECAR}, {CORRUPT} string").option("multiLine", not by_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    named = read if by_line else read.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", f".{made}"))
     return named.where(_readable(read)).select("path", *[f.split()[0] for f in SIDECAR.split(", ")])
 
 

@@ -1,5 +1,6 @@
 """Document scans, sinks, adapters, the engine and the streams."""
 
+import glob
 import json
 import os
 import time
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift import schemas, storage
 from spindrift.operators import cache, ledger, timeline
-from spindrift.plans import configs, engine
+from spindrift.plans import configs, engine, queries
 from spindrift.settings import Settings
 from spindrift.sources import adapters, documents
 from spindrift.streaming import ledger as stream
@@ -289,3 +290,20 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("guard").groupBy("stage").agg(F.count_if("admitted").alias("n"), F.count("*").alias("all")).collect()
     assert {(r.stage, r.n, r["all"]) for r in got} == {("a", 4, 10), ("b", 4, 10)}
+
+
+def test_sidecars_by_line(spark, tmp_path):
+    """Many sidecars in a file, each with the path of what it stands beside; a broken line is left out, the rest of its file is kept."""
+    write(f"{tmp_path}/lines", "a.json", {"path": "x/a.mp4", "key": "k1"})
+    with open(f"{tmp_path}/lines/a.json", "a") as f:
+        f.write('\n{broken\n{"path": "x/b.mp4", "key": "k2", "seed": 7}\n')
+    side = documents.sidecars(spark, f"{tmp_path}/lines", by_line=True)
+    assert sorted((r.path, r.key, r.seed) for r in side.collect()) == [("x/a.mp4", "k1", None), ("x/b.mp4", "k2", 7)]
+    assert documents.sidecars(spark, f"{tmp_path}/none", by_line=True).columns == side.columns
+
+
+def test_sidecars_take_no_file_for_each_shot(spark, tmp_path, monkeypatch):
+    """The query's files don't grow in number with the shots."""
+    monkeypatch.setattr(queries, "new_folder", lambda spark, kind: f"{tmp_path}/{kind}")
+    shots = queries.s9_h2_sidecars(spark, "/root/testdata/sf0.01").count()
+    assert shots == 100 and len(glob.glob(f"{tmp_path}/shots/**/part-*", recursive=True)) < 20
