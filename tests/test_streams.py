@@ -2,6 +2,9 @@
 
 import datetime
 
+from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
 from spindrift.streaming import bursts, budget
 
 CALLS = "k long, seq long, ts timestamp, call long, kind string, micros long"
@@ -76,3 +79,67 @@ def test_bursts_and_late_calls(spark, tmp_path):
 def test_bursts_of_a_batch(spark):
     rows = spark.createDataFrame([(1, at(m / 60), 1.0) for m in (0, 4, 9, 13.5, 30)], "k long, ts timestamp, usd double")
     assert sorted((r.n, r.usd) for r in bursts.bursts(rows, "k", "5 minutes").collect()) == [(1, 1.0), (4, 4.0)]  # a gap of just five minutes doesn't divide
+
+
+class Handle:
+    """A store in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.asked, self.timers, self.kept = 0, [], {}
+
+    def getValueState(self, name, schema):
+        return Kept(self, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Kept:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _ask(self):
+        self.handle.asked += 1
+        return self.handle.kept
+
+    def get(self):
+        return self._ask().get(self.name)
+
+    def exists(self):
+        return self.name in self._ask()
+
+    def put(self, value):
+        self._ask()[self.name] = value
+
+    update = put
+
+    def clear(self):
+        self._ask().pop(self.name, None)
+
+
+def given(calls):
+    return [Row(seq=n, at=round(hours * 3_600_000), call=call, kind=kind, micros=amount) for n, (hours, call, kind, amount) in enumerate(calls)]
+
+
+def test_a_key_costs_few_calls_to_the_store():
+    handle, machine = Handle(), budget.Budget(1_000_000, 3.0)
+    machine.init(handle)
+    told = list(machine.handleInputRows((1,), given([(n / 100, n // 2, ("reserve", "settle")[n % 2], 10) for n in range(40)]), TimerValues(0, 0)))
+    assert len(told) == 40 and told[-1].spent == 200 and told[-1].reserved == 0
+    assert handle.asked <= 2 and handle.timers == []  # what is settled in the batch needs no timer and no list
+
+
+def test_one_timer_stands_for_all_reservations_of_a_key():
+    handle, machine, hour = Handle(), budget.Budget(1_000_000, 3.0), 3_600_000
+    machine.init(handle)
+    list(machine.handleInputRows((1,), given([(1, 10, "reserve", 5), (0, 11, "reserve", 7), (2, 12, "reserve", 1)]), TimerValues(0, 0)))
+    assert handle.timers == [3 * hour]
+    told = list(machine.handleExpiredTimer((1,), TimerValues(0, 4.5 * hour), ExpiredTimerInfo(3 * hour)))
+    assert [(r.call, r.kind, r.micros, r.reserved) for r in told] == [(11, "released", 7, 6), (10, "released", 5, 1)]  # all that is due by the watermark, in the order it falls due
+    assert handle.timers == [3 * hour, 5 * hour]
+    told = list(machine.handleInputRows((1,), given([(5.5, 10, "settle", 4)]), TimerValues(0, 4.5 * hour)))
+    assert [(r.call, r.kind, r.spent, r.reserved) for r in told] == [(12, "released", 0, 0), (10, "settle", 4, 0)]  # one given back may settle a span later
+    list(machine.handleExpiredTimer((1,), TimerValues(0, 20 * hour), ExpiredTimerInfo(handle.timers[-1])))
+    assert "reservations" not in handle.kept
