@@ -47,6 +47,17 @@ def balanced(scan: DataFrame) -> DataFrame:
     return scan
 
 
+#: Bytes that one Arrow batch carries to Python.
+BATCH_BYTES = 2 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of whole texts takes of a Python worker's memory, by its bytes, so that short rows stay many to a batch. It holds for the session, as a lazy plan takes it when it runs; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Files:
     """Small files of any store that Spark reaches."""
 

@@ -2,13 +2,16 @@
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spindrift import storage
 from spindrift.functions import coerce, numerals, text
 from spindrift.operators import cache, choose, gate, ledger, overlap, provenance, replies, timeline
+from spindrift.plans import queries
 
 
 def one(spark, column, **values):
@@ -395,3 +398,28 @@ def test_shared_is_linear_in_memory():
     assert text.shared(a, b).find(a[20_000:20_500]) >= 0
     assert tracemalloc.get_traced_memory()[1] < 30e6
     tracemalloc.stop()
+
+
+def test_texts_come_in_short_batches(spark, tmp_path):
+    """What one Arrow batch of texts carries to Python is bounded by its bytes, so a worker's memory doesn't grow with the table; short rows stay many to a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    @F.pandas_udf("long")
+    def rows(ids: pd.Series) -> pd.Series:
+        return pd.Series([len(ids)] * len(ids))
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 5000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        texts = queries.texts(spark, str(tmp_path)).coalesce(1)
+        assert texts.select(held("text").alias("n")).agg(F.max("n"), F.count("*")).first() == (pytest.approx(storage.BATCH_BYTES, abs=storage.BATCH_BYTES // 2), 4000)
+        assert spark.range(20_000).coalesce(1).select(rows("id").alias("n")).agg(F.max("n")).first()[0] == 10_000
+        spark.conf.set(name, "1m")
+        storage.short_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
