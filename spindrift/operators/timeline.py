@@ -69,20 +69,13 @@ def allocated(length: Column, lo: Column, hi: Column, key: str, order: str) -> t
 
 
 def phrases(text: Column, target: int = 30) -> Column:
-    """Pieces of a text: sentences end a piece, and words of a sentence are joined without a space up to target characters."""
+    """Pieces of a text: sentences end a piece, and words of a sentence are joined without a space up to target characters. One pattern finds a piece: the most characters up to the target that end where a word or the sentence does, else the whole of a longer word; so a text takes time in proportion to its length, however many pieces it has."""
     from ..functions.text import SENTENCE_ENDS
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def word(acc: Column, w: Column) -> Column:
-        full = (acc.open != "") & (F.length(acc.open) + F.length(w) > target)
-        return F.struct(F.when(full, F.array_append(acc.done, acc.open)).otherwise(acc.done).alias("done"), F.when(full, w).otherwise(F.concat(acc.open, w)).alias("open"))
-
-    def of(sentence: Column) -> Column:
-        words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-        return F.aggregate(words, start, word, lambda acc: F.when(acc.open != "", F.array_append(acc.done, acc.open)).otherwise(acc.done))
-
-    return F.flatten(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}])"), of))
+    inside, end = rf"[^\s{SENTENCE_ENDS}]", f"[{SENTENCE_ENDS}]"
+    fits = rf"(?:{inside}\s*+){{0,{target - 1}}}(?:{end}|{inside}(?!\S))|" if target > 0 else ""
+    found = F.regexp_extract_all(text, F.lit(f"{fits}{inside}++{end}?|{end}"), F.lit(0))
+    return F.transform(found, lambda piece: F.regexp_replace(piece, r"\s+", ""))
 
 
 def packed_lines(segments: Column, most_chars: int = 60, most_span: float = 15.0) -> Column:

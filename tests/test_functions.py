@@ -1,6 +1,7 @@
 """Known values of text, numeral, coercion, gate, timeline and ledger operators."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -423,3 +424,12 @@ def test_texts_come_in_short_batches(spark, tmp_path):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_phrases_of_a_long_sentence(spark):
+    """Time grows with the text, not with its length times its phrases."""
+    text = spark.createDataFrame([("word " * 200_000,)], "t string")
+    begun = time.time()
+    found = text.select(timeline.phrases(F.col("t")).alias("p")).select(F.size("p"), F.element_at("p", 1), F.element_at("p", -1)).first()
+    assert tuple(found) == (28_572, "word" * 7, "word" * 3) and time.time() - begun < 30
+    assert one(spark, timeline.phrases(F.col("t"), 5), t=("abcdefgh ij k。l 。mn", "string")) == ["abcdefgh", "ijk。", "l。", "mn"]
