@@ -105,10 +105,23 @@ def stated(text: str) -> list[tuple[str, list[float]]]:
     return out + [(m[0], [v[0] * 10]) for rule in (TENTHS, TENS) for m in rule.finditer(text) if (v := readings(m[1]))]
 
 
+#: Tokens from which on a worker hands over the texts that it has read of a batch.
+MANY_TOKENS = 10_000
+
+
 @F.pandas_udf(T.ArrayType(TOKEN))
 def number_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The tokens of each text; a batch goes back in pieces, as those of a few MB of figures take hundreds of MB."""
     for batch in texts:
-        yield pd.Series([[{"tok": t, "vals": v} for t, v in stated(x or "")] for x in batch], dtype=object)
+        rows, held = [], 0
+        for x in batch:
+            rows.append([{"tok": t, "vals": v} for t, v in stated(x or "")])
+            held += len(rows[-1])
+            if held >= MANY_TOKENS:
+                yield pd.Series(rows, dtype=object)
+                rows, held = [], 0
+        if rows:
+            yield pd.Series(rows, dtype=object)
 
 
 @F.udtf(returnType=TOKEN)

@@ -401,6 +401,17 @@ def test_shared_is_linear_in_memory():
     tracemalloc.stop()
 
 
+def test_number_tokens_go_back_in_pieces(spark, tmp_path):
+    """What a worker holds of a batch's tokens is bounded, however many figures its texts hold; rows keep their places."""
+    said = [" ".join(str(i + k) for k in range(900)) if i % 3 else None if i % 2 else "no figures" for i in range(300)]
+    pieces = list(numerals.number_tokens.func(iter([pd.Series(said[:200]), pd.Series(said[200:])])))
+    assert max(piece.map(len).sum() for piece in pieces) < 10_900
+    assert [[(t["tok"], t["vals"]) for t in row] for piece in pieces for row in piece] == [numerals.stated(x or "") for x in said]
+    spark.createDataFrame(list(enumerate(said[:60])), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.n6_n7_number_tokens(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.pos, r.tok, r.vals) for r in rows) == [(i, k, str(i + k), [float(i + k)]) for i in range(60) if i % 3 for k in range(900)]
+
+
 def test_texts_come_in_short_batches(spark, tmp_path):
     """What one Arrow batch of texts carries to Python is bounded by its bytes, so a worker's memory doesn't grow with the table; short rows stay many to a batch."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
